@@ -10,7 +10,7 @@ def quality_rules_sql(docs: str = "documents", rules: Rules = Rules(), columns:
     stock = "(?i)" + "|".join(BOILERPLATE)
     separators = ", ".join(f"'{c}'" for c in sorted(SEPARATORS))
     words = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
-    chars = "CAST(list_sum(list_transform({}, x -> length(x))) AS BIGINT)"
+    chars = "CAST(list_sum(list_transform({}, lambda x: length(x))) AS BIGINT)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM {docs}),
 w AS (SELECT doc_id, t, {words.format('t')} AS ws FROM d),
@@ -20,12 +20,12 @@ line2 AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth, len(ws) AS n,
     {chars.format('ws')} AS wc,
     len(regexp_extract_all(line, '[#*$%&|<>]')) AS sym,
-    len(list_filter(ws, x -> ends_with(x, '!!') OR ends_with(x, '??') OR ends_with(x, '!?'))) AS shout,
-    len(list_filter(ws, x -> x IN ({separators}))) AS sep,
+    len(list_filter(ws, lambda x: ends_with(x, '!!') OR ends_with(x, '??') OR ends_with(x, '!?'))) AS shout,
+    len(list_filter(ws, lambda x: x IN ({separators}))) AS sep,
     coalesce({chars.format(r"regexp_extract_all(line, '\p{L}+')")}, 0) AS letters,
     coalesce({chars.format("regexp_extract_all(line, '[A-ZÀ-ÖØ-Þ]+')")}, 0) AS upper_letters,
     regexp_matches(line, '{stock}') AS stock,
-    len(list_filter(range(2, len(ws) + 1), i -> ws[i] = ws[i - 1])) AS stutter
+    len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS stutter
   FROM line1 WHERE len(ws) > 0),
 line3 AS (
   SELECT doc_id, nth, wc,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, quality_rules
+from . import bpe, media, quality_rules, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,24 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.encode_media(table(spark, sf_dir, "documents"), columns=columns)
 
 
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = warc.write_bundles(table(spark, sf_dir, "pages"))
+    return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op5_media_columns": op5_media_columns,
+        "op8_warc_bundles": op8_warc_bundles,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 
