@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 NONE = 2**31 - 1
 BUCKETS = 1 << 15
 #: A block of documents is closed once its texts have so many characters.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 32 << 20
 
 _LITERALS: dict = {}
 
@@ -74,56 +74,39 @@ def _bucket(piece: Column) -> Column:
 
 
 def encode_word(word: Column, ranks: Column) -> Column:
-    """Ids of one word given as binary: its own rank, or a fold of merges over its bytes."""
+    """Ids of one word given as binary: its own rank, or a fold of merges over its bytes.
+
+    The state has the pieces' bounds (the first byte of each piece, and one past the end) and the best
+    merge: its rank above its inner bound, so that the least value is the leftmost of the lowest rank.
+    A merge removes the inner bound.
+    """
 
     def rank(piece: Column) -> Column:
         return F.coalesce(F.try_element_at(F.element_at(ranks, _bucket(piece) + 1), piece), F.lit(NONE))
 
-    def pair(parts: Column, i: Column) -> Column:
-        """Rank of the pair of pieces at i and i + 1, if both exist."""
-        return F.when((i < 1) | (i >= F.size(parts)), F.lit(NONE)).otherwise(rank(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))))
-
-    def merge(state: Column) -> Column:
-        i = F.array_position(state["pair_ranks"], F.array_min(state["pair_ranks"])).cast("int")
-        with_parts = F.struct(i.alias("i"), _merged(state["parts"], i).alias("parts"), state["pair_ranks"].alias("old"))
-        # A one-element transform binds the merged pieces, so they are computed once.
-        return F.element_at(
-            F.transform(
-                F.array(with_parts),
-                lambda s: F.struct(
-                    s["parts"].alias("parts"),
-                    F.concat(
-                        F.slice(s["old"], 1, F.greatest(s["i"] - 2, F.lit(0))),
-                        F.when(s["i"] > 1, F.array(pair(s["parts"], s["i"] - 1))).otherwise(F.array().cast("array<int>")),
-                        F.when(s["i"] < F.size(s["parts"]), F.array(pair(s["parts"], s["i"]))).otherwise(F.array().cast("array<int>")),
-                        F.slice(s["old"], s["i"] + 2, F.size(s["old"])),
-                    ).alias("pair_ranks"),
-                ),
-            ),
-            1,
-        )
+    def best(bounds: Column) -> Column:
+        def code(inner: Column, i: Column) -> Column:
+            start = F.get(bounds, i)
+            return F.shiftleft(rank(F.substring(word, start, F.get(bounds, i + 2) - start)).cast("long"), 32) + inner
 
-    def _merged(parts: Column, i: Column) -> Column:
-        return F.concat(
-            F.slice(parts, 1, i - 1),
-            F.array(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))),
-            F.slice(parts, i + 2, F.size(parts)),
-        )
+        return F.array_min(F.transform(F.slice(bounds, 2, F.size(bounds) - 2), code))
+
+    def state(bounds: Column) -> Column:
+        # A one-element transform binds the bounds, so they are computed once.
+        return F.get(F.transform(F.array(bounds), lambda x: F.struct(x.alias("bounds"), best(x).alias("best"))), F.lit(0))
+
+    def step(now: Column, _: Column) -> Column:
+        merged = state(F.array_remove(now["bounds"], now["best"].bitwiseAND(0xFFFFFFFF).cast("int")))
+        return F.when(now["best"] < (NONE << 32), merged).otherwise(now)
+
+    def ids(last: Column) -> Column:
+        bounds = last["bounds"]
+        return F.transform(F.slice(bounds, 1, F.size(bounds) - 1), lambda start, i: rank(F.substring(word, start, F.get(bounds, i + 1) - start)))
 
     n = F.octet_length(word)
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, 1))
-    start = F.struct(
-        single.alias("parts"),
-        F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(word, i, 2))).alias("pair_ranks"),
-    )
-    folded = F.aggregate(
-        F.sequence(F.lit(2), n),
-        start,
-        lambda state, _: F.when(F.coalesce(F.array_min(state["pair_ranks"]), F.lit(NONE)) < NONE, merge(state)).otherwise(state),
-        lambda state: F.transform(state["parts"], rank),
-    )
-    whole = rank(word)
-    return F.when(whole < NONE, F.array(whole)).when(n > 1, folded).otherwise(F.array().cast("array<int>"))
+    folded = F.aggregate(F.sequence(F.lit(2), n), state(F.sequence(F.lit(1), n + 1)), step, ids)
+    whole = F.transform(F.array(rank(word)), lambda r: F.when(r < NONE, r))
+    return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.when(F.get(whole, F.lit(0)).isNotNull(), whole).otherwise(folded))
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
