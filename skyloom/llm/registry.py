@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, quality_rules, warc
+from . import bpe, media, packing, quality_rules, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_documents(table(spark, sf_dir, "documents"), figures=figures)
 
 
+def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("source")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     return media.encode_media(table(spark, sf_dir, "documents"), columns=columns)
@@ -37,6 +43,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op3_mixture_packing": op3_mixture_packing,
         "op5_media_columns": op5_media_columns,
         "op8_warc_bundles": op8_warc_bundles,
         "op10_byte_bpe": op10_byte_bpe,
