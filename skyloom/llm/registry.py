@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, packing, quality_rules, warc
+from . import bpe, chat, media, near_dedup, packing, quality_rules, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Similarity(shingle=4))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Query]:
         "op3_mixture_packing": op3_mixture_packing,
         "op5_media_columns": op5_media_columns,
         "op8_warc_bundles": op8_warc_bundles,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
