@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, near_dedup, packing, quality_rules, warc
+from . import bpe, chat, line_dedup, media, near_dedup, packing, quality_rules, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.encode_media(table(spark, sf_dir, "documents"), columns=columns)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = warc.write_bundles(table(spark, sf_dir, "pages"))
     return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -54,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op2_quality_rules": op2_quality_rules,
         "op3_mixture_packing": op3_mixture_packing,
         "op5_media_columns": op5_media_columns,
+        "op7_line_dedup": op7_line_dedup,
         "op8_warc_bundles": op8_warc_bundles,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_byte_bpe": op10_byte_bpe,
