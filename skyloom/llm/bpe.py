@@ -18,15 +18,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for "no merge" among ranks.
-NONE = 2**31 - 1
 BUCKETS = 1 << 15
 #: A block of documents is closed once its texts have so many characters.
 BLOCK_CHARS = 32 << 20
@@ -76,36 +77,29 @@ def _bucket(piece: Column) -> Column:
 def encode_word(word: Column, ranks: Column) -> Column:
     """Ids of one word given as binary: its own rank, or a fold of merges over its bytes.
 
-    The state has the pieces' bounds (the first byte of each piece, and one past the end) and the best
-    merge: its rank above its inner bound, so that the least value is the leftmost of the lowest rank.
-    A merge removes the inner bound.
+    The state is the pieces' bounds: the first byte of each piece, and one past the end. A step looks up
+    the rank of every two adjacent pieces (null where they do not merge) and removes the bound inside the
+    leftmost of the lowest rank; without any, the state stays.
     """
 
     def rank(piece: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.element_at(ranks, _bucket(piece) + 1), piece), F.lit(NONE))
+        return F.try_element_at(F.get(ranks, F.pmod(F.hash(piece), F.lit(BUCKETS))), piece)
 
-    def best(bounds: Column) -> Column:
-        def code(inner: Column, i: Column) -> Column:
-            start = F.get(bounds, i)
-            return F.shiftleft(rank(F.substring(word, start, F.get(bounds, i + 2) - start)).cast("long"), 32) + inner
+    def piece_ranks(bounds: Column, apart: int) -> Column:
+        """Ranks of what lies between bounds so many places apart; null at the end."""
+        return F.zip_with(bounds, F.slice(bounds, 1 + apart, n + 1), lambda a, c: rank(F.substring(word, a, c - a)))
 
-        return F.array_min(F.transform(F.slice(bounds, 2, F.size(bounds) - 2), code))
-
-    def state(bounds: Column) -> Column:
-        # A one-element transform binds the bounds, so they are computed once.
-        return F.get(F.transform(F.array(bounds), lambda x: F.struct(x.alias("bounds"), best(x).alias("best"))), F.lit(0))
-
-    def step(now: Column, _: Column) -> Column:
-        merged = state(F.array_remove(now["bounds"], now["best"].bitwiseAND(0xFFFFFFFF).cast("int")))
-        return F.when(now["best"] < (NONE << 32), merged).otherwise(now)
-
-    def ids(last: Column) -> Column:
-        bounds = last["bounds"]
-        return F.transform(F.slice(bounds, 1, F.size(bounds) - 1), lambda start, i: rank(F.substring(word, start, F.get(bounds, i + 1) - start)))
+    def step(bounds: Column, _: Column) -> Column:
+        # A one-element transform binds the ranks, so they are computed once.
+        merged = F.transform(
+            F.array(piece_ranks(bounds, 2)),
+            lambda r: F.array_remove(bounds, F.get(bounds, F.array_position(r, F.array_min(r)).cast("int"))),
+        )
+        return F.coalesce(F.get(merged, F.lit(0)), bounds)
 
     n = F.octet_length(word)
-    folded = F.aggregate(F.sequence(F.lit(2), n), state(F.sequence(F.lit(1), n + 1)), step, ids)
-    whole = F.transform(F.array(rank(word)), lambda r: F.when(r < NONE, r))
+    folded = F.aggregate(F.sequence(F.lit(2), n), F.sequence(F.lit(1), n + 1), step, lambda last: F.array_compact(piece_ranks(last, 1)))
+    whole = F.transform(F.array(rank(word)), lambda r: r)
     return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.when(F.get(whole, F.lit(0)).isNotNull(), whole).otherwise(folded))
 
 
@@ -135,12 +129,12 @@ def encode_documents(
         names = ["keys", "words", "lengths", "places"]
 
         def block(keys, texts):
-            found: dict[str, int] = {}
+            found: dict[str, int] = defaultdict(count().__next__)
             lengths, places = [], []
             for t in texts:
                 words = find(t)
                 lengths.append(len(words))
-                places.append(np.fromiter((found.setdefault(w, len(found)) for w in words), np.int32, len(words)))
+                places.append(np.fromiter(map(found.__getitem__, words), np.int32, len(words)))
             flat = np.concatenate(places) if places else np.empty(0, np.int32)
             words = pa.array([w.encode("utf-8") for w in found], pa.binary())
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
@@ -166,27 +160,30 @@ def encode_documents(
     def gather(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for r in range(batch.num_rows):
-                keys, lengths, places, ids, pieces_of = (batch.column(c)[r] for c in range(5))
-                ids, pieces_of = ids.values.to_pylist(), pieces_of.values.to_pylist()
-                counts = np.fromiter(map(len, ids), np.int64, len(ids))
-                said = [" ".join(map(str, x)) for x in ids] if "ids_sha256" in outputs else []
-                at = np.frombuffer(places.as_py(), np.int32)
-                ends = np.cumsum(lengths.values.to_numpy())
-                rows = []
-                for end, n in zip(ends, lengths.values.to_pylist(), strict=True):
-                    own = at[end - n : end].tolist()
-                    row = {}
-                    for name in outputs:
-                        if name == "n_tokens":
-                            row[name] = int(counts[own].sum()) if own else 0
-                        elif name == "ids":
-                            row[name] = [i for w in own for i in ids[w]]
-                        elif name == "ids_sha256":
-                            row[name] = hashlib.sha256(" ".join([said[w] for w in own]).encode()).hexdigest()
-                        else:
-                            data = b"".join([pieces_of[w] for w in own])
-                            row[name] = data if name == "decoded" else hashlib.sha256(data).hexdigest()
-                    rows.append(row)
-                yield pa.RecordBatch.from_arrays([keys.values] + [pa.array([x[n] for x in rows], kinds[n][1]) for n in outputs], [key, *outputs])
+                keys, lengths, places, ids, data = (batch.column(c)[r] for c in range(5))
+                n_words = pa.array(lengths.values)
+                ends = np.concatenate([[0], np.cumsum(n_words.to_numpy())])
+                at = pa.array(np.frombuffer(places.as_py(), np.int32))
+                # Words are laid side by side in one buffer a block; a document is a slice of it.
+                starts = ids.values.offsets.to_numpy()
+                arrays = []
+                for name in outputs:
+                    if name == "n_tokens":
+                        totals = np.concatenate([[0], np.cumsum(np.diff(starts)[at.to_numpy()])])
+                        arrays.append(pa.array(totals[ends[1:]] - totals[ends[:-1]], pa.int64()))
+                    elif name == "ids":
+                        arrays.append(pa.array([ids.values.take(at.slice(a, b - a)).flatten() for a, b in zip(ends, ends[1:])], pa.list_(pa.int32())))
+                    else:
+                        values, skip = data.values.cast(pa.large_binary()), 0
+                        if name == "ids_sha256":
+                            flat, skip = ids.values.flatten().cast(pa.string()), 1
+                            spaced = pa.LargeListArray.from_arrays(pa.array(starts - starts[0], pa.int64()), pc.binary_join_element_wise("", flat, " "))
+                            values = pc.binary_join(spaced, "").cast(pa.large_binary())
+                        taken = values.take(at)
+                        offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+                        buffer = memoryview(taken.buffers()[2] or b"")
+                        parts = [buffer[a + skip * (b > a) : b] for a, b in zip(offsets[ends[:-1]], offsets[ends[1:]])]
+                        arrays.append(pa.array([bytes(x) for x in parts], pa.binary()) if name == "decoded" else pa.array([hashlib.sha256(x).hexdigest() for x in parts]))
+                yield pa.RecordBatch.from_arrays([keys.values, *arrays], [key, *outputs])
 
     return encoded.mapInArrow(gather, f"`{key}` {key_kind}, " + ", ".join(f"{n} {kinds[n][0]}" for n in outputs))

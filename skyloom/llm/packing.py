@@ -19,6 +19,7 @@ an empty result. Only the id, text and source columns are read.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,28 +34,51 @@ from .common import join_small, staged
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
+class WordIds(dict):
+    """Little-endian id bytes of words, filled for a batch of texts at a time and forgotten when there are many.
+
+    The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in a row.
+    """
+
+    def __init__(self, path: str, end_id: int, most: int = 400_000):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        self.end, self.most = np.array([end_id], self.kind).tobytes(), most
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text and the end id, as bytes. bytes.split() parts words at ASCII white space only."""
+        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        new = list(set().union(*words) - self.keys())
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = list(set().union(*words))
+        pack = struct.Struct
+        for w, e in zip(new, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
+            ids = e.ids
+            self[w] = pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}").pack(*ids)
+        return [b"".join(map(self.__getitem__, ws)) + self.end for ws in words]
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, task, before (tokens before it in this task's part of its source), n, ids (uint16 or uint32 bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        narrow = tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
+        words = WordIds(path, end_id)
+        width = len(words.end)
         task, sent = TaskContext.get().partitionId(), {}
         for whole in batches:
-            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                sources = batch.column(2).to_pylist()
-                before, n, data = [], [], []
-                for s, e in zip(sources, tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                    ids = np.array(e.ids + [end_id], "<u2" if narrow else "<u4")
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                data = words.encode(batch.column(1).to_pylist())
+                n = [len(x) // width for x in data]
+                before = []
+                for s, m in zip(batch.column(2).to_pylist(), n, strict=True):
                     before.append(sent.get(s, 0))
-                    sent[s] = before[-1] + len(ids)
-                    n.append(len(ids))
-                    data.append(ids.tobytes())
+                    sent[s] = before[-1] + m
                 arrays = [batch.column(0), batch.column(2), pa.array([task] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "source", "task", "before", "n", "ids"])
 
