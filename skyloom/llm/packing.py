@@ -34,32 +34,63 @@ from .common import join_small, staged
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet of tokenizers by byte: printable Latin-1 characters stand for themselves, others follow from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds(dict):
     """Little-endian id bytes of words, filled for a batch of texts at a time and forgotten when there are many.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in a row.
+    The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in a
+    row. Nor does it merge a letter with the punctuation after it, so a word is a stem and a tail. A stem
+    of Latin letters only goes straight to the model, in lower case and in the byte-level alphabet, as the
+    tokenizer's own normalizer and splitter would hand it over; all other stems go through the tokenizer.
     """
 
+    TAIL = b"*$%&#!,.;|?:"
+    _ALPHABET = _byte_alphabet()
+
     def __init__(self, path: str, end_id: int, most: int = 400_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is its share
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        self.model = self.tok.model
+        self.kind, self.letter = ("<u2", "H") if self.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else ("<u4", "I")
         self.end, self.most = np.array([end_id], self.kind).tobytes(), most
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and the end id, as bytes. bytes.split() parts words at ASCII white space only."""
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list(set().union(*words) - self.keys())
-        if len(self) + len(new) > self.most:
+        self.parts: dict[bytes, bytes] = {}
+
+    def _part(self, part: bytes) -> bytes:
+        if (found := self.parts.get(part)) is None:
+            s = part.decode("utf-8", "replace")
+            if s.isalpha() and max(s) < "\u0250" and "\u0130" not in s:
+                ids = [t.id for t in self.model.tokenize(s.lower().encode().decode("latin-1").translate(self._ALPHABET))]
+            else:
+                ids = self.tok.encode(s, add_special_tokens=False).ids
+            found = self.parts[part] = struct.pack(f"<{len(ids)}{self.letter}", *ids)
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem = word.rstrip(self.TAIL)
+        if len(stem) < len(word) and stem and stem.decode("utf-8", "replace")[-1].isalpha():
+            ids = self._part(stem.lower() if stem.isascii() else stem) + self._part(word[len(stem) :])
+        else:
+            ids = self._part(word)
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text and the end id, as bytes. bytes.split() parts words at ASCII white space only."""
+        if len(self) > self.most:
             self.clear()
-            new = list(set().union(*words))
-        pack = struct.Struct
-        for w, e in zip(new, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            ids = e.ids
-            self[w] = pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}").pack(*ids)
-        return [b"".join(map(self.__getitem__, ws)) + self.end for ws in words]
+            self.parts.clear()
+        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "surrogatepass").split())) + self.end
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -73,7 +104,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text
         task, sent = TaskContext.get().partitionId(), {}
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                data = words.encode(batch.column(1).to_pylist())
+                data = [words.encode(t) for t in batch.column(1).to_pylist()]
                 n = [len(x) // width for x in data]
                 before = []
                 for s, m in zip(batch.column(2).to_pylist(), n, strict=True):
