@@ -13,8 +13,9 @@
 4. A pair may be missed there only if all values that it shares are hot; both documents then have at
    least that share of hot values. These few documents are joined exactly: their whole sets are ordered
    by rarity among them, and a pair at the threshold shares a value of the prefixes of length
-   n - ceil(t n) + 1. Long prefix lists first link to their smallest id; after the components are known,
-   only pairs of different components that share a value are left, and all of those are verified.
+   n - ceil(t n) + 1. Long prefix lists first link to their most central member, the one with the least
+   share of values that few others have, then to members picked by hash; after the components are
+   known, only pairs of different components that share a value are left, and all are verified.
 5. Every candidate pair is verified on the whole sets, and components give each document its group.
 
 Edge cases: texts without words (null and empty ones too) have no shingles and are linked with nothing.
@@ -48,6 +49,8 @@ class Similarity:
     least_share: float = 0.45
     #: An inverted list of at most so many entries is expanded to pairs.
     cold: int = 32
+    #: Rounds of stars around members picked by hash.
+    stars: int = 2
 
 
 class _WordHashes(dict):
@@ -100,6 +103,11 @@ def _sizes_allow(a: str, b: str, p: Similarity):
     return (100 * F.least(a, b)) >= (p.percent * F.greatest(a, b))
 
 
+def _met_allow(na: str, nb: str, met, p: Similarity):
+    """Whether an intersection of at most ``met`` can reach the threshold."""
+    return (100 * met >= p.percent * (F.col(na) + F.col(nb) - met)) & _sizes_allow(na, nb, p)
+
+
 def _pairs_of_list(members: DataFrame, keys: list[str]) -> DataFrame:
     """All pairs of the members of short lists: a bounded array a list, expanded to (a, b) of ordered ids."""
     lists = members.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("id", "n", "hot"))).alias("m"))
@@ -129,7 +137,11 @@ def sketch_pairs(sketches: DataFrame, p: Similarity) -> tuple[DataFrame, DataFra
 
 
 def prefix_postings(docs: DataFrame, p: Similarity) -> DataFrame:
-    """(v, id, n, df): the rarest values of whole sets, as many as a pair at the threshold cannot all leave unshared."""
+    """(v, id, n, met, central): the rarest values of whole sets, as many as a pair at the threshold cannot all leave unshared.
+
+    Only ``met`` values of a set occur in another one; a set that has too few of them has no pair, and
+    the lesser of two counts bounds their intersection. ``central`` is the share, by 1000, of values in long lists.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -141,8 +153,10 @@ def prefix_postings(docs: DataFrame, p: Similarity) -> DataFrame:
     counts = values.groupBy("v").agg(F.count("*").alias("df"))
     ordered = Window.partitionBy("id").orderBy("df", "v")
     length = F.col("n") - F.ceil(F.lit(p.percent) * F.col("n") / 100) + 1
-    ranked = values.join(counts, "v").withColumn("place", F.row_number().over(ordered))
-    return ranked.where(F.col("place") <= length).select("v", "id", "n", "df")
+    central = F.sum((F.col("df") > p.cold).cast("long")).over(Window.partitionBy("id")) * 1000 / F.col("n")
+    ranked = values.join(counts, "v").withColumns({"place": F.row_number().over(ordered), "central": central.cast("int")})
+    ranked = ranked.withColumn("met", F.sum((F.col("df") > 1).cast("long")).over(Window.partitionBy("id")))
+    return ranked.where((F.col("place") <= length) & (F.col("df") > 1) & (100 * F.col("met") >= p.percent * F.col("n"))).select("v", "id", "n", "met", "central")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, p: Similarity) -> DataFrame:
@@ -165,6 +179,20 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Similarity) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _star(members: DataFrame, order, p: Similarity) -> DataFrame:
+    """Pairs (a, b) of each list's least member by ``order`` with its members of other labels."""
+    heads = members.groupBy("v").agg(F.min_by(F.struct("id", "n", "met", "label"), order).alias("head"))
+    joined = members.join(heads, "v").where("label <> head.label").withColumn("nh", F.col("head.n")).where(_met_allow("n", "nh", F.least("met", "head.met"), p))
+    return joined.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
+
+
+def _unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with labels, of the lists that have more than one label."""
+    placed = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    apart = placed.groupBy("v").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("v")
+    return placed.join(apart, "v", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, p: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id of the group), kept (it is that document)."""
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -180,27 +208,37 @@ def near_duplicates(docs: DataFrame, p: Similarity = Similarity(), key: str = "d
     pairs, risky = staged(pairs, "near-pairs"), staged(risky, "near-risky")
     wanted = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(risky).distinct(), "near-wanted")
     texts = staged(join_small(docs, wanted, ["id"], "left_semi", 16).dropDuplicates(["id"]), "near-texts")
-    postings = staged(prefix_postings(join_small(texts, risky, ["id"], "left_semi", 16), p).where("df > 1"), "near-prefixes")
-
-    # Prefix lists: short ones give all pairs, long ones first a star around the smallest id.
-    lists = postings.groupBy("v").agg(F.count("*").alias("entries"), F.min(F.struct("id", "n")).alias("first")).where("entries > 1")
-    entries = staged(join_small(postings.select("v", "id", "n"), staged(lists, "near-lists"), ["v"], "inner", 48), "near-entries")
-    short = _pairs_of_list(entries.where(F.col("entries") <= p.cold).withColumn("hot", F.lit(0)), ["v"]).where(_sizes_allow("na", "nb", p)).select("a", "b")
-    long_lists = entries.where(F.col("entries") > p.cold)
-    star = long_lists.where("id <> first.id").withColumn("nf", F.col("first.n")).where(_sizes_allow("n", "nf", p)).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-    first_round = staged(pairs.union(short).union(star).distinct(), "near-candidates")
-    links = staged(verify(first_round, texts, p), "near-links")
+    postings = staged(prefix_postings(join_small(texts, risky, ["id"], "left_semi", 16), p), "near-prefixes")
+
+    # Prefix lists: short ones give all pairs, long ones a star around their most central member.
+    lists = staged(postings.groupBy("v").agg(F.count("*").alias("entries")).where("entries > 1"), "near-lists")
+    entries = staged(join_small(postings, lists, ["v"], "inner", 24), "near-entries")
+    short = _pairs_of_list(entries.where(F.col("entries") <= p.cold).withColumn("hot", F.col("met")), ["v"]).where(_met_allow("na", "nb", F.col("hot"), p)).select("a", "b")
+    long_lists = entries.where(F.col("entries") > p.cold).select("v", "id", "n", "met", "central")
+    unlabelled = long_lists.withColumn("label", F.col("id"))
+    star = _star(unlabelled, F.struct(-F.col("central"), "id"), p)
+    tried = staged(pairs.union(short).union(star).distinct(), "near-candidates")
+    links = staged(verify(tried, texts, p), "near-links")
     labels = components(links)
 
-    # What the stars leave: pairs of a long list that lie in different components.
-    placed = long_lists.select("v", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    apart = placed.groupBy("v").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("v")
-    left = staged(placed.join(apart, "v", "left_semi"), "near-left")
-    x = left.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = left.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    cross = x.join(y, (x["v"] == y["v"]) & (x["a"] < y["b"]) & (x["la"] != y["lb"]) & _sizes_allow("na", "nb", p)).select("a", "b").distinct()
-    second_round = staged(cross.join(first_round, ["a", "b"], "left_anti"), "near-rest")
-    more = staged(verify(second_round, texts, p), "near-more")
+    # More stars where a long list still has several components, around members picked by hash.
+    for seed in range(p.stars):
+        placed = _unsettled(long_lists, labels)
+        star = staged(_star(placed, F.struct(F.xxhash64("id", F.pmod("v", F.lit(4)), F.lit(seed)), "id"), p).join(tried, ["a", "b"], "left_anti"), "near-star")
+        if star.isEmpty():
+            break
+        tried, more = tried.union(star), staged(verify(star, texts, p), "near-more")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links, labels)
+
+    # What the stars leave: all pairs of a long list that lie in different components.
+    left = staged(_unsettled(long_lists, labels), "near-left")
+    x = left.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("met").alias("ma"), F.col("label").alias("la"))
+    y = left.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("met").alias("mb"), F.col("label").alias("lb"))
+    cross = x.join(y, (x["v"] == y["v"]) & (x["a"] < y["b"]) & (x["la"] != y["lb"]) & _met_allow("na", "nb", F.least("ma", "mb"), p)).select("a", "b").distinct()
+    rest = staged(cross.join(tried, ["a", "b"], "left_anti"), "near-rest")
+    more = staged(verify(rest, texts, p), "near-more")
     if not more.isEmpty():
         labels = components(links.union(more), labels)
 
