@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, line_dedup, media, near_dedup, packing, quality_rules, warc
+from . import bpe, chat, line_dedup, media, near_dedup, packing, quality_rules, site_tree, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("source")
 
 
+def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     return media.encode_media(table(spark, sf_dir, "documents"), columns=columns)
@@ -57,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op1_role_repair": op1_role_repair,
         "op2_quality_rules": op2_quality_rules,
         "op3_mixture_packing": op3_mixture_packing,
+        "op4_site_style_tree": op4_site_style_tree,
         "op5_media_columns": op5_media_columns,
         "op7_line_dedup": op7_line_dedup,
         "op8_warc_bundles": op8_warc_bundles,
