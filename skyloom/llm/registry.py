@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, line_dedup, media, near_dedup, packing, quality_rules, site_tree, warc
+from . import bpe, chat, line_dedup, media, near_dedup, packing, quality_crf, quality_rules, site_tree, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,13 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.encode_media(table(spark, sf_dir, "documents"), columns=columns)
 
 
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = quality_crf.held_out()
+    scored = quality_crf.classify(docs, quality_crf.train(docs, labels, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -63,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op3_mixture_packing": op3_mixture_packing,
         "op4_site_style_tree": op4_site_style_tree,
         "op5_media_columns": op5_media_columns,
+        "op6_quality_crf": op6_quality_crf,
         "op7_line_dedup": op7_line_dedup,
         "op8_warc_bundles": op8_warc_bundles,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
