@@ -103,6 +103,17 @@ def _sizes_allow(a: str, b: str, p: Similarity):
     return (100 * F.least(a, b)) >= (p.percent * F.greatest(a, b))
 
 
+#: 64-bit words of the bitmap over a set's met values.
+BITMAP_WORDS = 16
+BITS = [f"b{i}" for i in range(BITMAP_WORDS)]
+
+
+def _bits_allow(na, nb, ma, mb, bits: list[tuple], p: Similarity):
+    """Whether two sets' bitmaps leave room for the intersection that the threshold asks for."""
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in bits), F.lit(0))
+    return (ma + mb - differ) >= 2 * F.ceil(F.lit(p.percent) * (na + nb) / (100 + p.percent))
+
+
 def _met_allow(na: str, nb: str, met, p: Similarity):
     """Whether an intersection of at most ``met`` can reach the threshold."""
     return (100 * met >= p.percent * (F.col(na) + F.col(nb) - met)) & _sizes_allow(na, nb, p)
@@ -140,7 +151,9 @@ def prefix_postings(docs: DataFrame, p: Similarity) -> DataFrame:
     """(v, id, n, met, central): the rarest values of whole sets, as many as a pair at the threshold cannot all leave unshared.
 
     Only ``met`` values of a set occur in another one; a set that has too few of them has no pair, and
-    the lesser of two counts bounds their intersection. ``central`` is the share, by 1000, of values in long lists.
+    the lesser of two counts bounds their intersection. A bitmap of them bounds it more tightly: two sets
+    differ in at least as many values as their bitmaps differ in bits. ``central`` is the share, by 1000, of
+    values in long lists.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -153,10 +166,16 @@ def prefix_postings(docs: DataFrame, p: Similarity) -> DataFrame:
     counts = values.groupBy("v").agg(F.count("*").alias("df"))
     ordered = Window.partitionBy("id").orderBy("df", "v")
     length = F.col("n") - F.ceil(F.lit(p.percent) * F.col("n") / 100) + 1
-    central = F.sum((F.col("df") > p.cold).cast("long")).over(Window.partitionBy("id")) * 1000 / F.col("n")
-    ranked = values.join(counts, "v").withColumns({"place": F.row_number().over(ordered), "central": central.cast("int")})
-    ranked = ranked.withColumn("met", F.sum((F.col("df") > 1).cast("long")).over(Window.partitionBy("id")))
-    return ranked.where((F.col("place") <= length) & (F.col("df") > 1) & (100 * F.col("met") >= p.percent * F.col("n"))).select("v", "id", "n", "met", "central")
+    ranked = staged(values.join(counts, "v").withColumn("place", F.row_number().over(ordered)), "near-ranked")
+    bit = F.expr("shiftleft(1L, CAST(v & 63 AS INT))")
+    word = F.shiftright("v", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    by_id = ranked.where("df > 1").groupBy("id").agg(
+        F.count("*").alias("met"),
+        F.sum((F.col("df") > p.cold).cast("long")).alias("common"),
+        *[F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"b{i}") for i in range(BITMAP_WORDS)],
+    )
+    postings = ranked.where((F.col("place") <= length) & (F.col("df") > 1)).join(by_id, "id").where(100 * F.col("met") >= p.percent * F.col("n"))
+    return postings.select("v", "id", "n", "met", (F.col("common") * 1000 / F.col("n")).cast("int").alias("central"), *BITS)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, p: Similarity) -> DataFrame:
@@ -181,8 +200,9 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Similarity) -> DataFrame:
 
 def _star(members: DataFrame, order, p: Similarity) -> DataFrame:
     """Pairs (a, b) of each list's least member by ``order`` with its members of other labels."""
-    heads = members.groupBy("v").agg(F.min_by(F.struct("id", "n", "met", "label"), order).alias("head"))
+    heads = members.groupBy("v").agg(F.min_by(F.struct("id", "n", "met", "label", *BITS), order).alias("head"))
     joined = members.join(heads, "v").where("label <> head.label").withColumn("nh", F.col("head.n")).where(_met_allow("n", "nh", F.least("met", "head.met"), p))
+    joined = joined.where(_bits_allow(F.col("n"), F.col("nh"), F.col("met"), F.col("head.met"), [(F.col(c), F.col(f"head.{c}")) for c in BITS], p))
     return joined.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
 
 
@@ -214,7 +234,7 @@ def near_duplicates(docs: DataFrame, p: Similarity = Similarity(), key: str = "d
     lists = staged(postings.groupBy("v").agg(F.count("*").alias("entries")).where("entries > 1"), "near-lists")
     entries = staged(join_small(postings, lists, ["v"], "inner", 24), "near-entries")
     short = _pairs_of_list(entries.where(F.col("entries") <= p.cold).withColumn("hot", F.col("met")), ["v"]).where(_met_allow("na", "nb", F.col("hot"), p)).select("a", "b")
-    long_lists = entries.where(F.col("entries") > p.cold).select("v", "id", "n", "met", "central")
+    long_lists = entries.where(F.col("entries") > p.cold).drop("entries")
     unlabelled = long_lists.withColumn("label", F.col("id"))
     star = _star(unlabelled, F.struct(-F.col("central"), "id"), p)
     tried = staged(pairs.union(short).union(star).distinct(), "near-candidates")
@@ -234,9 +254,10 @@ def near_duplicates(docs: DataFrame, p: Similarity = Similarity(), key: str = "d
 
     # What the stars leave: all pairs of a long list that lie in different components.
     left = staged(_unsettled(long_lists, labels), "near-left")
-    x = left.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("met").alias("ma"), F.col("label").alias("la"))
-    y = left.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("met").alias("mb"), F.col("label").alias("lb"))
-    cross = x.join(y, (x["v"] == y["v"]) & (x["a"] < y["b"]) & (x["la"] != y["lb"]) & _met_allow("na", "nb", F.least("ma", "mb"), p)).select("a", "b").distinct()
+    x = left.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("met").alias("ma"), F.col("label").alias("la"), *[F.col(c).alias(f"x{c}") for c in BITS])
+    y = left.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("met").alias("mb"), F.col("label").alias("lb"), *[F.col(c).alias(f"y{c}") for c in BITS])
+    room = _bits_allow(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), [(F.col(f"x{c}"), F.col(f"y{c}")) for c in BITS], p)
+    cross = x.join(y, (x["v"] == y["v"]) & (x["a"] < y["b"]) & (x["la"] != y["lb"]) & _met_allow("na", "nb", F.least("ma", "mb"), p) & room).select("a", "b").distinct()
     rest = staged(cross.join(tried, ["a", "b"], "left_anti"), "near-rest")
     more = staged(verify(rest, texts, p), "near-more")
     if not more.isEmpty():
