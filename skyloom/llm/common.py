@@ -39,6 +39,13 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 512):
+    """The same rows in batches of at most ``rows``, so that what is built from a batch stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
     """A join that broadcasts ``right`` when ``row_bytes`` times its row count is within BROADCAST_BYTES, else shuffles.
 

@@ -10,10 +10,11 @@ set, or one with a Jaccard similarity of the threshold or more, whether or not t
 3. Sets at the threshold share a token of their prefixes of n - ceil(t n) + 1 rarest tokens. Lines that
    share one are joined under the length, positional and bitmap filters (64 hashed bits bound the
    overlap), as conditions of the join, so that only near pairs leave it.
-4. Long lists are first matched with their earliest line only; what that does not settle is then joined
-   with all earlier lines of its lists. So a large group of near copies gives few pairs, and no line is
-   left untested.
-5. Candidates are verified on the real words.
+4. Each task walks the sorted lists of its tokens and gives every line the earliest line that passes the
+   filters, one candidate a list and then one a line, so a large group of near copies gives a candidate a
+   line and not all pairs. Lines without any are settled: the filters never reject a true match.
+5. Candidates are verified on the real words. Lines whose candidate fails are then joined with all earlier
+   lines of their lists under the same filters, and all of those pairs are verified.
 
 Edge cases: null and empty texts have no lines. Lines of fewer than ``min_tokens`` distinct tokens are
 never removed or matched. Equal lines within a document keep the first. Rows that share an id count as
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, staged
+from .common import join_small, slices, staged
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,8 @@ class LineRules:
     min_tokens: int = 5
     #: Most tokens that are ranked by frequency; all others count as equally rare.
     ranked: int = 1 << 17
-    #: A list of more entries is long.
-    long: int = 32
+    #: Lists of at most so many entries are walked together, longer ones one at a time.
+    short: int = 48
 
 
 def _hash(word: bytes) -> int:
@@ -58,7 +59,7 @@ class _Keys(dict):
         self.ranks = ranks
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = _hash(word)
         key = self[word] = (self.ranks.get(h, 0) << 44) | (h >> 19)
@@ -78,12 +79,12 @@ def frequent_tokens(docs: DataFrame, rules: LineRules) -> dict[int, int]:
             return pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in seen], pa.int64()), pa.array(seen.values(), pa.int64())], ["h", "n"])
 
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 for words in text_lines(text):
                     if len(words) >= rules.min_tokens:
                         seen.update(set(words))
-            if len(seen) > 1_000_000:
+            if len(seen) > 250_000:
                 yield flush()
                 seen = Counter()
         if seen:
@@ -105,7 +106,7 @@ def frequent_tokens(docs: DataFrame, rules: LineRules) -> dict[int, int]:
     return {int(h): i + 1 for i, h in enumerate(rows["h"].to_numpy()[order])}
 
 
-LINE_SCHEMA = "doc_id long, line int, n int, k1 long, k2 long, bits long, again boolean, prefix array<long>"
+LINE_SCHEMA = "doc_id long, line int, n int, k1 long, k2 long, bits long, bits2 long, again boolean, prefix array<long>"
 
 
 def line_sets(docs: DataFrame, rules: LineRules) -> DataFrame:
@@ -120,9 +121,9 @@ def line_sets(docs: DataFrame, rules: LineRules) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         keys = _Keys(sent.value)
-        names = ["doc_id", "line", "n", "k1", "k2", "bits", "again", "prefix"]
-        for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+        names = ["doc_id", "line", "n", "k1", "k2", "bits", "bits2", "again", "prefix"]
+        for whole in slices(batches, 256):
+            for batch in (whole,):
                 ids, places, sizes, flat = [], [], [], []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     for place, words in enumerate(text_lines(text)):
@@ -142,7 +143,9 @@ def line_sets(docs: DataFrame, rules: LineRules) -> DataFrame:
                 with np.errstate(over="ignore"):
                     a, b = mix(key.astype(np.uint64), 0x9E3779B97F4A7C15), mix(key.astype(np.uint64), 0xD6E8FEB86659FD93)
                     k1, k2 = np.add.reduceat(a, starts).view(np.int64), np.add.reduceat(b, starts).view(np.int64)
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (a & np.uint64(63)), starts).view(np.int64)
+                # Two words of a bitmap: each token sets one bit of one of them.
+                bit, second = np.uint64(1) << (a & np.uint64(63)), (a & np.uint64(64)) > 0
+                bits, bits2 = (np.bitwise_or.reduceat(np.where(second == w, bit, np.uint64(0)), starts).view(np.int64) for w in (False, True))
                 length = n - (-(-rules.percent * n // 100)) + 1
                 held = np.arange(len(key)) - np.repeat(starts, n) < np.repeat(length, n)
                 offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
@@ -151,7 +154,7 @@ def line_sets(docs: DataFrame, rules: LineRules) -> DataFrame:
                 for x in zip(ids, k1.tolist(), k2.tolist(), strict=True):
                     again.append(x in seen)
                     seen.add(x)
-                arrays = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(n, pa.int32()), pa.array(k1), pa.array(k2), pa.array(bits), pa.array(again), prefix]
+                arrays = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(n, pa.int32()), pa.array(k1), pa.array(k2), pa.array(bits), pa.array(bits2), pa.array(again), prefix]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     return staged(docs.mapInArrow(run, LINE_SCHEMA), "lines-sets")
@@ -164,10 +167,74 @@ def _near(a: str, b: str, p: LineRules):
     need = F.ceil(F.lit(p.percent) * (na + nb) / (100 + p.percent))
     ia, ib = F.col(f"{a}.pos"), F.col(f"{b}.pos")
     reach = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("bits", "bits2")), F.lit(0))
     return (100 * F.least(na, nb) >= p.percent * F.greatest(na, nb)) & (reach >= need) & (apart <= na + nb - 2 * need)
 
 
+def earliest_candidates(postings: DataFrame, p: LineRules) -> DataFrame:
+    """(da, la, db, lb): for every line with any, the earliest line that passes the filters with it in one of its lists."""
+    ordered = postings.repartition("token").sortWithinPartitions("token", "doc_id", "line")
+    t = p.percent
+
+    def passes(c: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether rows i and j of the columns pass the length, positional and bitmap filters."""
+        na, nb = c["n"][i], c["n"][j]
+        need = -(-t * (na + nb) // (100 + t))
+        ia, ib = c["pos"][i], c["pos"][j]
+        ok = (100 * np.minimum(na, nb) >= t * np.maximum(na, nb)) & (np.minimum(ia, ib) + 1 + np.minimum(na - ia, nb - ib) - 1 >= need)
+        apart = sum(np.bitwise_count((c[b][i] ^ c[b][j]).view(np.uint64)).astype(np.int64) for b in ("bits", "bits2"))
+        return ok & (apart <= na + nb - 2 * need)
+
+    def walk(c: dict) -> pa.RecordBatch:
+        token = c["token"]
+        best = np.full(len(token), -1)
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.append(starts, len(token)))
+        rows = np.arange(len(token))
+        place = rows - np.repeat(starts, sizes)
+        small = np.repeat((sizes > 1) & (sizes <= p.short), sizes)
+        for gap in range(1, p.short):
+            j = rows[small & (place >= gap)]
+            if not len(j):
+                break
+            ok = j[passes(c, j - gap, j)]
+            best[ok] = ok - gap  # larger gaps come later and are earlier lines
+        for start, size in zip(starts[sizes > p.short].tolist(), sizes[sizes > p.short].tolist(), strict=True):
+            open_ = np.arange(start + 1, start + size)
+            for i in range(start, start + size - 1):
+                open_ = open_[np.searchsorted(open_, i, side="right") :]
+                if not len(open_):
+                    break
+                ok = passes(c, np.full(len(open_), i), open_)
+                best[open_[ok]] = i
+                open_ = open_[~ok]
+        j = np.flatnonzero(best >= 0)
+        i = best[j]
+        return pa.RecordBatch.from_arrays([pa.array(c["doc_id"][i]), pa.array(c["line"][i]), pa.array(c["doc_id"][j]), pa.array(c["line"][j])], ["da", "la", "db", "lb"])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held: list[dict] = []
+        count = 0
+        for batch in batches:
+            held.append({n: batch.column(n).to_numpy() for n in batch.schema.names})
+            count += batch.num_rows
+            if count < 200_000:
+                continue
+            whole = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+            # The last list may go on in the next batch.
+            cut = np.searchsorted(whole["token"], whole["token"][-1])
+            if cut:
+                yield walk({n: v[:cut] for n, v in whole.items()})
+            held = [{n: v[cut:].copy() for n, v in whole.items()}]
+            count = len(held[0]["token"])
+        if held:
+            yield walk({n: np.concatenate([h[n] for h in held]) for n in held[0]})
+
+    wide = ordered.select("token", "doc_id", "line", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "bits", "bits2")
+    found = wide.mapInArrow(run, "da long, la int, db long, lb int")
+    return found.groupBy("db", "lb").agg(F.min(F.struct("da", "la")).alias("a")).select("a.da", "a.la", "db", "lb")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, p: LineRules) -> DataFrame:
     """The later lines (doc_id, line) of ``pairs`` (da, la, db, lb) whose token sets reach the threshold."""
     wanted = staged(pairs.select(F.col("da").alias("doc_id"), F.col("la").alias("line")).union(pairs.select("db", "lb")).distinct(), "lines-wanted")
@@ -212,25 +279,23 @@ def removed_lines(docs: DataFrame, rules: LineRules = LineRules(), key: str = "d
     copied = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copied = staged(copied, "lines-classes")
     placed = join_small(own, copied, ["k1", "k2"], "left", 32)
-    repeats = placed.where("first_doc < doc_id").select("doc_id", "line", "k1", "k2")
-    firsts = placed.where("first_doc IS NULL OR first_doc = doc_id").select("doc_id", "line", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
-
-    lists = firsts.groupBy("token").agg(F.count("*").alias("entries"), F.min("doc_id").alias("head")).where(F.col("entries") > rules.long)
-    lists = staged(lists.drop("entries"), "lines-long")
-    members = staged(join_small(firsts, lists, ["token"], "inner", 24), "lines-members")
-    star = members.alias("a").where("doc_id = head").join(members.alias("b"), (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _near("a", "b", rules))
-    star = staged(_ends(star).distinct(), "lines-star")
-    settled = staged(verify(star, docs, rules), "lines-settled")
-
-    later = join_small(firsts, settled, ["doc_id", "line"], "left_anti", 24)
-    pairs = firsts.alias("a").join(later.alias("b"), (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _near("a", "b", rules))
-    pairs = staged(_ends(pairs).distinct().join(star, ["da", "la", "db", "lb"], "left_anti"), "lines-pairs")
+    repeats = placed.where("first_doc < doc_id").select("doc_id", "line")
+    firsts = placed.where("first_doc IS NULL OR first_doc = doc_id").select("doc_id", "line", "n", "bits", "bits2", F.posexplode("prefix").alias("pos", "token"))
+
+    tried = staged(earliest_candidates(firsts, rules), "lines-candidates")
+    settled = staged(verify(tried, docs, rules), "lines-settled")
+
+    # Lines whose candidate fails meet all earlier lines of their lists.
+    left = staged(tried.select(F.col("db").alias("doc_id"), F.col("lb").alias("line")).join(settled, ["doc_id", "line"], "left_anti"), "lines-left")
+    later = staged(join_small(firsts, left, ["doc_id", "line"], "left_semi", 24), "lines-later")
+    lists = staged(later.select("token").distinct(), "lines-lists")
+    members = join_small(firsts, lists, ["token"], "left_semi", 16)
+    pairs = members.alias("a").join(later.alias("b"), (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _near("a", "b", rules))
+    pairs = staged(_ends(pairs).distinct().join(tried, ["da", "la", "db", "lb"], "left_anti"), "lines-pairs")
     near = settled.union(verify(pairs, docs, rules))
 
-    # A class that matches an earlier one takes its copies within the first document with it.
-    near_keys = staged(near.distinct(), "lines-near")
-    out = repeats.select("doc_id", "line").union(lines.where("again").select("doc_id", "line")).union(near_keys)
-    return out
+    # Copies of a line, near or not, are removed as copies of its first place.
+    return repeats.union(lines.where("again").select("doc_id", "line")).union(staged(near.distinct(), "lines-near"))
 
 
 def _earlier(a: str, b: str):

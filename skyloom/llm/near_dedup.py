@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, staged
+from .common import join_small, slices, staged
 from .graph import components
 
 
@@ -59,7 +59,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, p: Similarity) -> DataFrame:
     """id, n (size of the set), set_key (null without shingles), sketch (ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, p.shingle) for t in batch.column(1).to_pylist()]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([s[: p.k] for s in sets], pa.list_(pa.int64()))]
@@ -157,7 +157,7 @@ def prefix_postings(docs: DataFrame, p: Similarity) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, p.shingle) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "s"])
 
@@ -184,7 +184,7 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Similarity) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         last, own = None, None
-        for batch in batches:
+        for batch in slices(batches):
             ok = []
             for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if a != last or own is None:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, staged
+from .common import join_small, slices, staged
 
 #: The largest share of the window's tokens a queue of its own may fall below is one token a window.
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -53,7 +53,7 @@ class WordIds(dict):
     TAIL = b"*$%&#!,.;|?:"
     _ALPHABET = _byte_alphabet()
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 250_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is its share
@@ -102,16 +102,15 @@ def tokenized(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text
         words = WordIds(path, end_id)
         width = len(words.end)
         task, sent = TaskContext.get().partitionId(), {}
-        for whole in batches:
-            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                data = [words.encode(t) for t in batch.column(1).to_pylist()]
-                n = [len(x) // width for x in data]
-                before = []
-                for s, m in zip(batch.column(2).to_pylist(), n, strict=True):
-                    before.append(sent.get(s, 0))
-                    sent[s] = before[-1] + m
-                arrays = [batch.column(0), batch.column(2), pa.array([task] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "source", "task", "before", "n", "ids"])
+        for batch in slices(batches, 1024):
+            data = [words.encode(t) for t in batch.column(1).to_pylist()]
+            n = [len(x) // width for x in data]
+            before = []
+            for s, m in zip(batch.column(2).to_pylist(), n, strict=True):
+                before.append(sent.get(s, 0))
+                sent[s] = before[-1] + m
+            arrays = [batch.column(0), batch.column(2), pa.array([task] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "source", "task", "before", "n", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"))
     return staged(rows.mapInArrow(run, "doc_id long, source string, task int, before long, n long, ids binary"), "packing-ids")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD
+from .common import WORD, slices
 
 _WORDS = re.compile(WORD)
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -178,7 +178,7 @@ def clean_documents(
     text_at = source.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [assess(t, rules) for t in batch.column(text_at).to_pylist()]
             arrays = [batch.column(i) for i in at]
             arrays += [pa.array([x[k] for x in found], FIGURES[k][1] if k != "clean_text" else pa.string()) for k in figures]

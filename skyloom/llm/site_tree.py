@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, staged
+from .common import join_small, slices, staged
 
 
 @dataclass(frozen=True)
@@ -202,7 +202,7 @@ def site_tree(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         schema = pa.schema([("host", pa.string())] + [(n, pa.int64()) for n in ("node", "content", "layout", "page")] + [("plain", pa.bool_())])
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host, page = host_of(url), _hash(html or "")
@@ -246,7 +246,7 @@ def main_text(pages: DataFrame, rules: TreeRules = TreeRules()) -> DataFrame:
     joined = join_small(with_host, low, ["host"], "left", 256).select("page_id", "url", "html", "cut")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             texts, counts, cuts = [], [], []
             for html, cut in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 own, low_here = blocks(html), frozenset(cut or ())
