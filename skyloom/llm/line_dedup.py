@@ -8,7 +8,7 @@ set, or one with a Jaccard similarity of the threshold or more, whether or not t
    lines, so the prefix filter holds exactly, and what is sent to the tasks has a fixed bound.
 2. Lines with equal sets are one class, kept by its first line; partial aggregation meets common lines.
 3. Sets at the threshold share a token of their prefixes of n - ceil(t n) + 1 rarest tokens. Lines that
-   share one are joined under the length, positional and bitmap filters (64 hashed bits bound the
+   share one are joined under the length, positional and bitmap filters (256 hashed bits bound the
    overlap), as conditions of the join, so that only near pairs leave it.
 4. Each task walks the sorted lists of its tokens and gives every line the earliest line that passes the
    filters, one candidate a list and then one a line, so a large group of near copies gives a candidate a
@@ -106,7 +106,9 @@ def frequent_tokens(docs: DataFrame, rules: LineRules) -> dict[int, int]:
     return {int(h): i + 1 for i, h in enumerate(rows["h"].to_numpy()[order])}
 
 
-LINE_SCHEMA = "doc_id long, line int, n int, k1 long, k2 long, bits long, bits2 long, again boolean, prefix array<long>"
+#: Words of the bitmap of a line's tokens.
+BITS = [f"bits{i}" for i in range(4)]
+LINE_SCHEMA = "doc_id long, line int, n int, k1 long, k2 long, " + "".join(f"{b} long, " for b in BITS) + "again boolean, prefix array<long>"
 
 
 def line_sets(docs: DataFrame, rules: LineRules) -> DataFrame:
@@ -121,41 +123,40 @@ def line_sets(docs: DataFrame, rules: LineRules) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         keys = _Keys(sent.value)
-        names = ["doc_id", "line", "n", "k1", "k2", "bits", "bits2", "again", "prefix"]
-        for whole in slices(batches, 256):
-            for batch in (whole,):
-                ids, places, sizes, flat = [], [], [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for place, words in enumerate(text_lines(text)):
-                        if len(words) >= rules.min_tokens:
-                            own = set(words)
-                            if len(own) >= rules.min_tokens:
-                                ids.append(doc)
-                                places.append(place)
-                                sizes.append(len(own))
-                                flat += map(keys.__getitem__, own)
-                if not ids:
-                    continue
-                n = np.array(sizes, np.int64)
-                starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-                key, line = np.array(flat, np.int64), np.repeat(np.arange(len(n)), n)
-                key = key[np.lexsort((key, line))]
-                with np.errstate(over="ignore"):
-                    a, b = mix(key.astype(np.uint64), 0x9E3779B97F4A7C15), mix(key.astype(np.uint64), 0xD6E8FEB86659FD93)
-                    k1, k2 = np.add.reduceat(a, starts).view(np.int64), np.add.reduceat(b, starts).view(np.int64)
-                # Two words of a bitmap: each token sets one bit of one of them.
-                bit, second = np.uint64(1) << (a & np.uint64(63)), (a & np.uint64(64)) > 0
-                bits, bits2 = (np.bitwise_or.reduceat(np.where(second == w, bit, np.uint64(0)), starts).view(np.int64) for w in (False, True))
-                length = n - (-(-rules.percent * n // 100)) + 1
-                held = np.arange(len(key)) - np.repeat(starts, n) < np.repeat(length, n)
-                offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[held]))
-                seen, again = set(), []
-                for x in zip(ids, k1.tolist(), k2.tolist(), strict=True):
-                    again.append(x in seen)
-                    seen.add(x)
-                arrays = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(n, pa.int32()), pa.array(k1), pa.array(k2), pa.array(bits), pa.array(bits2), pa.array(again), prefix]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+        names = ["doc_id", "line", "n", "k1", "k2", *BITS, "again", "prefix"]
+        for batch in slices(batches, 256):
+            ids, places, sizes, flat = [], [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for place, words in enumerate(text_lines(text)):
+                    if len(words) >= rules.min_tokens:
+                        own = set(words)
+                        if len(own) >= rules.min_tokens:
+                            ids.append(doc)
+                            places.append(place)
+                            sizes.append(len(own))
+                            flat += map(keys.__getitem__, own)
+            if not ids:
+                continue
+            n = np.array(sizes, np.int64)
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            key, line = np.array(flat, np.int64), np.repeat(np.arange(len(n)), n)
+            key = key[np.lexsort((key, line))]
+            with np.errstate(over="ignore"):
+                a, b = mix(key.astype(np.uint64), 0x9E3779B97F4A7C15), mix(key.astype(np.uint64), 0xD6E8FEB86659FD93)
+                k1, k2 = np.add.reduceat(a, starts).view(np.int64), np.add.reduceat(b, starts).view(np.int64)
+            # Each token sets one bit of one word.
+            bit, word = np.uint64(1) << (a & np.uint64(63)), (a >> np.uint64(6)) & np.uint64(len(BITS) - 1)
+            bits = [pa.array(np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), starts).view(np.int64)) for w in range(len(BITS))]
+            length = n - (-(-rules.percent * n // 100)) + 1
+            held = np.arange(len(key)) - np.repeat(starts, n) < np.repeat(length, n)
+            offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[held]))
+            seen, again = set(), []
+            for x in zip(ids, k1.tolist(), k2.tolist(), strict=True):
+                again.append(x in seen)
+                seen.add(x)
+            arrays = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(n, pa.int32()), pa.array(k1), pa.array(k2), *bits, pa.array(again), prefix]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return staged(docs.mapInArrow(run, LINE_SCHEMA), "lines-sets")
 
@@ -167,7 +168,7 @@ def _near(a: str, b: str, p: LineRules):
     need = F.ceil(F.lit(p.percent) * (na + nb) / (100 + p.percent))
     ia, ib = F.col(f"{a}.pos"), F.col(f"{b}.pos")
     reach = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
-    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("bits", "bits2")), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITS), F.lit(0))
     return (100 * F.least(na, nb) >= p.percent * F.greatest(na, nb)) & (reach >= need) & (apart <= na + nb - 2 * need)
 
 
@@ -176,38 +177,45 @@ def earliest_candidates(postings: DataFrame, p: LineRules) -> DataFrame:
     ordered = postings.repartition("token").sortWithinPartitions("token", "doc_id", "line")
     t = p.percent
 
-    def passes(c: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether rows i and j of the columns pass the length, positional and bitmap filters."""
+    def passing(c: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of rows i and j that pass the positional, then the bitmap filter; their lengths have passed."""
         na, nb = c["n"][i], c["n"][j]
         need = -(-t * (na + nb) // (100 + t))
         ia, ib = c["pos"][i], c["pos"][j]
-        ok = (100 * np.minimum(na, nb) >= t * np.maximum(na, nb)) & (np.minimum(ia, ib) + 1 + np.minimum(na - ia, nb - ib) - 1 >= need)
-        apart = sum(np.bitwise_count((c[b][i] ^ c[b][j]).view(np.uint64)).astype(np.int64) for b in ("bits", "bits2"))
-        return ok & (apart <= na + nb - 2 * need)
+        ok = np.minimum(ia, ib) + np.minimum(na - ia, nb - ib) >= need
+        i, j, most = i[ok], j[ok], (na + nb - 2 * need)[ok]
+        for b in BITS:
+            most = most - np.bitwise_count((c[b][i] ^ c[b][j]).view(np.uint64))
+            ok = most >= 0
+            i, j, most = i[ok], j[ok], most[ok]
+        return i, j
 
     def walk(c: dict) -> pa.RecordBatch:
-        token = c["token"]
+        token, n = c["token"], c["n"]
+        low, high = t * n, 100 * n
         best = np.full(len(token), -1)
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         sizes = np.diff(np.append(starts, len(token)))
-        rows = np.arange(len(token))
-        place = rows - np.repeat(starts, sizes)
-        small = np.repeat((sizes > 1) & (sizes <= p.short), sizes)
-        for gap in range(1, p.short):
-            j = rows[small & (place >= gap)]
-            if not len(j):
-                break
-            ok = j[passes(c, j - gap, j)]
-            best[ok] = ok - gap  # larger gaps come later and are earlier lines
+        small = np.repeat(sizes <= p.short, sizes)
+        most = int(sizes[sizes <= p.short].max(initial=1))
+        for gap in range(1, most):
+            same = (token[gap:] == token[:-gap]) & (high[gap:] >= low[:-gap]) & (high[:-gap] >= low[gap:]) & small[gap:]
+            i = np.flatnonzero(same)
+            if len(i):
+                i, j = passing(c, i, i + gap)
+                best[j] = i  # larger gaps come later and are earlier lines
         for start, size in zip(starts[sizes > p.short].tolist(), sizes[sizes > p.short].tolist(), strict=True):
             open_ = np.arange(start + 1, start + size)
             for i in range(start, start + size - 1):
                 open_ = open_[np.searchsorted(open_, i, side="right") :]
                 if not len(open_):
                     break
-                ok = passes(c, np.full(len(open_), i), open_)
-                best[open_[ok]] = i
-                open_ = open_[~ok]
+                near = open_[(high[open_] >= low[i]) & (high[i] >= low[open_])]
+                if len(near):
+                    _, j = passing(c, np.full(len(near), i), near)
+                    best[j] = i
+                    if len(j):
+                        open_ = open_[best[open_] < 0]
         j = np.flatnonzero(best >= 0)
         i = best[j]
         return pa.RecordBatch.from_arrays([pa.array(c["doc_id"][i]), pa.array(c["line"][i]), pa.array(c["doc_id"][j]), pa.array(c["line"][j])], ["da", "la", "db", "lb"])
@@ -230,7 +238,7 @@ def earliest_candidates(postings: DataFrame, p: LineRules) -> DataFrame:
         if held:
             yield walk({n: np.concatenate([h[n] for h in held]) for n in held[0]})
 
-    wide = ordered.select("token", "doc_id", "line", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "bits", "bits2")
+    wide = ordered.select("token", "doc_id", "line", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), *BITS)
     found = wide.mapInArrow(run, "da long, la int, db long, lb int")
     return found.groupBy("db", "lb").agg(F.min(F.struct("da", "la")).alias("a")).select("a.da", "a.la", "db", "lb")
 
@@ -280,7 +288,7 @@ def removed_lines(docs: DataFrame, rules: LineRules = LineRules(), key: str = "d
     copied = staged(copied, "lines-classes")
     placed = join_small(own, copied, ["k1", "k2"], "left", 32)
     repeats = placed.where("first_doc < doc_id").select("doc_id", "line")
-    firsts = placed.where("first_doc IS NULL OR first_doc = doc_id").select("doc_id", "line", "n", "bits", "bits2", F.posexplode("prefix").alias("pos", "token"))
+    firsts = placed.where("first_doc IS NULL OR first_doc = doc_id").select("doc_id", "line", "n", *BITS, F.posexplode("prefix").alias("pos", "token"))
 
     tried = staged(earliest_candidates(firsts, rules), "lines-candidates")
     settled = staged(verify(tried, docs, rules), "lines-settled")
