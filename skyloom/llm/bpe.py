@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 #: A block of documents is closed once its texts have so many characters.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 16 << 20
 
 _LITERALS: dict = {}
 
@@ -108,6 +109,19 @@ def decode_ids(ids: Column, pieces: Column) -> Column:
     return F.aggregate(ids, F.lit(b"").cast("binary"), lambda out, i: F.concat(out, F.element_at(pieces, i + 1)))
 
 
+def _packed(ids: pa.ListArray, starts: np.ndarray) -> pa.Array:
+    """Each word's ids as little-endian bytes."""
+    flat = np.ascontiguousarray(ids.flatten().to_numpy())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer((starts - starts[0]) * 4), pa.py_buffer(flat)])
+
+
+def _spaced(ids: pa.ListArray, starts: np.ndarray) -> pa.Array:
+    """Each word's ids as decimal text, a space before each."""
+    said = pc.binary_join_element_wise("", ids.flatten().cast(pa.string()), " ").cast(pa.large_string())
+    offsets = np.frombuffer(said.buffers()[1], np.int64)[said.offset : said.offset + len(said) + 1]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(offsets[starts - starts[0]])), said.buffers()[2] or pa.py_buffer(b"")])
+
+
 def encode_documents(
     docs: DataFrame,
     path: str,
@@ -126,19 +140,32 @@ def encode_documents(
         import regex
 
         find = regex.compile(pattern).findall
-        names = ["keys", "words", "lengths", "places"]
+        after_space = re.compile(r"\s ").search
+        names = ["keys", "words", "chunk_ends", "chunk_words", "lengths", "places"]
 
         def block(keys, texts):
-            found: dict[str, int] = defaultdict(count().__next__)
+            # A space after a character that is none parts words for sure, so texts are cut there first and
+            # the pattern runs over distinct chunks. A first chunk, and a text with spaces after white
+            # space, is a chunk of its own kind: a tuple, without the space before it.
+            chunks: dict = defaultdict(count().__next__)
             lengths, places = [], []
             for t in texts:
-                words = find(t)
-                lengths.append(len(words))
-                places.append(np.fromiter(map(found.__getitem__, words), np.int32, len(words)))
-            flat = np.concatenate(places) if places else np.empty(0, np.int32)
-            words = pa.array([w.encode("utf-8") for w in found], pa.binary())
+                if after_space(t):
+                    own = [(t,)]
+                else:
+                    own = t.split(" ")
+                    own[0] = (own[0],)
+                lengths.append(len(own))
+                places.append(np.fromiter(map(chunks.__getitem__, own), np.int32, len(own)))
+            words: dict[str, int] = defaultdict(count().__next__)
+            ends, flat = [], []
+            for chunk in chunks:
+                flat += map(words.__getitem__, find(chunk[0] if type(chunk) is tuple else " " + chunk))
+                ends.append(len(flat))
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([one(keys), one(words), one(pa.array(lengths, pa.int32())), pa.array([flat.tobytes()], pa.binary())], names)
+            raw = lambda x: pa.array([np.asarray(x, np.int32).tobytes()], pa.binary())
+            parts = [one(keys), one(pa.array([w.encode("utf-8") for w in words], pa.binary())), raw(ends), raw(flat), one(pa.array(lengths, pa.int32())), raw(np.concatenate(places) if places else [])]
+            return pa.RecordBatch.from_arrays(parts, names)
 
         for batch in batches:
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
@@ -151,39 +178,46 @@ def encode_documents(
             if texts:
                 yield block(keys.slice(start), texts[start:])
 
-    blocks = source.mapInArrow(split, f"keys array<{key_kind}>, words array<binary>, lengths array<int>, places binary")
-    encoded = blocks.select("keys", "lengths", "places", F.transform("words", lambda w: encode_word(w, ranks)).alias("ids")).select(
-        "keys", "lengths", "places", "ids", F.transform("ids", lambda ids: decode_ids(ids, pieces)).alias("bytes")
-    )
+    held = ["keys", "chunk_ends", "chunk_words", "lengths", "places"]
+    blocks = source.mapInArrow(split, f"keys array<{key_kind}>, words array<binary>, chunk_ends binary, chunk_words binary, lengths array<int>, places binary")
+    encoded = blocks.select(*held, F.transform("words", lambda w: encode_word(w, ranks)).alias("ids"))
+    encoded = encoded.select(*held, "ids", F.transform("ids", lambda ids: decode_ids(ids, pieces)).alias("bytes"))
     kinds = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
     def gather(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for r in range(batch.num_rows):
-                keys, lengths, places, ids, data = (batch.column(c)[r] for c in range(5))
-                n_words = pa.array(lengths.values)
-                ends = np.concatenate([[0], np.cumsum(n_words.to_numpy())])
+                keys, chunk_ends, chunk_words, lengths, places, ids, data = (batch.column(c)[r] for c in range(7))
+                ends = np.concatenate([[0], np.cumsum(pa.array(lengths.values).to_numpy())])
                 at = pa.array(np.frombuffer(places.as_py(), np.int32))
-                # Words are laid side by side in one buffer a block; a document is a slice of it.
-                starts = ids.values.offsets.to_numpy()
+                own_words = pa.array(np.frombuffer(chunk_words.as_py(), np.int32))
+                chunk_at = np.concatenate([[0], np.frombuffer(chunk_ends.as_py(), np.int32)]).astype(np.int64)
+                starts = ids.values.offsets.to_numpy().astype(np.int64)
+
+                def laid_out(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+                    """Words' values put together by chunk, and chunks side by side in the order of the texts: bytes and offsets."""
+                    by_word = values.take(own_words)
+                    spots = np.frombuffer(by_word.buffers()[1], np.int64)[: len(by_word) + 1]
+                    data = by_word.buffers()[2] or pa.py_buffer(b"")
+                    chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunk_at) - 1, [None, pa.py_buffer(np.ascontiguousarray(spots[chunk_at])), data])
+                    taken = chunks.take(at)
+                    offsets = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
+                    return memoryview(taken.buffers()[2] or b""), offsets[ends]
+
                 arrays = []
                 for name in outputs:
                     if name == "n_tokens":
-                        totals = np.concatenate([[0], np.cumsum(np.diff(starts)[at.to_numpy()])])
-                        arrays.append(pa.array(totals[ends[1:]] - totals[ends[:-1]], pa.int64()))
+                        by_chunk = np.concatenate([[0], np.cumsum(np.diff(starts)[own_words.to_numpy()])])[chunk_at]
+                        totals = np.concatenate([[0], np.cumsum(np.diff(by_chunk)[at.to_numpy()])])
+                        arrays.append(pa.array(np.diff(totals[ends]), pa.int64()))
                     elif name == "ids":
-                        arrays.append(pa.array([ids.values.take(at.slice(a, b - a)).flatten() for a, b in zip(ends, ends[1:])], pa.list_(pa.int32())))
+                        raw, spots = laid_out(_packed(ids.values, starts))
+                        arrays.append(pa.array([np.frombuffer(raw[a:b], np.int32) for a, b in zip(spots, spots[1:])], pa.list_(pa.int32())))
                     else:
-                        values, skip = data.values.cast(pa.large_binary()), 0
-                        if name == "ids_sha256":
-                            flat, skip = ids.values.flatten().cast(pa.string()), 1
-                            spaced = pa.LargeListArray.from_arrays(pa.array(starts - starts[0], pa.int64()), pc.binary_join_element_wise("", flat, " "))
-                            values = pc.binary_join(spaced, "").cast(pa.large_binary())
-                        taken = values.take(at)
-                        offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
-                        buffer = memoryview(taken.buffers()[2] or b"")
-                        parts = [buffer[a + skip * (b > a) : b] for a, b in zip(offsets[ends[:-1]], offsets[ends[1:]])]
-                        arrays.append(pa.array([bytes(x) for x in parts], pa.binary()) if name == "decoded" else pa.array([hashlib.sha256(x).hexdigest() for x in parts]))
+                        skip = int(name == "ids_sha256")
+                        raw, spots = laid_out(_spaced(ids.values, starts) if skip else data.values.cast(pa.large_binary()))
+                        parts = [raw[a + skip * (b > a) : b] for a, b in zip(spots, spots[1:])]
+                        arrays.append(pa.array([bytes(x) for x in parts], pa.binary()) if name == "decoded" else pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()))
                 yield pa.RecordBatch.from_arrays([keys.values, *arrays], [key, *outputs])
 
     return encoded.mapInArrow(gather, f"`{key}` {key_kind}, " + ", ".join(f"{n} {kinds[n][0]}" for n in outputs))
