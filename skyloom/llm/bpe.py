@@ -182,6 +182,8 @@ def encode_documents(
     blocks = source.mapInArrow(split, f"keys array<{key_kind}>, words array<binary>, chunk_ends binary, chunk_words binary, lengths array<int>, places binary")
     encoded = blocks.select(*held, F.transform("words", lambda w: encode_word(w, ranks)).alias("ids"))
     encoded = encoded.select(*held, "ids", F.transform("ids", lambda ids: decode_ids(ids, pieces)).alias("bytes"))
+    # Staged, so that no task runs two Python workers at once.
+    encoded = staged(encoded, "bpe-blocks")
     kinds = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
     def gather(batches: Iterator[pa.RecordBatch]):
