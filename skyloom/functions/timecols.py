@@ -38,26 +38,36 @@ def rescale(days: Column, nanos: Column, source: str, target: str) -> Column:
     if source == target:
         return F.struct(days.alias("days"), nanos.alias("nanos"))
 
-    def leap(day: Column, shift: int = 0) -> Column:
-        out = F.lit(0)
-        for start, seconds in LEAP_SECONDS:
-            out = F.when(day >= start, F.lit(seconds)).otherwise(out)
-        return out.cast("long")
+    def bound(value: Column, use) -> Column:
+        # A one-element transform computes a value once, however often it is used.
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def leap(day: Column) -> Column:
+        def seconds(d: Column) -> Column:
+            out = F.lit(0)
+            for start, value in LEAP_SECONDS:
+                out = F.when(d >= start, F.lit(value)).otherwise(out)
+            return out.cast("long")
+
+        return bound(day, seconds)
 
     def periodic(d: Column, n: Column) -> Column:
         g = F.radians(357.53 + 0.98560028 * (mjd(d, n) - 51544.5))
-        return F.round((0.001658 * F.sin(g) + 0.000014 * F.sin(2 * g)) * 1e9).cast("long")
-
-    to_tai = {"utc": leap(days) * 1_000_000_000, "tai": F.lit(0), "tt": F.lit(-32_184_000_000), "tdb": F.lit(-32_184_000_000) - periodic(days, nanos)}[source]
-    tai = carried(days, nanos + to_tai)
-    from_tai = {
-        # A second either side of a leap is settled by the day of the shifted time.
-        "utc": -leap(carried(tai["days"], tai["nanos"] - 37_000_000_000)["days"]) * 1_000_000_000,
-        "tai": F.lit(0),
-        "tt": F.lit(32_184_000_000),
-        "tdb": F.lit(32_184_000_000) + periodic(tai["days"], tai["nanos"]),
-    }[target]
-    return carried(tai["days"], tai["nanos"] + from_tai)
+        return F.round(bound(g, lambda x: 0.001658 * F.sin(x) + 0.000014 * F.sin(2 * x)) * 1e9).cast("long")
+
+    to_tai = {"utc": lambda: leap(days) * 1_000_000_000, "tai": lambda: F.lit(0), "tt": lambda: F.lit(-32_184_000_000), "tdb": lambda: F.lit(-32_184_000_000) - periodic(days, nanos)}[source]()
+
+    def from_tai(n: Column) -> Column:
+        shift = {
+            # A second either side of a leap is settled by the day of the shifted time.
+            "utc": lambda: -leap((days + F.floor((n - 37_000_000_000) / F.lit(NANOS))).cast("long")) * 1_000_000_000,
+            "tai": lambda: F.lit(0),
+            "tt": lambda: F.lit(32_184_000_000),
+            "tdb": lambda: F.lit(32_184_000_000) + periodic(days, n),
+        }[target]()
+        return (n + shift).cast("long")
+
+    return bound(bound((nanos + to_tai).cast("long"), from_tai), lambda n: carried(days, n))
 
 
 def observing_night(days: Column, nanos: Column, longitude: Column) -> Column:

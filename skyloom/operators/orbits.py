@@ -188,7 +188,7 @@ class FitRules:
     min_arc_length: float = 1.0
     contamination: float = 20.0
     rchi2: float = 1e3
-    max_iter: int = 10
+    max_iter: int = 20
     selection: str = "combinations"
     velocity: str = "gibbs"
 
@@ -245,7 +245,7 @@ def correct(epoch: float, state: np.ndarray, seen, mjd, sigma, observer, rules:
         return None
     used, allowed, iterations = np.ones(n, bool), int(min(n * rules.contamination / 100, n - rules.min_obs)), 0
     while True:
-        now, damp = state.copy(), 1e-6
+        now, damp = state.copy(), 1e-12
         res = residuals(seen[used], predict(now, epoch, mjd[used], observer[used]), sigma[used]).ravel()
         cost, covariance = float(res @ res), None
         for _ in range(rules.max_iter):
@@ -267,12 +267,12 @@ def correct(epoch: float, state: np.ndarray, seen, mjd, sigma, observer, rules:
             trial = now + step
             new = residuals(seen[used], predict(trial, epoch, mjd[used], observer[used]), sigma[used]).ravel()
             if np.all(np.isfinite(new)) and new @ new < cost:
-                gain, now, res, cost, damp = cost - float(new @ new), trial, new, float(new @ new), damp / 5
+                gain, now, res, cost, damp = cost - float(new @ new), trial, new, float(new @ new), damp / 10
                 if gain < 1e-9 * max(cost, 1.0):
                     break
             else:
                 damp *= 100
-                if damp > 1e8:
+                if damp > 1e6:
                     break
         rchi2 = cost / max(2 * int(used.sum()) - 6, 1)
         if covariance is not None and np.all(np.diag(covariance) > 0) and rchi2 <= rules.rchi2 and mjd[used].max() - mjd[used].min() >= rules.min_arc_length:
@@ -382,7 +382,9 @@ def merge_and_extend(orbits: DataFrame, observations: DataFrame, radius: float,
         fitted = fitted.join(owned.select("orbit_id").distinct(), "orbit_id", "left_semi")
         before = now.select("orbit_id", F.col("num_obs").alias("had"))
         grown = stage(fitted.join(before, "orbit_id").withColumn("grew", F.col("num_obs") > F.col("had")), "extend")
-        final = grown.where("NOT grew").drop("grew", "had")
+        # Orbits whose correction fails end as they were.
+        failed = now.join(members.select("orbit_id").distinct(), "orbit_id", "left_anti")
+        final = grown.where("NOT grew").drop("grew", "had").unionByName(failed)
         done = final if done is None else done.unionByName(final)
         claimed = owned.join(final.select("orbit_id"), "orbit_id", "left_semi")
         pool = stage(pool.join(claimed.select("obs_id"), "obs_id", "left_anti"), "extend")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import healpix, sphere
 from skyloom.operators import analysis, phase_space, relational
-from skyloom.sources import reports
+from skyloom.sources import observations, reports
 from skyloom.sources.observations import sky
 
 from .sky_queries import SKY, query, r6, read
@@ -257,6 +257,41 @@ def ades_lines(spark, sf_dir):
     return reports.ades_body(rows).select("line")
 
 
+@query(
+    f"""{SKY} SELECT id, "days" AS night, round(ra, 6) + 0.0 AS lon, round(dec, 6) + 0.0 AS lat, round(pow(0.1::DOUBLE + user_id % 5, 2), 6) + 0.0 AS lon_var, round(0.01::DOUBLE * (0.1::DOUBLE + user_id % 5), 6) + 0.0 AS cross_var, state_id FROM sky"""
+)
+def input_observations(spark, sf_dir):
+    sigma = 0.1 + F.col("user_id") % 5
+    raw = sky(spark, sf_dir).select(
+        "id", F.col("state_id").alias("exposure_id"), F.struct("days", F.col("nanos_state").alias("nanos")).alias("time"), F.col("days").alias("night"), "ra", "dec",
+        sigma.alias("ra_sigma"), sigma.alias("dec_sigma"), (0.01 * sigma).alias("ra_dec_cov"), F.col("value").alias("mag"), F.lit(None).cast("double").alias("mag_sigma"), F.lit("g").alias("filter"), F.col("code").alias("observatory_code"),
+    )
+    found = observations.from_input(raw)
+    at = F.col("coordinates")
+    return found.select("id", "night", r6(at["lon"]).alias("lon"), r6(at["lat"]).alias("lat"), r6(sphere.variance_at(at["covariance"], 1, 6)).alias("lon_var"), r6(F.element_at(at["covariance"], 9)).alias("cross_var"), "state_id")
+
+
+@query(f"""{SKY} SELECT id, CAST(floor(mjd - 0.5) AS BIGINT) AS night, round(pow((1 + user_id % 5) / 3600.0, 2) * 1e6, 6) + 0.0 AS lon_var, round(0.5 * pow((1 + user_id % 5) / 3600.0, 2) * 1e6, 6) + 0.0 AS cross_var FROM sky""")
+def source_catalog(spark, sf_dir):
+    sigma = (1 + F.col("user_id") % 5) * 1.0
+    nanos = F.round((F.col("mjd") - F.col("days")) * 86400e9).cast("bigint")
+    raw = sky(spark, sf_dir).select(
+        "id", F.col("state_id").alias("exposure_id"), F.struct("days", nanos.alias("nanos")).alias("time"), "ra", "dec", sigma.alias("ra_sigma"), sigma.alias("dec_sigma"), F.lit(0.5).alias("ra_dec_corr"),
+        F.col("value").alias("mag"), F.lit(None).cast("double").alias("mag_sigma"), F.lit("g").alias("filter"), F.col("code").alias("observatory_code"),
+    )
+    cov = F.col("coordinates.covariance")
+    return observations.from_source_catalog(raw).select("id", "night", r6(sphere.variance_at(cov, 1, 6) * 1e6).alias("lon_var"), r6(F.element_at(cov, 9) * 1e6).alias("cross_var"))
+
+
+@query(
+    f"""{SKY}, w AS (SELECT id, jx * 1e5 AS dx, jy * 1e5 AS dy FROM sky), c AS (SELECT id, dx, dy, 0.5 * atan2(2 * 1.0, 4.0 - 2.0) AS ang, 3.0 + sqrt(2.0) AS big, 3.0 - sqrt(2.0) AS small FROM w)
+SELECT id, round((cos(ang) * dx + sin(ang) * dy) / sqrt(big), 6) + 0.0 AS wx, round((cos(ang) * dy - sin(ang) * dx) / sqrt(small), 6) + 0.0 AS wy FROM c"""
+)
+def whiten(spark, sf_dir):
+    wx, wy = sphere.whiten2(F.col("jx") * 1e5, F.col("jy") * 1e5, F.lit(4.0), F.lit(1.0), F.lit(2.0))
+    return sky(spark, sf_dir).select("id", r6(wx).alias("wx"), r6(wy).alias("wy"))
+
+
 @query(None)
 def healpix_nest(spark, sf_dir):
     points = sky(spark, sf_dir)
