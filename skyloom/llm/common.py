@@ -30,12 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_STAGED: list[tuple[str, str]] = []
+
+
+def release(spark: SparkSession, keep: str = "pipeline-") -> None:
+    """Deletes the staged tables of this session whose names do not start with ``keep``.
+
+    For use between jobs: what was planned on these tables must have been written elsewhere by then.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name, path in list(_STAGED):
+        if not name.startswith(keep):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+            _STAGED.remove((name, path))
+
+
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: a cut of lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skyloom/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    _STAGED.append((name, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,15 +10,16 @@ set, or one with a Jaccard similarity of the threshold or more, whether or not t
 3. Sets at the threshold share a token of their prefixes of n - ceil(t n) + 1 rarest tokens. Lines that
    share one are joined under the length, positional and bitmap filters (256 hashed bits bound the
    overlap), as conditions of the join, so that only near pairs leave it.
-4. Each task walks the sorted lists of its tokens and gives every line the earliest line that passes the
-   filters, one candidate a list and then one a line, so a large group of near copies gives a candidate a
-   line and not all pairs. Lines without any are settled: the filters never reject a true match.
+4. Each task walks the sorted lists of its tokens and gives every line the earlier line that passes the
+   filters with the most room, one candidate a list and then one a line, so a large group of near copies
+   gives a candidate a line and not all pairs. Lines without any are settled: the filters never reject a
+   true match.
 5. Candidates are verified on the real words. Lines whose candidate fails are then joined with all earlier
    lines of their lists under the same filters, and all of those pairs are verified.
 
 Edge cases: null and empty texts have no lines. Lines of fewer than ``min_tokens`` distinct tokens are
-never removed or matched. Equal lines within a document keep the first. Rows that share an id count as
-one document, and each keeps its own lines; rows with a null id are passed through. Very long texts are
+never removed or matched. Equal lines within a document keep the first. Repeated rows keep the same lines, as
+one document; rows with a null id are passed through. Very long texts are
 processed whole. An empty table gives an empty result. Only the id and text columns are read.
 """
 
@@ -125,13 +126,14 @@ def line_sets(docs: DataFrame, rules: LineRules) -> DataFrame:
         keys = _Keys(sent.value)
         names = ["doc_id", "line", "n", "k1", "k2", *BITS, "again", "prefix"]
         for batch in slices(batches, 256):
-            ids, places, sizes, flat = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, rows, places, sizes, flat = [], [], [], [], []
+            for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 for place, words in enumerate(text_lines(text)):
                     if len(words) >= rules.min_tokens:
                         own = set(words)
                         if len(own) >= rules.min_tokens:
                             ids.append(doc)
+                            rows.append(row)
                             places.append(place)
                             sizes.append(len(own))
                             flat += map(keys.__getitem__, own)
@@ -152,7 +154,7 @@ def line_sets(docs: DataFrame, rules: LineRules) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[held]))
             seen, again = set(), []
-            for x in zip(ids, k1.tolist(), k2.tolist(), strict=True):
+            for x in zip(rows, k1.tolist(), k2.tolist(), strict=True):
                 again.append(x in seen)
                 seen.add(x)
             arrays = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(n, pa.int32()), pa.array(k1), pa.array(k2), *bits, pa.array(again), prefix]
@@ -172,13 +174,15 @@ def _near(a: str, b: str, p: LineRules):
     return (100 * F.least(na, nb) >= p.percent * F.greatest(na, nb)) & (reach >= need) & (apart <= na + nb - 2 * need)
 
 
-def earliest_candidates(postings: DataFrame, p: LineRules) -> DataFrame:
-    """(da, la, db, lb): for every line with any, the earliest line that passes the filters with it in one of its lists."""
+def best_candidates(postings: DataFrame, p: LineRules) -> DataFrame:
+    """(da, la, db, lb): for every line with any, the earlier line that passes the filters with it, with the most room, in one of its lists."""
     ordered = postings.repartition("token").sortWithinPartitions("token", "doc_id", "line")
     t = p.percent
 
-    def passing(c: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of rows i and j that pass the positional, then the bitmap filter; their lengths have passed."""
+    def passing(c: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of rows i and j, and their room, that pass the positional, then the bitmap filter; their lengths have passed. A repeated row is no match of itself."""
+        other = (c["doc_id"][i] != c["doc_id"][j]) | (c["line"][i] != c["line"][j])
+        i, j = i[other], j[other]
         na, nb = c["n"][i], c["n"][j]
         need = -(-t * (na + nb) // (100 + t))
         ia, ib = c["pos"][i], c["pos"][j]
@@ -188,22 +192,22 @@ def earliest_candidates(postings: DataFrame, p: LineRules) -> DataFrame:
             most = most - np.bitwise_count((c[b][i] ^ c[b][j]).view(np.uint64))
             ok = most >= 0
             i, j, most = i[ok], j[ok], most[ok]
-        return i, j
+        return i, j, most
 
     def walk(c: dict) -> pa.RecordBatch:
         token, n = c["token"], c["n"]
         low, high = t * n, 100 * n
-        best = np.full(len(token), -1)
+        best, room = np.full(len(token), -1), np.full(len(token), -1)
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         sizes = np.diff(np.append(starts, len(token)))
         small = np.repeat(sizes <= p.short, sizes)
-        most = int(sizes[sizes <= p.short].max(initial=1))
-        for gap in range(1, most):
+        for gap in range(1, int(sizes[sizes <= p.short].max(initial=1))):
             same = (token[gap:] == token[:-gap]) & (high[gap:] >= low[:-gap]) & (high[:-gap] >= low[gap:]) & small[gap:]
             i = np.flatnonzero(same)
             if len(i):
-                i, j = passing(c, i, i + gap)
-                best[j] = i  # larger gaps come later and are earlier lines
+                i, j, most = passing(c, i, i + gap)
+                ok = most >= room[j]  # larger gaps come later and are earlier lines
+                best[j[ok]], room[j[ok]] = i[ok], most[ok]
         for start, size in zip(starts[sizes > p.short].tolist(), sizes[sizes > p.short].tolist(), strict=True):
             open_ = np.arange(start + 1, start + size)
             for i in range(start, start + size - 1):
@@ -212,13 +216,15 @@ def earliest_candidates(postings: DataFrame, p: LineRules) -> DataFrame:
                     break
                 near = open_[(high[open_] >= low[i]) & (high[i] >= low[open_])]
                 if len(near):
-                    _, j = passing(c, np.full(len(near), i), near)
-                    best[j] = i
-                    if len(j):
-                        open_ = open_[best[open_] < 0]
+                    _, j, most = passing(c, np.full(len(near), i), near)
+                    ok = most > room[j]
+                    best[j[ok]], room[j[ok]] = i, most[ok]
+                    if np.any(ok):
+                        # With this much room a pair is as good as certain, and the line needs no other.
+                        open_ = open_[room[open_] < 2 + n[open_] // 20]
         j = np.flatnonzero(best >= 0)
         i = best[j]
-        return pa.RecordBatch.from_arrays([pa.array(c["doc_id"][i]), pa.array(c["line"][i]), pa.array(c["doc_id"][j]), pa.array(c["line"][j])], ["da", "la", "db", "lb"])
+        return pa.RecordBatch.from_arrays([pa.array(c["doc_id"][i]), pa.array(c["line"][i]), pa.array(c["doc_id"][j]), pa.array(c["line"][j]), pa.array(room[j])], ["da", "la", "db", "lb", "room"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: list[dict] = []
@@ -239,8 +245,8 @@ def earliest_candidates(postings: DataFrame, p: LineRules) -> DataFrame:
             yield walk({n: np.concatenate([h[n] for h in held]) for n in held[0]})
 
     wide = ordered.select("token", "doc_id", "line", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), *BITS)
-    found = wide.mapInArrow(run, "da long, la int, db long, lb int")
-    return found.groupBy("db", "lb").agg(F.min(F.struct("da", "la")).alias("a")).select("a.da", "a.la", "db", "lb")
+    found = wide.mapInArrow(run, "da long, la int, db long, lb int, room long")
+    return found.groupBy("db", "lb").agg(F.min(F.struct(-F.col("room"), "da", "la")).alias("a")).select("a.da", "a.la", "db", "lb")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, p: LineRules) -> DataFrame:
@@ -290,7 +296,7 @@ def removed_lines(docs: DataFrame, rules: LineRules = LineRules(), key: str = "d
     repeats = placed.where("first_doc < doc_id").select("doc_id", "line")
     firsts = placed.where("first_doc IS NULL OR first_doc = doc_id").select("doc_id", "line", "n", *BITS, F.posexplode("prefix").alias("pos", "token"))
 
-    tried = staged(earliest_candidates(firsts, rules), "lines-candidates")
+    tried = staged(best_candidates(firsts, rules), "lines-candidates")
     settled = staged(verify(tried, docs, rules), "lines-settled")
 
     # Lines whose candidate fails meet all earlier lines of their lists.

@@ -20,6 +20,7 @@ line2 AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth, len(ws) AS n,
     {chars.format('ws')} AS wc,
     len(regexp_extract_all(line, '[#*$%&|<>]')) AS sym,
+    len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS sym_words,
     len(list_filter(ws, lambda x: ends_with(x, '!!') OR ends_with(x, '??') OR ends_with(x, '!?'))) AS shout,
     len(list_filter(ws, lambda x: x IN ({separators}))) AS sep,
     coalesce({chars.format(r"regexp_extract_all(line, '\p{L}+')")}, 0) AS letters,
@@ -29,7 +30,7 @@ line2 AS (
   FROM line1 WHERE len(ws) > 0),
 line3 AS (
   SELECT doc_id, nth, wc,
-    (n >= 2 AND sym > {rules.max_symbol_share} * wc)
+    (n >= 2 AND sym > {rules.max_symbol_share} * wc AND sym_words > {rules.max_symbol_words} * n)
     OR (n >= 4 AND shout > {rules.max_shout_share} * n)
     OR (sep >= {rules.min_separators} AND n <= {rules.max_words_per_separator} * sep)
     OR (n >= 4 AND letters >= {rules.min_capital_letters} AND upper_letters > {rules.max_capital_share} * letters)

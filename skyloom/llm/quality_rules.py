@@ -33,8 +33,10 @@ class Rules:
     min_words: int = 10
     max_repeat_percent: int = 20
     window: int = 5
-    #: A line fails the punctuation rule when symbol characters exceed this share of its word characters.
+    #: A line fails the punctuation rule when symbol characters exceed this share of its word characters
+    #: and more than this share of its words has one.
     max_symbol_share: float = 0.10
+    max_symbol_words: float = 0.5
     #: ... or when at least this share of its words ends in exclamation marks and it has enough words.
     max_shout_share: float = 0.5
     #: A line fails the navigation rule with this many separators and at most so many words a separator.
@@ -76,13 +78,13 @@ def line_verdict(line: str, words: list[str], rules: Rules) -> str:
     if not words:
         return ""
     n, chars = len(words), sum(map(len, words))
-    if len(_SYMBOLS.findall(line)) > rules.max_symbol_share * chars and n >= 2:
-        return "punctuation"
-    if n >= 4 and sum(w.endswith(("!!", "??", "!?")) for w in words) > rules.max_shout_share * n:
-        return "punctuation"
     separators = sum(w in SEPARATORS for w in words)
     if separators >= rules.min_separators and n <= rules.max_words_per_separator * separators:
         return "navigation"
+    if n >= 2 and len(_SYMBOLS.findall(line)) > rules.max_symbol_share * chars and sum(_SYMBOLS.search(w) is not None for w in words) > rules.max_symbol_words * n:
+        return "punctuation"
+    if n >= 4 and sum(w.endswith(("!!", "??", "!?")) for w in words) > rules.max_shout_share * n:
+        return "punctuation"
     if n >= 4:
         letters = sum(map(len, _LETTERS.findall(line)))
         if letters >= rules.min_capital_letters and sum(map(len, _UPPER.findall(line))) > rules.max_capital_share * letters:
