@@ -57,3 +57,52 @@ verdict AS (
 SELECT {columns or f'''doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND removed <= {rules.max_removed_share} * word_chars AS kept'''}
 FROM verdict"""
+
+
+def warc_sql() -> str:
+    """Rows of op8: base32 is spelt out from the hexadecimal SHA-1, twenty bits to four characters."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    chars = " || ".join(
+        f"substr('{alphabet}', 1 + ((('0x' || substr(sha1(payload), {5 * k + 1}, 5))::BIGINT >> {shift}) & 31)::INTEGER, 1)" for k in range(8) for shift in (15, 10, 5, 0)
+    )
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {chars} AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f"""
+
+
+def near_dedup_sql(size: int = 4, percent: int = 80) -> str:
+    """Rows of op9: shingle sets, all pairs that share a shingle, and the least id reachable."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + {size - 1}], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {size - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= {percent} * (na.n + nb.n - o)),
+reach AS (SELECT a AS v, a AS seen FROM links UNION SELECT r.v, l.b FROM reach r JOIN links l ON l.a = r.seen),
+comp AS (SELECT v, min(seen) AS c FROM reach GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c, w.doc_id) AS component_id, coalesce(c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON v = w.doc_id"""
+
+
+def line_dedup_sql(percent: int = 80, least: int = 5) -> str:
+    """Rows of op7: every line against all earlier ones, by shared tokens; the places are compared as a list."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH l AS (SELECT doc_id, unnest(string_split({lower}, chr(10))) AS line, unnest(range(len(string_split({lower}, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, pos, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS ws FROM l),
+k AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS id, len(ws) AS n FROM t WHERE len(ws) >= {least}),
+firsts AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY ws ORDER BY id) = 1),
+tok AS (SELECT id, n, unnest(ws) AS w FROM firsts),
+near AS (SELECT b.id FROM tok a JOIN tok b ON a.w = b.w AND a.id < b.id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+gone AS (SELECT doc_id, pos FROM k WHERE id NOT IN (SELECT id FROM firsts) OR id IN (SELECT id FROM near)),
+g AS (SELECT doc_id, count(*) AS n, list_sort(list(CAST(pos AS INTEGER))) AS removed FROM gone GROUP BY 1)
+SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, coalesce(removed, []) AS removed
+FROM documents d LEFT JOIN g USING (doc_id)"""

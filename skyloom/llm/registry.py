@@ -81,4 +81,9 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op2_quality_rules": oracles.quality_rules_sql()}
+    return {
+        "op2_quality_rules": oracles.quality_rules_sql(),
+        "op7_line_dedup": oracles.line_dedup_sql(),
+        "op8_warc_bundles": oracles.warc_sql(),
+        "op9_minhash_near_dedup": oracles.near_dedup_sql(),
+    }
