@@ -101,15 +101,26 @@ def find_clusters(points: DataFrame, eps: float, min_samples: int, algorithm: st
     raise NotImplementedError(f"algorithm {algorithm!r} is not implemented")
 
 
-def velocity_grid(points: DataFrame, vxs: list[float], vys: list[float], epoch: float, eps: float, validity: Validity) -> DataFrame:
+#: Half-cell offsets, in units of eps, of the four grids.
+SHIFTS = ((0, 0), (1, 0), (1, 1), (0, 1))
+
+
+def on_grids(points: DataFrame, eps: float, shifts: int) -> DataFrame:
+    """Points (xx, yy) once for each of the first ``shifts`` grids, moved by the grid's offset, with its number as ``shift``."""
+    offsets = F.array(*[F.struct(F.lit(i).alias("shift"), F.lit(dx * eps).alias("dx"), F.lit(dy * eps).alias("dy")) for i, (dx, dy) in enumerate(SHIFTS[:shifts])])
+    wide = points.withColumn("__grid", F.explode(offsets))
+    return wide.withColumns({"shift": F.col("__grid.shift"), "xx": F.col("xx") + F.col("__grid.dx"), "yy": F.col("yy") + F.col("__grid.dy")}).drop("__grid")
+
+
+def velocity_grid(points: DataFrame, vxs: list[float], vys: list[float], epoch: float, eps: float, validity: Validity, shifts: int = 1) -> DataFrame:
     """Valid hotspot cells over a grid of velocities, each member set once, with the least velocity that finds it.
 
-    The grid is generated row by row next to the points and aggregated before anything moves, so the product
-    of grid and points is never stored.
+    Grid and offsets are generated row by row next to the points and aggregated before anything moves, so
+    the product of grid and points is never stored. With ``shifts`` of 4 a spot on a cell's edge is found too.
     """
     wide = points.withColumn("vx", F.explode(F.array(*map(F.lit, vxs)))).withColumn("vy", F.explode(F.array(*map(F.lit, vys))))
-    cells = hotspot(shifted(wide, F.col("vx"), F.col("vy"), epoch), eps, validity, ["vx", "vy"])
-    best = F.min(F.struct("vx", "vy", "qx", "qy")).alias("best")
+    cells = hotspot(on_grids(shifted(wide, F.col("vx"), F.col("vy"), epoch), eps, shifts), eps, validity, ["vx", "vy", "shift"])
+    best = F.min(F.struct("vx", "vy", "shift", "qx", "qy")).alias("best")
     return cells.groupBy("cluster_id").agg(best, F.first("num_obs").alias("num_obs"), F.first("arc_length").alias("arc_length")).select("cluster_id", "best.*", "num_obs", "arc_length")
 
 

@@ -97,20 +97,20 @@ def earth(mjd: np.ndarray) -> np.ndarray:
     return propagate(np.repeat(start, len(t), 0), t)
 
 
-def directions(states: np.ndarray, observer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longitude, latitude (degrees) and distance, light-time corrected, of objects at their states as seen from positions."""
+def directions(states: np.ndarray, observer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Longitude, latitude (degrees) and distance, light-time corrected, of objects at their states as seen from positions, and the states seen."""
     lag = np.zeros(len(states))
     for _ in range(3):
         seen = propagate(states, -lag)
         d = seen[:, :3] - observer
         rho = np.linalg.norm(d, axis=1)
         lag = rho / LIGHT
-    return np.degrees(np.arctan2(d[:, 1], d[:, 0])) % 360, np.degrees(np.arcsin(d[:, 2] / rho)), rho
+    return np.degrees(np.arctan2(d[:, 1], d[:, 0])) % 360, np.degrees(np.arcsin(d[:, 2] / rho)), rho, seen
 
 
 def predict(state: np.ndarray, epoch: float, mjd: np.ndarray, observer: np.ndarray) -> np.ndarray:
     """(n, 2) longitudes and latitudes of one orbit at times from positions."""
-    lon, lat, _ = directions(propagate(np.repeat(state[None], len(mjd), 0), mjd - epoch), observer)
+    lon, lat, _, _ = directions(propagate(np.repeat(state[None], len(mjd), 0), mjd - epoch), observer)
     return np.stack([lon, lat], 1)
 
 
@@ -335,7 +335,7 @@ def corrected_orbits(orbits: DataFrame, linkages: DataFrame, rules: FitRules = F
 
 
 def ephemeris(orbits: DataFrame, states: DataFrame) -> DataFrame:
-    """(orbit_id, state_id, plon, plat, rho) of every orbit at every state (state_id, mjd, ox, oy, oz).
+    """(orbit_id, state_id, plon, plat, rho, px .. pvz: the state seen) of every orbit at every state (state_id, mjd, ox, oy, oz).
 
     Each orbit row is paired with all states as they pass through the task; states are a table of one
     row an exposure and are broadcast only by the planner's own measure of their size.
@@ -345,10 +345,10 @@ def ephemeris(orbits: DataFrame, states: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             moved = propagate(pdf[["x", "y", "z", "vx", "vy", "vz"]].to_numpy(float), (pdf["mjd"] - pdf["epoch"]).to_numpy(float))
-            lon, lat, rho = directions(moved, pdf[["ox", "oy", "oz"]].to_numpy(float))
-            yield pd.DataFrame({"orbit_id": pdf["orbit_id"], "state_id": pdf["state_id"], "plon": lon, "plat": lat, "rho": rho})
+            lon, lat, rho, seen = directions(moved, pdf[["ox", "oy", "oz"]].to_numpy(float))
+            yield pd.DataFrame({"orbit_id": pdf["orbit_id"], "state_id": pdf["state_id"], "plon": lon, "plat": lat, "rho": rho, **{n: seen[:, i] for i, n in enumerate(("px", "py", "pz", "pvx", "pvy", "pvz"))}})
 
-    return pairs.mapInPandas(run, "orbit_id string, state_id string, plon double, plat double, rho double")
+    return pairs.mapInPandas(run, "orbit_id string, state_id string, plon double, plat double, rho double, px double, py double, pz double, pvx double, pvy double, pvz double")
 
 
 def attribute(orbits: DataFrame, observations: DataFrame, radius: float, k: int = 3) -> DataFrame:
@@ -357,7 +357,7 @@ def attribute(orbits: DataFrame, observations: DataFrame, radius: float, k: int
 
     states = observations.select("state_id", "mjd", "ox", "oy", "oz").dropDuplicates(["state_id"])
     distance = sphere.great_circle(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
-    return attributed(observations.withColumnRenamed("mjd", "obs_mjd"), ephemeris(orbits, states), distance, radius, k)
+    return attributed(observations.withColumnRenamed("mjd", "obs_mjd"), ephemeris(orbits, states).drop("rho", "px", "py", "pz", "pvx", "pvy", "pvz"), distance, radius, k)
 
 
 def merge_and_extend(orbits: DataFrame, observations: DataFrame, radius: float, rules: FitRules, rounds: int = 5) -> DataFrame:

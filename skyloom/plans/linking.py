@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skyloom.config import Config, guard
 from skyloom.functions import sphere
-from skyloom.operators import clustering, orbits
+from skyloom.operators import clustering, orbits, projection
 from skyloom.sources.reports import STAGES
 from skyloom.sources.staging import small_side
 from skyloom.sources.staging import stage as stage_table
@@ -77,10 +77,7 @@ def link_test_orbit(
         return near.where(distance <= config.filter_cell_radius).drop("plon", "plat")
 
     def projected() -> DataFrame:
-        """Detections in the tangent plane at the orbit's predicted place: longitude by the cosine of latitude, both in degrees."""
-        joined = done["filter_observations"].join(done["generate_ephemeris"].select("state_id", "plon", "plat"), "state_id")
-        x = sphere.wrapped(F.col("lon") - F.col("plon")) * F.cos(F.radians("plat"))
-        return joined.withColumns({"theta_x": x, "theta_y": F.col("lat") - F.col("plat")})
+        return projection.range_and_transform(done["filter_observations"], done["generate_ephemeris"]).drop("rho", *projection.PREDICTED)
 
     def clustered() -> DataFrame:
         points = done["range_and_transform"].withColumnRenamed("obs_id", "id")
@@ -88,12 +85,12 @@ def link_test_orbit(
         vxs, vys = span(config.cluster_vx_min, config.cluster_vx_max, config.cluster_vx_bins), span(config.cluster_vy_min, config.cluster_vy_max, config.cluster_vy_bins)
         epoch = points.agg(F.min("mjd")).first()[0]
         validity = clustering.Validity(config.cluster_min_obs, config.cluster_min_arc_length, config.cluster_min_nights)
-        cells = clustering.velocity_grid(points.withColumn("days", F.col("night")), vxs, vys, epoch or 0.0, config.cluster_radius, validity)
+        cells = clustering.velocity_grid(points.withColumn("days", F.col("night")), vxs, vys, epoch or 0.0, config.cluster_radius, validity, shifts=4)
         cells = stage_table(cells, "cells")
         # Only the velocities that found a cluster are paired with the points again.
         wide = points.crossJoin(small_side(cells.select("vx", "vy").distinct(), 16))
-        at = clustering.shifted(wide, F.col("vx"), F.col("vy"), epoch or 0.0).withColumns({"qx": clustering.cell(F.col("xx"), config.cluster_radius), "qy": clustering.cell(F.col("yy"), config.cluster_radius)})
-        members = at.join(cells.select("cluster_id", "vx", "vy", "qx", "qy"), ["vx", "vy", "qx", "qy"])
+        at = clustering.on_grids(clustering.shifted(wide, F.col("vx"), F.col("vy"), epoch or 0.0), config.cluster_radius, 4).withColumns({"qx": clustering.cell(F.col("xx"), config.cluster_radius), "qy": clustering.cell(F.col("yy"), config.cluster_radius)})
+        members = at.join(cells.select("cluster_id", "vx", "vy", "shift", "qx", "qy"), ["vx", "vy", "shift", "qx", "qy"])
         return members.select(F.col("cluster_id").alias("linkage_id"), F.col("id").alias("obs_id"))
 
     observed = lambda: done["filter_observations"].drop("night", "state_id")

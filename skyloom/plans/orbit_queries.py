@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from skyloom.functions import sphere
-from skyloom.operators import orbit_grids, orbits
+from skyloom.operators import orbit_grids, orbits, projection
 from skyloom.operators.orbits import MU
 
 from .sky_queries import query, r6, read
@@ -51,6 +51,15 @@ def ephemeris(spark, sf_dir):
     return orbits.ephemeris(synthetic_orbits(spark, sf_dir), observing_states(spark)).select("orbit_id", "state_id", r6("plon").alias("lon"), r6("plat").alias("lat"), r6("rho").alias("rho"))
 
 
+@query(None)
+def range_transform(spark, sf_dir):
+    """Every orbit's detections in the frame of one of the orbits."""
+    states = observing_states(spark)
+    one = orbits.ephemeris(synthetic_orbits(spark, sf_dir).where("orbit_id = '7'"), states)
+    placed = projection.range_and_transform(synthetic_observations(spark, sf_dir), one)
+    return placed.select("obs_id", r6("rho").alias("rho"), r6("theta_x").alias("theta_x"), r6("theta_y").alias("theta_y"))
+
+
 @query(None)
 def gauss_iod(spark, sf_dir):
     found = orbits.initial_orbits(synthetic_observations(spark, sf_dir))

@@ -102,6 +102,11 @@ def test_linking_run_resumes(spark, sf, tmp_path):
         guard(spark, Config(cluster_min_obs=9), folder)
 
 
+def test_own_detections_lie_at_the_centre_of_the_frame(spark, sf):
+    rows = orbit_queries.range_transform(spark, sf).where("obs_id LIKE '7\\_%'").collect()
+    assert len(rows) == 10 and all(abs(r["theta_x"]) < 1e-5 and abs(r["theta_y"]) < 1e-5 for r in rows)
+
+
 def test_config_setters():
     c = Config()
     c.set_min_obs(7)
