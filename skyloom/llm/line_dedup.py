@@ -3,19 +3,18 @@
 Lines are ordered by document id, then place. A line is removed when an earlier line has an equal token
 set, or one with a Jaccard similarity of the threshold or more, whether or not that one is removed too.
 
-1. Tokens (words, ASCII letters in lower case) are counted over all lines. The most frequent ones, at
+1. Tokens (words, ASCII letters in lower case) are counted over all texts. The most frequent ones, at
    most ``ranked`` of them, get their rank; all rarer tokens come before them. That is one order for all
    lines, so the prefix filter holds exactly, and what is sent to the tasks has a fixed bound.
 2. Lines with equal sets are one class, kept by its first line; partial aggregation meets common lines.
 3. Sets at the threshold share a token of their prefixes of n - ceil(t n) + 1 rarest tokens. Lines that
-   share one are joined under the length, positional and bitmap filters (256 hashed bits bound the
+   share one are joined under the length, positional and bitmap filters (512 hashed bits bound the
    overlap), as conditions of the join, so that only near pairs leave it.
-4. Each task walks the sorted lists of its tokens and gives every line the earlier line that passes the
-   filters with the most room, one candidate a list and then one a line, so a large group of near copies
-   gives a candidate a line and not all pairs. Lines without any are settled: the filters never reject a
-   true match.
-5. Candidates are verified on the real words. Lines whose candidate fails are then joined with all earlier
-   lines of their lists under the same filters, and all of those pairs are verified.
+4. Each task walks the sorted lists of its tokens. A line whose best earlier line there leaves so much room
+   under the filters that it is as good as certain gets that candidate alone, so a large group of near
+   copies gives a candidate a line; any other line gets all earlier lines that pass.
+5. Candidates are verified on the real words. Should a lone candidate fail and leave its line unmatched,
+   that line is joined with all earlier lines of its lists under the same filters, and all are verified.
 
 Edge cases: null and empty texts have no lines. Lines of fewer than ``min_tokens`` distinct tokens are
 never removed or matched. Equal lines within a document keep the first. Repeated rows keep the same lines, as
@@ -44,7 +43,9 @@ class LineRules:
     #: Most tokens that are ranked by frequency; all others count as equally rare.
     ranked: int = 1 << 17
     #: Lists of at most so many entries are walked together, longer ones one at a time.
-    short: int = 48
+    short: int = 16
+    #: Pairs of a longer list that are looked at together.
+    block: int = 1 << 20
 
 
 def _hash(word: bytes) -> int:
@@ -67,13 +68,18 @@ class _Keys(dict):
         return key
 
 
-def text_lines(text: str | None) -> list[list[bytes]]:
-    """The tokens of each \\n-split line, with repeats. bytes' lower() and split() know ASCII only."""
-    return [x.split() for x in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
+def text_lines(text: bytes | None) -> list[list[bytes]]:
+    """The tokens of each \\n-split line of UTF-8, with repeats. bytes' lower() and split() know ASCII only."""
+    return [x.split() for x in (text or b"").lower().split(b"\n")]
+
+
+def utf8(column: pa.Array) -> list[bytes | None]:
+    """The bytes of a column of texts, without making strings of them."""
+    return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
 def frequent_tokens(docs: DataFrame, rules: LineRules) -> dict[int, int]:
-    """Rank, from 1 in order of rising counts, of at most ``rules.ranked`` most frequent token hashes, by counts over all lines."""
+    """Rank, from 1 in order of rising counts, of at most ``rules.ranked`` most frequent token hashes, by counts over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         def flush():
@@ -81,10 +87,8 @@ def frequent_tokens(docs: DataFrame, rules: LineRules) -> dict[int, int]:
 
         seen: Counter = Counter()
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                for words in text_lines(text):
-                    if len(words) >= rules.min_tokens:
-                        seen.update(set(words))
+            for text in utf8(batch.column(0)):
+                seen.update((text or b"").lower().split())
             if len(seen) > 250_000:
                 yield flush()
                 seen = Counter()
@@ -108,7 +112,7 @@ def frequent_tokens(docs: DataFrame, rules: LineRules) -> dict[int, int]:
 
 
 #: Words of the bitmap of a line's tokens.
-BITS = [f"bits{i}" for i in range(4)]
+BITS = [f"bits{i}" for i in range(8)]
 LINE_SCHEMA = "doc_id long, line int, n int, k1 long, k2 long, " + "".join(f"{b} long, " for b in BITS) + "again boolean, prefix array<long>"
 
 
@@ -127,7 +131,7 @@ def line_sets(docs: DataFrame, rules: LineRules) -> DataFrame:
         names = ["doc_id", "line", "n", "k1", "k2", *BITS, "again", "prefix"]
         for batch in slices(batches, 256):
             ids, rows, places, sizes, flat = [], [], [], [], []
-            for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True)):
                 for place, words in enumerate(text_lines(text)):
                     if len(words) >= rules.min_tokens:
                         own = set(words)
@@ -136,13 +140,12 @@ def line_sets(docs: DataFrame, rules: LineRules) -> DataFrame:
                             rows.append(row)
                             places.append(place)
                             sizes.append(len(own))
-                            flat += map(keys.__getitem__, own)
+                            flat += sorted(map(keys.__getitem__, own))
             if not ids:
                 continue
             n = np.array(sizes, np.int64)
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            key, line = np.array(flat, np.int64), np.repeat(np.arange(len(n)), n)
-            key = key[np.lexsort((key, line))]
+            key = np.array(flat, np.int64)
             with np.errstate(over="ignore"):
                 a, b = mix(key.astype(np.uint64), 0x9E3779B97F4A7C15), mix(key.astype(np.uint64), 0xD6E8FEB86659FD93)
                 k1, k2 = np.add.reduceat(a, starts).view(np.int64), np.add.reduceat(b, starts).view(np.int64)
@@ -174,8 +177,8 @@ def _near(a: str, b: str, p: LineRules):
     return (100 * F.least(na, nb) >= p.percent * F.greatest(na, nb)) & (reach >= need) & (apart <= na + nb - 2 * need)
 
 
-def best_candidates(postings: DataFrame, p: LineRules) -> DataFrame:
-    """(da, la, db, lb): for every line with any, the earlier line that passes the filters with it, with the most room, in one of its lists."""
+def candidates(postings: DataFrame, p: LineRules) -> DataFrame:
+    """(da, la, db, lb, sure): pairs of an earlier and a later line that pass the filters; ``sure`` ones are the only candidate of their line in a list."""
     ordered = postings.repartition("token").sortWithinPartitions("token", "doc_id", "line")
     t = p.percent
 
@@ -196,35 +199,37 @@ def best_candidates(postings: DataFrame, p: LineRules) -> DataFrame:
 
     def walk(c: dict) -> pa.RecordBatch:
         token, n = c["token"], c["n"]
-        low, high = t * n, 100 * n
-        best, room = np.full(len(token), -1), np.full(len(token), -1)
+        low, high, enough = t * n, 100 * n, 2 + n // 20
+        room = np.full(len(token), -1)
+        found = [(np.empty(0, np.int64),) * 3]
+
+        def keep(i: np.ndarray, j: np.ndarray, most: np.ndarray) -> None:
+            np.maximum.at(room, j, most)
+            found.append((i, j, most))
+
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         sizes = np.diff(np.append(starts, len(token)))
         small = np.repeat(sizes <= p.short, sizes)
         for gap in range(1, int(sizes[sizes <= p.short].max(initial=1))):
-            same = (token[gap:] == token[:-gap]) & (high[gap:] >= low[:-gap]) & (high[:-gap] >= low[gap:]) & small[gap:]
-            i = np.flatnonzero(same)
+            i = np.flatnonzero((token[gap:] == token[:-gap]) & (high[gap:] >= low[:-gap]) & (high[:-gap] >= low[gap:]) & small[gap:])
             if len(i):
-                i, j, most = passing(c, i, i + gap)
-                ok = most >= room[j]  # larger gaps come later and are earlier lines
-                best[j[ok]], room[j[ok]] = i[ok], most[ok]
+                keep(*passing(c, i, i + gap))
         for start, size in zip(starts[sizes > p.short].tolist(), sizes[sizes > p.short].tolist(), strict=True):
-            open_ = np.arange(start + 1, start + size)
-            for i in range(start, start + size - 1):
-                open_ = open_[np.searchsorted(open_, i, side="right") :]
-                if not len(open_):
-                    break
-                near = open_[(high[open_] >= low[i]) & (high[i] >= low[open_])]
-                if len(near):
-                    _, j, most = passing(c, np.full(len(near), i), near)
-                    ok = most > room[j]
-                    best[j[ok]], room[j[ok]] = i, most[ok]
-                    if np.any(ok):
-                        # With this much room a pair is as good as certain, and the line needs no other.
-                        open_ = open_[room[open_] < 2 + n[open_] // 20]
-        j = np.flatnonzero(best >= 0)
-        i = best[j]
-        return pa.RecordBatch.from_arrays([pa.array(c["doc_id"][i]), pa.array(c["line"][i]), pa.array(c["doc_id"][j]), pa.array(c["line"][j]), pa.array(room[j])], ["da", "la", "db", "lb", "room"])
+            open_, at, width = np.arange(start + 1, start + size), start, 4
+            while at < start + size - 1 and len(open_):
+                heads = np.arange(at, min(at + width, start + size))
+                at, width = int(heads[-1]) + 1, max(1, min(4 * width, p.block // len(open_)))
+                similar = (high[open_][None] >= low[heads][:, None]) & (high[heads][:, None] >= low[open_][None]) & (open_[None] > heads[:, None])
+                i, j = np.nonzero(similar)
+                keep(*passing(c, heads[i], open_[j]))
+                open_ = open_[(open_ > at) & (room[open_] < enough[open_])]
+        i, j, most = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((i, -most, j))
+        i, j = i[order], j[order]
+        sure = room[j] >= enough[j]
+        held = ~sure | np.concatenate([[True], j[1:] != j[:-1]])[: len(j)]
+        i, j, sure = i[held], j[held], sure[held]
+        return pa.RecordBatch.from_arrays([pa.array(c["doc_id"][i]), pa.array(c["line"][i]), pa.array(c["doc_id"][j]), pa.array(c["line"][j]), pa.array(sure)], ["da", "la", "db", "lb", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: list[dict] = []
@@ -245,8 +250,8 @@ def best_candidates(postings: DataFrame, p: LineRules) -> DataFrame:
             yield walk({n: np.concatenate([h[n] for h in held]) for n in held[0]})
 
     wide = ordered.select("token", "doc_id", "line", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), *BITS)
-    found = wide.mapInArrow(run, "da long, la int, db long, lb int, room long")
-    return found.groupBy("db", "lb").agg(F.min(F.struct(-F.col("room"), "da", "la")).alias("a")).select("a.da", "a.la", "db", "lb")
+    found = wide.mapInArrow(run, "da long, la int, db long, lb int, sure boolean")
+    return found.groupBy("da", "la", "db", "lb").agg(F.max("sure").alias("sure"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, p: LineRules) -> DataFrame:
@@ -258,7 +263,7 @@ def verify(pairs: DataFrame, docs: DataFrame, p: LineRules) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 ids, places, sets = [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for doc, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
                     for place, words in enumerate(text_lines(text)):
                         if len(words) >= p.min_tokens:
                             ids.append(doc)
@@ -296,16 +301,16 @@ def removed_lines(docs: DataFrame, rules: LineRules = LineRules(), key: str = "d
     repeats = placed.where("first_doc < doc_id").select("doc_id", "line")
     firsts = placed.where("first_doc IS NULL OR first_doc = doc_id").select("doc_id", "line", "n", *BITS, F.posexplode("prefix").alias("pos", "token"))
 
-    tried = staged(best_candidates(firsts, rules), "lines-candidates")
-    settled = staged(verify(tried, docs, rules), "lines-settled")
+    tried = staged(candidates(firsts, rules), "lines-candidates")
+    settled = staged(verify(tried.drop("sure"), docs, rules), "lines-settled")
 
-    # Lines whose candidate fails meet all earlier lines of their lists.
-    left = staged(tried.select(F.col("db").alias("doc_id"), F.col("lb").alias("line")).join(settled, ["doc_id", "line"], "left_anti"), "lines-left")
+    # Lines whose lone candidate fails meet all earlier lines of their lists.
+    left = staged(tried.where("sure").select(F.col("db").alias("doc_id"), F.col("lb").alias("line")).distinct().join(settled, ["doc_id", "line"], "left_anti"), "lines-left")
     later = staged(join_small(firsts, left, ["doc_id", "line"], "left_semi", 24), "lines-later")
     lists = staged(later.select("token").distinct(), "lines-lists")
     members = join_small(firsts, lists, ["token"], "left_semi", 16)
     pairs = members.alias("a").join(later.alias("b"), (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _near("a", "b", rules))
-    pairs = staged(_ends(pairs).distinct().join(tried, ["da", "la", "db", "lb"], "left_anti"), "lines-pairs")
+    pairs = staged(_ends(pairs).distinct().join(tried.drop("sure"), ["da", "la", "db", "lb"], "left_anti"), "lines-pairs")
     near = settled.union(verify(pairs, docs, rules))
 
     # Copies of a line, near or not, are removed as copies of its first place.
