@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.sources.staging import small_side, stage
+
 from .components import label_components
 from .relational import set_hash
 
@@ -115,11 +117,15 @@ def on_grids(points: DataFrame, eps: float, shifts: int) -> DataFrame:
 def velocity_grid(points: DataFrame, vxs: list[float], vys: list[float], epoch: float, eps: float, validity: Validity, shifts: int = 1) -> DataFrame:
     """Valid hotspot cells over a grid of velocities, each member set once, with the least velocity that finds it.
 
-    Grid and offsets are generated row by row next to the points and aggregated before anything moves, so
-    the product of grid and points is never stored. With ``shifts`` of 4 a spot on a cell's edge is found too.
+    Grid and offsets are generated row by row next to the points, so the product of grid and points is never
+    stored. A first pass only counts cells, a fast partial aggregation, and the second describes the few
+    dense ones. With ``shifts`` of 4 a spot on a cell's edge is found too.
     """
     wide = points.withColumn("vx", F.explode(F.array(*map(F.lit, vxs)))).withColumn("vy", F.explode(F.array(*map(F.lit, vys))))
-    cells = hotspot(on_grids(shifted(wide, F.col("vx"), F.col("vy"), epoch), eps, shifts), eps, validity, ["vx", "vy", "shift"])
+    moved = on_grids(shifted(wide, F.col("vx"), F.col("vy"), epoch), eps, shifts).withColumns({"__qx": cell(F.col("xx"), eps), "__qy": cell(F.col("yy"), eps)})
+    keys = ["vx", "vy", "shift", "__qx", "__qy"]
+    dense = stage(moved.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= validity.min_obs).drop("n"), "dense")
+    cells = hotspot(moved.join(small_side(dense, 48), keys, "left_semi"), eps, validity, ["vx", "vy", "shift"])
     best = F.min(F.struct("vx", "vy", "shift", "qx", "qy")).alias("best")
     return cells.groupBy("cluster_id").agg(best, F.first("num_obs").alias("num_obs"), F.first("arc_length").alias("arc_length")).select("cluster_id", "best.*", "num_obs", "arc_length")
 
