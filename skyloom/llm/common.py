@@ -33,14 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 _STAGED: list[tuple[str, str]] = []
 
 
-def release(spark: SparkSession, keep: str = "pipeline-") -> None:
-    """Deletes the staged tables of this session whose names do not start with ``keep``.
+def release(spark: SparkSession, keep: str = "pipeline-", only: str = "") -> None:
+    """Deletes the staged tables of this session whose names start with ``only`` and not with ``keep``.
 
     For use between jobs: what was planned on these tables must have been written elsewhere by then.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name, path in list(_STAGED):
-        if not name.startswith(keep):
+        if name.startswith(only) and not name.startswith(keep):
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
             _STAGED.remove((name, path))

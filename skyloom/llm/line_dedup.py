@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, slices, staged
+from .common import join_small, release, slices, staged
 
 
 @dataclass(frozen=True)
@@ -107,6 +107,7 @@ def frequent_tokens(docs: DataFrame, rules: LineRules) -> dict[int, int]:
     if least is None:
         return {}
     rows = counts.where(F.col("n") >= least).toPandas()
+    release(docs.sparkSession, only="lines-counts")
     order = np.lexsort((rows["h"].to_numpy(), rows["n"].to_numpy()))
     return {int(h): i + 1 for i, h in enumerate(rows["h"].to_numpy()[order])}
 
