@@ -36,9 +36,9 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: lines that an earlier line matches go, and documents of which no word is left."""
+    """Operator 7 on lines of any length: lines that an earlier line matches go, and documents of which no word is left."""
     release(spark)
-    cut = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    cut = line_dedup.dedup_lines(docs.select(*COLUMNS), line_dedup.LineRules(min_tokens=1))
     return _with_text(cut.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), "text")
 
 

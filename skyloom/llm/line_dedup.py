@@ -17,7 +17,8 @@ set, or one with a Jaccard similarity of the threshold or more, whether or not t
    that line is joined with all earlier lines of its lists under the same filters, and all are verified.
 
 Edge cases: null and empty texts have no lines. Lines of fewer than ``min_tokens`` distinct tokens are
-never removed or matched. Equal lines within a document keep the first. Repeated rows keep the same lines, as
+never removed or matched; with a ``min_tokens`` of 1 all lines that have a word are compared. Sets too small
+to be near another one (up to 3 tokens at 80 %) meet equal sets only and send no postings. Equal lines within a document keep the first. Repeated rows keep the same lines, as
 one document; rows with a null id are passed through. Very long texts are
 processed whole. An empty table gives an empty result. Only the id and text columns are read.
 """
@@ -153,7 +154,8 @@ def line_sets(docs: DataFrame, rules: LineRules) -> DataFrame:
             # Each token sets one bit of one word.
             bit, word = np.uint64(1) << (a & np.uint64(63)), (a >> np.uint64(6)) & np.uint64(len(BITS) - 1)
             bits = [pa.array(np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), starts).view(np.int64)) for w in range(len(BITS))]
-            length = n - (-(-rules.percent * n // 100)) + 1
+            # A set that even one token more takes below the threshold matches equal sets only: it has no prefix.
+            length = np.where(100 * n < rules.percent * (n + 1), 0, n - (-(-rules.percent * n // 100)) + 1)
             held = np.arange(len(key)) - np.repeat(starts, n) < np.repeat(length, n)
             offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[held]))

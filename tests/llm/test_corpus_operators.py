@@ -320,6 +320,25 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.line_report(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("short", [48, 2])
+def test_short_lines_match_brute_force(spark, short):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(9)]
+    texts = ["\n".join(" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 7))) for _ in range(4)) for _ in range(40)]
+    texts += ["a b c d", "d c b a e", "x x x y", "y x", "x y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = line_dedup.line_report(docs, line_dedup.LineRules(min_tokens=1, short=short)).collect()
+    want = brute_lines(texts, least=1)
+    assert {(r["doc_id"], i) for r in rows for i in r["removed"]} == want and {(41, 0), (43, 0)} <= want
+
+
+def test_pipeline_stage_removes_short_lines(spark, sf):
+    rows = [(1, "Read more\nfirst own words", "en", "s", 25), (2, "read  MORE\na b c d", "en", "s", 17), (3, "a b c d e\nkept", "en", "s", 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, docs, sf).collect()}
+    assert got == {1: "Read more\nfirst own words", 2: "a b c d", 3: "kept"}
+
+
 # The pipeline
 
 
