@@ -7,9 +7,10 @@ moves on a fixed ellipse, so predictions are good to arc seconds over weeks, not
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -194,7 +195,7 @@ class FitRules:
 
 
 def triplets(mjd: np.ndarray, method: str, most: int) -> list[tuple[int, int, int]]:
-    """Which three observations to try, in order: longest arc first, then the most central middle."""
+    """Which three observations of the sorted ``mjd`` to try, in order: longest arc first, then the most central middle."""
     n = len(mjd)
     if n < 3:
         return []
@@ -204,10 +205,37 @@ def triplets(mjd: np.ndarray, method: str, most: int) -> list[tuple[int, int, in
         return [(n // 6, n // 2, n - 1 - n // 6)]
     if method != "combinations":
         raise ValueError(f"unknown selection method {method!r}")
-    ends = list(range(n)) if n <= 24 else [*range(12), *range(n - 12, n)]
-    found = [c for c in itertools.combinations(ends, 3) if len({mjd[x] for x in c}) == 3]
-    found.sort(key=lambda c: (-(mjd[c[2]] - mjd[c[0]]), abs(mjd[c[1]] - (mjd[c[0]] + mjd[c[2]]) / 2)))
-    return found[:most]
+    return list(itertools.islice(_ranked(mjd, most), most))
+
+
+def _ranked(mjd: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+    """All triplets of three different times of the sorted ``mjd``, best first, as far as the first ``most`` of them need.
+
+    Pairs of ends come from a heap by arc, from the outside in; those of one arc are ranked together by
+    their middles, of which a pair gives its ``most`` best.
+    """
+    n = len(mjd)
+    heap, seen, level, arc = [(mjd[0] - mjd[n - 1], 0, n - 1)], {(0, n - 1)}, [], None
+
+    def ranked() -> list[tuple[int, int, int]]:
+        return [c for _, c in heapq.nsmallest(most, level)]
+
+    while heap:
+        minus, i, k = heapq.heappop(heap)
+        if minus >= 0:
+            break
+        if minus != arc:
+            yield from ranked()
+            level, arc = [], minus
+        between = np.flatnonzero((mjd[i + 1 : k] > mjd[i]) & (mjd[i + 1 : k] < mjd[k])) + i + 1
+        far = np.abs(mjd[between] - (mjd[i] + mjd[k]) / 2)
+        best = np.argsort(far, kind="stable")[:most]
+        level += [(f, (i, j, k)) for f, j in zip(far[best].tolist(), between[best].tolist(), strict=True)]
+        for a, b in ((i + 1, k), (i, k - 1)):
+            if a < b and (a, b) not in seen:
+                seen.add((a, b))
+                heapq.heappush(heap, (mjd[a] - mjd[b], a, b))
+    yield from ranked()
 
 
 def initial_orbit(seen, mjd, sigma, observer, rules: FitRules) -> tuple[float, np.ndarray, np.ndarray, float] | None:

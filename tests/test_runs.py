@@ -1,5 +1,6 @@
 """Orbit kernels, linking runs, settings, reports and streams end to end; every query with an oracle against DuckDB."""
 
+import itertools
 import json
 import math
 
@@ -75,6 +76,15 @@ def test_gibbs_and_herrick_gibbs_recover_velocity():
     assert np.allclose(orbits.herrick_gibbs(*r, -1.0, 0.0, 1.0), s[0, 3:], atol=1e-7)
 
 
+@pytest.mark.parametrize("n, most", [(5, 100), (24, 20), (25, 40), (40, 9000), (60, 39)])
+def test_triplets_rank_all_combinations(n, most):
+    for times in (60310.0 + np.arange(n), np.sort(np.random.default_rng(n).integers(0, n, n) / 4 + 60310.0)):
+        ranked = [c for c in itertools.combinations(range(n), 3) if len({times[x] for x in c}) == 3]
+        ranked.sort(key=lambda c: (-(times[c[2]] - times[c[0]]), abs(times[c[1]] - (times[c[0]] + times[c[2]]) / 2)))
+        assert orbits.triplets(times, "combinations", most) == ranked[:most]
+    assert n != 60 or orbits.triplets(60310.0 + np.arange(n), "combinations", most)[0] in ((0, 29, 59), (0, 30, 59))
+
+
 def test_correction_drops_a_planted_outlier():
     s = orbits.from_elements(2.4, 0.15, 6, 40, 70, 100)[0]
     t = 60310 + np.array([0, 0.04, 2, 2.04, 5, 5.04, 9, 9.04, 14, 14.04])
