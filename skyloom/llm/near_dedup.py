@@ -11,7 +11,7 @@
    sketches the bound is the threshold itself and certain). A pair is dropped only if its overlap, and as
    many hot values as either has, cannot reach that.
 4. A pair may be missed there only if all values that it shares are hot; both documents then have at
-   least that share of hot values. These few documents are joined exactly: their whole sets are ordered
+   least that share of hot values (a set that lies whole in its sketch less, as its partner's may drop some). These few documents are joined exactly: their whole sets are ordered
    by rarity among them, and a pair at the threshold shares a value of the prefixes of length
    n - ceil(t n) + 1. Long prefix lists first link to their most central member, the one with the least
    share of values that few others have, then to members picked by hash; after the components are
@@ -141,8 +141,12 @@ def sketch_pairs(sketches: DataFrame, p: Similarity) -> tuple[DataFrame, DataFra
     whole = F.greatest("na", "nb") <= p.k
     need = F.when(whole, F.ceil(F.lit(p.percent) * F.greatest("na", "nb") / 100)).otherwise(F.lit(math.floor(p.least_share * p.k)))
     pairs = overlap.where(F.col("overlap") + F.col("hot") >= need).select("a", "b")
-    # Whole sets at the threshold share at least that part of their own values, sampled ones the least share.
-    enough = F.when(F.col("n") <= p.k, F.floor(F.lit(p.percent) * F.col("n") / 100)).otherwise(F.lit(math.floor(p.least_share * p.k)))
+    # Whole sets at the threshold share at least that part of their own values, less what the sketch of the
+    # largest partner drops; sampled ones the least share.
+    most = F.floor(100 * F.col("n") / p.percent)
+    sketched = F.floor(F.lit(p.percent) * (F.col("n") + most) / (100 + p.percent)) - F.greatest(most - p.k, F.lit(0))
+    certain = F.least(F.floor(F.lit(p.percent) * F.col("n") / 100), sketched)
+    enough = F.when(F.col("n") <= p.k, certain).otherwise(F.lit(math.floor(p.least_share * p.k)))
     risky = hot.join(multi.select("id", "n").distinct(), "id").where(F.col("hot") >= enough).select("id")
     return pairs, risky
 

@@ -270,6 +270,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicates(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("variants", [36, 40, 44])
+def test_near_duplicates_of_a_whole_set_in_sampled_ones(spark, variants):
+    base = [f"b{i}" for i in range(68)]
+    texts = [" ".join(base)] + [" ".join(base + [f"v{v}x{i}" for i in range(16)]) for v in range(variants)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: (64 if i == 0 else 80, 0) for i in range(variants + 1)}
+
+
 # Lines
 
 
