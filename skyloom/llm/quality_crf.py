@@ -6,7 +6,7 @@ learnt potential. Forward-backward gives each line's probability of being good,
 weighted by their lengths, is the document's quality.
 
 The field is fitted on the driver, on a bounded sample of labelled documents: at most ``max_documents``,
-those whose ids hash lowest, and of each at most ``max_lines`` lines, both documented parameters. Only
+those whose ids hash lowest, each with all of its lines. Only
 labels that the caller's ``train`` condition admits are used. Scoring covers every line of every text,
 in Arrow batches without a shuffle.
 
@@ -42,7 +42,6 @@ N_FIGURES = 14
 @dataclass(frozen=True)
 class Fit:
     max_documents: int = 3000
-    max_lines: int = 100
     rounds: int = 200
     rate: float = 0.05
     ridge: float = 1e-3
@@ -196,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, admit: Column, p: Fit = Fit(), key
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            found = [document_figures(t)[0][: p.max_lines] for t in batch.column(2).to_pylist()]
+            found = [document_figures(t)[0] for t in batch.column(2).to_pylist()]
             flat = [pa.array([v for f in fs for v in f], pa.float64()) for fs in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.to_pylist() for x in flat], pa.list_(pa.float64()))], [key, "y", "figures"])
 

@@ -213,6 +213,15 @@ def test_field_on_odd_rows(spark):
     assert quality_crf.classify(docs.where("false"), model).count() == 0
 
 
+def test_field_learns_from_all_lines(spark):
+    same = ["A plain line of words that all of the documents share."] * 120
+    good, bad = ["The report describes how the river was measured over ten years."] * 150, ["!!! $$$ CLICK ### HERE ||| NOW *** FREE"] * 150
+    docs = spark.createDataFrame([(i, "\n".join(same + (good if i % 2 else bad))) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality_crf.classify(docs, quality_crf.train(docs, labels, F.lit(True))).collect()}
+    assert min(got[i] for i in got if i % 2) > max(got[i] for i in got if not i % 2) + 0.2
+
+
 # Near duplicates
 
 
