@@ -131,6 +131,26 @@ def velocity_grid(points: DataFrame, vxs: list[float], vys: list[float], epoch:
     return cells.groupBy("cluster_id").agg(best, F.first("num_obs").alias("num_obs"), F.first("arc_length").alias("arc_length")).select("cluster_id", "best.*", "num_obs", "arc_length")
 
 
+def density_clusters(points: DataFrame, vxs: list[float], vys: list[float], epoch: float, eps: float, validity: Validity) -> DataFrame:
+    """(cluster_id, id) of the valid clusters that ``dbscan`` finds at each velocity of a grid, each member set once.
+
+    A point has an id of its own at each velocity, so that labels of two velocities never meet.
+    """
+    wide = points.withColumn("vx", F.explode(F.array(*map(F.lit, vxs)))).withColumn("vy", F.explode(F.array(*map(F.lit, vys))))
+    moved = shifted(wide, F.col("vx"), F.col("vy"), epoch).withColumn("own", F.col("id"))
+    moved = stage(moved.withColumn("id", F.concat_ws(" ", F.col("vx").cast("string"), F.col("vy").cast("string"), "own")).select("id", "own", "vx", "vy", "xx", "yy", "mjd", "days"), "moved")
+    labels = dbscan(moved, eps, validity.min_obs, ["vx", "vy"]).select("id", "label")
+    grouped = moved.join(labels, "id").groupBy("label").agg(
+        F.count("*").alias("num_obs"),
+        F.size(F.collect_set("mjd")).cast("bigint").alias("n_times"),
+        (F.max("mjd") - F.min("mjd")).alias("arc_length"),
+        F.size(F.collect_set("days")).cast("bigint").alias("nights"),
+        set_hash(F.col("own")).alias("cluster_id"),
+        F.array_sort(F.collect_set("own")).alias("members"),
+    )
+    return valid_clusters(grouped, validity).groupBy("cluster_id").agg(F.first("members").alias("members")).select("cluster_id", F.explode("members").alias("id"))
+
+
 def moments(t: Column, x: Column, y: Column) -> list[Column]:
     """Sums that a quadratic fit needs, as aggregates: powers of t, and their products with x and y."""
     out = [F.count("*").cast("double").alias("s0")] + [F.sum(F.pow(t, k)).alias(f"s{k}") for k in range(1, 5)]

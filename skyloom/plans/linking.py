@@ -51,6 +51,10 @@ def link_test_orbit(
     ``filters`` are applied before the configured radius. The run ends early after
     ``config.stop_after_stage``.
     """
+    if config.cluster_algorithm not in ("dbscan", "hotspot_2d"):
+        raise NotImplementedError(f"algorithm {config.cluster_algorithm!r} is not implemented")
+    if config.split_threshold is not None:
+        raise NotImplementedError("the adaptive split of test orbits is not built")
     if folder is not None:
         guard(spark, config, folder)
 
@@ -85,6 +89,9 @@ def link_test_orbit(
         vxs, vys = span(config.cluster_vx_min, config.cluster_vx_max, config.cluster_vx_bins), span(config.cluster_vy_min, config.cluster_vy_max, config.cluster_vy_bins)
         epoch = points.agg(F.min("mjd")).first()[0]
         validity = clustering.Validity(config.cluster_min_obs, config.cluster_min_arc_length, config.cluster_min_nights)
+        if config.cluster_algorithm == "dbscan":
+            found = clustering.density_clusters(points.withColumn("days", F.col("night")), vxs, vys, epoch or 0.0, config.cluster_radius, validity)
+            return found.select(F.col("cluster_id").alias("linkage_id"), F.col("id").alias("obs_id"))
         cells = clustering.velocity_grid(points.withColumn("days", F.col("night")), vxs, vys, epoch or 0.0, config.cluster_radius, validity, shifts=4)
         cells = stage_table(cells, "cells")
         # Only the velocities that found a cluster are paired with the points again.

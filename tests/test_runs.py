@@ -7,6 +7,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyloom.config import Config, guard
@@ -112,6 +113,23 @@ def test_linking_run_resumes(spark, sf, tmp_path):
         guard(spark, Config(cluster_min_obs=9), folder)
 
 
+def test_linking_run_uses_its_cluster_algorithm(spark, sf):
+    obs = orbit_queries.synthetic_observations(spark, sf).where("obs_id LIKE '7\\_%'").drop("linkage_id").withColumn("night", F.floor("mjd").cast("bigint"))
+    one = orbit_queries.synthetic_orbits(spark, sf).where("orbit_id = '7'")
+    # A chain of points, each within reach of its neighbours, is wider than a hotspot's cell.
+    chained = obs.withColumn("lon", F.col("lon") + (F.dense_rank().over(Window.orderBy("mjd")) - 1) * 0.004)
+    still = {f"cluster_v{a}_{b}": 0.0 for a in "xy" for b in ("min", "max")}
+    found = {}
+    for name in ("dbscan", "hotspot_2d"):
+        config = Config(**still, cluster_vx_bins=1, cluster_vy_bins=1, cluster_radius=0.009, cluster_min_obs=4, cluster_min_nights=1, cluster_algorithm=name, stop_after_stage="cluster_and_link")
+        *_, last = linking.link_test_orbit(spark, one, chained, config)
+        found[name] = [r["n"] for r in last.output.groupBy("linkage_id").agg(F.count("*").alias("n")).collect()]
+    assert found["dbscan"] == [10] and 10 not in found["hotspot_2d"]
+    for wrong in (Config(cluster_algorithm="kmeans"), Config(split_threshold=10)):
+        with pytest.raises(NotImplementedError):
+            next(linking.link_test_orbit(spark, one, obs, wrong))
+
+
 def test_own_detections_lie_at_the_centre_of_the_frame(spark, sf):
     rows = orbit_queries.range_transform(spark, sf).where("obs_id LIKE '7\\_%'").collect()
     assert len(rows) == 10 and all(abs(r["theta_x"]) < 1e-5 and abs(r["theta_y"]) < 1e-5 for r in rows)
