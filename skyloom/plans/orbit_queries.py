@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from skyloom.functions import sphere
-from skyloom.operators import orbit_grids, orbits, projection
+from skyloom.operators import orbit_grids, orbits, phase_space, projection
 from skyloom.operators.orbits import MU
 
 from .sky_queries import query, r6, read
@@ -160,4 +158,7 @@ def test_orbit_grid(spark, sf_dir):
 @query("SELECT count(*) AS n FROM (SELECT 1 FROM region, nation, region r2)")
 def grid_product(spark, sf_dir):
     sizes = [read(spark, sf_dir, t).count() for t in ("region", "nation", "region")]
-    return spark.range(math.prod(sizes)).agg(F.count("*").alias("n"))
+    bounds = phase_space.Bounds.preset("main_belt")
+    # Distinct points, so that every combination is made and not only numbered.
+    points = phase_space.grid(spark, bounds, [max(n, 1) for n in sizes] + [1, 1, 1]).where(F.lit(min(sizes) > 0))
+    return points.select(*bounds.names).distinct().agg(F.count("*").alias("n"))

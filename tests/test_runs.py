@@ -45,6 +45,12 @@ def test_query_without_oracle_gives_rows(spark, sf, name):
     assert catalog.queries()[name](spark, sf).count() > 0
 
 
+def test_grid_product_counts_rows_of_the_grid(spark, sf, monkeypatch):
+    made = orbit_queries.phase_space.grid
+    monkeypatch.setattr(orbit_queries.phase_space, "grid", lambda *a, **k: made(*a, **k).limit(7))
+    assert orbit_queries.grid_product(spark, sf).first()["n"] == 7
+
+
 def test_propagation_closes_an_orbit():
     s = orbits.from_elements(2.5, 0.3, 10, 40, 70, 100)
     period = 2 * math.pi * math.sqrt(2.5**3 / orbits.MU)
