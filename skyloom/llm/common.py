@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextvars import ContextVar, Token
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session, whose tasks share the machine's disk, gets a temporary folder; a cluster is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark, "_skyloom_shared", None)
         if base is None:
             base = spark._skyloom_shared = f"file://{tempfile.mkdtemp(prefix='skyloom-')}"
@@ -30,20 +37,38 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-_STAGED: list[tuple[str, str]] = []
+#: The tables staged in the innermost open ``scratch`` of this thread, by path.
+_OWNED: ContextVar[list[str] | None] = ContextVar("skyloom_owned", default=None)
 
 
-def release(spark: SparkSession, keep: str = "pipeline-", only: str = "") -> None:
-    """Deletes the staged tables of this session whose names start with ``only`` and not with ``keep``.
+class Scratch:
+    """Tables staged while it is open. At its end all are deleted but those whose result was ``kept``."""
 
-    For use between jobs: what was planned on these tables must have been written elsewhere by then.
-    """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name, path in list(_STAGED):
-        if name.startswith(only) and not name.startswith(keep):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-            _STAGED.remove((name, path))
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self._before = _OWNED.set(self.paths)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OWNED.reset(self._before)
+        self.drop()
+
+    def drop(self) -> None:
+        """Deletes what was staged so far; no plan that reads these tables may run any more."""
+        for path in self.paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths.clear()
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` staged in a table that outlives this scratch; it belongs to the one around it, if any."""
+        token = _OWNED.set(self._before.old_value if self._before.old_value is not Token.MISSING else None)
+        try:
+            return staged(df, name)
+        finally:
+            _OWNED.reset(token)
 
 
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -51,8 +76,10 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skyloom/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    _STAGED.append((name, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

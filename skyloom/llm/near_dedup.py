@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, slices, staged
+from .common import Scratch, join_small, slices, staged
 from .graph import components
 
 
@@ -219,6 +219,11 @@ def _unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, p: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id of the group), kept (it is that document)."""
+    with Scratch(docs.sparkSession) as own:
+        return own.kept(_near_duplicates(docs, p, key, text), "near-result")
+
+
+def _near_duplicates(docs: DataFrame, p: Similarity, key: str, text: str) -> DataFrame:
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = staged(signatures(docs, p), "near-signatures")
     classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))

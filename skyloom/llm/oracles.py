@@ -91,7 +91,7 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c, w.d
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON v = w.doc_id"""
 
 
-def line_dedup_sql(percent: int = 80, least: int = 5) -> str:
+def line_dedup_sql(percent: int = 80, least: int = 1) -> str:
     """Rows of op7: every line against all earlier ones, by shared tokens; the places are compared as a list."""
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""

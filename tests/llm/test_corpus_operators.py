@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from skyloom.llm import chat, line_dedup, near_dedup, packing, quality_crf, registry, site_tree
+from skyloom.llm import chat, columns, line_dedup, near_dedup, packing, quality_crf, registry, site_tree
 
 TOKENS = P.path("word_bpe_49k.json")
 
@@ -304,8 +304,8 @@ def brute_lines(texts, percent=80, least=5):
     return out
 
 
-@pytest.mark.parametrize("short, ranked", [(48, 1 << 17), (2, 20)])
-def test_removed_lines_match_brute_force(spark, short, ranked):
+@pytest.mark.parametrize("short, ranked, hot", [(48, 1 << 17, 1 << 20), (2, 20, 30)])
+def test_removed_lines_match_brute_force(spark, short, ranked, hot):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(120)]
     lines = [" ".join(rng.choice(vocab) for _ in range(rng.choice([3, 6, 10, 25]))) for _ in range(40)]
@@ -319,7 +319,7 @@ def test_removed_lines_match_brute_force(spark, short, ranked):
             own.append(" ".join(w))
         texts.append("\n".join(own))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("line", F.lit("clash"))
-    rules = line_dedup.LineRules(short=short, ranked=ranked)
+    rules = line_dedup.LineRules(min_tokens=5, short=short, ranked=ranked, hot=hot)
     rows = line_dedup.line_report(docs, rules).collect()
     assert {(r["doc_id"], i) for r in rows for i in r["removed"]} == brute_lines(texts) and len(rows) == len(texts)
     cut = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, rules).collect()}
@@ -345,7 +345,7 @@ def test_short_lines_match_brute_force(spark, short):
     texts = ["\n".join(" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 7))) for _ in range(4)) for _ in range(40)]
     texts += ["a b c d", "d c b a e", "x x x y", "y x", "x y z"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = line_dedup.line_report(docs, line_dedup.LineRules(min_tokens=1, short=short)).collect()
+    rows = line_dedup.line_report(docs, line_dedup.LineRules(short=short, hot=20 if short == 2 else 1 << 20)).collect()
     want = brute_lines(texts, least=1)
     assert {(r["doc_id"], i) for r in rows for i in r["removed"]} == want and {(41, 0), (43, 0)} <= want
 
@@ -357,6 +357,24 @@ def test_pipeline_stage_removes_short_lines(spark, sf):
     assert got == {1: "Read more\nfirst own words", 2: "a b c d", 3: "kept"}
 
 
+def test_equal_lines_are_decided_by_whole_hashes(spark):
+    """Words that share 44 bits of a 64-bit hash in some orders are still different words."""
+    texts = ["alpha beta gamma delta w896827", "alpha beta gamma delta w7579430", "alpha beta gamma delta w7579431"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_removed"] for r in line_dedup.line_report(docs).collect()] == [0, 0, 0]
+
+
+def test_word_hashes_of_long_and_odd_texts():
+    hasher = columns.WordHasher(2)
+    texts = [b"x" * (3 << 20), None, b"", b"A b\n\n\x0bC\r\n", "É é".encode(), b"a " * 700_000 + b"\nz"]
+    line, (h, h2), first = hasher.lines(texts)
+    assert first.tolist() == [0, 1, 2, 3, 7, 8, 10]
+    word = lambda w: tuple(x[0] for x in columns.WordHasher(2).lines([w])[1])
+    assert len(h) == 1 + 3 + 2 + 700_001 and line[1:6].tolist() == [3, 3, 5, 7, 7] and line[-1] == 9
+    assert [(h[i], h2[i]) for i in (1, 2, 3, -2, -1)] == [word(w) for w in (b"a", b"b", b"c", b"a", b"z")] and h[4] != h[5]
+    assert [c.tolist() for c in columns.unpack(columns.pack(h[:5], line[:5]))] == [h[:5].tolist(), line[:5].tolist()]
+
+
 # The pipeline
 
 
