@@ -1,24 +1,32 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the bytes of distinct words.
 
-Texts are split into words by the tokenizer's pattern in Arrow batches. Each block of documents becomes
-one row: its distinct words as byte arrays, and per document the positions of its words among them. A
-fold over each distinct word (``aggregate`` over a state of pieces and of adjacent ranks) merges the
-lowest-ranked adjacent pair, leftmost first, until none is left. Ranks come from a literal map, hashed
-into buckets so that a lookup costs one bucket. Decoding is native as well: a second literal has each
-id's bytes, and a word's pieces are concatenated. The last step strings the words of each document
-together. Nothing is shuffled, so hot words, sources and groups of copies cost no more than others.
+1. Texts are split into words by the tokenizer's pattern in Arrow batches. A block of documents gives its
+   distinct words, dealt into buckets by hash, and a layout: which words its texts have, in order.
+2. Words of up to SHARD blocks meet by bucket, so that each is folded once a shard. A fold over a word
+   (``aggregate`` over the pieces' bounds) merges the lowest-ranked adjacent pair, leftmost first, until
+   none is left. Ranks come from a literal map, hashed into buckets so that a lookup costs one bucket.
+   Decoding is native as well: a second literal has each id's bytes, and a word's pieces are concatenated.
+3. What a block's words came to returns to its layout, which strings the words of each document together.
+
+Exchanges carry compressed arrays, a row a block and bucket: about the size of the distinct words. Texts
+are not shuffled, and layouts lie in a table bucketed by block, so neither are they. A shard's bucket has
+at most SHARD blocks' words, so hot words, sources and groups of copies cost no more than others.
 
 Edge cases: a null or empty text has no ids; its decoded bytes are empty. Very long texts form a block of
-their own; memory follows one text. A fold takes steps in proportion to a word's bytes, each over its
-pieces, so time grows with the square of a single unbroken word. Repeated rows give equal rows; an empty
-table gives an empty result. Only the id and text columns are read.
+their own; memory follows one text. A fold looks at all pieces a step, so words of more than LONG bytes are
+merged in the same order with a heap, in n log n steps, next to where words meet. Repeated rows give equal
+rows; an empty table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
+import struct
+import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -29,11 +37,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .columns import exchange_width, pack, unpack
+from .common import shared_dir, staged
 
 BUCKETS = 1 << 15
 #: A block of documents is closed once its texts have so many characters.
 BLOCK_CHARS = 16 << 20
+#: Words are folded once for so many blocks, and dealt into so many buckets.
+SHARD = 64
+WORD_BUCKETS = 256
+#: Longer words, in bytes, are merged with a heap.
+LONG = 256
 
 _LITERALS: dict = {}
 
@@ -111,17 +125,72 @@ def decode_ids(ids: Column, pieces: Column) -> Column:
     return F.aggregate(ids, F.lit(b"").cast("binary"), lambda out, i: F.concat(out, F.element_at(pieces, i + 1)))
 
 
-def _packed(ids: pa.ListArray, starts: np.ndarray) -> pa.Array:
-    """Each word's ids as little-endian bytes."""
-    flat = np.ascontiguousarray(ids.flatten().to_numpy())
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer((starts - starts[0]) * 4), pa.py_buffer(flat)])
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word by the merges of the fold, lowest rank and leftmost first, with a heap of pairs."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
+    def offer(i: int) -> None:
+        """The pair of the piece at ``i`` and its neighbour; the place past the neighbour tells whether it still holds."""
+        j = end[i]
+        if j < n and (rank := ranks.get(word[i : end[j]])) is not None:
+            heapq.heappush(heap, (rank, i, j, end[j]))
 
-def _spaced(ids: pa.ListArray, starts: np.ndarray) -> pa.Array:
+    heap: list[tuple[int, int, int, int]] = []
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, j, k = heapq.heappop(heap)
+        if end[i] != j or end[j] != k:
+            continue
+        end[i], end[j] = k, -1
+        if k < n:
+            before[k] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
+def _pack_bytes(sizes: np.ndarray, data: bytes) -> bytes:
+    """Byte strings, given by sizes and put together, as a compressed blob."""
+    head, body = pack(sizes.astype(np.int32)), pack(np.frombuffer(data, np.uint8))
+    return struct.pack("<I", len(head)) + head + body
+
+
+def _unpack_bytes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    (k,) = struct.unpack_from("<I", blob)
+    return unpack(blob[4 : 4 + k])[0], unpack(blob[4 + k :])[0]
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _large_binary(offsets: np.ndarray, data: pa.Buffer) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data])
+
+
+def _spaced(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
     """Each word's ids as decimal text, a space before each."""
-    said = pc.binary_join_element_wise("", ids.flatten().cast(pa.string()), " ").cast(pa.large_string())
+    said = pc.binary_join_element_wise("", pa.array(ids, pa.int32()).cast(pa.string()), " ").cast(pa.large_string())
     offsets = np.frombuffer(said.buffers()[1], np.int64)[said.offset : said.offset + len(said) + 1]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(offsets[starts - starts[0]])), said.buffers()[2] or pa.py_buffer(b"")])
+    return _large_binary(offsets[starts], said.buffers()[2] or pa.py_buffer(b""))
+
+
+def _bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
+    """``df`` in a table of the shared folder that lies bucketed by ``column``; the catalog forgets its name at once."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/skyloom/{table}").bucketBy(buckets, column).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
 
 
 def encode_documents(
@@ -138,12 +207,17 @@ def encode_documents(
     key_kind = source.schema[key].dataType.simpleString()
     ranks, pieces = literals(docs.sparkSession, path)
 
+    sent = docs.sparkSession.sparkContext.broadcast(dict(read_ranks(path)))
+
     def split(batches: Iterator[pa.RecordBatch]):
         import regex
+        from pyspark import TaskContext
 
         find = regex.compile(pattern).findall
         after_space = re.compile(r"\s ").search
-        names = ["keys", "words", "chunk_ends", "chunk_words", "lengths", "places"]
+        names = ["block", "shard", "bucket", "keys", "layout", "words"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), None, pa.binary(), pa.binary()]
+        part, numbers = TaskContext.get().partitionId(), count()
 
         def block(keys, texts):
             # A space after a character that is none parts words for sure, so texts are cut there first and
@@ -164,10 +238,22 @@ def encode_documents(
             for chunk in chunks:
                 flat += map(words.__getitem__, find(chunk[0] if type(chunk) is tuple else " " + chunk))
                 ends.append(len(flat))
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            raw = lambda x: pa.array([np.asarray(x, np.int32).tobytes()], pa.binary())
-            parts = [one(keys), one(pa.array([w.encode("utf-8") for w in words], pa.binary())), raw(ends), raw(flat), one(pa.array(lengths, pa.int32())), raw(np.concatenate(places) if places else [])]
-            return pa.RecordBatch.from_arrays(parts, names)
+            data = [w.encode("utf-8") for w in words]
+            buckets = np.fromiter((zlib.crc32(w) % WORD_BUCKETS for w in data), np.int32, len(data))
+            order = np.argsort(buckets, kind="stable")
+            at = np.empty(len(order), np.int32)
+            at[order] = np.arange(len(order), dtype=np.int32)
+            number = next(numbers)
+            own_block, shard = part << 32 | number, part // SHARD << 32 | number
+            layout = [pack(np.concatenate(places) if places else np.empty(0, np.int32)), pack(np.array(lengths, np.int32)), pack(np.array(ends, np.int32)), pack(at[np.array(flat, np.int64)])]
+            cuts = np.searchsorted(buckets[order], np.arange(WORD_BUCKETS + 1)).tolist()
+            rows = [(own_block, shard, -1, keys.to_pylist(), b"".join(struct.pack("<I", len(x)) + x for x in layout), None)]
+            for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if i < j:
+                    own_words = [data[k] for k in order[i:j].tolist()]
+                    rows.append((own_block, shard, b, None, None, _pack_bytes(np.fromiter(map(len, own_words), np.int32, j - i), b"".join(own_words))))
+            kinds[3] = pa.list_(keys.type)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
@@ -180,48 +266,95 @@ def encode_documents(
             if texts:
                 yield block(keys.slice(start), texts[start:])
 
-    held = ["keys", "chunk_ends", "chunk_words", "lengths", "places"]
-    blocks = source.mapInArrow(split, f"keys array<{key_kind}>, words array<binary>, chunk_ends binary, chunk_words binary, lengths array<int>, places binary")
-    encoded = blocks.select(*held, F.transform("words", lambda w: encode_word(w, ranks)).alias("ids"))
-    encoded = encoded.select(*held, "ids", F.transform("ids", lambda ids: decode_ids(ids, pieces)).alias("bytes"))
-    # Staged, so that no task runs two Python workers at once.
-    encoded = staged(encoded, "bpe-blocks")
-    kinds = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
-
-    def gather(batches: Iterator[pa.RecordBatch]):
+    def meet(rows: pa.Table) -> pa.Table:
+        """The distinct words of a shard's bucket, long ones merged and last, and where each block has them."""
+        found: dict[bytes, int] = defaultdict(count().__next__)
+        refs, sizes = [], []
+        for blob in rows.column("words").to_pylist():
+            lens, data = _unpack_bytes(blob)
+            raw, ends = data.tobytes(), _offsets(lens).tolist()
+            refs.append(np.fromiter((found[raw[i:j]] for i, j in zip(ends, ends[1:], strict=False)), np.int32, len(lens)))
+            sizes.append(len(lens))
+        words = list(found)
+        late = np.array([len(w) > LONG for w in words])
+        at = np.empty(len(words), np.int32)
+        at[np.argsort(late, kind="stable")] = np.arange(len(words), dtype=np.int32)
+        one = [rows.column("bucket")[0].as_py(), rows.column("block").to_pylist(), pack(np.array(sizes, np.int32)), pack(at[np.concatenate(refs)]), [w for w in words if len(w) <= LONG], [merge_long(w, sent.value) for w in words if len(w) > LONG]]
+        kinds = [pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32()))]
+        return pa.table([pa.array([x], k) for x, k in zip(one, kinds, strict=True)], names=["bucket", "blocks", "sizes", "refs", "words", "long_ids"])
+
+    width = exchange_width(docs)
+    blocks = source.mapInArrow(split, f"block long, shard long, bucket int, keys array<{key_kind}>, layout binary, words binary")
+    blocks = _bucketed(blocks, "block", width, "bpe_blocks")
+    layouts = blocks.where("bucket < 0").select("block", "keys", "layout")
+    met = blocks.where("bucket >= 0").select("block", "shard", "bucket", "words").groupBy("shard", "bucket")
+    met = met.applyInArrow(meet, "bucket int, blocks array<long>, sizes binary, refs binary, words array<binary>, long_ids array<array<int>>")
+    # Staged between Python steps, so that no task runs two Python workers at once.
+    held = ["bucket", "blocks", "sizes", "refs"]
+    folded = met.select(*held, F.concat(F.transform("words", lambda w: encode_word(w, ranks)), "long_ids").alias("ids"))
+    folded = staged(folded.select(*held, "ids", F.transform("ids", lambda ids: decode_ids(ids, pieces)).alias("bytes")), "bpe-words")
+
+    def scatter(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for r in range(batch.num_rows):
-                keys, chunk_ends, chunk_words, lengths, places, ids, data = (batch.column(c)[r] for c in range(7))
-                ends = np.concatenate([[0], np.cumsum(pa.array(lengths.values).to_numpy())])
-                at = pa.array(np.frombuffer(places.as_py(), np.int32))
-                own_words = pa.array(np.frombuffer(chunk_words.as_py(), np.int32))
-                chunk_at = np.concatenate([[0], np.frombuffer(chunk_ends.as_py(), np.int32)]).astype(np.int64)
-                starts = ids.values.offsets.to_numpy().astype(np.int64)
-
-                def laid_out(values: pa.Array) -> tuple[memoryview, np.ndarray]:
-                    """Words' values put together by chunk, and chunks side by side in the order of the texts: bytes and offsets."""
-                    by_word = values.take(own_words)
-                    spots = np.frombuffer(by_word.buffers()[1], np.int64)[: len(by_word) + 1]
-                    data = by_word.buffers()[2] or pa.py_buffer(b"")
-                    chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunk_at) - 1, [None, pa.py_buffer(np.ascontiguousarray(spots[chunk_at])), data])
-                    taken = chunks.take(at)
-                    offsets = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
-                    return memoryview(taken.buffers()[2] or b""), offsets[ends]
-
-                arrays = []
-                for name in outputs:
-                    if name == "n_tokens":
-                        by_chunk = np.concatenate([[0], np.cumsum(np.diff(starts)[own_words.to_numpy()])])[chunk_at]
-                        totals = np.concatenate([[0], np.cumsum(np.diff(by_chunk)[at.to_numpy()])])
-                        arrays.append(pa.array(np.diff(totals[ends]), pa.int64()))
-                    elif name == "ids":
-                        raw, spots = laid_out(_packed(ids.values, starts))
-                        arrays.append(pa.array([np.frombuffer(raw[a:b], np.int32) for a, b in zip(spots, spots[1:])], pa.list_(pa.int32())))
-                    else:
-                        skip = int(name == "ids_sha256")
-                        raw, spots = laid_out(_spaced(ids.values, starts) if skip else data.values.cast(pa.large_binary()))
-                        parts = [raw[a + skip * (b > a) : b] for a, b in zip(spots, spots[1:])]
-                        arrays.append(pa.array([bytes(x) for x in parts], pa.binary()) if name == "decoded" else pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()))
-                yield pa.RecordBatch.from_arrays([keys.values, *arrays], [key, *outputs])
-
-    return encoded.mapInArrow(gather, f"`{key}` {key_kind}, " + ", ".join(f"{n} {kinds[n][0]}" for n in outputs))
+                bucket, blocks, (sizes,), (refs,) = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), unpack(batch.column(2)[r].as_py()), unpack(batch.column(3)[r].as_py())
+                ids, data = batch.column(4)[r].values, batch.column(5)[r].values
+                cuts, rows = _offsets(sizes).tolist(), []
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    at = pa.array(refs[i:j])
+                    own, said = ids.take(at), data.take(at)
+                    counts, lens = pc.list_value_length(own).to_numpy(), pc.binary_length(said).to_numpy()
+                    flat = np.ascontiguousarray(own.flatten().to_numpy())
+                    bounds = np.frombuffer(said.buffers()[1], np.int32)[said.offset : said.offset + len(said) + 1]
+                    parts = [_pack_bytes(counts, flat.astype("<i4").tobytes()), _pack_bytes(lens, bytes(memoryview(said.buffers()[2] or b"")[bounds[0] : bounds[-1]]))]
+                    rows.append(struct.pack("<I", len(parts[0])) + b"".join(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(rows, pa.binary())], ["block", "bucket", "words"])
+
+    kinds = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+
+    def gather(layout: pa.Table, words: pa.Table) -> pa.Table:
+        raw, at, arrays = layout.column("layout")[0].as_py(), 0, []
+        while at < len(raw):
+            (k,) = struct.unpack_from("<I", raw, at)
+            arrays += unpack(raw[at + 4 : at + 4 + k])
+            at += 4 + k
+        places, lengths, chunk_ends, flat = arrays
+        keys = layout.column("keys").combine_chunks().values
+        parts = []
+        for _, blob in sorted(zip(words.column("bucket").to_pylist(), words.column("words").to_pylist(), strict=True)):
+            (k,) = struct.unpack_from("<I", blob)
+            parts.append((*_unpack_bytes(blob[4 : 4 + k]), *_unpack_bytes(blob[4 + k :])))
+        counts, ids, lens, data = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint8),) * 4
+        ids = np.ascontiguousarray(ids).view(np.int32)
+        starts = _offsets(counts)
+        ends, chunk_at = _offsets(lengths), np.concatenate([[0], chunk_ends]).astype(np.int64)
+        own_words, at = pa.array(flat), pa.array(places)
+
+        def laid_out(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+            """Words' values put together by chunk, and chunks side by side in the order of the texts: bytes and offsets."""
+            by_word = values.take(own_words)
+            spots = np.frombuffer(by_word.buffers()[1], np.int64)[: len(by_word) + 1]
+            chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunk_at) - 1, [None, pa.py_buffer(np.ascontiguousarray(spots[chunk_at])), by_word.buffers()[2] or pa.py_buffer(b"")])
+            taken = chunks.take(at)
+            offsets = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
+            return memoryview(taken.buffers()[2] or b""), offsets[ends]
+
+        arrays = []
+        for name in outputs:
+            if name == "n_tokens":
+                by_chunk = _offsets(np.diff(starts)[flat])[chunk_at]
+                totals = _offsets(np.diff(by_chunk)[places])
+                arrays.append(pa.array(np.diff(totals[ends]), pa.int64()))
+            elif name == "ids":
+                raw, spots = laid_out(_large_binary(starts * 4, pa.py_buffer(ids)))
+                arrays.append(pa.array([np.frombuffer(raw[a:b], np.int32) for a, b in zip(spots, spots[1:])], pa.list_(pa.int32())))
+            else:
+                skip = int(name == "ids_sha256")
+                raw, spots = laid_out(_spaced(ids, starts) if skip else _large_binary(_offsets(lens), pa.py_buffer(data)))
+                parts = [raw[a + skip * (b > a) : b] for a, b in zip(spots, spots[1:])]
+                arrays.append(pa.array([bytes(x) for x in parts], pa.binary()) if name == "decoded" else pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()))
+        return pa.table([keys, *arrays], names=[key, *outputs])
+
+    scattered = folded.mapInArrow(scatter, "block long, bucket int, words binary")
+    out = f"`{key}` {key_kind}, " + ", ".join(f"{n} {kinds[n][0]}" for n in outputs)
+    return layouts.groupBy("block").cogroup(scattered.groupBy("block")).applyInArrow(gather, out)
