@@ -245,7 +245,15 @@ def encode_documents(
             at[order] = np.arange(len(order), dtype=np.int32)
             number = next(numbers)
             own_block, shard = part << 32 | number, part // SHARD << 32 | number
-            layout = [pack(np.concatenate(places) if places else np.empty(0, np.int32)), pack(np.array(lengths, np.int32)), pack(np.array(ends, np.int32)), pack(at[np.array(flat, np.int64)])]
+            # Chunks are numbered by falling counts, so that most numbers are small.
+            spots = np.concatenate(places) if places else np.empty(0, np.int32)
+            by_count = np.argsort(-np.bincount(spots, minlength=len(chunks)), kind="stable")
+            ranked = np.empty(len(by_count), np.int32)
+            ranked[by_count] = np.arange(len(by_count), dtype=np.int32)
+            sizes, starts = np.diff(ends, prepend=0)[by_count], np.concatenate([[0], ends]).astype(np.int64)[by_count]
+            new_ends = np.cumsum(sizes)
+            moved = np.arange(len(flat)) + np.repeat(starts - new_ends + sizes, sizes)
+            layout = [pack(ranked[spots]), pack(np.array(lengths, np.int32)), pack(new_ends.astype(np.int32)), pack(at[np.array(flat, np.int64)[moved]])]
             cuts = np.searchsorted(buckets[order], np.arange(WORD_BUCKETS + 1)).tolist()
             rows = [(own_block, shard, -1, keys.to_pylist(), b"".join(struct.pack("<I", len(x)) + x for x in layout), None)]
             for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):

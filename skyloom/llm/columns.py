@@ -100,45 +100,52 @@ class Powers:
 
 
 class WordHasher:
-    """Words of texts (runs of characters other than ASCII white space, A-Z in lower case) as 64-bit hashes.
+    """Words of texts (runs of characters other than ASCII white space, A-Z in lower case unless said otherwise) as 64-bit hashes.
 
     A hash is a polynomial of a word's bytes modulo 2 ** 64, spread by a bijection. With two bases the
     pair has 128 bits: that two different words share it is as good as excluded, but for words built to.
     """
 
-    def __init__(self, hashes: int = 1):
-        self.powers = [Powers(b) for b in _BASES[:hashes]]
+    def __init__(self, hashes: int = 1, lower: bool = True):
+        self.powers, self.lower = [Powers(b) for b in _BASES[:hashes]], lower
 
     def lines(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """(line of each word, its hashes, first line of each text): lines are counted over all texts."""
-        joined = b"\n".join([t or b"" for t in texts])
+        _, starts, _, hashes, _, breaks = self._all(texts)
+        # The line of a word is how many breaks lie before it. Breaks are few, so words are counted up to each.
+        line = np.cumsum(np.bincount(np.searchsorted(starts, breaks), minlength=len(starts) + 1)[: len(starts)])
         counts = np.fromiter((1 + (t or b"").count(b"\n") for t in texts), np.int64, len(texts))
-        first = np.concatenate([[0], np.cumsum(counts)])
-        at, line, found = 0, 0, []
+        return line, hashes, np.concatenate([[0], np.cumsum(counts)])
+
+    def words(self, texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """(all bytes, start, end and hashes of each word there, first word of each text)."""
+        joined, starts, ends, hashes, offsets, _ = self._all(texts)
+        return joined, starts, ends, hashes, np.searchsorted(starts, offsets)
+
+    def _all(self, texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        joined = b"\n".join([t or b"" for t in texts])
+        offsets = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts])])
+        at, found = 0, []
         while at < len(joined):
             end = min(at + CHUNK, len(joined))
-            if end < len(joined):
-                # A chunk ends at white space, or where the word at its end does.
-                while end < len(joined) and _IS_WORD[joined[end]]:
-                    end += 1
-            part = np.frombuffer(joined[at:end].translate(_LOWER), np.uint8)
-            lines, hashes, breaks = self._chunk(part)
-            found.append((lines + line, *hashes))
-            line += breaks
+            # A chunk ends at white space, or where the word at its end does.
+            while end < len(joined) and _IS_WORD[joined[end]]:
+                end += 1
+            part = joined[at:end]
+            starts, ends, hashes, breaks = self._chunk(np.frombuffer(part.translate(_LOWER) if self.lower else part, np.uint8))
+            found.append((starts + at, ends + at, breaks + at, *hashes))
             at = end
         if not found:
-            return np.empty(0, np.int64), [np.empty(0, np.uint64) for _ in self.powers], first
-        whole = [np.concatenate(x) for x in zip(*found, strict=True)]
-        return whole[0], whole[1:], first
+            none = np.empty(0, np.int64)
+            return joined, none, none, [np.empty(0, np.uint64) for _ in self.powers], offsets, none
+        starts, ends, breaks, *hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+        return joined, starts, ends, hashes, offsets, breaks
 
-    def _chunk(self, part: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], int]:
+    def _chunk(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
         word = np.zeros(len(part) + 2, bool)
         word[1:-1] = _IS_WORD[part]
         edges = np.flatnonzero(word[1:] != word[:-1])
         starts, ends = edges[::2], edges[1::2]
-        breaks = np.flatnonzero(part == 10)
-        # The line of a word: how many breaks lie before it. Breaks are few, so words are counted up to each.
-        lines = np.cumsum(np.bincount(np.searchsorted(starts, breaks), minlength=len(starts) + 1)[: len(starts)])
         hashes = []
         values = part.astype(np.uint64) + np.uint64(1)
         for p in self.powers:
@@ -146,7 +153,7 @@ class WordHasher:
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(values * p.up[: len(part)], out=sums[1:])
             hashes.append(mixed((sums[ends] - sums[starts]) * p.down[starts]))
-        return lines, hashes, len(breaks)
+        return starts, ends, hashes, np.flatnonzero(part == 10)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

@@ -1,11 +1,16 @@
 """Mixture-controlled packing: deficit round-robin over source queues, solved in closed form.
 
-Every source is a queue of tokens. A window of W tokens gives each queue its share of the window, and
-what rounding leaves over is a deficit that the queue carries to the next window. With target shares
-c1, c2, ... cumulated to C1 <= C2 <= ... <= 1, after w windows the queues up to k have sent
-floor(w * W * Ck) tokens together, so every window is full, every queue is within a token of its target
-at all times, and no state passes from window to window: where a token lands follows from its place in
-its queue. Queues of less than one token a window share one queue, so that places never run backwards.
+Every source is a queue of tokens with a target share. A window of W tokens credits each queue its share
+of the window; queues send in turn, whole tokens, and what rounding leaves over is a deficit that a queue
+carries to the next window. A queue that runs dry leaves the round, and the shares of the others grow in
+proportion, so every window but the last is full. Targets are given by source, or are the sources' shares
+of all tokens. Sources without a target follow when those with one are empty, in proportion to their tokens.
+
+Between two queues running dry, what queues 1 to k have been credited together is a straight line in the
+tokens sent so far, and what they have sent is its floor: each deficit stays under a token, no state passes
+from window to window, and where a token lands follows from its place in its queue. ``Rounds`` holds the
+lines, a few integers a queue and stretch. Sources that would send less than one token a window share one
+queue, so that places never run backwards.
 
 Places come from prefix sums. One pass tokenises each text once, writes the ids to the shared folder and
 counts, within each task, the tokens before each document in its queue. Sums by task and source (partial
@@ -19,78 +24,108 @@ an empty result. Only the id, text and source columns are read.
 
 from __future__ import annotations
 
-import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from math import lcm
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import WordHasher, utf8
 from .common import join_small, slices, staged
 
-#: The largest share of the window's tokens a queue of its own may fall below is one token a window.
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """The byte-level alphabet of tokenizers by byte: printable Latin-1 characters stand for themselves, others follow from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-class WordIds(dict):
-    """Little-endian id bytes of words, filled for a batch of texts at a time and forgotten when there are many.
+class WordIds:
+    """Little-endian id bytes of texts; words are tokenised once while they are remembered.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in a
-    row. Nor does it merge a letter with the punctuation after it, so a word is a stem and a tail. A stem
-    of Latin letters only goes straight to the model, in lower case and in the byte-level alphabet, as the
-    tokenizer's own normalizer and splitter would hand it over; all other stems go through the tokenizer.
+    row. Nor does it merge a Latin letter with punctuation after it, so a word is a stem and a tail. A stem of
+    Latin letters is one run for the splitter, and the ids of a run end with one that ends a word, so many
+    such stems are tokenised as one text. İ is none of them, as its lower case ends with a combining mark.
+    Everything else goes through the tokenizer by itself; strings of its special tokens give their ids.
     """
 
     TAIL = b"*$%&#!,.;|?:"
-    _ALPHABET = _byte_alphabet()
 
-    def __init__(self, path: str, end_id: int, most: int = 250_000):
+    def __init__(self, path: str, end_id: int, most: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is its share
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.model = self.tok.model
-        self.kind, self.letter = ("<u2", "H") if self.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else ("<u4", "I")
+        self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        self.width = np.dtype(self.kind).itemsize
         self.end, self.most = np.array([end_id], self.kind).tobytes(), most
+        self.ends_word = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
-
-    def _part(self, part: bytes) -> bytes:
-        if (found := self.parts.get(part)) is None:
-            s = part.decode("utf-8", "replace")
-            if s.isalpha() and max(s) < "\u0250" and "\u0130" not in s:
-                ids = [t.id for t in self.model.tokenize(s.lower().encode().decode("latin-1").translate(self._ALPHABET))]
-            else:
-                ids = self.tok.encode(s, add_special_tokens=False).ids
-            found = self.parts[part] = struct.pack(f"<{len(ids)}{self.letter}", *ids)
-        return found
-
-    def __missing__(self, word: bytes) -> bytes:
-        stem = word.rstrip(self.TAIL)
-        if len(stem) < len(word) and stem and stem.decode("utf-8", "replace")[-1].isalpha():
-            ids = self._part(stem.lower() if stem.isascii() else stem) + self._part(word[len(stem) :])
-        else:
-            ids = self._part(word)
-        self[word] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text and the end id, as bytes. bytes.split() parts words at ASCII white space only."""
-        if len(self) > self.most:
-            self.clear()
+        self.hasher = WordHasher(2, lower=False)
+
+    @staticmethod
+    def _plain(stem: str) -> bool:
+        return stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem
+
+    def _alone(self, part: bytes) -> bytes:
+        return np.array(self.tok.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remembers the ids of words."""
+        split, stems = [], {}
+        for word in words:
+            stem = word.rstrip(self.TAIL)
+            s = stem.decode("utf-8", "replace")
+            if self._plain(s):
+                stem = stem.lower() if stem.isascii() else stem
+                if stem not in self.parts:
+                    stems[stem] = s
+            elif not (s and self._plain(s[-1])):
+                stem = word
+            split.append((word, stem, word[len(stem) :]))
+        names = list(stems)
+        for i in range(0, len(names), 2000):
+            ids = np.array(self.tok.encode_batch_fast([" ".join([stems[x] for x in names[i : i + 2000]])], add_special_tokens=False)[0].ids, np.int64)
+            ends = (self.width * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            raw, at = ids.astype(self.kind).tobytes(), 0
+            for name, end in zip(names[i : i + 2000], ends, strict=True):
+                self.parts[name] = raw[at:end]
+                at = end
+        for word, stem, tail in split:
+            found = self.parts.get(stem)
+            if found is None:
+                found = self.parts[stem] = self._alone(stem)
+            if tail:
+                if (more := self.parts.get(tail)) is None:
+                    more = self.parts[tail] = self._alone(tail)
+                found += more
+            self.words[word] = found
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text and the end id. Words are parted at ASCII white space only."""
+        joined, starts, ends, (h, h2), first = self.hasher.words(texts)
+        if not len(h):
+            return [self.end] * len(texts)
+        # Equal words have equal hashes; one of each is looked up.
+        order = np.argsort(h)
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(new) - 1
+        some = order[new]
+        words = [joined[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+        if len(self.words) > self.most:
+            self.words.clear()
             self.parts.clear()
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "surrogatepass").split())) + self.end
+        self.learn([w for w in words if w not in self.words])
+        ids = list(map(self.words.__getitem__, words))
+        which, bounds = which.tolist(), first.tolist()
+        return [b"".join(map(ids.__getitem__, which[a:b])) + self.end for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -100,10 +135,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text
         from pyspark import TaskContext
 
         words = WordIds(path, end_id)
-        width = len(words.end)
+        width = words.width
         task, sent = TaskContext.get().partitionId(), {}
         for batch in slices(batches, 1024):
-            data = [words.encode(t) for t in batch.column(1).to_pylist()]
+            data = words.encode(utf8(batch.column(1)))
             n = [len(x) // width for x in data]
             before = []
             for s, m in zip(batch.column(2).to_pylist(), n, strict=True):
@@ -116,23 +151,77 @@ def tokenized(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text
     return staged(rows.mapInArrow(run, "doc_id long, source string, task int, before long, n long, ids binary"), "packing-ids")
 
 
-def queues(parts: DataFrame, window: int) -> tuple[list[tuple[str | None, int, int]], int]:
-    """Queues with at least one token a window, as (source, tokens before it over all queues, tokens), and the total.
+def queues(parts: DataFrame, window: int, targets: Mapping[str | None, float] | None) -> tuple[list[tuple[str | None, int, Fraction]], int]:
+    """The queues as (source, tokens, weight) in order, and how many tokens other sources have.
 
-    At most ``window`` sources have a share of a token a window, which bounds what is read here. All
-    others are one queue, named by the ``rest`` marker at the end of the list, or share the smallest
-    queue when together they have less than that share.
+    At most ``window`` sources send a token a window or more, which bounds what is read here.
     """
     total = parts.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return [], 0
     by_source = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    large = by_source.where(F.col("n") * window >= total).orderBy(F.desc("n"), "source").collect()
-    found, at = [], 0
-    for r in large:
-        found.append((r["source"], at, r["n"]))
-        at += r["n"]
-    return found, total
+    if targets is None:
+        large = by_source.where(F.col("n") * window >= total).orderBy(F.desc("n"), "source").collect() if total else []
+        found = [(r["source"], r["n"], Fraction(r["n"])) for r in large]
+    else:
+        whole = sum(Fraction(t) for t in targets.values() if t > 0)
+        wanted = {s: Fraction(t) / whole for s, t in targets.items() if t > 0 and Fraction(t) * window >= whole}
+        named = parts.sparkSession.createDataFrame([(s,) for s in wanted], "wanted string")
+        sizes = {r["source"]: r["n"] for r in by_source.join(F.broadcast(named), by_source["source"].eqNullSafe(named["wanted"])).collect()}
+        found = [(s, sizes[s], t.limit_denominator(10**9)) for s, t in wanted.items() if sizes.get(s)]
+    return found, total - sum(n for _, n, _ in found)
+
+
+class Rounds:
+    """Deficit round-robin of queues of ``sizes`` tokens by ``weights``: what queues below k have sent after w windows."""
+
+    def __init__(self, sizes: list[int], weights: list[Fraction], window: int):
+        self.window, self.sizes, self.total = window, sizes, sum(sizes)
+        scale = lcm(*(w.denominator for w in weights)) if weights else 1
+        weights = [int(w * scale) for w in weights]
+        sent, at = [Fraction(0)] * len(sizes), Fraction(0)
+        active, waiting = [i for i, n in enumerate(sizes) if n and weights[i]], [i for i, n in enumerate(sizes) if n and not weights[i]]
+        if not active:
+            active, weights, waiting = waiting, list(sizes), None
+        #: For each stretch: its last token, a divisor d, and for each k integers a, b with (a + b x) / d tokens credited to queues below k.
+        self.stretches: list[tuple[int, int, list[int], list[int]]] = []
+        while active:
+            together = sum(weights[i] for i in active)
+            lasts = min((sizes[i] - sent[i]) / weights[i] for i in active) * together
+            lines, a, b = [(Fraction(0), Fraction(0))], Fraction(0), Fraction(0)
+            for i in range(len(sizes)):
+                rate = Fraction(weights[i], together) if i in active else Fraction(0)
+                a, b = a + sent[i] - rate * at, b + rate
+                lines.append((a, b))
+            d = lcm(*(x.denominator for line in lines for x in line))
+            for i in active:
+                sent[i] += lasts * weights[i] / together
+            at += lasts
+            self.stretches.append((int(at), d, [int(a * d) for a, _ in lines], [int(b * d) for _, b in lines]))
+            # Queues without a weight follow when all others are empty.
+            active = [i for i in active if sent[i] < sizes[i]] or ([] if waiting is None else waiting)
+            if active is waiting:
+                weights, waiting = list(sizes), None
+        self.lasts = [s[0] for s in self.stretches]
+
+    def sent(self, w: int, k: int) -> int:
+        """Tokens that the queues below ``k`` have sent after ``w`` windows."""
+        x = min(w * self.window, self.total)
+        _, d, a, b = self.stretches[min(bisect_left(self.lasts, x), len(self.lasts) - 1)]
+        return (a[k] + b[k] * x) // d
+
+    def own(self, w: int, q: int) -> int:
+        return self.sent(w, q + 1) - self.sent(w, q)
+
+    def window_of(self, q: int, at: int) -> int:
+        """The window in which token ``at`` of queue ``q`` is sent."""
+        low, high = 0, -(-self.total // self.window) - 1
+        if len(self.stretches) == 1:
+            _, d, _, b = self.stretches[0]
+            guess = at * d // ((b[q + 1] - b[q]) * self.window)
+            low, high = max(low, guess - 2), min(high, guess + 2)
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if self.own(middle + 1, q) > at else (middle + 1, high)
+        return low
 
 
 def pack(
@@ -143,23 +232,26 @@ def pack(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    targets: Mapping[str | None, float] | None = None,
 ) -> DataFrame:
-    """Pieces of all documents in windows of ``window`` tokens, PIECE_SCHEMA. Target shares are the sources' shares of all tokens."""
+    """Pieces of all documents in windows of ``window`` tokens, PIECE_SCHEMA. ``targets`` are shares by source; by default the sources' shares of all tokens."""
     spark = docs.sparkSession
     ids = tokenized(docs, path, end_id, key, text, source)
     parts = staged(ids.groupBy("task", "source").agg(F.sum("n").alias("n")), "packing-parts")
-    large, total = queues(parts, window)
-    if not total:
+    named_queues, rest = queues(parts, window, targets)
+    if not named_queues and not rest:
         return spark.createDataFrame([], PIECE_SCHEMA)
-    in_large = sum(n for _, _, n in large)
-    rest = total - in_large
-    # Queue numbers: the large sources in order, then the rest; a rest of less than a token a window joins the last.
-    if rest and rest * window < total and large:
-        name, at, n = large[-1]
-        spans, rest_queue = [(a, m) for _, a, m in large[:-1]] + [(at, n + rest)], len(large) - 1
-    else:
-        spans, rest_queue = [(a, m) for _, a, m in large] + ([(in_large, rest)] if rest else []), len(large)
-    named = spark.createDataFrame([(s, i) for i, (s, _, _) in enumerate(large)], "source string, queue int")
+    sizes, weights = [n for _, n, _ in named_queues], [w for _, _, w in named_queues]
+    rest_queue = len(sizes)
+    if rest and targets is None and sizes and rest * window < rest + sum(sizes):
+        # Too few tokens for a queue: they follow those of the smallest.
+        rest_queue -= 1
+        sizes[-1], weights[-1] = sizes[-1] + rest, weights[-1] + rest
+    elif rest:
+        sizes.append(rest)
+        weights.append(Fraction(rest if targets is None else 0))
+    rounds = Rounds(sizes, weights, window)
+    named = spark.createDataFrame([(s, i) for i, (s, _, _) in enumerate(named_queues)], "source string, queue int")
     by_queue = parts.join(F.broadcast(named), parts["source"].eqNullSafe(named["source"]), "left").select(
         parts["task"], parts["source"], "n", F.coalesce("queue", F.lit(rest_queue)).alias("queue")
     )
@@ -174,38 +266,26 @@ def pack(
     )
     placed = join_small(ids.withColumns({"s": F.coalesce("source", F.lit("")), "no_s": F.col("source").isNull()}), places, ["task", "s", "no_s"], "inner", 64)
     placed = placed.select("doc_id", "source", "queue", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
-    lows = [a for a, _ in spans]
-    highs = [a + m for a, m in spans]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        last = -(-total // window)
-
-        def sent(w: int, bound: int) -> int:
-            """Tokens that the queues below ``bound`` have sent after w windows."""
-            return bound if w >= last else w * window * bound // total
-
         for batch in batches:
             rows = ([], [], [], [], [], [], [], [])
             for doc, name, q, at, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                low, high = lows[q], highs[q]
                 ids = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4")
-                # The first window after which more than ``at`` tokens of the queue are sent.
-                w = max(0, (at - 2) * total // (window * (high - low)))
-                while sent(w + 1, high) - sent(w + 1, low) <= at:
-                    w += 1
-                while w and sent(w, high) - sent(w, low) > at:
-                    w -= 1
-                done = 0
+                w, done = rounds.window_of(q, at), 0
                 while done < n:
-                    a_low, b_low, a_high, b_high = sent(w, low), sent(w + 1, low), sent(w, high), sent(w + 1, high)
+                    a_low, b_low, a_high, b_high = rounds.sent(w, q), rounds.sent(w + 1, q), rounds.sent(w, q + 1), rounds.sent(w + 1, q + 1)
                     q_at, q_end = a_high - a_low, b_high - b_low
                     take = min(n - done, q_end - at - done)
                     if take > 0:
+                        # A window holds what its queues send, one after another.
                         row = (doc, done, take, zlib.crc32(ids[done : done + take].tobytes()), n, w, b_low - a_low + at + done - q_at, name)
                         for column, value in zip(rows, row, strict=True):
                             column.append(value)
                         done += take
-                    w += 1
+                        w += 1
+                    elif done < n:
+                        w = rounds.window_of(q, at + done)
             kinds = [pa.int64()] * 7 + [pa.string()]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -133,10 +134,70 @@ def test_many_small_sources_share_a_queue(spark):
 
 
 def test_word_ids_equal_the_tokenizer():
-    words, tok = packing.WordIds(TOKENS, 2), Tokenizer.from_file(TOKENS)
-    tok.encode_special_tokens = True
-    for text in ["It's DON'T J̌ İstanbul ﬁ ½² 12,3! é!* È. ΣΑΣ 日本、ok ª µ ŉ a.b,c!!", "<|endoftext|> x\x1cy\x85z b", "", "***$$$ word%%% a1b2!"]:
-        assert np.frombuffer(words.encode(text), "<u2")[:-1].tolist() == tok.encode(text, add_special_tokens=False).ids
+    words, tok = packing.WordIds(TOKENS, 2, most=500), Tokenizer.from_file(TOKENS)
+
+    def same(texts):
+        for text, got in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2], text
+
+    same(["It's DON'T J̌ İstanbul ﬁ ½² 12,3! é!* È. ΣΑΣ 日本、ok ª µ ŉ a.b,c!!", "<|endoftext|> x\x1cy\x85z b", "", "***$$$ word%%% a1b2!", "İ. xİ, a<|endoftext|>b! <|ENDOFTEXT|>,"])
+    rng = random.Random(3)
+    letters = "abZéÈßİıſŉǅªµñΣς日가Ա'’1٣.,!?|$#*:;%&~\u0307\u0301\u0338\u00a0\x1c\x85 \n\t"
+    for _ in range(40):
+        same(["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(100)])
+    same([" ".join("".join(rng.choice("etaoinsh") for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", ",!"]) for _ in range(5000))])
+
+
+def brute_rounds(sizes, weights, window):
+    """What every queue sends in each window: credits by share, whole tokens in turn, deficits carried over."""
+    left, owed, out = list(sizes), [Fraction(0)] * len(sizes), []
+    shares = lambda: [Fraction(w if n > s else 0) for w, n, s in zip(weights, sizes, credited)]
+    credited, sent, x = [Fraction(0)] * len(sizes), [0] * len(sizes), Fraction(0)
+    while sum(left):
+        room = Fraction(min(window, sum(left)))
+        while room:
+            rates = shares()
+            if not sum(rates):
+                weights = list(sizes)
+                rates = shares()
+            step = min([room] + [(n - c) * sum(rates) / r for n, c, r in zip(sizes, credited, rates) if r])
+            credited = [c + step * r / sum(rates) for c, r in zip(credited, rates)]
+            room -= step
+        carry, row = Fraction(0), []
+        for q in range(len(sizes)):
+            # The turn passes on what is less than a token, so that the window is filled.
+            owed[q] = credited[q] - sent[q] + carry
+            tokens = owed[q].numerator // owed[q].denominator
+            carry = owed[q] - tokens
+            sent[q], left[q] = sent[q] + tokens, left[q] - tokens
+            row.append(tokens)
+        out.append(row)
+    return out
+
+
+@pytest.mark.parametrize("sizes, weights, window", [([700, 200, 101], [700, 200, 101], 64), ([500, 500, 30], [5, 1, 2], 50), ([90, 400, 7, 55], [Fraction(1, 3), Fraction(1, 2), Fraction(1, 6), 0], 32), ([10], [0], 16)])
+def test_rounds_equal_deficit_round_robin(sizes, weights, window):
+    rounds = packing.Rounds(sizes, [Fraction(w) for w in weights], window)
+    want = brute_rounds(sizes, [Fraction(w) for w in weights], window)
+    got = [[rounds.own(w + 1, q) - rounds.own(w, q) for q in range(len(sizes))] for w in range(len(want))]
+    assert got == want and all(sum(row) == window for row in got[:-1]) and [sum(c) for c in zip(*got)] == sizes
+    for q, n in enumerate(sizes):
+        assert [rounds.window_of(q, at) for at in range(n)] == [w for w, row in enumerate(want) for _ in range(row[q])]
+
+
+def test_packing_to_target_shares(spark):
+    rows = [(i, "one two three four five six seven", "a" if i % 10 else "b" if i % 20 else None) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    rows = packing.pack(docs, TOKENS, window=64, targets={"b": 0.5, "a": 0.25, "gone": 0.25}).collect()
+    own = collections.defaultdict(collections.Counter)
+    for r in rows:
+        own[r["sequence_id"]][r["source"]] += r["length"]
+    total = 600 * 8
+    assert len(own) == total // 64 and all(sum(c.values()) == 64 for c in own.values())
+    # 240 tokens of b at two thirds of a window, then a alone, then the source without a target.
+    assert [own[w]["b"] for w in range(5)] == [42, 43, 43, 42, 43] and own[7]["b"] == 0 and own[10] == {"a": 64} and own[74] == {None: 64}
+    at = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(at, at[1:]))
 
 
 # Site trees
