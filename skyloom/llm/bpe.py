@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import exchange_width, pack, unpack
-from .common import shared_dir, staged
+from .common import shared_dir
 
 BUCKETS = 1 << 15
 #: A block of documents is closed once its texts have so many characters.
@@ -297,10 +297,9 @@ def encode_documents(
     layouts = blocks.where("bucket < 0").select("block", "keys", "layout")
     met = blocks.where("bucket >= 0").select("block", "shard", "bucket", "words").groupBy("shard", "bucket")
     met = met.applyInArrow(meet, "bucket int, blocks array<long>, sizes binary, refs binary, words array<binary>, long_ids array<array<int>>")
-    # Staged between Python steps, so that no task runs two Python workers at once.
     held = ["bucket", "blocks", "sizes", "refs"]
     folded = met.select(*held, F.concat(F.transform("words", lambda w: encode_word(w, ranks)), "long_ids").alias("ids"))
-    folded = staged(folded.select(*held, "ids", F.transform("ids", lambda ids: decode_ids(ids, pieces)).alias("bytes")), "bpe-words")
+    folded = folded.select(*held, "ids", F.transform("ids", lambda ids: decode_ids(ids, pieces)).alias("bytes"))
 
     def scatter(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
