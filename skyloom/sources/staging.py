@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ BROADCAST_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where it is set, else a temporary folder for this session."""
+    """``spark.checkpoint.dir``; where it is unset, a local session gets a temporary folder and a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(spark, "_skyloom_folder", None)
         if folder is None:
             folder = spark._skyloom_folder = f"file://{tempfile.mkdtemp(prefix='skyloom-')}"
