@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -229,6 +230,72 @@ def test_site_tree_without_landmark_cuts_repeats(spark):
     assert got == {n: f"Text of {n} alone" for n in range(8)}
 
 
+def texts_of(spark, rows, **rules):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in site_tree.main_text(df, site_tree.TreeRules(**rules)).collect()}
+
+
+def test_site_tree_alone_equals_names(spark):
+    """Where furniture repeats on a host of enough pages, entropies give the text that names give."""
+    page = "<body><nav><ul><li>Home<li>About</ul></nav><div class=ad>Buy now</div><article><h1>Title {n}</h1><p>Own words {n}<p>More {n}</article><aside>See also</aside><footer>end</footer>"
+    other = page.replace("nav", "div").replace("class=ad", "class=x").replace("article", "section").replace("aside", "div").replace("footer", "div")
+    rows = [(n, f"http://{'a' if n % 2 else 'b'}.example/{n}", page.replace("{n}", str(n))) for n in range(24)]
+    want = {n: f"Title {n} Own words {n} More {n}" for n in range(24)}
+    assert texts_of(spark, rows) == texts_of(spark, rows, prior=1.0) == want
+    assert texts_of(spark, [(i, u, other.replace("{n}", str(i))) for i, u, _ in rows]) == want
+
+
+def brute_tree(rows, rules):
+    """Main texts by a plain walk over each host's pages."""
+    import math
+
+    hosts, out = collections.defaultdict(dict), {}
+    for _, url, html in rows:
+        own = site_tree.blocks(html)
+        hosts[site_tree.host_of(url)][html] = list(zip(own, site_tree._doubted(own)))
+    for i, url, html in rows:
+        pages, scores = hosts[site_tree.host_of(url)], {}
+        for key in {(b.node, d, b.landmark and b.plain) for own in pages.values() for b, d in own}:
+            held = [x for x in ([b.text for b, d in own if (b.node, d, b.landmark and b.plain) == key] for own in pages.values()) if x]
+            m = len(held)
+            entropy = lambda xs: 1.0 if m == 1 else -sum(c / m * math.log(c / m) for c in collections.Counter(xs).values()) / math.log(m)
+            best = 1.0 if m < rules.min_pages or key[2] else max(entropy(map(tuple, held)), entropy(map(len, held)))
+            scores[key] = best * (rules.prior if key[1] else 1.0)
+        bar = rules.least_importance * max(scores.values(), default=0)
+        low = {k[:2] for k, v in scores.items() if v < bar}
+        out[i] = " ".join(b.text for b, d in pages[html] if (b.node, d) not in low)
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_site_tree_matches_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(site_tree, "BROADCAST_BYTES", broadcast)
+    rng = random.Random(2)
+    parts = ["<nav>{a}</nav>", "<div class=x>{a}</div>", "<div class=y><p>{b}<p>{a}</div>", "<article><p>{b}<div class=z>{a}</div></article>", "<ul><li>{a}<li>{b}</ul>", "<footer>{b}</footer>", "<div id=cookie-bar>{b}</div>"]
+    rows = []
+    for i in range(60):
+        html = "".join(p.replace("{a}", rng.choice("uvw")).replace("{b}", f"t{rng.randrange(50)}") for p in parts if rng.random() < 0.7)
+        rows.append((i, f"http://h{i % 4}/", html))
+    for rules in (site_tree.TreeRules(), site_tree.TreeRules(prior=0.6, least_importance=0.55)):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        assert {r["page_id"]: r["text"] for r in site_tree.main_text(df, rules).collect()} == brute_tree(rows, rules)
+
+
+def test_names_do_not_hurt_articles():
+    text = lambda html: [b.text for b in site_tree.blocks(html) if not b.noise]
+    assert text('<article><p class="social-science">A</p><h2 id="search-methods">B</h2><div class="social share-bar">no</div></article>') == ["A", "B"]
+    assert text('<article><p>See <a class="related">this <b>link</b></a> now</p><span class="ad">Buy</span><p>on</p></article>') == ["See this link now", "on"]
+    assert text("<article><p>a<select><option>x<option>y</article><p>rest") == ["a", "rest"]
+    assert text("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td><p>f<p>g<tr><td>h</table>") == list("abcdefgh")
+
+
+@pytest.mark.parametrize("html", ["<div>" * 1_000_000, "<div>" + "<p>x</p></p>" * 100_000, "<td><p>" * 150_000, "<ul><li>" * 150_000, "<b class=ad>" * 50_000])
+def test_pages_are_parsed_in_linear_time(html):
+    start = time.process_time()
+    site_tree.blocks(html)
+    assert time.process_time() - start < 60
+
+
 def test_site_tree_on_odd_pages(spark):
     rows = [(1, None, None), (2, "nonsense", ""), (3, "http://x/", "<p>a < b <"), (3, "http://x/", "<p>a < b <"), (4, "http://x/", "<div>" * 3000 + "deep"), (None, "http://x/", "plain &unknown; &amp")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("h"))
