@@ -5,8 +5,8 @@
 2. Words of up to SHARD blocks meet by bucket, so that each is folded once a shard. A fold over a word
    (``aggregate`` over the pieces' bounds) merges the lowest-ranked adjacent pair, leftmost first, until
    none is left. Ranks come from a literal map, hashed into buckets so that a lookup costs one bucket.
-   Decoding is native as well: a second literal has each id's bytes, and a word's pieces are concatenated.
-3. What a block's words came to returns to its layout, which strings the words of each document together.
+3. The ids of a block's words return to its layout, which strings the words of each document together.
+   Decoding takes the ids' binary pieces, one after another, as Arrow lays them out.
 
 Exchanges carry compressed arrays, a row a block and bucket: about the size of the distinct words. Texts
 are not shuffled, and layouts lie in a table bucketed by block, so neither are they. A shard's bucket has
@@ -38,11 +38,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import exchange_width, pack, unpack
-from .common import shared_dir
+from .common import release_memory, shared_dir
 
 BUCKETS = 1 << 15
 #: A block of documents is closed once its texts have so many characters.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 #: Words are folded once for so many blocks, and dealt into so many buckets.
 SHARD = 64
 WORD_BUCKETS = 256
@@ -68,8 +68,8 @@ def _as_literal(df: DataFrame) -> Column:
     return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
 
 
-def literals(spark: SparkSession, path: str) -> tuple[Column, Column]:
-    """The rank map as array<map<binary,int>> by bucket, and the pieces as array<binary> by id."""
+def rank_literal(spark: SparkSession, path: str) -> Column:
+    """The rank map as array<map<binary,int>> by bucket."""
     key = (spark.sparkContext.applicationId, path)
     if key not in _LITERALS:
         ranks = spark.createDataFrame(read_ranks(path), "piece binary, rank int")
@@ -82,8 +82,7 @@ def literals(spark: SparkSession, path: str) -> tuple[Column, Column]:
         # Maps cannot be sorted, so entries are carried as arrays until they are in order.
         entries = by_bucket.select(F.struct(F.col("x.b").alias("b"), F.map_entries("x.m").alias("e")).alias("x"))
         rank_map = entries.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.map_from_entries(x["e"])).alias("v"))
-        pieces = ranks.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda x: x["piece"]).alias("v"))
-        _LITERALS[key] = (_as_literal(rank_map), _as_literal(pieces))
+        _LITERALS[key] = _as_literal(rank_map)
     return _LITERALS[key]
 
 
@@ -120,11 +119,6 @@ def encode_word(word: Column, ranks: Column) -> Column:
     return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.when(F.get(whole, F.lit(0)).isNotNull(), whole).otherwise(folded))
 
 
-def decode_ids(ids: Column, pieces: Column) -> Column:
-    """The bytes of a few ids: their pieces concatenated."""
-    return F.aggregate(ids, F.lit(b"").cast("binary"), lambda out, i: F.concat(out, F.element_at(pieces, i + 1)))
-
-
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word by the merges of the fold, lowest rank and leftmost first, with a heap of pairs."""
     if word in ranks:
@@ -184,6 +178,16 @@ def _spaced(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
     return _large_binary(offsets[starts], said.buffers()[2] or pa.py_buffer(b""))
 
 
+def _decoded(ids: np.ndarray, starts: np.ndarray, ranks: dict[bytes, int]) -> pa.Array:
+    """Each word's bytes: its ids' pieces put together."""
+    pieces: list[bytes] = [b""] * (1 + max(ranks.values()))
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    taken = pa.array(pieces, pa.large_binary()).take(pa.array(ids, pa.int32()))
+    offsets = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
+    return _large_binary(offsets[starts], taken.buffers()[2] or pa.py_buffer(b""))
+
+
 def _bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
     """``df`` in a table of the shared folder that lies bucketed by ``column``; the catalog forgets its name at once."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
@@ -205,7 +209,7 @@ def encode_documents(
     """The id and the asked outputs: n_tokens, ids (array<int>), decoded (binary), ids_sha256, decoded_sha256."""
     source = docs.select(key, text)
     key_kind = source.schema[key].dataType.simpleString()
-    ranks, pieces = literals(docs.sparkSession, path)
+    ranks = rank_literal(docs.sparkSession, path)
 
     sent = docs.sparkSession.sparkContext.broadcast(dict(read_ranks(path)))
 
@@ -264,6 +268,8 @@ def encode_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
+            # What the last block took is given back before the next is built.
+            release_memory()
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             start = chars = 0
             for i, t in enumerate(texts):
@@ -299,22 +305,17 @@ def encode_documents(
     met = met.applyInArrow(meet, "bucket int, blocks array<long>, sizes binary, refs binary, words array<binary>, long_ids array<array<int>>")
     held = ["bucket", "blocks", "sizes", "refs"]
     folded = met.select(*held, F.concat(F.transform("words", lambda w: encode_word(w, ranks)), "long_ids").alias("ids"))
-    folded = folded.select(*held, "ids", F.transform("ids", lambda ids: decode_ids(ids, pieces)).alias("bytes"))
 
     def scatter(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for r in range(batch.num_rows):
                 bucket, blocks, (sizes,), (refs,) = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), unpack(batch.column(2)[r].as_py()), unpack(batch.column(3)[r].as_py())
-                ids, data = batch.column(4)[r].values, batch.column(5)[r].values
+                ids = batch.column(4)[r].values
                 cuts, rows = _offsets(sizes).tolist(), []
                 for i, j in zip(cuts, cuts[1:], strict=False):
-                    at = pa.array(refs[i:j])
-                    own, said = ids.take(at), data.take(at)
-                    counts, lens = pc.list_value_length(own).to_numpy(), pc.binary_length(said).to_numpy()
-                    flat = np.ascontiguousarray(own.flatten().to_numpy())
-                    bounds = np.frombuffer(said.buffers()[1], np.int32)[said.offset : said.offset + len(said) + 1]
-                    parts = [_pack_bytes(counts, flat.astype("<i4").tobytes()), _pack_bytes(lens, bytes(memoryview(said.buffers()[2] or b"")[bounds[0] : bounds[-1]]))]
-                    rows.append(struct.pack("<I", len(parts[0])) + b"".join(parts))
+                    own = ids.take(pa.array(refs[i:j]))
+                    counts = pack(pc.list_value_length(own).to_numpy())
+                    rows.append(struct.pack("<I", len(counts)) + counts + pack(own.flatten().to_numpy()))
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(rows, pa.binary())], ["block", "bucket", "words"])
 
     kinds = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
@@ -330,9 +331,8 @@ def encode_documents(
         parts = []
         for _, blob in sorted(zip(words.column("bucket").to_pylist(), words.column("words").to_pylist(), strict=True)):
             (k,) = struct.unpack_from("<I", blob)
-            parts.append((*_unpack_bytes(blob[4 : 4 + k]), *_unpack_bytes(blob[4 + k :])))
-        counts, ids, lens, data = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint8),) * 4
-        ids = np.ascontiguousarray(ids).view(np.int32)
+            parts.append((*unpack(blob[4 : 4 + k]), *unpack(blob[4 + k :])))
+        counts, ids = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int32),) * 2
         starts = _offsets(counts)
         ends, chunk_at = _offsets(lengths), np.concatenate([[0], chunk_ends]).astype(np.int64)
         own_words, at = pa.array(flat), pa.array(places)
@@ -357,10 +357,12 @@ def encode_documents(
                 arrays.append(pa.array([np.frombuffer(raw[a:b], np.int32) for a, b in zip(spots, spots[1:])], pa.list_(pa.int32())))
             else:
                 skip = int(name == "ids_sha256")
-                raw, spots = laid_out(_spaced(ids, starts) if skip else _large_binary(_offsets(lens), pa.py_buffer(data)))
+                raw, spots = laid_out(_spaced(ids, starts) if skip else _decoded(ids, starts, sent.value))
                 parts = [raw[a + skip * (b > a) : b] for a, b in zip(spots, spots[1:])]
                 arrays.append(pa.array([bytes(x) for x in parts], pa.binary()) if name == "decoded" else pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()))
-        return pa.table([keys, *arrays], names=[key, *outputs])
+        out = pa.table([keys, *arrays], names=[key, *outputs])
+        release_memory()
+        return out
 
     scattered = folded.mapInArrow(scatter, "block long, bucket int, words binary")
     out = f"`{key}` {key_kind}, " + ", ".join(f"{n} {kinds[n][0]}" for n in outputs)
