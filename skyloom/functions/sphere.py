@@ -128,6 +128,18 @@ def zeroed(covariance: Column, least: float = 1e-20) -> Column:
     return F.transform(covariance, lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (F.abs(x) < least), 0.0).otherwise(x))
 
 
+def nanmean(covariance: Column, size: int) -> Column:
+    """The mean matrix of a group, entry by entry over the values that are numbers; null where there is none."""
+    entry = lambda k: F.element_at(covariance, k + 1)
+    return F.array(*[F.avg(F.when(~F.isnan(entry(k)), entry(k))) for k in range(size * size)])
+
+
+def correlation(cov: Column, sigma_x: Column, sigma_y: Column) -> Column:
+    """Covariance over the product of sigmas; null where that is no finite number."""
+    found = cov / F.nullif(sigma_x * sigma_y, F.lit(0.0))
+    return F.when(~F.isnan(found) & (F.abs(found) < float("inf")), found)
+
+
 def all_nan(values: Column) -> Column:
     return F.forall(values, lambda x: x.isNull() | F.isnan(x))
 

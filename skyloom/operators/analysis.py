@@ -44,6 +44,29 @@ def classify_linkages(members: DataFrame, objects: DataFrame, min_obs: int, cont
     return sized.select("linkage_id", "object_id", "num_members", "num_objects", "num_top", kind.alias("class"), found.alias("found"))
 
 
+def stage_metrics(stages: dict[str, DataFrame], objects: DataFrame, min_obs: int, contamination: float) -> DataFrame:
+    """Objects (object_id, num_obs, findable, ...) with, for each stage, how many linkages are pure for them and whether they were found.
+
+    ``stages`` maps a name to members (linkage_id, object_id); an object without linkages in a stage has zeros there.
+    """
+    out = objects
+    for name, members in stages.items():
+        linkages = classify_linkages(members, objects, min_obs, contamination)
+        kinds = [F.count_if(F.col("class") == c).alias(f"{name}_{c}") for c in ("pure", "pure_complete", "contaminated", "mixed")]
+        per_object = linkages.groupBy("object_id").agg(*kinds, F.max("found").alias(f"{name}_found"))
+        out = out.join(per_object, "object_id", "left").na.fill(0, [f"{name}_{c}" for c in ("pure", "pure_complete", "contaminated", "mixed")]).na.fill({f"{name}_found": False})
+    return out
+
+
+def run_summary(stages: dict[str, DataFrame], objects: DataFrame, min_obs: int, contamination: float) -> DataFrame:
+    """``summarise`` of every stage, a row each, by name."""
+    rows = [summarise(classify_linkages(members, objects, min_obs, contamination), objects).select(F.lit(name).alias("stage"), "*") for name, members in stages.items()]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out
+
+
 def summarise(linkages: DataFrame, objects: DataFrame) -> DataFrame:
     """One row: linkages by class, objects found among those findable, and completeness in percent."""
     found = linkages.where("found").select("object_id").distinct()

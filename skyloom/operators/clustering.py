@@ -191,11 +191,12 @@ def evaluate(fits: DataFrame, mjd: Column) -> DataFrame:
     return fits.withColumns({"theta_x_at": place("x"), "theta_y_at": place("y")})
 
 
-def fit_residuals(fits: DataFrame, members: DataFrame, sigma: float, key: str = "cluster_id") -> tuple[DataFrame, DataFrame]:
-    """(clusters with chi2 and rchi2, members with residuals): both keyed, so residuals stay with their observation."""
+def fit_residuals(fits: DataFrame, members: DataFrame, sigma: float | tuple[str, str], key: str = "cluster_id") -> tuple[DataFrame, DataFrame]:
+    """(clusters with chi2 and rchi2, members with residuals): both keyed, so residuals stay with their observation. ``sigma`` is one for all, or the names of the members' two sigmas."""
     joined = evaluate(members.join(fits, key), F.col("mjd"))
     joined = joined.withColumns({"dx": F.col("theta_x") - F.col("theta_x_at"), "dy": F.col("theta_y") - F.col("theta_y_at")})
-    joined = joined.withColumn("chi2", (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / (sigma * sigma))
+    sx, sy = (F.lit(sigma),) * 2 if isinstance(sigma, float) else map(F.col, sigma)
+    joined = joined.withColumn("chi2", F.pow(F.col("dx") / sx, 2) + F.pow(F.col("dy") / sy, 2))
     sums = joined.groupBy(key).agg(F.sum("chi2").alias("chi2"), F.count("*").alias("n"))
     scored = fits.join(sums, key).withColumn("rchi2", F.when(2 * F.col("n") > 6, F.col("chi2") / (2 * F.col("n") - 6))).drop("n")
     return scored, joined.select(key, "id", "dx", "dy", "chi2")

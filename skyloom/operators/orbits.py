@@ -192,6 +192,8 @@ class FitRules:
     max_iter: int = 20
     selection: str = "combinations"
     velocity: str = "gibbs"
+    #: Step of the numerical derivatives, relative to each component.
+    delta: float = 1e-6
 
 
 def triplets(mjd: np.ndarray, method: str, most: int) -> list[tuple[int, int, int]]:
@@ -278,7 +280,7 @@ def correct(epoch: float, state: np.ndarray, seen, mjd, sigma, observer, rules:
         cost, covariance = float(res @ res), None
         for _ in range(rules.max_iter):
             iterations += 1
-            h = np.maximum(np.abs(now), 1e-4) * 1e-6
+            h = np.maximum(np.abs(now), 1e-4) * rules.delta
             jac = np.empty((len(res), 6))
             for k in range(6):
                 up, down = now.copy(), now.copy()
@@ -312,6 +314,23 @@ def correct(epoch: float, state: np.ndarray, seen, mjd, sigma, observer, rules:
         used[int(np.nanargmax(chi2))] = False
 
 
+STATE = ("x", "y", "z", "vx", "vy", "vz")
+
+
+def to_orbits(fitted: DataFrame) -> DataFrame:
+    """Fitted orbits as orbits: (orbit_id, coordinates with time, state and origin)."""
+    days = F.floor("epoch").cast("bigint")
+    nanos = F.round((F.col("epoch") - days) * 86400e9).cast("bigint")
+    origin = F.struct(F.lit("SUN").alias("code")).alias("origin")
+    return fitted.select("orbit_id", F.struct(*STATE, F.struct(days.alias("days"), nanos.alias("nanos")).alias("time"), origin).alias("coordinates"))
+
+
+def from_orbits(orbits: DataFrame) -> DataFrame:
+    """Orbits as flat rows with an epoch, the inverse of ``to_orbits``."""
+    time = F.col("coordinates.time")
+    return orbits.select("orbit_id", (time["days"] + time["nanos"] / 86400e9).alias("epoch"), *[F.col(f"coordinates.{c}").alias(c) for c in STATE])
+
+
 ORBIT = "orbit_id string, epoch double, x double, y double, z double, vx double, vy double, vz double, arc_length double, num_obs long, reduced_chi2 double, iterations int, outliers array<string>, members array<string>"
 
 
@@ -362,21 +381,63 @@ def corrected_orbits(orbits: DataFrame, linkages: DataFrame, rules: FitRules = F
     return _grouped(linkages.join(starts, "orbit_id"), "orbit_id", fit)
 
 
+def sky_covariance(state: np.ndarray, covariance: np.ndarray, dt: np.ndarray, observer: np.ndarray) -> np.ndarray:
+    """(n, 3) variances and covariance, in degrees squared, of the longitudes and latitudes of states (n, 6) with covariances (n, 6, 6), by central differences."""
+    n, jac = len(state), np.empty((len(state), 2, 6))
+    for k in range(6):
+        h = np.maximum(np.abs(state[:, k]), 1e-4) * 1e-6
+        places = []
+        for sign in (1, -1):
+            shifted = state.copy()
+            shifted[:, k] += sign * h
+            places.append(directions(propagate(shifted, dt), observer)[:2])
+        jac[:, 0, k] = ((places[0][0] - places[1][0] + 180) % 360 - 180) / (2 * h)
+        jac[:, 1, k] = (places[0][1] - places[1][1]) / (2 * h)
+    full = np.einsum("nik,nkl,njl->nij", jac, covariance.reshape(n, 6, 6), jac)
+    return np.stack([full[:, 0, 0], full[:, 0, 1], full[:, 1, 1]], 1)
+
+
+def propagated(orbits: DataFrame, epoch: float) -> DataFrame:
+    """Orbits moved to an epoch, with their covariance (row-major, if they have one) carried by the transition matrix."""
+    carried = "covariance" in orbits.columns
+
+    def run(batches):
+        for pdf in batches:
+            state, dt = pdf[list(STATE)].to_numpy(float), epoch - pdf["epoch"].to_numpy(float)
+            out = pd.DataFrame({"orbit_id": pdf["orbit_id"], "epoch": epoch, **dict(zip(STATE, propagate(state, dt).T, strict=True))})
+            if carried:
+                phi = [transition(s, t) for s, t in zip(state, dt, strict=True)]
+                out["covariance"] = [(p @ np.asarray(c, float).reshape(6, 6) @ p.T).ravel() for p, c in zip(phi, pdf["covariance"], strict=True)]
+            yield out
+
+    kind = "orbit_id string, epoch double, " + ", ".join(f"{c} double" for c in STATE) + (", covariance array<double>" if carried else "")
+    return orbits.select("orbit_id", "epoch", *STATE, *(["covariance"] if carried else [])).mapInPandas(run, kind)
+
+
 def ephemeris(orbits: DataFrame, states: DataFrame) -> DataFrame:
     """(orbit_id, state_id, plon, plat, rho, px .. pvz: the state seen) of every orbit at every state (state_id, mjd, ox, oy, oz).
 
     Each orbit row is paired with all states as they pass through the task; states are a table of one
-    row an exposure and are broadcast only by the planner's own measure of their size.
+    row an exposure and are broadcast only by the planner's own measure of their size. Orbits with a
+    ``covariance`` also give (sx, sxy, sy), that of the predicted place in degrees squared.
     """
-    pairs = orbits.select("orbit_id", "epoch", "x", "y", "z", "vx", "vy", "vz").crossJoin(states.select("state_id", "mjd", "ox", "oy", "oz"))
+    carried = "covariance" in orbits.columns
+    pairs = orbits.select("orbit_id", "epoch", *STATE, *(["covariance"] if carried else [])).crossJoin(states.select("state_id", "mjd", "ox", "oy", "oz"))
 
     def run(batches):
         for pdf in batches:
             moved = propagate(pdf[["x", "y", "z", "vx", "vy", "vz"]].to_numpy(float), (pdf["mjd"] - pdf["epoch"]).to_numpy(float))
-            lon, lat, rho, seen = directions(moved, pdf[["ox", "oy", "oz"]].to_numpy(float))
-            yield pd.DataFrame({"orbit_id": pdf["orbit_id"], "state_id": pdf["state_id"], "plon": lon, "plat": lat, "rho": rho, **{n: seen[:, i] for i, n in enumerate(("px", "py", "pz", "pvx", "pvy", "pvz"))}})
+            observer = pdf[["ox", "oy", "oz"]].to_numpy(float)
+            lon, lat, rho, seen = directions(moved, observer)
+            out = pd.DataFrame({"orbit_id": pdf["orbit_id"], "state_id": pdf["state_id"], "plon": lon, "plat": lat, "rho": rho, **{n: seen[:, i] for i, n in enumerate(("px", "py", "pz", "pvx", "pvy", "pvz"))}})
+            if carried and len(pdf):
+                covariance = np.stack([np.asarray(c, float) for c in pdf["covariance"]])
+                for name, column in zip(("sx", "sxy", "sy"), sky_covariance(pdf[list(STATE)].to_numpy(float), covariance, (pdf["mjd"] - pdf["epoch"]).to_numpy(float), observer).T, strict=True):
+                    out[name] = column
+            yield out
 
-    return pairs.mapInPandas(run, "orbit_id string, state_id string, plon double, plat double, rho double, px double, py double, pz double, pvx double, pvy double, pvz double")
+    kind = "orbit_id string, state_id string, plon double, plat double, rho double, px double, py double, pz double, pvx double, pvy double, pvz double"
+    return pairs.mapInPandas(run, kind + (", sx double, sxy double, sy double" if carried else ""))
 
 
 def attribute(orbits: DataFrame, observations: DataFrame, radius: float, k: int = 3) -> DataFrame:
@@ -385,12 +446,13 @@ def attribute(orbits: DataFrame, observations: DataFrame, radius: float, k: int
 
     states = observations.select("state_id", "mjd", "ox", "oy", "oz").dropDuplicates(["state_id"])
     distance = sphere.great_circle(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
-    return attributed(observations.withColumnRenamed("mjd", "obs_mjd"), ephemeris(orbits, states).drop("rho", "px", "py", "pz", "pvx", "pvy", "pvz"), distance, radius, k)
+    return attributed(observations.withColumnRenamed("mjd", "obs_mjd"), ephemeris(orbits.drop("covariance"), states).drop("rho", "px", "py", "pz", "pvx", "pvy", "pvz"), distance, radius, k)
 
 
-def merge_and_extend(orbits: DataFrame, observations: DataFrame, radius: float, rules: FitRules, rounds: int = 5) -> DataFrame:
-    """Orbits grown by attribution until none gains observations, at most ``rounds`` times; every observation ends with its best orbit.
+def merge_and_extend(orbits: DataFrame, observations: DataFrame, radius: float, rules: FitRules) -> DataFrame:
+    """Orbits grown by attribution until none gains observations; every observation ends with its best orbit.
 
+    An orbit of a further round has more observations than before, and the pool only shrinks, so rounds end.
     A round attributes, drops coincident attributions, corrects, and gives shared observations to the
     better orbit. Orbits that did not grow are final, and their observations leave the pool.
     """
@@ -400,7 +462,7 @@ def merge_and_extend(orbits: DataFrame, observations: DataFrame, radius: float,
 
     times = observations.select("obs_id", F.floor("mjd").cast("bigint").alias("days"), F.round((F.col("mjd") - F.floor("mjd")) * 86400e9).cast("bigint").alias("nanos"))
     now, pool, done = stage(orbits, "extend"), observations, None
-    for _ in range(rounds):
+    while True:
         found = drop_coincident(attribute(now, pool, radius).select("orbit_id", "obs_id", "distance"), times)
         linked = found.select("orbit_id", "obs_id").join(pool, "obs_id")
         fitted = stage(corrected_orbits(now, linked, rules), "extend")
@@ -419,4 +481,3 @@ def merge_and_extend(orbits: DataFrame, observations: DataFrame, radius: float,
         now = stage(grown.where("grew").drop("grew", "had"), "extend")
         if now.isEmpty():
             return done
-    return done.unionByName(now)

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.sources.staging import small_side
+
 SYSTEMS = {
     "keplerian": ("a", "e", "i", "raan", "ap", "M"),
     "cartesian": ("x", "y", "z", "vx", "vy", "vz"),
@@ -108,10 +110,35 @@ def sigma_covariance(widths: list[float], scale: float) -> Column:
     return F.array(*[F.lit((widths[i] / scale) ** 2 if i == j else 0.0) for i in range(6) for j in range(6)])
 
 
+def grid_sizes(n: int, weights: dict[str, float], names: tuple[str, ...]) -> list[int]:
+    """Sizes of the six axes in proportion to their weights, whose product is ``n`` at least where all weights are equal.
+
+    The common factor is the sixth root of n over the weights' product; every axis has one value at least.
+    """
+    if set(weights) != set(names) or min(weights.values()) <= 0:
+        raise ValueError(f"positive weights of {names} are expected")
+    factor = (n / math.prod(weights.values())) ** (1 / 6)
+    return [max(1, math.ceil(round(factor * weights[name], 9))) for name in names]
+
+
+def coverage_report(points: DataFrame, boxes: DataFrame, bounds: Bounds, names: list[str]) -> DataFrame:
+    """One row: boxes, points inside any of them, their share, the boxes' volume against that of the bounds, and how many pairs overlap."""
+    volume = F.lit(1.0)
+    for n in names:
+        volume = volume * 2 * F.col(f"h_{n}")
+    total = math.prod(high - low for name, (low, high) in zip(bounds.names, bounds.ranges, strict=True) if name in names)
+    inside = inside_any(points, boxes, names).agg(F.count("*").alias("n_inside"))
+    sizes = boxes.agg(F.count("*").alias("n_boxes"), (F.sum(volume) / total).alias("volume_share"))
+    pairs = overlapping_pairs(boxes, names).agg(F.count("*").alias("n_overlaps"))
+    all_points = points.agg(F.count("*").alias("n_points"))
+    joined = sizes.crossJoin(inside).crossJoin(all_points).crossJoin(pairs)
+    return joined.withColumn("coverage", F.col("n_inside") / F.col("n_points"))
+
+
 def inside_any(points: DataFrame, boxes: DataFrame, names: list[str]) -> DataFrame:
     """Points that lie in at least one box: boxes have ``name`` and ``h_name`` for centre and half width. ``boxes`` is small."""
     b = boxes.select(*[F.col(n).alias(f"__{n}") for n in names], *[F.col(f"h_{n}") for n in names])
-    return points.join(F.broadcast(b), _all([F.abs(F.col(n) - F.col(f"__{n}")) <= F.col(f"h_{n}") for n in names]), "left_semi")
+    return points.join(small_side(b, 16 * len(names)), _all([F.abs(F.col(n) - F.col(f"__{n}")) <= F.col(f"h_{n}") for n in names]), "left_semi")
 
 
 def overlapping_pairs(boxes: DataFrame, names: list[str]) -> DataFrame:
@@ -154,7 +181,7 @@ def sequence_points(spark: SparkSession, n: int, bounds: dict[str, tuple[float,
 def in_regions(df: DataFrame, regions: DataFrame) -> DataFrame:
     """Orbits (a, e, i) with the half-open region that holds them; ``regions`` is a small table of bounds."""
     inside = _all([(F.col(n) >= F.col(f"{n}_min")) & (F.col(n) < F.col(f"{n}_max")) for n in ("a", "e", "i")])
-    return df.join(F.broadcast(regions), inside)
+    return df.join(small_side(regions, 64), inside)
 
 
 def nearest_to_median(df: DataFrame, keys: list[str], names: list[str], tie: str) -> DataFrame:

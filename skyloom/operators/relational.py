@@ -98,6 +98,11 @@ def runs(points: DataFrame, x: str, y: str, least: int) -> DataFrame:
     return points.groupBy(x, y).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def in_observed_pixels(catalogue: DataFrame, observed: DataFrame, key: str) -> DataFrame:
+    """Catalogue rows of pixels with observations, beside what is known of the pixel (a row a pixel in ``observed``)."""
+    return catalogue.join(observed, key)
+
+
 def max_outliers(num_obs: Column, min_obs: Column, percentage: Column) -> Column:
     """How many observations may be dropped: a percentage of them, but never below ``min_obs``; null on invalid input."""
     valid = (num_obs >= min_obs) & percentage.between(0, 100)

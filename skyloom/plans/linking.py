@@ -6,6 +6,7 @@ stage whose output has a success marker is read back and not computed again.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -13,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.config import Config, guard
-from skyloom.functions import sphere
-from skyloom.operators import clustering, orbits, projection
+from skyloom.operators import clustering, orbits, projection, relational
+from skyloom.operators import filters as filters_
 from skyloom.sources.reports import STAGES
 from skyloom.sources.staging import small_side
 from skyloom.sources.staging import stage as stage_table
@@ -48,8 +49,10 @@ def link_test_orbit(
     """The stages of one test orbit (one row of orbit_id, epoch and state), in order.
 
     ``observations`` is (obs_id, state_id, night, mjd, lon, lat, sigma_lon, sigma_lat, ox, oy, oz).
-    ``filters`` are applied before the configured radius. The run ends early after
-    ``config.stop_after_stage``.
+    ``filters`` are applied before the configured radius. Where the test orbit has a ``covariance``, the
+    configured Mahalanobis distance is applied after it. Predictions come from ``config.propagator_namespace``,
+    a module with ``ephemeris``. Clusters whose quadratic fit has a reduced chi2 above the configured one go.
+    The run ends early after ``config.stop_after_stage``.
     """
     if config.cluster_algorithm not in ("dbscan", "hotspot_2d"):
         raise NotImplementedError(f"algorithm {config.cluster_algorithm!r} is not implemented")
@@ -66,6 +69,7 @@ def link_test_orbit(
             plan().write.mode("overwrite").parquet(path)
         return Stage(name, spark.read.parquet(path), path)
 
+    predicting = importlib.import_module(config.propagator_namespace)
     states = observations.select("state_id", "mjd", "ox", "oy", "oz").dropDuplicates(["state_id"])
     done: dict[str, DataFrame] = {}
 
@@ -73,17 +77,15 @@ def link_test_orbit(
         kept = observations
         for f in filters or []:
             kept = f(kept)
-        if config.filter_cell_radius is None:
-            return kept
-        predicted = orbits.ephemeris(test_orbit, states)
-        near = kept.join(predicted.select("state_id", "plon", "plat"), "state_id")
-        distance = sphere.great_circle(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
-        return near.where(distance <= config.filter_cell_radius).drop("plon", "plat")
+        chain = [] if config.filter_cell_radius is None else [filters_.radius_filter(config.filter_cell_radius)]
+        if config.filter_mahalanobis_distance is not None and "covariance" in test_orbit.columns:
+            chain.append(filters_.mahalanobis_filter(config.filter_mahalanobis_distance))
+        return filters_.apply_filters(kept, predicting.ephemeris(test_orbit, states), chain)[0] if chain else kept
 
     def projected() -> DataFrame:
         return projection.range_and_transform(done["filter_observations"], done["generate_ephemeris"]).drop("rho", *projection.PREDICTED)
 
-    def clustered() -> DataFrame:
+    def clusters() -> DataFrame:
         points = done["range_and_transform"].withColumnRenamed("obs_id", "id")
         span = lambda low, high, n: [low + (high - low) * i / max(n - 1, 1) for i in range(n)]
         vxs, vys = span(config.cluster_vx_min, config.cluster_vx_max, config.cluster_vx_bins), span(config.cluster_vy_min, config.cluster_vy_max, config.cluster_vy_bins)
@@ -100,6 +102,13 @@ def link_test_orbit(
         members = at.join(cells.select("cluster_id", "vx", "vy", "shift", "qx", "qy"), ["vx", "vy", "shift", "qx", "qy"])
         return members.select(F.col("cluster_id").alias("linkage_id"), F.col("id").alias("obs_id"))
 
+    def clustered() -> DataFrame:
+        found = stage_table(clusters(), "clusters")
+        places = done["range_and_transform"].select("obs_id", F.col("obs_id").alias("id"), "mjd", "theta_x", "theta_y", "sigma_lon", "sigma_lat")
+        members = found.join(places, "obs_id")
+        scored, _ = clustering.fit_residuals(clustering.fit_clusters(members, "linkage_id"), members, ("sigma_lon", "sigma_lat"), "linkage_id")
+        return relational.below_rchi2(scored, found, config.cluster_rchi2_threshold, "linkage_id")[1]
+
     observed = lambda: done["filter_observations"].drop("night", "state_id")
 
     def preliminary() -> DataFrame:
@@ -107,7 +116,7 @@ def link_test_orbit(
         return orbits.initial_orbits(done["cluster_and_link"].join(observed(), "obs_id"), rules)
 
     def corrected() -> DataFrame:
-        rules = orbits.FitRules(config.od_min_obs, config.od_min_arc_length, config.od_contamination_percentage, config.od_rchi2_threshold, config.od_max_iter)
+        rules = orbits.FitRules(config.od_min_obs, config.od_min_arc_length, config.od_contamination_percentage, config.od_rchi2_threshold, config.od_max_iter, delta=config.od_delta)
         found = done["initial_orbit_determination"]
         members = found.select("orbit_id", F.explode("members").alias("obs_id")).join(observed(), "obs_id")
         return orbits.corrected_orbits(found, members, rules)
@@ -117,7 +126,7 @@ def link_test_orbit(
         found = done["differential_correction"]
         return found if found.isEmpty() else orbits.merge_and_extend(found, done["filter_observations"], config.arc_extension_radius, rules)
 
-    plans = (filtered, lambda: orbits.ephemeris(test_orbit, states).join(states, "state_id"), projected, clustered, preliminary, corrected, recovered)
+    plans = (filtered, lambda: predicting.ephemeris(test_orbit, states).join(states, "state_id"), projected, clustered, preliminary, corrected, recovered)
     for name, plan in zip(STAGES, plans, strict=True):
         stage = run(name, plan)
         done[name] = stage.output
@@ -134,3 +143,14 @@ def link_test_orbits(spark: SparkSession, test_orbits: DataFrame, observations:
         for stage in link_test_orbit(spark, one, observations, config, None if folder is None else f"{folder}/{row['orbit_id']}"):
             pass
         yield row["orbit_id"], stage
+
+
+def union_of_stage(results: dict[str, DataFrame | Exception]) -> DataFrame:
+    """One stage's output of many test orbits, with their ``test_orbit_id``. Failed orbits are left out; if all failed, that is an error."""
+    found = [df.withColumn("test_orbit_id", F.lit(name)) for name, df in results.items() if isinstance(df, DataFrame)]
+    if not found:
+        raise ValueError("no test orbit has an output")
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import sphere, timecols
-from skyloom.operators import analysis, clustering, relational
+from skyloom.operators import analysis, clustering, filters, relational
 from skyloom.sources.observations import SKY_SQL, sky
 
 QUERIES: dict = {}
@@ -47,11 +47,6 @@ def state_index(spark, sf_dir):
     return timecols.state_index(sky(spark, sf_dir), nanos="nanos_state").select("id", "state_id", "state_index")
 
 
-@query(f"""{SKY} SELECT state_id, code, "days", nanos_state, count(*) AS n FROM sky GROUP BY ALL""")
-def observers_distinct(spark, sf_dir):
-    return sky(spark, sf_dir).groupBy("state_id", "code", "days", "nanos_state").agg(F.count("*").alias("n"))
-
-
 @query(f"""{SKY} SELECT id, CAST(floor(mjd + (user_id % 4) * 90.0 / 360.0 - 0.5) AS BIGINT) AS night FROM sky""")
 def observing_night(spark, sf_dir):
     longitude = (F.col("user_id") % 4) * 90.0
@@ -92,35 +87,23 @@ def ephemeris_of(points: DataFrame) -> DataFrame:
     )
 
 
-def within_radius(df: DataFrame, radius: float) -> DataFrame:
-    distance = sphere.great_circle(F.col("ra"), F.col("dec"), F.col("pra"), F.col("pdec"))
-    return df.withColumn("distance", distance).where(F.col("distance") <= radius)
-
-
-def within_mahalanobis(df: DataFrame, k: float) -> DataFrame:
-    dx, dy = sphere.wrapped(F.col("ra") - F.col("pra")), F.col("dec") - F.col("pdec")
-    return df.withColumn("chi2", sphere.mahalanobis2(dx, dy, F.col("sx"), F.col("sxy"), F.col("sy"))).where(F.col("chi2") <= k * k)
-
-
 @query(f"{SKY}, {_EPHEMERIS_SQL} SELECT id, round(distance, 6) + 0.0 AS distance FROM (SELECT id, {_DISTANCE_SQL} AS distance FROM sky JOIN eph USING (state_id)) WHERE distance <= 0.5")
 def radius_filter(spark, sf_dir):
     points = sky(spark, sf_dir)
-    return within_radius(points.join(ephemeris_of(points), "state_id"), 0.5).select("id", r6("distance").alias("distance"))
+    return filters.within_radius(points.join(ephemeris_of(points), "state_id"), 0.5, "ra", "dec", "pra", "pdec").select("id", r6("distance").alias("distance"))
 
 
 @query(f"{SKY}, {_EPHEMERIS_SQL} SELECT id, round(chi2, 6) + 0.0 AS chi2 FROM (SELECT id, {_CHI2_SQL} AS chi2 FROM sky JOIN eph USING (state_id)) WHERE chi2 <= 9")
 def mahalanobis_filter(spark, sf_dir):
     points = sky(spark, sf_dir)
-    return within_mahalanobis(points.join(ephemeris_of(points), "state_id"), 3.0).select("id", r6("chi2").alias("chi2"))
+    return filters.within_mahalanobis(points.join(ephemeris_of(points), "state_id"), 3.0, "ra", "dec", "pra", "pdec").select("id", r6("chi2").alias("chi2"))
 
 
 @query(f"{SKY}, {_EPHEMERIS_SQL} SELECT id, state_id FROM (SELECT id, state_id, {_CHI2_SQL} AS chi2, {_DISTANCE_SQL} AS distance FROM sky JOIN eph USING (state_id)) WHERE chi2 <= 9 AND distance <= 0.4")
 def filter_chain(spark, sf_dir):
-    points = sky(spark, sf_dir)
-    chained = points.join(ephemeris_of(points), "state_id")
-    for step in (lambda d: within_radius(d, 0.4), lambda d: within_mahalanobis(d, 3.0)):
-        chained = chained.transform(step)
-    return chained.select("id", "state_id")
+    points = sky(spark, sf_dir).withColumnsRenamed({"ra": "lon", "dec": "lat"})
+    predicted = ephemeris_of(points).withColumnsRenamed({"pra": "plon", "pdec": "plat"})
+    return filters.apply_filters(points, predicted, [filters.radius_filter(0.4), filters.mahalanobis_filter(3.0)])[0].select("id", "state_id")
 
 
 # Joins over linkages
@@ -258,16 +241,12 @@ def cluster_set_dedupe(spark, sf_dir):
     return kept.groupBy("cluster_id").agg(relational.set_hash(F.col("obs_id")).alias("set_id"), F.count("*").alias("n"))
 
 
-@query(f"""{SKY} SELECT CAST(user_id AS BIGINT) AS orbit_id, id AS obs_id, CAST(row_number() OVER (ORDER BY user_id, mjd, id) AS BIGINT) AS place FROM sky""")
+@query(f"""{SKY} SELECT CAST(user_id AS BIGINT) AS orbit_id, id AS obs_id FROM sky""")
 def linkage_sort(spark, sf_dir):
     points = sky(spark, sf_dir)
-    # Places in the whole order follow from places within an orbit and the sizes of the orbits before.
-    members = points.select(F.col("user_id").alias("orbit_id"), F.col("id").alias("obs_id"), "mjd")
-    sizes = members.groupBy("orbit_id").agg(F.count("*").alias("n"))
-    before = Window.orderBy("orbit_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("orbit_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("orbit_id").orderBy("mjd", "obs_id"))
-    return members.withColumn("k", within).join(starts, "orbit_id").select("orbit_id", "obs_id", (F.col("start") + F.col("k")).cast("bigint").alias("place"))
+    members = points.select(F.col("user_id").alias("orbit_id"), F.col("id").alias("obs_id"))
+    times = points.select(F.col("id").alias("obs_id"), "days", F.col("nanos_state").alias("nanos"))
+    return relational.sort_linkages(members.select("orbit_id").distinct(), members, times, "orbit_id")[1]
 
 
 @query(f"""{SKY} SELECT user_id, count(*) AS n, round(max(mjd) - min(mjd), 6) + 0.0 AS arc_length, count(DISTINCT "days") AS nights, count(DISTINCT code) AS codes, round(sum(value), 4) + 0.0 AS total FROM sky GROUP BY 1""")

@@ -81,6 +81,23 @@ def time_range(df: DataFrame) -> DataFrame:
     return df.select(timecols.mjd(at["days"], at["nanos"]).alias("mjd")).agg(F.min("mjd").alias("first"), F.max("mjd").alias("last"))
 
 
+def read_feather(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Feather files as rows of ``schema``, a file a time in the tasks that list them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column(0):
+                with pa.ipc.open_file(pa.BufferReader(content.as_buffer())) as file:
+                    for i in range(file.num_record_batches):
+                        yield file.get_batch(i).select(names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    names = spark.createDataFrame([], schema).columns
+    return files.mapInArrow(run, schema)
+
+
 def select_exposure(df: DataFrame, exposure_id: str) -> DataFrame:
     return df.where(F.col("exposure_id") == exposure_id)
 

@@ -4,10 +4,14 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.feather
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.operators import analysis, clustering, phase_space, relational
+from skyloom.functions import healpix
+from skyloom.operators import analysis, clustering, filters, phase_space, relational
+from skyloom.sources import observations
 
 
 def test_assign_duplicates_exact_case(spark):
@@ -154,3 +158,36 @@ def test_linkage_classes(spark):
     assert {r["linkage_id"]: (r["class"], r["found"]) for r in got.collect()} == {"p": ("pure_complete", True), "k": ("pure", False), "c": ("contaminated", False), "m": ("mixed", False), "u": ("pure_unknown", False)}
     row = analysis.summarise(got, objects).first()
     assert (row["linkages"], row["found"], row["completeness"]) == (5, 1, 50.0)
+
+
+def test_pixel_boundary_lies_around_the_centre():
+    lon, lat = healpix.pix2ang_nest(8, np.array([300]))
+    edge_lon, edge_lat = healpix.boundary_nest(8, 300)
+    assert len(edge_lon) == 256 and abs(edge_lon.mean() - lon[0]) < 0.1 and abs(edge_lat.mean() - lat[0]) < 0.2
+    assert edge_lat.min() < lat[0] < edge_lat.max() and edge_lon.min() < lon[0] < edge_lon.max()
+
+
+def test_grid_sizes_follow_weights():
+    names = ("a", "e", "i", "raan", "ap", "M")
+    assert phase_space.grid_sizes(64, dict.fromkeys(names, 1.0), names) == [2] * 6
+    sizes = phase_space.grid_sizes(4096, {**dict.fromkeys(names, 1.0), "a": 8.0, "M": 1 / 8}, names)
+    assert sizes[0] == 8 * sizes[1] and sizes[-1] == 1
+    with pytest.raises(ValueError):
+        phase_space.grid_sizes(8, {"a": 1.0}, names)
+
+
+def test_feather_files_are_read(spark, tmp_path):
+    pa.feather.write_feather(pa.table({"id": ["a", "b"], "other": [1.5, 2.5], "mjd": [1.0, 2.0]}), str(tmp_path / "x.feather"))
+    pa.feather.write_feather(pa.table({"id": ["c"], "other": [0.5], "mjd": [3.0]}), str(tmp_path / "y.feather"))
+    rows = observations.read_feather(spark, str(tmp_path), "id string, mjd double").collect()
+    assert sorted((r["id"], r["mjd"]) for r in rows) == [("a", 1.0), ("b", 2.0), ("c", 3.0)]
+
+
+def test_no_filter_gives_the_input_and_no_ephemeris(spark):
+    obs = spark.createDataFrame([("s", 1.0, 2.0)], "state_id string, lon double, lat double")
+    eph = spark.createDataFrame([("s", 1.0, 2.5), ("s", 1.0, 2.5)], "state_id string, plon double, plat double")
+    assert [df.count() for df in filters.apply_filters(obs, eph, [])] == [1, 0]
+    assert [df.count() for df in filters.apply_filters(obs, eph, [filters.radius_filter(0.6)])] == [1, 1]
+    assert filters.apply_filters(obs, eph, [filters.radius_filter(0.6), filters.radius_filter(0.4)])[0].count() == 0
+    with pytest.raises(ValueError):
+        filters.clip_ephemeris(spark.createDataFrame([(9.0,)], "mjd double"), spark.createDataFrame([(1.0,)], "mjd double"))

@@ -141,6 +141,45 @@ def test_own_detections_lie_at_the_centre_of_the_frame(spark, sf):
     assert len(rows) == 10 and all(abs(r["theta_x"]) < 1e-5 and abs(r["theta_y"]) < 1e-5 for r in rows)
 
 
+def test_sky_covariance_matches_samples():
+    rng = np.random.default_rng(1)
+    state, dt, seen = orbits.from_elements(2.5, 0.1, 5, 40, 70, 100)[0], 30.0, orbits.earth(np.array([60340.0]))[:, :3]
+    covariance = np.diag([1e-8, 2e-8, 1e-8, 1e-12, 1e-12, 2e-12])
+    found = orbits.sky_covariance(state[None], covariance[None], np.array([dt]), seen)[0]
+    many = rng.multivariate_normal(state, covariance, 20_000)
+    lon, lat, _, _ = orbits.directions(orbits.propagate(many, np.full(len(many), dt)), np.repeat(seen, len(many), 0))
+    assert np.allclose(found, [np.var(lon), np.cov(lon, lat)[0, 1], np.var(lat)], rtol=0.1, atol=1e-7)
+
+
+def test_mahalanobis_distance_filters_a_run(spark, sf):
+    """Detections of other orbits lie far outside the predicted covariance of the one followed."""
+    states = orbit_queries.observing_states(spark)
+    obs = orbit_queries.synthetic_observations(spark, sf).drop("linkage_id").withColumn("night", F.floor("mjd").cast("bigint"))
+    tight = F.array(*[F.lit(1e-10 if i % 7 == 0 else 0.0) for i in range(36)])
+    one = orbit_queries.synthetic_orbits(spark, sf).where("orbit_id = '7'").withColumn("covariance", tight)
+    kept = next(linking.link_test_orbit(spark, one, obs, Config(filter_mahalanobis_distance=5.0))).output
+    assert sorted(r["obs_id"] for r in kept.select("obs_id").collect()) == sorted(f"7_{r['state_id']}" for r in states.collect())
+    assert next(linking.link_test_orbit(spark, one, obs, Config(filter_mahalanobis_distance=None))).output.count() == obs.count()
+
+
+def test_clusters_with_a_bad_fit_go(spark, sf):
+    obs = orbit_queries.synthetic_observations(spark, sf).drop("linkage_id").withColumn("night", F.floor("mjd").cast("bigint"))
+    one = orbit_queries.synthetic_orbits(spark, sf).where("orbit_id = '7'")
+    found = {}
+    for most in (1e9, 0.0):
+        config = Config(cluster_vx_bins=1, cluster_vy_bins=1, cluster_vx_min=0.0, cluster_vx_max=0.0, cluster_vy_min=0.0, cluster_vy_max=0.0, cluster_algorithm="hotspot_2d", cluster_rchi2_threshold=most, stop_after_stage="cluster_and_link")
+        *_, last = linking.link_test_orbit(spark, one, obs, config)
+        found[most] = last.output.select("linkage_id").distinct().count()
+    assert found[1e9] >= 1 and found[0.0] == 0
+
+
+def test_outputs_of_test_orbits_are_joined(spark):
+    one = spark.createDataFrame([(1,)], "x int")
+    assert sorted(map(tuple, linking.union_of_stage({"a": one, "b": ValueError("failed"), "c": one}).collect())) == [(1, "a"), (1, "c")]
+    with pytest.raises(ValueError):
+        linking.union_of_stage({"b": ValueError("failed")})
+
+
 def test_config_setters():
     c = Config()
     c.set_min_obs(7)
