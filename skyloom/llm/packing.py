@@ -28,6 +28,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
+from functools import lru_cache
 from math import lcm
 
 import numpy as np
@@ -52,8 +53,10 @@ class WordIds:
     """
 
     TAIL = b"*$%&#!,.;|?:"
+    #: 1 for ASCII letters, 2 for bytes of a tail, else 0.
+    _KINDS = np.array([1 if bytes([c]).isalpha() else 2 if c in b"*$%&#!,.;|?:" else 0 for c in range(256)], np.uint8)
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000):
+    def __init__(self, path: str, end_id: int, most: int = 300_000, most_parts: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is its share
@@ -63,6 +66,7 @@ class WordIds:
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         self.width = np.dtype(self.kind).itemsize
         self.end, self.most = np.array([end_id], self.kind).tobytes(), most
+        self.most_parts = most_parts
         self.ends_word = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
@@ -76,28 +80,46 @@ class WordIds:
     def _alone(self, part: bytes) -> bytes:
         return np.array(self.tok.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
-        """Remembers the ids of words."""
-        split, stems = [], {}
-        for word in words:
+    def _split(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes, bytes, bool]]:
+        """(word, stem, tail, whether the stem is Latin letters alone). Stems of ASCII letters are in lower case."""
+        text = b" ".join(words)
+        lower, lengths = text.lower(), np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths + 1) - 1
+        starts = ends - lengths
+        kinds = self._KINDS[np.frombuffer(text, np.uint8)]
+        letters = np.concatenate([[0], np.cumsum(kinds == 1)])
+        # ASCII letters and then a tail: no other byte, and no letter after another kind of byte.
+        breaks = kinds == 0
+        breaks[1:] |= (kinds[1:] == 1) & (kinds[:-1] != 1)
+        breaks = np.concatenate([[0], np.cumsum(breaks)])
+        simple = (kinds[starts] == 1) & (breaks[ends] == breaks[starts + 1])
+        cuts = starts + letters[ends] - letters[starts]
+        for word, start, cut, end, ok in zip(words, starts.tolist(), cuts.tolist(), ends.tolist(), simple.tolist(), strict=True):
+            if ok:
+                yield word, lower[start:cut], text[cut:end], True
+                continue
             stem = word.rstrip(self.TAIL)
             s = stem.decode("utf-8", "replace")
-            if self._plain(s):
+            if plain := self._plain(s):
                 stem = stem.lower() if stem.isascii() else stem
-                if stem not in self.parts:
-                    stems[stem] = s
             elif not (s and self._plain(s[-1])):
                 stem = word
-            split.append((word, stem, word[len(stem) :]))
-        names = list(stems)
+            yield word, stem, word[len(stem) :], plain
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remembers the ids of words."""
+        if not words:
+            return
+        split = list(self._split(words))
+        names = list(dict.fromkeys(stem for _, stem, _, plain in split if plain and stem not in self.parts))
         for i in range(0, len(names), 2000):
-            ids = np.array(self.tok.encode_batch_fast([" ".join([stems[x] for x in names[i : i + 2000]])], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.tok.encode_batch_fast([b" ".join(names[i : i + 2000]).decode()], add_special_tokens=False)[0].ids, np.int64)
             ends = (self.width * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
             raw, at = ids.astype(self.kind).tobytes(), 0
             for name, end in zip(names[i : i + 2000], ends, strict=True):
                 self.parts[name] = raw[at:end]
                 at = end
-        for word, stem, tail in split:
+        for word, stem, tail, _ in split:
             found = self.parts.get(stem)
             if found is None:
                 found = self.parts[stem] = self._alone(stem)
@@ -121,6 +143,7 @@ class WordIds:
         words = [joined[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
         if len(self.words) > self.most:
             self.words.clear()
+        if len(self.parts) > self.most_parts:
             self.parts.clear()
         self.learn([w for w in words if w not in self.words])
         ids = list(map(self.words.__getitem__, words))
@@ -128,13 +151,19 @@ class WordIds:
         return [b"".join(map(ids.__getitem__, which[a:b])) + self.end for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
+@lru_cache(1)
+def remembered(path: str, end_id: int) -> WordIds:
+    """The ids of words, kept from task to task of a Python worker. Its bounds hold over all of them."""
+    return WordIds(path, end_id)
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, task, before (tokens before it in this task's part of its source), n, ids (uint16 or uint32 bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        words = WordIds(path, end_id)
+        words = remembered(path, end_id)
         width = words.width
         task, sent = TaskContext.get().partitionId(), {}
         for batch in slices(batches, 1024):
