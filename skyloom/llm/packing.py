@@ -56,7 +56,7 @@ class WordIds:
     #: 1 for ASCII letters, 2 for bytes of a tail, else 0.
     _KINDS = np.array([1 if bytes([c]).isalpha() else 2 if c in b"*$%&#!,.;|?:" else 0 for c in range(256)], np.uint8)
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000, most_parts: int = 600_000):
+    def __init__(self, path: str, end_id: int, most: int = 300_000, most_parts: int = 600_000, most_long: int = 16 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is its share
@@ -66,7 +66,8 @@ class WordIds:
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         self.width = np.dtype(self.kind).itemsize
         self.end, self.most = np.array([end_id], self.kind).tobytes(), most
-        self.most_parts = most_parts
+        #: Short words are bounded by their number, words of over 64 bytes by their bytes.
+        self.most_parts, self.most_long, self.long = most_parts, most_long, 0
         self.ends_word = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
@@ -128,6 +129,8 @@ class WordIds:
                     more = self.parts[tail] = self._alone(tail)
                 found += more
             self.words[word] = found
+            if len(word) > 64:
+                self.long += len(word) + len(found)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text and the end id. Words are parted at ASCII white space only."""
@@ -141,10 +144,12 @@ class WordIds:
         which[order] = np.cumsum(new) - 1
         some = order[new]
         words = [joined[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
-        if len(self.words) > self.most:
+        if len(self.words) > self.most or self.long > self.most_long:
             self.words.clear()
-        if len(self.parts) > self.most_parts:
+        if len(self.parts) > self.most_parts or self.long > self.most_long:
             self.parts.clear()
+        if not self.words and not self.parts:
+            self.long = 0
         self.learn([w for w in words if w not in self.words])
         ids = list(map(self.words.__getitem__, words))
         which, bounds = which.tolist(), first.tolist()

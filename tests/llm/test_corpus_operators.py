@@ -135,7 +135,7 @@ def test_many_small_sources_share_a_queue(spark):
 
 
 def test_word_ids_equal_the_tokenizer():
-    words, tok = packing.WordIds(TOKENS, 2, most=500), Tokenizer.from_file(TOKENS)
+    words, tok = packing.WordIds(TOKENS, 2, most=500, most_parts=700, most_long=4000), Tokenizer.from_file(TOKENS)
 
     def same(texts):
         for text, got in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
@@ -147,6 +147,12 @@ def test_word_ids_equal_the_tokenizer():
     for _ in range(40):
         same(["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(100)])
     same([" ".join("".join(rng.choice("etaoinsh") for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", ",!"]) for _ in range(5000))])
+    # Long words are forgotten by their bytes.
+    for i in range(4):
+        same([f"{i}" + "xé." * 2000, "a" * 3000])
+        assert words.long < 25_000
+    same(["x y"])
+    assert words.long == 0 and len(words.words) == 2
 
 
 def brute_rounds(sizes, weights, window):
