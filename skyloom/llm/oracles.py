@@ -106,3 +106,20 @@ gone AS (SELECT doc_id, pos FROM k WHERE id NOT IN (SELECT id FROM firsts) OR id
 g AS (SELECT doc_id, count(*) AS n, list_sort(list(CAST(pos AS INTEGER))) AS removed FROM gone GROUP BY 1)
 SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, coalesce(removed, []) AS removed
 FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
+def phrase_index_sql(size: int = 10) -> str:
+    """Rows of op13: all runs of words of the documents against those of the items, by the lengths that windows have."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    found = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {found} AS ws FROM documents),
+b AS (SELECT item_id, {found} AS ws FROM benchmark),
+g AS (SELECT DISTINCT item_id, ws[i:i + {size - 1}] AS gram FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - {size - 1}, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT len(gram) AS n FROM g),
+runs AS (SELECT r, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d, lens WHERE len(ws) >= n),
+hit AS (SELECT r, i, runs.n, item_id FROM runs JOIN g ON g.gram = runs.ws[i:i + runs.n - 1]),
+covered AS (SELECT r, count(DISTINCT i + o) AS n_hit FROM hit, range({size}) AS offsets(o) WHERE o < n GROUP BY r),
+listed AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)"""

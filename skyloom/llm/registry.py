@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, line_dedup, media, near_dedup, packing, quality_crf, quality_rules, site_tree, warc
+from . import bpe, chat, line_dedup, media, near_dedup, packing, phrase_index, quality_crf, quality_rules, site_tree, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op13_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_role_repair": op1_role_repair,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Query]:
         "op8_warc_bundles": op8_warc_bundles,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_byte_bpe": op10_byte_bpe,
+        "op13_phrase_index": op13_phrase_index,
     }
 
 
@@ -86,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": oracles.line_dedup_sql(),
         "op8_warc_bundles": oracles.warc_sql(),
         "op9_minhash_near_dedup": oracles.near_dedup_sql(),
+        "op13_phrase_index": oracles.phrase_index_sql(),
     }
