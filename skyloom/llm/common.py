@@ -57,12 +57,12 @@ class Scratch:
         _OWNED.reset(self._before)
         self.drop()
 
-    def drop(self) -> None:
-        """Deletes what was staged so far; no plan that reads these tables may run any more."""
-        for path in self.paths:
+    def drop(self, paths: list[str] | None = None) -> None:
+        """Deletes what was staged so far, or the tables at ``paths``; no plan that reads these tables may run any more."""
+        for path in list(self.paths if paths is None else paths):
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        self.paths.clear()
+            self.paths.remove(path)
 
     def kept(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` staged in a table that outlives this scratch; it belongs to the one around it, if any."""

@@ -123,3 +123,56 @@ covered AS (SELECT r, count(DISTINCT i + o) AS n_hit FROM hit, range({size}) AS
 listed AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM hit GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)"""
+
+
+def _integers(scale: int) -> str:
+    """The kept vectors as integers."""
+    return f"""
+q AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+#: Squared distance of two lists, and the floor of a sum over a count.
+_SQUARED = "list_sum(list_transform(list_zip({}, {}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_FLOOR = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def ball_kmeans_sql(clusters: int = 8, rounds: int = 10, seed: int = 3, scale: int = 1024) -> str:
+    """Rows of op11 by plain rounds: every vector against every centroid."""
+    steps = [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, v FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM q ORDER BY h LIMIT {clusters}))"]
+    for i in range(rounds + 1):
+        steps.append(f"d{i} AS (SELECT r, k, q.v, {_SQUARED.format('q.v', 'c.v')} AS d FROM q, c{i} c)")
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, v, k, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)")
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT k, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, range(1, 65) AS p(j) GROUP BY k, j)")
+            steps.append(f"m{i} AS (SELECT k, list({_FLOOR} ORDER BY j) AS v FROM s{i} GROUP BY k)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (k))")
+    return f"""
+WITH {_integers(scale)},
+{(',' + chr(10)).join(steps)}
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN q USING (r) JOIN c{rounds} c ON c.k = a.k"""
+
+
+def heap_lloyd_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Rows of op12 by plain rounds: every part against every entry of its codebook."""
+    width = 64 // parts
+    steps = [
+        f"x AS MATERIALIZED (SELECT r, p, v[p * {width} + 1:(p + 1) * {width}] AS v FROM q, range({parts}) AS parts(p))",
+        f"c0 AS MATERIALIZED (SELECT p, r - 1 AS k, v FROM x WHERE r <= {entries})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"d{i} AS (SELECT r, p, k, x.v, {_SQUARED.format('x.v', 'c.v')} AS d FROM x JOIN c{i} c USING (p))")
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, p, v, k, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY d, k) = 1)")
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT p, k, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, range(1, {width + 1}) AS places(j) GROUP BY p, k, j)")
+            steps.append(f"m{i} AS (SELECT p, k, list({_FLOOR} ORDER BY j) AS v FROM s{i} GROUP BY p, k)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT p, c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (p, k))")
+    return f"""
+WITH {_integers(scale)},
+{(',' + chr(10)).join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', CAST(k AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN q USING (r)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, line_dedup, media, near_dedup, packing, phrase_index, quality_crf, quality_rules, site_tree, warc
+from . import ball_kmeans, bpe, chat, heap_lloyd, line_dedup, media, near_dedup, packing, phrase_index, quality_crf, quality_rules, site_tree, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, seed=3, scale=1024, dim=64)
+
+
+def op12_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_lloyd.heap_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096, dim=64)
+
+
 def op13_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
 
@@ -79,6 +87,8 @@ def queries() -> dict[str, Query]:
         "op8_warc_bundles": op8_warc_bundles,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_ball_kmeans": op11_ball_kmeans,
+        "op12_heap_lloyd": op12_heap_lloyd,
         "op13_phrase_index": op13_phrase_index,
     }
 
@@ -91,5 +101,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": oracles.line_dedup_sql(),
         "op8_warc_bundles": oracles.warc_sql(),
         "op9_minhash_near_dedup": oracles.near_dedup_sql(),
+        "op11_ball_kmeans": oracles.ball_kmeans_sql(),
+        "op12_heap_lloyd": oracles.heap_lloyd_sql(),
         "op13_phrase_index": oracles.phrase_index_sql(),
     }
