@@ -414,9 +414,12 @@ def removed_by_document(docs: DataFrame, rules: LineRules = LineRules(), key: st
 
 
 def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the removed lines cut out of the text, and their number as ``n_removed_lines``."""
+    """All columns of ``docs`` with the removed lines cut out of the text, and their number as ``n_removed_lines``.
+
+    Texts and places meet by a shuffle at every size: places grow with the texts, so a broadcast would hold for small inputs alone.
+    """
     gone = removed_by_document(docs, rules, key, text).withColumnRenamed("doc_id", "__gone_id").withColumnRenamed("removed", "__gone")
-    joined = docs.join(gone, docs[key].cast("long") == gone["__gone_id"], "left")
+    joined = docs.join(gone.hint("merge"), docs[key].cast("long") == gone["__gone_id"], "left")
     kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
     cut = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumns({text: cut, "n_removed_lines": F.coalesce(F.array_size("__gone"), F.lit(0))}).select(*docs.columns, "n_removed_lines")
