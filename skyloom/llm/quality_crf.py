@@ -13,7 +13,7 @@ in Arrow batches without a shuffle.
 Edge cases: a null or empty text is scored as one empty line. Documents without labels are scored like
 others; labels of missing documents are ignored; a document with several labels counts as good if most
 are. With no labels, or labels of one kind only, all scores are that kind's value, 0.5 without any.
-Repeated rows get equal scores. Very long texts are processed whole. Only the id and text columns are read.
+Repeated rows get equal scores; of several texts of one id the field learns from that of the least figures. Very long texts are processed whole. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -201,8 +201,13 @@ def train(docs: DataFrame, labels: DataFrame, admit: Column, p: Fit = Fit(), key
 
     kind = docs.schema[key].dataType.simpleString()
     sample = rows.mapInArrow(run, f"{key} {kind}, y int, figures array<double>").toPandas()
-    sample = sample.sort_values([key, "y"], kind="stable").drop_duplicates(key)
-    return fit([np.asarray(f, float).reshape(-1, N_FIGURES) for f in sample["figures"]], sample["y"].astype(int).tolist(), p)
+    # Of the texts of one id, that of the least figures; rows in any order give one model.
+    first: dict = {}
+    for id_, y, figures in zip(sample[key].tolist(), sample["y"].tolist(), map(tuple, sample["figures"]), strict=True):
+        if id_ not in first or figures < first[id_][1]:
+            first[id_] = (int(y), figures)
+    chosen = [first[id_] for id_ in sorted(first)]
+    return fit([np.array(f, float).reshape(-1, N_FIGURES) for _, f in chosen], [y for y, _ in chosen], p)
 
 
 def held_out(key: str = "doc_id") -> Column:
