@@ -19,8 +19,8 @@
 5. Every candidate pair is verified on the whole sets, and components give each document its group.
 
 Edge cases: texts without words (null and empty ones too) have no shingles and are linked with nothing.
-Texts with fewer words than a shingle have one shingle, the whole sequence. Rows that share an id count
-as one document; a null id forms no link by near copies. Very long texts are shingled whole. An empty
+Texts with fewer words than a shingle have one shingle, the whole sequence. Rows that share an id are one
+document, so different texts of an id are linked; a null id forms no link by near copies. Very long texts are shingled whole. An empty
 table gives an empty result. Only the id and text columns are read.
 """
 
@@ -217,15 +217,44 @@ def _unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(apart, "v", "left_semi")
 
 
+def _together(out: DataFrame, every: DataFrame, apart: DataFrame) -> DataFrame:
+    """Rows of ``out`` (doc_id, n_shingles, component_id) under the ids that they were given: a component is named by its least, and each row of ``every`` is one."""
+    own = staged(out.join(apart.withColumnsRenamed({"id": "was", "own": "doc_id"}), "doc_id", "left").select(F.coalesce("was", "doc_id").alias("id"), "n_shingles", "component_id"), "near-own")
+    least = staged(own.groupBy("component_id").agg(F.min("id").alias("least")), "near-least")
+    found = staged(join_small(own, least, ["component_id"], "left", 24), "near-named")
+    rows = join_small(every.where("id IS NOT NULL"), found.select("id", "least").distinct(), ["id"], "left", 24).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    return rows.unionByName(found.where("id IS NULL").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, p: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id of the group), kept (it is that document)."""
     with Scratch(docs.sparkSession) as own:
         return own.kept(_near_duplicates(docs, p, key, text), "near-result")
 
 
+def _apart(docs: DataFrame, signed: DataFrame, p: Similarity) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Documents and signatures in which every different text of an id has an id of its own, and (id, own) of these new ids; None where no id has two texts.
+
+    New ids are negative, below all others, so that they meet none.
+    """
+    key = F.coalesce("set_key", F.lit(b""))
+    several = signed.where("id IS NOT NULL").groupBy("id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("id")
+    several = staged(several, "near-several")
+    if several.isEmpty():
+        return docs, signed, None
+    least = min(signed.agg(F.min("id")).first()[0], 0)
+    texts = join_small(docs, several, ["id"], "left_semi", 16).distinct()
+    texts = staged(texts.select("id", (F.lit(least - 1) - F.monotonically_increasing_id()).alias("own"), "text"), "near-apart")
+    rows = texts.select(F.col("own").alias("id"), "text")
+    others = join_small(docs, several, ["id"], "left_anti", 16).unionByName(rows)
+    signed = staged(join_small(signed, several, ["id"], "left_anti", 16).unionByName(signatures(rows, p)), "near-signatures")
+    return others, signed, texts.select("id", "own")
+
+
 def _near_duplicates(docs: DataFrame, p: Similarity, key: str, text: str) -> DataFrame:
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = staged(signatures(docs, p), "near-signatures")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    every = staged(signatures(rows, p), "near-signatures")
+    docs, signed, apart = _apart(rows, every, p)
     classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     copied = staged(classes.where("copies > 1").select("set_key", "rep"), "near-classes")
     members = join_small(signed.select("id", "n", "set_key"), copied, ["set_key"], "left", 32)
@@ -247,7 +276,13 @@ def _near_duplicates(docs: DataFrame, p: Similarity, key: str, text: str) -> Dat
     unlabelled = long_lists.withColumn("label", F.col("id"))
     star = _star(unlabelled, F.struct(-F.col("central"), "id"), p)
     tried = staged(pairs.union(short).union(star).distinct(), "near-candidates")
-    links = staged(verify(tried, texts, p), "near-links")
+    links = verify(tried, texts, p)
+    if apart is not None:
+        # The classes that the texts of one id lie in are linked.
+        places = apart.join(members.select(F.col("id").alias("own"), "rep"), "own").select("id", "rep")
+        heads = places.groupBy("id").agg(F.min("rep").alias("a"))
+        links = links.union(places.join(heads, "id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+    links = staged(links, "near-links")
     labels = components(links)
 
     # More stars where a long list still has several components, around members picked by hash.
@@ -274,4 +309,6 @@ def _near_duplicates(docs: DataFrame, p: Similarity, key: str, text: str) -> Dat
 
     out = join_small(members, labels.select(F.col("id").alias("rep"), "label"), ["rep"], "left", 24)
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    if apart is not None:
+        out = _together(out, every, apart)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -347,6 +347,14 @@ def test_field_on_odd_rows(spark):
     assert quality_crf.classify(docs.where("false"), model).count() == 0
 
 
+def test_field_does_not_depend_on_the_order_of_rows(spark):
+    """Ids 0 to 5 have two texts each."""
+    rows = [(i % 20, f"Line {i} of words.\n" * (i % 4 + 1) + "$$$ " * (i % 3)) for i in range(26)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    models = [quality_crf.train(spark.createDataFrame(order, "doc_id long, text string").repartition(n), labels, F.lit(True)) for order, n in ((rows, 3), (rows[::-1], 2))]
+    assert (models[0].weights == models[1].weights).all() and (models[0].pair == models[1].pair).all()
+
+
 def test_field_learns_from_all_lines(spark):
     same = ["A plain line of words that all of the documents share."] * 120
     good, bad = ["The report describes how the river was measured over ten years."] * 150, ["!!! $$$ CLICK ### HERE ||| NOW *** FREE"] * 150
@@ -413,6 +421,19 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    """Ids 1 and 2 have text a, 3 has b, 5 has both; 8 has c and nothing, 9 has c; 6 has two texts of its own."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(1, a), (2, a), (3, b), (5, a), (5, b), (8, c), (8, None), (9, c + " end"), (6, "q r s t u v"), (6, "h i j k l m"), (None, b), (None, None), (7, "x y z"), (7, "x y z")]
+    expected = [(1, 1), (2, 1), (3, 1), (5, 1), (5, 1), (8, 8), (8, 8), (9, 8), (6, 6), (6, 6), (None, 1), (None, None), (7, 7), (7, 7)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = near_dedup.near_duplicates(docs).collect()
+        assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(expected, key=str)
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+        assert sorted(r["n_shingles"] for r in got if r["doc_id"] == 8) == [0, 26]
+
+
 @pytest.mark.parametrize("variants", [36, 40, 44])
 def test_near_duplicates_of_a_whole_set_in_sampled_ones(spark, variants):
     base = [f"b{i}" for i in range(68)]
