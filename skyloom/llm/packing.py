@@ -2,15 +2,19 @@
 
 Every source is a queue of tokens with a target share. A window of W tokens credits each queue its share
 of the window; queues send in turn, whole tokens, and what rounding leaves over is a deficit that a queue
-carries to the next window. A queue that runs dry leaves the round, and the shares of the others grow in
-proportion, so every window but the last is full. Targets are given by source, or are the sources' shares
-of all tokens. Sources without a target follow when those with one are empty, in proportion to their tokens.
-
-Between two queues running dry, what queues 1 to k have been credited together is a straight line in the
-tokens sent so far, and what they have sent is its floor: each deficit stays under a token, no state passes
-from window to window, and where a token lands follows from its place in its queue. ``Rounds`` holds the
-lines, a few integers a queue and stretch. Sources that would send less than one token a window share one
-queue, so that places never run backwards.
+carries to the next window, over as many windows as it takes: a queue with a share of less than one token a
+window sends one every few windows. A queue that runs dry leaves the round, and the shares of the others
+grow in proportion, so every window but the last is full. Targets are given by source, or are the sources'
+shares of all tokens. Sources without a target follow when those with one are empty, in proportion to their
+tokens.
+
+Between two queues running dry, every queue sends a known number of tokens in proportion. Queues settle in
+a balanced tree: of what two halves have sent together, the left half's part is its share, rounded down, and
+the right half's the rest. Both only grow, so places never run backwards however small a share is, and a
+deficit stays under one token a level of the tree. No state passes from window to window: where a token
+lands follows from its place in its queue, in steps as many as the tree has levels. ``Rounds`` holds the
+numbers of tokens, one a queue and stretch. Sources beyond the ``MOST_QUEUES`` largest share as many queues,
+dealt by hash.
 
 Places come from prefix sums. One pass tokenises each text once, writes the ids to the shared folder and
 counts, within each task, the tokens before each document in its queue. Sums by task and source (partial
@@ -29,7 +33,7 @@ from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from functools import lru_cache
-from math import lcm
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import WordHasher, utf8
-from .common import join_small, slices, staged
+from .common import Scratch, join_small, slices, staged
+
+#: Sources with a queue of their own: their names and numbers of tokens are known to the driver and every task.
+MOST_QUEUES = 1 << 16
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -185,76 +192,108 @@ def tokenized(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text
     return staged(rows.mapInArrow(run, "doc_id long, source string, task int, before long, n long, ids binary"), "packing-ids")
 
 
-def queues(parts: DataFrame, window: int, targets: Mapping[str | None, float] | None) -> tuple[list[tuple[str | None, int, Fraction]], int]:
-    """The queues as (source, tokens, weight) in order, and how many tokens other sources have.
+def queues(parts: DataFrame, targets: Mapping[str | None, float] | None, most: int) -> tuple[list[tuple[str | None, int, Fraction]], list[int]]:
+    """The sources with a queue of their own as (source, tokens, weight), in a fixed order, and the tokens of the queues that the others share.
 
-    At most ``window`` sources send a token a window or more, which bounds what is read here.
+    ``most`` bounds what is read here: the largest sources, and those that a target names.
     """
-    total = parts.agg(F.sum("n")).first()[0] or 0
-    by_source = parts.groupBy("source").agg(F.sum("n").alias("n"))
+    by_source = staged(parts.groupBy("source").agg(F.sum("n").alias("n")), "packing-sources")
+    large = {r["source"]: r["n"] for r in by_source.orderBy(F.desc("n"), "source").limit(most).collect()}
     if targets is None:
-        large = by_source.where(F.col("n") * window >= total).orderBy(F.desc("n"), "source").collect() if total else []
-        found = [(r["source"], r["n"], Fraction(r["n"])) for r in large]
+        weights = {s: Fraction(n) for s, n in large.items()}
     else:
         whole = sum(Fraction(t) for t in targets.values() if t > 0)
-        wanted = {s: Fraction(t) / whole for s, t in targets.items() if t > 0 and Fraction(t) * window >= whole}
-        named = parts.sparkSession.createDataFrame([(s,) for s in wanted], "wanted string")
-        sizes = {r["source"]: r["n"] for r in by_source.join(F.broadcast(named), by_source["source"].eqNullSafe(named["wanted"])).collect()}
-        found = [(s, sizes[s], t.limit_denominator(10**9)) for s, t in wanted.items() if sizes.get(s)]
-    return found, total - sum(n for _, n, _ in found)
+        weights = {s: (Fraction(t) / whole).limit_denominator(10**9) for s, t in targets.items() if t > 0}
+        named = parts.sparkSession.createDataFrame([(s,) for s in weights], "wanted string")
+        large |= {r["source"]: r["n"] for r in by_source.join(F.broadcast(named), by_source["source"].eqNullSafe(named["wanted"])).collect()}
+    own = sorted(large.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))
+    shared: list[int] = []
+    if by_source.count() > len(own):
+        shared = [0] * most
+        named = parts.sparkSession.createDataFrame([(s,) for s in large], "wanted string")
+        others = by_source.join(F.broadcast(named), by_source["source"].eqNullSafe(named["wanted"]), "left_anti")
+        for r in others.groupBy(_share(most).alias("share")).agg(F.sum("n").alias("n")).collect():
+            shared[r["share"]] = r["n"]
+    return [(s, n, weights.get(s, Fraction(0))) for s, n in own], shared
+
+
+def _share(most: int):
+    return F.pmod(F.xxhash64("source"), F.lit(most))
 
 
 class Rounds:
-    """Deficit round-robin of queues of ``sizes`` tokens by ``weights``: what queues below k have sent after w windows."""
+    """Deficit round-robin of queues of ``sizes`` tokens by ``weights``; queues without a weight follow when all others are empty."""
 
     def __init__(self, sizes: list[int], weights: list[Fraction], window: int):
         self.window, self.sizes, self.total = window, sizes, sum(sizes)
-        scale = lcm(*(w.denominator for w in weights)) if weights else 1
-        weights = [int(w * scale) for w in weights]
-        sent, at = [Fraction(0)] * len(sizes), Fraction(0)
-        active, waiting = [i for i, n in enumerate(sizes) if n and weights[i]], [i for i, n in enumerate(sizes) if n and not weights[i]]
-        if not active:
-            active, weights, waiting = waiting, list(sizes), None
-        #: For each stretch: its last token, a divisor d, and for each k integers a, b with (a + b x) / d tokens credited to queues below k.
-        self.stretches: list[tuple[int, int, list[int], list[int]]] = []
-        while active:
-            together = sum(weights[i] for i in active)
-            lasts = min((sizes[i] - sent[i]) / weights[i] for i in active) * together
-            lines, a, b = [(Fraction(0), Fraction(0))], Fraction(0), Fraction(0)
-            for i in range(len(sizes)):
-                rate = Fraction(weights[i], together) if i in active else Fraction(0)
-                a, b = a + sent[i] - rate * at, b + rate
-                lines.append((a, b))
-            d = lcm(*(x.denominator for line in lines for x in line))
+        sent, fluid = [0] * len(sizes), [Fraction(0)] * len(sizes)
+        active = [i for i, n in enumerate(sizes) if n and weights[i]]
+        waiting = [i for i, n in enumerate(sizes) if n and not weights[i]]
+        rate: Mapping[int, Fraction] = dict(enumerate(weights))
+        #: For each stretch: its last token, and running totals over the queues of what they send in it and have sent before it.
+        self.stretches: list[tuple[int, list[int], list[int]]] = []
+        while active or waiting:
+            if not active:
+                active, waiting, rate = waiting, [], {i: Fraction(n) for i, n in enumerate(sizes)}
+            lasts = min((sizes[i] - fluid[i]) / rate[i] for i in active)
+            before = sent[:]
             for i in active:
-                sent[i] += lasts * weights[i] / together
-            at += lasts
-            self.stretches.append((int(at), d, [int(a * d) for a, _ in lines], [int(b * d) for _, b in lines]))
-            # Queues without a weight follow when all others are empty.
-            active = [i for i in active if sent[i] < sizes[i]] or ([] if waiting is None else waiting)
-            if active is waiting:
-                weights, waiting = list(sizes), None
+                fluid[i] += lasts * rate[i]
+                sent[i] = int(fluid[i])
+            active = [i for i in active if fluid[i] < sizes[i]]
+            moved = [b - a for a, b in zip(before, sent, strict=True)]
+            if any(moved):
+                self.stretches.append((sum(sent), [0, *accumulate(moved)], [0, *accumulate(before)]))
         self.lasts = [s[0] for s in self.stretches]
-
-    def sent(self, w: int, k: int) -> int:
-        """Tokens that the queues below ``k`` have sent after ``w`` windows."""
-        x = min(w * self.window, self.total)
-        _, d, a, b = self.stretches[min(bisect_left(self.lasts, x), len(self.lasts) - 1)]
-        return (a[k] + b[k] * x) // d
-
-    def own(self, w: int, q: int) -> int:
-        return self.sent(w, q + 1) - self.sent(w, q)
+        self._cached: dict[int, tuple[int, tuple[int, int, int, int]]] = {}
+
+    def _until(self, x: int, q: int) -> tuple[int, int]:
+        """Of the first ``x`` tokens, those that the queues before ``q`` have sent, and those of ``q``."""
+        if not self.stretches:
+            return 0, 0
+        last, totals, before = self.stretches[min(bisect_left(self.lasts, x), len(self.lasts) - 1)]
+        s = x - last + totals[-1]
+        low, high, ahead = 0, len(self.sizes), 0
+        while high - low > 1:
+            middle = (low + high) // 2
+            both = totals[high] - totals[low]
+            left = s * (totals[middle] - totals[low]) // both if both else 0
+            if q < middle:
+                high, s = middle, left
+            else:
+                low, s, ahead = middle, s - left, ahead + left
+        return ahead + before[q], s + before[q + 1] - before[q]
+
+    def span(self, w: int, q: int) -> tuple[int, int, int]:
+        """(first token, token after the last, place of the first in the window) of what queue ``q`` sends in window ``w``."""
+        cached = self._cached.get(q)
+        if cached is None or cached[0] != w:
+            start = cached[1][2:] if cached is not None and cached[0] == w - 1 else self._until(min(w * self.window, self.total), q)
+            cached = w, (*start, *self._until(min((w + 1) * self.window, self.total), q))
+            self._cached[q] = cached
+        ahead, first, ahead_after, after = cached[1]
+        return first, after, ahead_after - ahead
 
     def window_of(self, q: int, at: int) -> int:
         """The window in which token ``at`` of queue ``q`` is sent."""
-        low, high = 0, -(-self.total // self.window) - 1
-        if len(self.stretches) == 1:
-            _, d, _, b = self.stretches[0]
-            guess = at * d // ((b[q + 1] - b[q]) * self.window)
-            low, high = max(low, guess - 2), min(high, guess + 2)
+        cached = self._cached.get(q)
+        if cached is not None and cached[1][1] <= at < cached[1][3]:
+            return cached[0]
+        last, totals, sent, own = next(
+            (last, totals, sent, own) for last, totals, before in self.stretches if at < (sent := before[q + 1] - before[q]) + (own := totals[q + 1] - totals[q])
+        )
+        guess = (last - totals[-1] + (at - sent) * totals[-1] // own) // self.window
+        end = -(-self.total // self.window) - 1
+        low = high = min(max(guess, 0), end)
+        step = 1
+        while low > 0 and self._until(low * self.window, q)[1] > at:
+            high, low, step = low, max(0, low - step), 2 * step
+        step = 1
+        while high < end and self._until((high + 1) * self.window, q)[1] <= at:
+            low, high, step = high + 1, min(end, high + step), 2 * step
         while low < high:
             middle = (low + high) // 2
-            low, high = (low, middle) if self.own(middle + 1, q) > at else (middle + 1, high)
+            low, high = (low, middle) if self._until(min((middle + 1) * self.window, self.total), q)[1] > at else (middle + 1, high)
         return low
 
 
@@ -267,27 +306,26 @@ def pack(
     text: str = "text",
     source: str = "source",
     targets: Mapping[str | None, float] | None = None,
+    most_queues: int = MOST_QUEUES,
 ) -> DataFrame:
     """Pieces of all documents in windows of ``window`` tokens, PIECE_SCHEMA. ``targets`` are shares by source; by default the sources' shares of all tokens."""
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.kept(_pack(docs, path, end_id, window, key, text, source, targets, most_queues), "packing-pieces")
+
+
+def _pack(docs: DataFrame, path: str, end_id: int, window: int, key: str, text: str, source: str, targets: Mapping[str | None, float] | None, most_queues: int) -> DataFrame:
     spark = docs.sparkSession
     ids = tokenized(docs, path, end_id, key, text, source)
     parts = staged(ids.groupBy("task", "source").agg(F.sum("n").alias("n")), "packing-parts")
-    named_queues, rest = queues(parts, window, targets)
-    if not named_queues and not rest:
+    own, shared = queues(parts, targets, most_queues)
+    if not own:
         return spark.createDataFrame([], PIECE_SCHEMA)
-    sizes, weights = [n for _, n, _ in named_queues], [w for _, _, w in named_queues]
-    rest_queue = len(sizes)
-    if rest and targets is None and sizes and rest * window < rest + sum(sizes):
-        # Too few tokens for a queue: they follow those of the smallest.
-        rest_queue -= 1
-        sizes[-1], weights[-1] = sizes[-1] + rest, weights[-1] + rest
-    elif rest:
-        sizes.append(rest)
-        weights.append(Fraction(rest if targets is None else 0))
+    sizes = [n for _, n, _ in own] + shared
+    weights = [w for _, _, w in own] + [Fraction(n if targets is None else 0) for n in shared]
     rounds = Rounds(sizes, weights, window)
-    named = spark.createDataFrame([(s, i) for i, (s, _, _) in enumerate(named_queues)], "source string, queue int")
+    named = spark.createDataFrame([(s, i) for i, (s, _, _) in enumerate(own)], "source string, queue long")
     by_queue = parts.join(F.broadcast(named), parts["source"].eqNullSafe(named["source"]), "left").select(
-        parts["task"], parts["source"], "n", F.coalesce("queue", F.lit(rest_queue)).alias("queue")
+        parts["task"], parts["source"], "n", F.coalesce("queue", F.lit(len(own)) + F.pmod(F.xxhash64(parts["source"]), F.lit(most_queues))).alias("queue")
     )
     # The running total over tasks has a row a task and queue; within them, the rest's sources are put in a row.
     tasks = by_queue.groupBy("queue", "task").agg(F.sum("n").alias("n"))
@@ -308,17 +346,16 @@ def pack(
                 ids = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4")
                 w, done = rounds.window_of(q, at), 0
                 while done < n:
-                    a_low, b_low, a_high, b_high = rounds.sent(w, q), rounds.sent(w + 1, q), rounds.sent(w, q + 1), rounds.sent(w + 1, q + 1)
-                    q_at, q_end = a_high - a_low, b_high - b_low
-                    take = min(n - done, q_end - at - done)
+                    first, after, place = rounds.span(w, q)
+                    take = min(n - done, after - at - done)
                     if take > 0:
                         # A window holds what its queues send, one after another.
-                        row = (doc, done, take, zlib.crc32(ids[done : done + take].tobytes()), n, w, b_low - a_low + at + done - q_at, name)
+                        row = (doc, done, take, zlib.crc32(ids[done : done + take].tobytes()), n, w, place + at + done - first, name)
                         for column, value in zip(rows, row, strict=True):
                             column.append(value)
                         done += take
                         w += 1
-                    elif done < n:
+                    else:
                         w = rounds.window_of(q, at + done)
             kinds = [pa.int64()] * 7 + [pa.string()]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
