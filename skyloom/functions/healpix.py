@@ -38,6 +38,23 @@ def ang2pix_nest(lon: Column, lat: Column, nside: int) -> Column:
     return (face * nside * nside + _spread(ix) + F.shiftleft(_spread(iy), 1)).cast("long")
 
 
+def pixel_of(nside: int, lon: float, lat: float) -> int:
+    """Nested pixel of one direction in degrees."""
+    z, tt = math.sin(math.radians(lat)), lon % 360.0 / 90.0
+    if abs(z) <= 2.0 / 3.0:
+        jp, jm = math.floor(nside * (0.5 + tt - z * 0.75)), math.floor(nside * (0.5 + tt + z * 0.75))
+        fp, fm = jp // nside, jm // nside
+        face = fp % 4 + 4 if fp == fm else fp % 4 if fp < fm else fm % 4 + 8
+        ix, iy = jm % nside, nside - 1 - jp % nside
+    else:
+        quarter = min(int(tt), 3)
+        far = nside * math.sqrt(3.0 * (1.0 - abs(z)))
+        a, b = min(int((tt - quarter) * far), nside - 1), min(int((1.0 - tt + quarter) * far), nside - 1)
+        face, ix, iy = (quarter, nside - 1 - b, nside - 1 - a) if z >= 0 else (quarter + 8, a, b)
+    spread = lambda v: int(bin(v)[2:], 4)
+    return face * nside * nside + spread(ix) + 2 * spread(iy)
+
+
 def children_nest(pixel: Column) -> Column:
     """The four pixels of twice the resolution."""
     return F.sequence(4 * pixel, 4 * pixel + 3)

@@ -9,19 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.sources.staging import small_side, stage
-
+from . import velocity_tiles
 from .components import label_components
 from .relational import set_hash
-
-
-@dataclass(frozen=True)
-class Validity:
-    """What makes a dense spot a cluster."""
-
-    min_obs: int = 6
-    min_arc_length: float = 1.0
-    min_nights: int = 3
+from .velocity_tiles import Validity
 
 
 def shifted(points: DataFrame, vx: Column, vy: Column, epoch: float) -> DataFrame:
@@ -104,51 +95,16 @@ def find_clusters(points: DataFrame, eps: float, min_samples: int, algorithm: st
     raise NotImplementedError(f"algorithm {algorithm!r} is not implemented")
 
 
-#: Half-cell offsets, in units of eps, of the four grids.
-SHIFTS = ((0, 0), (1, 0), (1, 1), (0, 1))
-
-
-def on_grids(points: DataFrame, eps: float, shifts: int) -> DataFrame:
-    """Points (xx, yy) once for each of the first ``shifts`` grids, moved by the grid's offset, with its number as ``shift``."""
-    offsets = F.array(*[F.struct(F.lit(i).alias("shift"), F.lit(dx * eps).alias("dx"), F.lit(dy * eps).alias("dy")) for i, (dx, dy) in enumerate(SHIFTS[:shifts])])
-    wide = points.withColumn("__grid", F.explode(offsets))
-    return wide.withColumns({"shift": F.col("__grid.shift"), "xx": F.col("xx") + F.col("__grid.dx"), "yy": F.col("yy") + F.col("__grid.dy")}).drop("__grid")
-
-
 def velocity_grid(points: DataFrame, vxs: list[float], vys: list[float], epoch: float, eps: float, validity: Validity, shifts: int = 1) -> DataFrame:
-    """Valid hotspot cells over a grid of velocities, each member set once, with the least velocity that finds it.
-
-    Grid and offsets are generated row by row next to the points, so the product of grid and points is never
-    stored. A first pass only counts cells, a fast partial aggregation, and the second describes the few
-    dense ones. With ``shifts`` of 4 a spot on a cell's edge is found too.
-    """
-    wide = points.withColumn("vx", F.explode(F.array(*map(F.lit, vxs)))).withColumn("vy", F.explode(F.array(*map(F.lit, vys))))
-    moved = on_grids(shifted(wide, F.col("vx"), F.col("vy"), epoch), eps, shifts).withColumns({"__qx": cell(F.col("xx"), eps), "__qy": cell(F.col("yy"), eps)})
-    keys = ["vx", "vy", "shift", "__qx", "__qy"]
-    dense = stage(moved.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= validity.min_obs).drop("n"), "dense")
-    cells = hotspot(moved.join(small_side(dense, 48), keys, "left_semi"), eps, validity, ["vx", "vy", "shift"])
-    best = F.min(F.struct("vx", "vy", "shift", "qx", "qy")).alias("best")
-    return cells.groupBy("cluster_id").agg(best, F.first("num_obs").alias("num_obs"), F.first("arc_length").alias("arc_length")).select("cluster_id", "best.*", "num_obs", "arc_length")
+    """Valid hotspot cells over all pairs of velocities, each member set once, with the least velocity that finds it. With ``shifts`` of 4 a spot on a cell's edge is found too."""
+    grid = velocity_tiles.Velocities(np.sort(vxs), np.sort(vys))
+    return velocity_tiles.hotspot_clusters(points, grid, validity, shifts, epoch=epoch, radius=eps).drop("members")
 
 
 def density_clusters(points: DataFrame, vxs: list[float], vys: list[float], epoch: float, eps: float, validity: Validity) -> DataFrame:
-    """(cluster_id, id) of the valid clusters that ``dbscan`` finds at each velocity of a grid, each member set once.
-
-    A point has an id of its own at each velocity, so that labels of two velocities never meet.
-    """
-    wide = points.withColumn("vx", F.explode(F.array(*map(F.lit, vxs)))).withColumn("vy", F.explode(F.array(*map(F.lit, vys))))
-    moved = shifted(wide, F.col("vx"), F.col("vy"), epoch).withColumn("own", F.col("id"))
-    moved = stage(moved.withColumn("id", F.concat_ws(" ", F.col("vx").cast("string"), F.col("vy").cast("string"), "own")).select("id", "own", "vx", "vy", "xx", "yy", "mjd", "days"), "moved")
-    labels = dbscan(moved, eps, validity.min_obs, ["vx", "vy"]).select("id", "label")
-    grouped = moved.join(labels, "id").groupBy("label").agg(
-        F.count("*").alias("num_obs"),
-        F.size(F.collect_set("mjd")).cast("bigint").alias("n_times"),
-        (F.max("mjd") - F.min("mjd")).alias("arc_length"),
-        F.size(F.collect_set("days")).cast("bigint").alias("nights"),
-        set_hash(F.col("own")).alias("cluster_id"),
-        F.array_sort(F.collect_set("own")).alias("members"),
-    )
-    return valid_clusters(grouped, validity).groupBy("cluster_id").agg(F.first("members").alias("members")).select("cluster_id", F.explode("members").alias("id"))
+    """(cluster_id, id) of the valid clusters that ``dbscan`` finds at each velocity of a grid, each member set once."""
+    grid = velocity_tiles.Velocities(np.sort(vxs), np.sort(vys))
+    return velocity_tiles.density_clusters(points, grid, validity, epoch=epoch, radius=eps).select("cluster_id", F.explode("members").alias("id"))
 
 
 def moments(t: Column, x: Column, y: Column) -> list[Column]:

@@ -32,6 +32,20 @@ def mahalanobis_filter(k: float) -> Filter:
     return lambda observations, ephemeris: within_mahalanobis(observations.join(ephemeris.select("state_id", "plon", "plat", "sx", "sxy", "sy"), "state_id"), k).select(*observations.columns)
 
 
+def near_predictions(observations: DataFrame, predicted: DataFrame, keys: list[str], radius: float | None, distance: float | None) -> DataFrame:
+    """Observations with the test orbit of every prediction (test_orbit_id, keys, state_id) of their state that they are near: one join for all test orbits.
+
+    Without a radius or a distance, all that share a state are near.
+    """
+    wanted = ["plon", "plat"] + (["sx", "sxy", "sy"] if distance is not None else [])
+    near = observations.join(predicted.select("test_orbit_id", *keys, "state_id", *wanted), [*keys, "state_id"])
+    if radius is not None:
+        near = within_radius(near, radius)
+    if distance is not None:
+        near = within_mahalanobis(near, distance)
+    return near.select("test_orbit_id", *[c for c in observations.columns if c not in keys])
+
+
 def apply_filters(observations: DataFrame, ephemeris: DataFrame, filters: list[Filter]) -> tuple[DataFrame, DataFrame]:
     """Observations that pass every filter in order, and the ephemeris, one row a state. No filter gives the input and an empty ephemeris."""
     if not filters:

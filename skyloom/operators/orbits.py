@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skyloom.functions import sphere
 
@@ -39,13 +41,13 @@ def _stumpff(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c, s
 
 
-def propagate(state: np.ndarray, dt: np.ndarray, mu: float = MU) -> np.ndarray:
-    """States (n, 6) moved by dt (n) days along their conics; rows that do not converge are NaN."""
-    state, dt = np.atleast_2d(np.asarray(state, float)), np.broadcast_to(np.asarray(dt, float), (len(np.atleast_2d(state)),))
+def _universal(state: np.ndarray, dt: np.ndarray, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(universal anomaly, alpha, r0, r.v, last step) of Kepler's equation in universal variables."""
     r, v = state[:, :3], state[:, 3:]
     r0, v2, rv = np.linalg.norm(r, axis=1), (v * v).sum(1), (r * v).sum(1)
     alpha, root = 2 / r0 - v2 / mu, math.sqrt(mu)
     chi = root * np.abs(alpha) * dt
+    step = np.zeros_like(chi)
     with np.errstate(all="ignore"):
         for _ in range(60):
             z = alpha * chi * chi
@@ -56,6 +58,14 @@ def propagate(state: np.ndarray, dt: np.ndarray, mu: float = MU) -> np.ndarray:
             chi = chi - np.clip(step, -2 - np.abs(chi), 2 + np.abs(chi))
             if np.nanmax(np.abs(step), initial=0.0) < 1e-13:
                 break
+    return chi, alpha, r0, rv, step
+
+
+def _moved(state: np.ndarray, dt: np.ndarray, mu: float) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """(states moved along their conics, universal anomaly, Lagrange coefficients f, g and their rates)."""
+    r, v, root = state[:, :3], state[:, 3:], math.sqrt(mu)
+    chi, alpha, r0, _, step = _universal(state, dt, mu)
+    with np.errstate(all="ignore"):
         z = alpha * chi * chi
         c, s = _stumpff(z)
         fl, g = 1 - chi**2 / r0 * c, dt - chi**3 / root * s
@@ -64,15 +74,85 @@ def propagate(state: np.ndarray, dt: np.ndarray, mu: float = MU) -> np.ndarray:
         fd, gd = root / (r1 * r0) * chi * (z * s - 1), 1 - chi**2 / r1 * c
         out = np.hstack([out_r, fd[:, None] * r + gd[:, None] * v])
     out[np.abs(step) > 1e-8] = np.nan
-    return out
+    return out, chi, (fl, g, fd, gd)
+
+
+def _states(state: np.ndarray, dt) -> tuple[np.ndarray, np.ndarray]:
+    state = np.atleast_2d(np.asarray(state, float))
+    return state, np.broadcast_to(np.asarray(dt, float), (len(state),))
+
+
+def propagate(state: np.ndarray, dt: np.ndarray, mu: float = MU) -> np.ndarray:
+    """States (n, 6) moved by dt (n) days along their conics; rows that do not converge are NaN."""
+    state, dt = _states(state, dt)
+    return _moved(state, dt, mu)[0]
+
+
+def transitions(state: np.ndarray, dt: np.ndarray, mu: float = MU) -> tuple[np.ndarray, np.ndarray]:
+    """States (n, 6) moved by dt days, and the (n, 6, 6) derivatives of the moved states by the initial ones, in closed form.
+
+    The two-body transition matrix in universal functions, with the secular term C = (3 U5 - chi U4) / sqrt(mu) - dt U2.
+    """
+    state, dt = _states(state, dt)
+    moved, chi, (f, g, fd, gd) = _moved(state, dt, mu)
+    r0v, v0v, rv, vv = state[:, :3], state[:, 3:], moved[:, :3], moved[:, 3:]
+    r0, r = np.linalg.norm(r0v, axis=1), np.linalg.norm(rv, axis=1)
+    z = (2 / r0 - (v0v * v0v).sum(1) / mu) * chi * chi
+    c2, c3 = _stumpff(z)
+    small = np.abs(z) < 1e-2
+    with np.errstate(all="ignore"):
+        c4 = np.where(small, 1 / 24 - z / 720 + z * z / 40320 - z**3 / 3628800, (1 / 2 - c2) / z)
+        c5 = np.where(small, 1 / 120 - z / 5040 + z * z / 362880 - z**3 / 39916800, (1 / 6 - c3) / z)
+    secular = (3 * chi**5 * c5 - chi**5 * c4) / math.sqrt(mu) - dt * chi**2 * c2
+    dr, dv, eye = rv - r0v, vv - v0v, np.eye(3)[None]
+    outer = lambda a, b: np.einsum("ni,nj->nij", a, b)
+    k = lambda x: x[:, None, None]
+    phi = np.empty((len(state), 6, 6))
+    phi[:, :3, :3] = k(r / mu) * outer(dv, dv) + k(1 / r0**3) * (k(r0 * (1 - f)) * outer(rv, r0v) + k(secular) * outer(vv, r0v)) + k(f) * eye
+    phi[:, :3, 3:] = k(r0 / mu * (1 - f)) * (outer(dr, v0v) - outer(dv, r0v)) + k(secular / mu) * outer(vv, v0v) + k(g) * eye
+    turn = eye - k(1 / r**2) * outer(rv, rv) + k(1 / (mu * r)) * np.einsum("nij,njk->nik", outer(rv, vv) - outer(vv, rv), outer(rv, dv))
+    phi[:, 3:, :3] = -k(1 / r0**2) * outer(dv, r0v) - k(1 / r**2) * outer(rv, dv) + k(fd) * turn - k(mu * secular / (r**3 * r0**3)) * outer(rv, r0v)
+    phi[:, 3:, 3:] = k(r0 / mu) * outer(dv, dv) + k(1 / r**3) * (k(r0 * (1 - f)) * outer(rv, r0v) - k(secular) * outer(rv, v0v)) + k(gd) * eye
+    return moved, phi
 
 
 def transition(state: np.ndarray, dt: float) -> np.ndarray:
-    """The 6 x 6 derivative of the propagated state by the initial one, by central differences."""
-    h = np.maximum(np.abs(state), 1e-3) * 1e-6
-    shifts = np.vstack([state + np.diag(h), state - np.diag(h)])
-    moved = propagate(shifts, np.full(12, dt))
-    return ((moved[:6] - moved[6:]) / (2 * h[:, None])).T
+    """The 6 x 6 derivative of one propagated state by the initial one."""
+    return transitions(np.asarray(state, float)[None], np.array([dt]))[1][0]
+
+
+def sigma_points(mean: np.ndarray, covariance: np.ndarray, alpha: float = 1.0, beta: float = 0.0, kappa: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points, weights of the mean and weights of the covariance of the scaled unscented transform; a covariance that is not quite positive is mended."""
+    n = len(mean)
+    lam = alpha**2 * (n + kappa) - n
+    values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
+    root = vectors * np.sqrt(np.maximum(values, 0.0) * (n + lam))
+    points = np.vstack([mean, mean + root.T, mean - root.T])
+    wm = np.full(2 * n + 1, 1 / (2 * (n + lam)))
+    wc = wm.copy()
+    wm[0] = lam / (n + lam)
+    wc[0] = wm[0] + 1 - alpha**2 + beta
+    return points, wm, wc
+
+
+def carried(state: np.ndarray, covariance: np.ndarray, dt: float, method: str = "linear", samples: int = 1000, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(state, covariance) after dt days: by the transition matrix (``linear``), by ``sigma-points``, or by ``samples`` drawn with a seed (``monte-carlo``)."""
+    if method == "linear":
+        moved, phi = transitions(state[None], np.array([dt]))
+        return moved[0], phi[0] @ covariance @ phi[0].T
+    if method == "sigma-points":
+        points, wm, wc = sigma_points(state, covariance)
+    elif method == "monte-carlo":
+        values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
+        draws = np.random.Generator(np.random.PCG64(seed)).standard_normal((samples, 6))
+        points = state + draws * np.sqrt(np.maximum(values, 0.0)) @ vectors.T
+        wm, wc = np.full(samples, 1 / samples), np.full(samples, 1 / (samples - 1))
+    else:
+        raise ValueError(f"unknown covariance method {method!r}")
+    moved = propagate(points, np.full(len(points), dt))
+    mean = wm @ moved
+    apart = moved - mean
+    return mean, (apart * wc[:, None]).T @ apart
 
 
 def from_elements(a, e, i, raan, ap, m, mu: float = MU) -> np.ndarray:
@@ -183,6 +263,41 @@ def gauss(lonlat: np.ndarray, mjd: np.ndarray, observer: np.ndarray, velocity: s
     return out
 
 
+def iterate(epoch: float, state: np.ndarray, lonlat: np.ndarray, mjd: np.ndarray, observer: np.ndarray, tolerance: float = 1e-13, rounds: int = 20) -> tuple[float, np.ndarray] | None:
+    """A preliminary orbit improved until it passes through its three lines of sight, light time included.
+
+    Newton's method on nine equations, the state and the three distances, with the analytic transition matrix.
+    The epoch moves with the light time of the middle observation. None where it does not converge.
+    """
+    lon, lat = np.radians(lonlat).T
+    sight = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
+    now = np.asarray(state, float).copy()
+    rho = np.linalg.norm(propagate(np.repeat(now[None], 3, 0), mjd - epoch)[:, :3] - observer, axis=1)
+    jac = np.zeros((9, 9))
+    for _ in range(rounds):
+        moved, phi = transitions(np.repeat(now[None], 3, 0), mjd - rho / LIGHT - epoch)
+        miss = (moved[:, :3] - observer - rho[:, None] * sight).ravel()
+        for i in range(3):
+            jac[3 * i : 3 * i + 3, :6] = phi[i, :3]
+            jac[3 * i : 3 * i + 3, 6 + i] = -sight[i] - moved[i, 3:] / LIGHT
+        if not np.all(np.isfinite(jac)) or not np.all(np.isfinite(miss)):
+            return None
+        try:
+            step = np.linalg.solve(jac, -miss)
+        except np.linalg.LinAlgError:
+            return None
+        now, rho = now + step[:6], rho + step[6:]
+        if np.abs(step).max() < tolerance * max(1.0, np.abs(now).max()):
+            break
+    else:
+        if np.abs(miss).max() > 1e-9:
+            return None
+    if np.any(rho <= 0):
+        return None
+    at = float(mjd[1] - rho[1] / LIGHT)
+    return at, propagate(now[None], np.array([at - epoch]))[0]
+
+
 @dataclass(frozen=True)
 class FitRules:
     min_obs: int = 6
@@ -194,6 +309,8 @@ class FitRules:
     velocity: str = "gibbs"
     #: Step of the numerical derivatives, relative to each component.
     delta: float = 1e-6
+    #: Whether preliminary orbits are improved on their three observations before they are judged.
+    iterate: bool = False
 
 
 def triplets(mjd: np.ndarray, method: str, most: int) -> list[tuple[int, int, int]]:
@@ -249,6 +366,8 @@ def initial_orbit(seen, mjd, sigma, observer, rules: FitRules) -> tuple[float, n
     for three in triplets(mjd, rules.selection, 3 * (allowed + 1)):
         pick = list(three)
         for epoch, state in gauss(seen[pick], mjd[pick], observer[pick], rules.velocity):
+            if rules.iterate:
+                epoch, state = iterate(epoch, state, seen[pick], mjd[pick], observer[pick]) or (epoch, state)
             res = residuals(seen, predict(state, epoch, mjd, observer), sigma)
             chi2 = (res * res).sum(1)
             if not np.all(np.isfinite(chi2)):
@@ -275,12 +394,12 @@ def correct(epoch: float, state: np.ndarray, seen, mjd, sigma, observer, rules:
         return None
     used, allowed, iterations = np.ones(n, bool), int(min(n * rules.contamination / 100, n - rules.min_obs)), 0
     while True:
-        now, damp = state.copy(), 1e-12
+        now, damp, delta = state.copy(), 1e-12, rules.delta
         res = residuals(seen[used], predict(now, epoch, mjd[used], observer[used]), sigma[used]).ravel()
         cost, covariance = float(res @ res), None
         for _ in range(rules.max_iter):
             iterations += 1
-            h = np.maximum(np.abs(now), 1e-4) * rules.delta
+            h = np.maximum(np.abs(now), 1e-4) * delta
             jac = np.empty((len(res), 6))
             for k in range(6):
                 up, down = now.copy(), now.copy()
@@ -291,7 +410,11 @@ def correct(epoch: float, state: np.ndarray, seen, mjd, sigma, observer, rules:
             normal = jac.T @ jac
             scale = np.sqrt(np.diag(normal))
             if not np.all(np.isfinite(normal)) or np.any(scale == 0) or np.linalg.cond(normal / np.outer(scale, scale)) > 1e15:
-                break
+                # A step that differences cannot resolve: a larger one, a few times.
+                delta *= 10
+                if delta > 1e3 * rules.delta:
+                    break
+                continue
             covariance = np.linalg.inv(normal / np.outer(scale, scale)) / np.outer(scale, scale)
             step = np.linalg.solve(normal + damp * np.diag(np.diag(normal)), jac.T @ res)
             trial = now + step
@@ -331,13 +454,13 @@ def from_orbits(orbits: DataFrame) -> DataFrame:
     return orbits.select("orbit_id", (time["days"] + time["nanos"] / 86400e9).alias("epoch"), *[F.col(f"coordinates.{c}").alias(c) for c in STATE])
 
 
-ORBIT = "orbit_id string, epoch double, x double, y double, z double, vx double, vy double, vz double, arc_length double, num_obs long, reduced_chi2 double, iterations int, outliers array<string>, members array<string>"
+ORBIT = "orbit_id string, epoch double, x double, y double, z double, vx double, vy double, vz double, arc_length double, num_obs long, reduced_chi2 double, iterations int, outliers array<string>, members array<string>, covariance array<double>, residuals array<struct<obs_id:string,d_lon:double,d_lat:double,chi2:double,outlier:boolean>>"
 
 
-def _row(key, epoch, state, mjd, ids, out, rchi2, iterations) -> dict:
+def _row(key, epoch, state, mjd, ids, out, rchi2, iterations, covariance, missed) -> dict:
     kept = ~out
     names = dict(zip(("x", "y", "z", "vx", "vy", "vz"), map(float, state), strict=True))
-    return {"orbit_id": key, "epoch": epoch, **names, "arc_length": float(mjd[kept].max() - mjd[kept].min()), "num_obs": int(kept.sum()), "reduced_chi2": float(rchi2), "iterations": iterations, "outliers": list(ids[out]), "members": list(ids[kept])}
+    return {"orbit_id": key, "epoch": epoch, **names, "arc_length": float(mjd[kept].max() - mjd[kept].min()), "num_obs": int(kept.sum()), "reduced_chi2": float(rchi2), "iterations": iterations, "outliers": list(ids[out]), "members": list(ids[kept]), "covariance": None if covariance is None else covariance.ravel().tolist(), "residuals": [{"obs_id": i, "d_lon": float(x), "d_lat": float(y), "chi2": float(x * x + y * y), "outlier": bool(o)} for i, (x, y), o in zip(ids, missed, out, strict=True)]}
 
 
 def _arrays(pdf: pd.DataFrame):
@@ -347,7 +470,7 @@ def _arrays(pdf: pd.DataFrame):
 
 
 def _grouped(df: DataFrame, key: str, fit: Callable[[str, pd.DataFrame], dict | None]) -> DataFrame:
-    columns = [x.split()[0] for x in ORBIT.split(", ")]
+    columns = [f.name for f in StructType.fromDDL(ORBIT)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = fit(str(pdf[key].iloc[0]), pdf)
@@ -362,7 +485,10 @@ def initial_orbits(linkages: DataFrame, rules: FitRules = FitRules()) -> DataFra
     def fit(key, pdf):
         ids, seen, mjd, sigma, observer = _arrays(pdf)
         found = initial_orbit(seen, mjd, sigma, observer, rules)
-        return None if found is None else _row(key, found[0], found[1], mjd, ids, found[2], found[3], 0)
+        if found is None:
+            return None
+        missed = residuals(seen, predict(found[1], found[0], mjd, observer), sigma)
+        return _row(key, found[0], found[1], mjd, ids, found[2], found[3], 0, None, missed)
 
     return _grouped(linkages, "linkage_id", fit)
 
@@ -376,94 +502,138 @@ def corrected_orbits(orbits: DataFrame, linkages: DataFrame, rules: FitRules = F
         ids, seen, mjd, sigma, observer = _arrays(pdf)
         state = first[["x", "y", "z", "vx", "vy", "vz"]].to_numpy(float)
         found = correct(float(first["epoch"]), state, seen, mjd, sigma, observer, rules)
-        return None if found is None else _row(key, float(first["epoch"]), found[0], mjd, ids, found[2], found[3], found[4])
+        if found is None:
+            return None
+        missed = residuals(seen, predict(found[0], float(first["epoch"]), mjd, observer), sigma)
+        return _row(key, float(first["epoch"]), found[0], mjd, ids, found[2], found[3], found[4], found[1], missed)
 
     return _grouped(linkages.join(starts, "orbit_id"), "orbit_id", fit)
 
 
+def members_of(orbits: DataFrame) -> DataFrame:
+    """A row for each observation of each orbit: its residuals in sigmas, their chi2, and whether it is an outlier."""
+    return orbits.select("orbit_id", F.explode("residuals").alias("r")).select("orbit_id", "r.*")
+
+
 def sky_covariance(state: np.ndarray, covariance: np.ndarray, dt: np.ndarray, observer: np.ndarray) -> np.ndarray:
-    """(n, 3) variances and covariance, in degrees squared, of the longitudes and latitudes of states (n, 6) with covariances (n, 6, 6), by central differences."""
-    n, jac = len(state), np.empty((len(state), 2, 6))
-    for k in range(6):
-        h = np.maximum(np.abs(state[:, k]), 1e-4) * 1e-6
-        places = []
-        for sign in (1, -1):
-            shifted = state.copy()
-            shifted[:, k] += sign * h
-            places.append(directions(propagate(shifted, dt), observer)[:2])
-        jac[:, 0, k] = ((places[0][0] - places[1][0] + 180) % 360 - 180) / (2 * h)
-        jac[:, 1, k] = (places[0][1] - places[1][1]) / (2 * h)
-    full = np.einsum("nik,nkl,njl->nij", jac, covariance.reshape(n, 6, 6), jac)
+    """(n, 3) variances and covariance, in degrees squared, of the longitudes and latitudes of states (n, 6) with covariances (n, 6, 6)."""
+    moved, phi = transitions(state, dt)
+    d = moved[:, :3] - observer
+    flat2, rho2 = d[:, 0] ** 2 + d[:, 1] ** 2, (d * d).sum(1)
+    jac = np.zeros((len(state), 2, 3))
+    jac[:, 0, 0], jac[:, 0, 1] = -d[:, 1] / flat2, d[:, 0] / flat2
+    jac[:, 1, :2], jac[:, 1, 2] = -(d[:, 2] / (rho2 * np.sqrt(flat2)))[:, None] * d[:, :2], np.sqrt(flat2) / rho2
+    jac = np.degrees(np.einsum("nij,njk->nik", jac, phi[:, :3]))
+    full = np.einsum("nik,nkl,njl->nij", jac, covariance.reshape(-1, 6, 6), jac)
     return np.stack([full[:, 0, 0], full[:, 0, 1], full[:, 1, 1]], 1)
 
 
-def propagated(orbits: DataFrame, epoch: float) -> DataFrame:
-    """Orbits moved to an epoch, with their covariance (row-major, if they have one) carried by the transition matrix."""
-    carried = "covariance" in orbits.columns
+def frame_covariance(state: np.ndarray, covariance: np.ndarray, dt: np.ndarray) -> np.ndarray:
+    """(n, 4, 4) covariances, in degrees and degrees a day, of (theta_x, theta_y) and their rates in the frames that move with the states."""
+    moved, phi = transitions(state, dt)
+    p, v = moved[:, :3], moved[:, 3:]
+    r = np.linalg.norm(p, axis=1, keepdims=True)
+    x = p / r
+    z = np.cross(p, v)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = np.cross(z, x)
+    out, along = (v * x).sum(1)[:, None], (v * y).sum(1)[:, None]
+    jac = np.zeros((len(state), 4, 6))
+    # At the frame's centre: angles are displacements over r, rates those of the plane's quotients.
+    jac[:, 0, :3], jac[:, 1, :3] = y / r, z / r
+    jac[:, 2, :3], jac[:, 2, 3:] = -x * along / r**2 - y * out / r**2, y / r
+    jac[:, 3, :3], jac[:, 3, 3:] = -z * out / r**2, z / r
+    jac = np.degrees(np.einsum("nij,njk->nik", jac, phi))
+    return np.einsum("nik,nkl,njl->nij", jac, covariance.reshape(-1, 6, 6), jac)
+
+
+def propagated(orbits: DataFrame, epoch: float, method: str = "linear") -> DataFrame:
+    """Orbits moved to an epoch, with their covariance (row-major, if they have one) carried by ``method``: linear, sigma-points or monte-carlo."""
+    has = "covariance" in orbits.columns
 
     def run(batches):
         for pdf in batches:
             state, dt = pdf[list(STATE)].to_numpy(float), epoch - pdf["epoch"].to_numpy(float)
-            out = pd.DataFrame({"orbit_id": pdf["orbit_id"], "epoch": epoch, **dict(zip(STATE, propagate(state, dt).T, strict=True))})
-            if carried:
-                phi = [transition(s, t) for s, t in zip(state, dt, strict=True)]
-                out["covariance"] = [(p @ np.asarray(c, float).reshape(6, 6) @ p.T).ravel() for p, c in zip(phi, pdf["covariance"], strict=True)]
-            yield out
+            if not has:
+                yield pd.DataFrame({"orbit_id": pdf["orbit_id"], "epoch": epoch, **dict(zip(STATE, propagate(state, dt).T, strict=True))})
+                continue
+            # A row's samples are drawn from a seed of its name, so that they do not depend on the partition.
+            moved = [carried(s, np.asarray(c, float).reshape(6, 6), t, method, seed=zlib.crc32(str(i).encode())) for i, s, t, c in zip(pdf["orbit_id"], state, dt, pdf["covariance"], strict=True)]
+            places = np.array([m for m, _ in moved]).reshape(-1, 6)
+            yield pd.DataFrame({"orbit_id": pdf["orbit_id"], "epoch": epoch, **dict(zip(STATE, places.T, strict=True)), "covariance": [c.ravel() for _, c in moved]})
+
+    kind = "orbit_id string, epoch double, " + ", ".join(f"{c} double" for c in STATE) + (", covariance array<double>" if has else "")
+    return orbits.select("orbit_id", "epoch", *STATE, *(["covariance"] if has else [])).mapInPandas(run, kind)
+
 
-    kind = "orbit_id string, epoch double, " + ", ".join(f"{c} double" for c in STATE) + (", covariance array<double>" if carried else "")
-    return orbits.select("orbit_id", "epoch", *STATE, *(["covariance"] if carried else [])).mapInPandas(run, kind)
+#: Predicted covariance: of the place on the sky, and of angles and rates in the orbit's frame, in degrees and days.
+PREDICTED_COVARIANCE = ("sx", "sxy", "sy", "gxx", "gxy", "gyy", "hxx", "hxy", "hyy")
 
 
-def ephemeris(orbits: DataFrame, states: DataFrame) -> DataFrame:
-    """(orbit_id, state_id, plon, plat, rho, px .. pvz: the state seen) of every orbit at every state (state_id, mjd, ox, oy, oz).
+def ephemeris(orbits: DataFrame, states: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """(keys, orbit_id, state_id, plon, plat, rho, px .. pvz: the state seen) of every orbit at every state (keys, state_id, mjd, ox, oy, oz).
 
-    Each orbit row is paired with all states as they pass through the task; states are a table of one
-    row an exposure and are broadcast only by the planner's own measure of their size. Orbits with a
-    ``covariance`` also give (sx, sxy, sy), that of the predicted place in degrees squared.
+    Without ``keys`` each orbit row is paired with all states as they pass through the task; states are a table of one
+    row an exposure and are broadcast only by the planner's own measure of their size. With ``keys`` an orbit meets
+    the states of its own key. Orbits with a ``covariance`` also give PREDICTED_COVARIANCE.
     """
-    carried = "covariance" in orbits.columns
-    pairs = orbits.select("orbit_id", "epoch", *STATE, *(["covariance"] if carried else [])).crossJoin(states.select("state_id", "mjd", "ox", "oy", "oz"))
+    has = "covariance" in orbits.columns
+    left, right = orbits.select(*keys, "orbit_id", "epoch", *STATE, *(["covariance"] if has else [])), states.select(*keys, "state_id", "mjd", "ox", "oy", "oz")
+    pairs = left.join(right, keys) if keys else left.crossJoin(right)
 
     def run(batches):
         for pdf in batches:
-            moved = propagate(pdf[["x", "y", "z", "vx", "vy", "vz"]].to_numpy(float), (pdf["mjd"] - pdf["epoch"]).to_numpy(float))
+            start, dt = pdf[list(STATE)].to_numpy(float), (pdf["mjd"] - pdf["epoch"]).to_numpy(float)
             observer = pdf[["ox", "oy", "oz"]].to_numpy(float)
-            lon, lat, rho, seen = directions(moved, observer)
-            out = pd.DataFrame({"orbit_id": pdf["orbit_id"], "state_id": pdf["state_id"], "plon": lon, "plat": lat, "rho": rho, **{n: seen[:, i] for i, n in enumerate(("px", "py", "pz", "pvx", "pvy", "pvz"))}})
-            if carried and len(pdf):
-                covariance = np.stack([np.asarray(c, float) for c in pdf["covariance"]])
-                for name, column in zip(("sx", "sxy", "sy"), sky_covariance(pdf[list(STATE)].to_numpy(float), covariance, (pdf["mjd"] - pdf["epoch"]).to_numpy(float), observer).T, strict=True):
+            lon, lat, rho, seen = directions(propagate(start, dt), observer)
+            out = pd.DataFrame({**{k: pdf[k] for k in keys}, "orbit_id": pdf["orbit_id"], "state_id": pdf["state_id"], "plon": lon, "plat": lat, "rho": rho, **{n: seen[:, i] for i, n in enumerate(("px", "py", "pz", "pvx", "pvy", "pvz"))}})
+            if has and len(pdf):
+                known = pdf["covariance"].notna().to_numpy()
+                covariance = np.stack([np.asarray(c, float) if ok else np.full(36, np.nan) for c, ok in zip(pdf["covariance"], known, strict=True)])
+                frame = frame_covariance(start, covariance, dt)
+                found = [*sky_covariance(start, covariance, dt, observer).T, *(frame[:, i, j] for i, j in ((0, 0), (0, 1), (1, 1), (2, 2), (2, 3), (3, 3)))]
+                for name, column in zip(PREDICTED_COVARIANCE, found, strict=True):
                     out[name] = column
             yield out
 
-    kind = "orbit_id string, state_id string, plon double, plat double, rho double, px double, py double, pz double, pvx double, pvy double, pvz double"
-    return pairs.mapInPandas(run, kind + (", sx double, sxy double, sy double" if carried else ""))
+    kinds = [f"`{k}` {orbits.schema[k].dataType.simpleString()}" for k in keys]
+    kinds += ["orbit_id string, state_id string, plon double, plat double, rho double, px double, py double, pz double, pvx double, pvy double, pvz double"]
+    return pairs.mapInPandas(run, ", ".join([*kinds, *([f"{c} double" for c in PREDICTED_COVARIANCE] if has else [])]))
 
 
-def attribute(orbits: DataFrame, observations: DataFrame, radius: float, k: int = 3) -> DataFrame:
-    """Up to ``k`` nearest orbits within ``radius`` degrees of each observation (obs_id, state_id, mjd, lon, lat, ox, oy, oz)."""
+def attribute(orbits: DataFrame, observations: DataFrame, radius: float, k: int = 3, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Up to ``k`` nearest orbits within ``radius`` degrees of each observation (keys, obs_id, state_id, mjd, lon, lat, ox, oy, oz), among those of its key.
+
+    Ids of observations and states differ between keys. Residuals are given in degrees, of longitude on the sky.
+    """
     from .relational import attributed
 
-    states = observations.select("state_id", "mjd", "ox", "oy", "oz").dropDuplicates(["state_id"])
+    states = observations.select(*keys, "state_id", "mjd", "ox", "oy", "oz").dropDuplicates(["state_id"])
     distance = sphere.great_circle(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
-    return attributed(observations.withColumnRenamed("mjd", "obs_mjd"), ephemeris(orbits.drop("covariance"), states).drop("rho", "px", "py", "pz", "pvx", "pvy", "pvz"), distance, radius, k)
+    predicted = ephemeris(orbits.drop("covariance"), states, keys).drop("rho", "px", "py", "pz", "pvx", "pvy", "pvz", *keys)
+    found = attributed(observations.withColumnRenamed("mjd", "obs_mjd"), predicted, distance, radius, k)
+    return found.withColumns({"d_lon": sphere.wrapped(F.col("lon") - F.col("plon")) * F.cos(F.radians("lat")), "d_lat": F.col("lat") - F.col("plat")})
 
 
-def merge_and_extend(orbits: DataFrame, observations: DataFrame, radius: float, rules: FitRules) -> DataFrame:
+def merge_and_extend(orbits: DataFrame, observations: DataFrame, radius: float, rules: FitRules, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Orbits grown by attribution until none gains observations; every observation ends with its best orbit.
 
     An orbit of a further round has more observations than before, and the pool only shrinks, so rounds end.
     A round attributes, drops coincident attributions, corrects, and gives shared observations to the
-    better orbit. Orbits that did not grow are final, and their observations leave the pool.
+    better orbit. Orbits that did not grow are final, and their observations leave the pool. With ``keys`` (test
+    orbits) all keys grow in the same rounds, each in its own observations. A column ``success`` says whether the
+    last correction held; an orbit for which it failed is as it was before.
     """
     from skyloom.sources.staging import stage
 
     from .relational import assign_duplicates, drop_coincident
 
     times = observations.select("obs_id", F.floor("mjd").cast("bigint").alias("days"), F.round((F.col("mjd") - F.floor("mjd")) * 86400e9).cast("bigint").alias("nanos"))
-    now, pool, done = stage(orbits, "extend"), observations, None
+    owner = stage(orbits.select("orbit_id", *keys), "extend")
+    now, pool, done = stage(orbits.drop(*keys), "extend"), observations, None
+    keyed = lambda df: df.join(owner, "orbit_id") if keys else df
     while True:
-        found = drop_coincident(attribute(now, pool, radius).select("orbit_id", "obs_id", "distance"), times)
+        found = drop_coincident(attribute(keyed(now), pool, radius, keys=keys).select("orbit_id", "obs_id", "distance"), times)
         linked = found.select("orbit_id", "obs_id").join(pool, "obs_id")
         fitted = stage(corrected_orbits(now, linked, rules), "extend")
         members = fitted.select("orbit_id", F.explode("members").alias("obs_id"))
@@ -473,11 +643,12 @@ def merge_and_extend(orbits: DataFrame, observations: DataFrame, radius: float,
         before = now.select("orbit_id", F.col("num_obs").alias("had"))
         grown = stage(fitted.join(before, "orbit_id").withColumn("grew", F.col("num_obs") > F.col("had")), "extend")
         # Orbits whose correction fails end as they were.
-        failed = now.join(members.select("orbit_id").distinct(), "orbit_id", "left_anti")
-        final = grown.where("NOT grew").drop("grew", "had").unionByName(failed)
-        done = final if done is None else done.unionByName(final)
+        failed = now.join(members.select("orbit_id").distinct(), "orbit_id", "left_anti").withColumn("success", F.lit(False))
+        final = grown.where("NOT grew").drop("grew", "had").withColumn("success", F.lit(True)).unionByName(failed)
+        # What is final is written once, so that a round's plan does not hold those before it.
+        done = stage(final if done is None else done.unionByName(final), "extend-done")
         claimed = owned.join(final.select("orbit_id"), "orbit_id", "left_semi")
         pool = stage(pool.join(claimed.select("obs_id"), "obs_id", "left_anti"), "extend")
         now = stage(grown.where("grew").drop("grew", "had"), "extend")
         if now.isEmpty():
-            return done
+            return keyed(done)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import sphere
@@ -10,14 +10,14 @@ from skyloom.functions import sphere
 PREDICTED = ("px", "py", "pz", "pvx", "pvy", "pvz")
 
 
-def range_observations(observations: DataFrame, ephemeris: DataFrame) -> DataFrame:
-    """Observations (state_id, lon, lat, ox, oy, oz) with rho, the distance that puts them as far from the Sun as the orbit is.
+def range_observations(observations: DataFrame, ephemeris: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Observations (keys, state_id, lon, lat, ox, oy, oz) with rho, the distance that puts them as far from the Sun as the orbit is.
 
-    The join is on the state, one predicted row each. Directions whose ray misses that sphere, or meets it
-    behind the observer, go.
+    The join is on the state (of the same key), one predicted row each. Directions whose ray misses that sphere, or
+    meets it behind the observer, go.
     """
-    predicted = ephemeris.select("state_id", *PREDICTED)
-    joined = observations.join(predicted, "state_id")
+    predicted = ephemeris.select(*keys, "state_id", *PREDICTED)
+    joined = observations.join(predicted, [*keys, "state_id"])
     r = F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py") + F.col("pz") * F.col("pz"))
     direction = sphere.to_cartesian(F.lit(1.0), F.col("lon"), F.col("lat"))
     known = F.col("rho") if "rho" in observations.columns else None
@@ -26,14 +26,36 @@ def range_observations(observations: DataFrame, ephemeris: DataFrame) -> DataFra
 
 
 def transform(ranged: DataFrame) -> DataFrame:
-    """Ranged observations with theta_x and theta_y, in degrees, in the frame that moves with the orbit of their state."""
+    """Ranged observations with theta_x and theta_y, in degrees, in the frame that moves with the orbit of their state.
+
+    Where the observations have ``sigma_lon`` and ``sigma_lat`` (on the sky, in degrees; a ``lonlat_cov`` counts if there),
+    their covariance is carried along: theta_xx, theta_xy and theta_yy, in degrees squared.
+    """
     direction = sphere.to_cartesian(F.col("rho"), F.col("lon"), F.col("lat"))
     position = tuple(F.col(o) + d for o, d in zip(("ox", "oy", "oz"), direction, strict=True))
     p, v = tuple(map(F.col, PREDICTED[:3])), tuple(map(F.col, PREDICTED[3:]))
-    theta_x, theta_y, _, _ = sphere.gnomonic(position, v, sphere.gnomonic_axes(p, v))
-    return ranged.withColumns({"theta_x": theta_x, "theta_y": theta_y})
-
-
-def range_and_transform(observations: DataFrame, ephemeris: DataFrame) -> DataFrame:
+    axes = sphere.gnomonic_axes(p, v)
+    theta_x, theta_y, _, _ = sphere.gnomonic(position, v, axes)
+    out = {"theta_x": theta_x, "theta_y": theta_y}
+    if {"sigma_lon", "sigma_lat"} <= set(ranged.columns):
+        cross = F.col("lonlat_cov") if "lonlat_cov" in ranged.columns else F.lit(0.0)
+        out |= dict(zip(("theta_xx", "theta_xy", "theta_yy"), _carried(position, axes, F.pow("sigma_lon", 2), cross, F.pow("sigma_lat", 2)), strict=True))
+    return ranged.withColumns(out)
+
+
+def _carried(position: tuple, axes: list[tuple], ss: Column, st: Column, tt: Column) -> tuple[Column, Column, Column]:
+    """Covariance of the plane's angles from that of a direction at a fixed distance, by the chain of both Jacobians."""
+    lon, lat, rho = F.radians("lon"), F.radians("lat"), F.col("rho")
+    along = (-rho * F.sin(lon), rho * F.cos(lon), F.lit(0.0))
+    up = (-rho * F.sin(lat) * F.cos(lon), -rho * F.sin(lat) * F.sin(lon), rho * F.cos(lat))
+    x, y, z = (sphere.dot(a, position) for a in axes)
+    rows = []
+    for w, axis in ((y, axes[1]), (z, axes[2])):
+        rows.append([(sphere.dot(axis, d) * x - w * sphere.dot(axes[0], d)) / (x * x) for d in (along, up)])
+    (a, b), (c, d) = rows
+    return a * a * ss + 2 * a * b * st + b * b * tt, a * c * ss + (a * d + b * c) * st + b * d * tt, c * c * ss + 2 * c * d * st + d * d * tt
+
+
+def range_and_transform(observations: DataFrame, ephemeris: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """One lazy chain from detections to the tangent plane: join, ranging, projection, all in generated code."""
-    return transform(range_observations(observations, ephemeris))
+    return transform(range_observations(observations, ephemeris, keys))

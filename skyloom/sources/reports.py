@@ -57,7 +57,7 @@ def run_index(spark: SparkSession, run_dir: str) -> DataFrame:
         for status in fs.listStatus(todo.pop()):
             path = status.getPath()
             if status.isDirectory():
-                if fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+                if path.getName() in STAGES and fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
                     parent = path.getParent()
                     relative = posixpath.relpath(parent.toString(), root.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString())
                     found.append((parent.getName(), relative.split("/")[0] if "/" in relative else None, path.getName(), path.toString()))

@@ -131,7 +131,7 @@ def test_linking_run_uses_its_cluster_algorithm(spark, sf):
         *_, last = linking.link_test_orbit(spark, one, chained, config)
         found[name] = [r["n"] for r in last.output.groupBy("linkage_id").agg(F.count("*").alias("n")).collect()]
     assert found["dbscan"] == [10] and 10 not in found["hotspot_2d"]
-    for wrong in (Config(cluster_algorithm="kmeans"), Config(split_threshold=10)):
+    for wrong in (Config(cluster_algorithm="kmeans"), Config(split_method="dice")):
         with pytest.raises(NotImplementedError):
             next(linking.link_test_orbit(spark, one, obs, wrong))
 
