@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,44 +153,3 @@ def fit_residuals(fits: DataFrame, members: DataFrame, sigma: float | tuple[str,
     sums = joined.groupBy(key).agg(F.sum("chi2").alias("chi2"), F.count("*").alias("n"))
     scored = fits.join(sums, key).withColumn("rchi2", F.when(2 * F.col("n") > 6, F.col("chi2") / (2 * F.col("n") - 6))).drop("n")
     return scored, joined.select(key, "id", "dx", "dy", "chi2")
-
-
-@dataclass(frozen=True)
-class GridParameters:
-    radius: float
-    vx: np.ndarray
-    vy: np.ndarray
-
-
-def covariance_grid(
-    position_dets: np.ndarray, velocity_covariance: np.ndarray, n_obs: int, span: float, k: float = 3.0, separation: float = 2.0,
-    min_radius: float = 1 / 3600, min_bins: int = 10, max_bins: int = 1000, rms: float = 0.0,
-) -> GridParameters:
-    """Cluster radius and velocity grid from the predicted covariances of an orbit's states.
-
-    ``position_dets`` are determinants of the states' 2 x 2 position covariances, ``velocity_covariance``
-    the mean 2 x 2 covariance of rates, ``span`` the time covered. The grid is cut to the k-sigma ellipse.
-    """
-    dets = position_dets[np.isfinite(position_dets) & (position_dets > 0)]
-    if not len(dets):
-        raise ValueError("no state has a valid position covariance")
-    density = n_obs / (math.pi * k * k * math.sqrt(dets.max()))
-    apart, candidate = 1 / math.sqrt(density), max(math.sqrt(1 / (math.pi * density)), min_radius)
-    low = math.sqrt((1.2 * rms) ** 2 + (separation * candidate) ** 2)
-    radius = min(2.5 * apart, max(low, candidate, min_radius))
-    sigma = np.sqrt(np.diag(velocity_covariance))
-    if not np.all(np.isfinite(sigma)) or np.any(sigma <= 0):
-        raise ValueError("the velocity covariance has no valid sigmas")
-
-    def axis(s: float) -> np.ndarray:
-        bins = int(np.clip(math.ceil(2 * k * s * span / (separation * radius)), min_bins, max_bins))
-        grid = np.linspace(-k * s, k * s, bins)
-        return grid if np.any(np.abs(grid) < 1e-6) else np.sort(np.append(grid, 0.0))
-
-    gx, gy = (g.ravel() for g in np.meshgrid(axis(sigma[0]), axis(sigma[1]), indexing="ij"))
-    try:
-        inverse = np.linalg.inv(velocity_covariance)
-        inside = inverse[0, 0] * gx * gx + 2 * inverse[0, 1] * gx * gy + inverse[1, 1] * gy * gy <= k * k
-    except np.linalg.LinAlgError:
-        inside = np.ones(len(gx), bool)
-    return GridParameters(radius, gx[inside], gy[inside])

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import healpix
@@ -68,52 +68,40 @@ def _covariances(elements: list[np.ndarray], halves: list[np.ndarray], function)
 
 
 def healpixel_orbits(
-    spark: SparkSession, pixels: list[int], nside: int, rho: list[float], e: list[float], nu: list[float], psi: list[float], epoch: float,
+    pixels: DataFrame, nside: int, rho: list[float], e: list[float], nu: list[float], psi: list[float], epoch: float,
     min_q: float | None = None, max_q: float | None = None, geocentric: np.ndarray | None = None, max_phase: float | None = None,
 ) -> DataFrame:
-    """ORBITS for every combination of pixel and bin centres; ``geocentric`` is the Earth's position for distances from it.
+    """ORBITS for every combination of a pixel of the table (pixel) and bin centres; ``geocentric`` is the Earth's position for distances from it.
 
-    The product of the five lists is a range of numbers decoded in the tasks, so it is made where it is used.
+    A pixel's combinations are numbers decoded in the tasks, so the product is made where it is used.
     """
     axes = [centres(x) for x in (rho, e, nu, psi)]
-    sizes = [len(pixels)] + [len(c) for c, _ in axes]
+    sizes = [len(c) for c, _ in axes]
     size = math.degrees(math.sqrt(math.pi / 3) / nside) / 2
 
     def run(batches):
-        lon0, lat0 = healpix.pix2ang_nest(nside, np.asarray(pixels))
         for pdf in batches:
+            own = pdf["pixel"].to_numpy()
+            lon, lat = healpix.pix2ang_nest(nside, own)
             at, rest = [], pdf["id"].to_numpy()
             for n in sizes:
                 at.append(rest % n)
                 rest = rest // n
-            (r, hr), (ec, he), (nc, hn), (pc, hp) = ((c[i], h[i]) for (c, h), i in zip(axes, at[1:], strict=True))
-            lon, lat = lon0[at[0]], lat0[at[0]]
+            (r, hr), (ec, he), (nc, hn), (pc, hp) = ((c[i], h[i]) for (c, h), i in zip(axes, at, strict=True))
             ec = np.clip(ec, 0, 0.999)
             elements = [r, lon, lat, ec, nc, pc]
             halves = [hr, np.full(len(r), size), np.full(len(r), size), he, hn, hp]
             make = state_of if geocentric is None else lambda *x: geocentric_state(*x, geocentric)
             state = make(*elements)
             ok = np.ones(len(r), bool) if geocentric is None or max_phase is None else phase_angle(state, geocentric) <= max_phase
-            names = [f"hp{pixels[a]:06d}_r{x:.4f}_e{b:.4f}_nu{c:.2f}_psi{d:.2f}" for a, x, b, c, d in zip(at[0], r, ec, nc, pc, strict=True)]
-            out = pd.DataFrame({"orbit_id": names, "bundle_id": np.asarray(pixels)[at[0]], "epoch": epoch, **{n: state[:, i] for i, n in enumerate(("x", "y", "z", "vx", "vy", "vz"))}})
+            names = [f"hp{a:06d}_r{x:.4f}_e{b:.4f}_nu{c:.2f}_psi{d:.2f}" for a, x, b, c, d in zip(own, r, ec, nc, pc, strict=True)]
+            out = pd.DataFrame({"orbit_id": names, "bundle_id": own, "epoch": epoch, **{n: state[:, i] for i, n in enumerate(("x", "y", "z", "vx", "vy", "vz"))}})
             out["covariance"] = list(_covariances(elements, halves, make))
             yield out[ok]
 
-    made = spark.range(math.prod(sizes)).mapInPandas(run, ORBITS)
+    numbered = pixels.select(F.col("pixel").cast("bigint").alias("pixel"), F.explode(F.sequence(F.lit(0), F.lit(math.prod(sizes) - 1))).alias("id"))
+    made = numbered.mapInPandas(run, ORBITS)
     q: Column = phase_space.perihelion(tuple(map(F.col, "xyz")), tuple(map(F.col, ("vx", "vy", "vz"))), MU)
     if min_q is not None:
         made = made.where(q >= min_q)
     return made if max_q is None else made.where(q <= max_q)
-
-
-def split_healpixel(orbits: DataFrame, nside: int) -> DataFrame:
-    """Every orbit's bundle replaced by its four nested children, with directions moved to their centres."""
-
-    def run(batches):
-        for pdf in batches:
-            lon, lat = (np.radians(x) for x in healpix.pix2ang_nest(2 * nside, pdf["child"].to_numpy()))
-            r = np.sqrt(pdf["x"] ** 2 + pdf["y"] ** 2 + pdf["z"] ** 2).to_numpy()
-            yield pd.DataFrame({"orbit_id": pdf["orbit_id"] + "_" + pdf["child"].astype(str), "parent_id": pdf["orbit_id"], "bundle_id": pdf["child"], "x": r * np.cos(lat) * np.cos(lon), "y": r * np.cos(lat) * np.sin(lon), "z": r * np.sin(lat)})
-
-    children = orbits.withColumn("child", F.explode(healpix.children_nest(F.col("bundle_id"))))
-    return children.select("orbit_id", "child", "x", "y", "z").mapInPandas(run, "orbit_id string, parent_id string, bundle_id long, x double, y double, z double")

@@ -105,6 +105,20 @@ def orbits_needed(bounds: Bounds, target: float, widths: np.ndarray, most: int |
     return needed if most is None else min(needed, most)
 
 
+def half_width_columns(bounds: Bounds, target: float, n: Column) -> list[Column]:
+    """``half_widths`` for a number of boxes that differs by row."""
+    share = F.pow(F.lit(target) / n, 1.0 / 6)
+    return [share * float(w) / 2 for w in bounds.widths]
+
+
+def orbits_needed_column(bounds: Bounds, target: float, widths: list[Column]) -> Column:
+    """``orbits_needed`` for half widths that differ by row."""
+    box = F.lit(64.0)
+    for w in widths:
+        box = box * w
+    return F.ceil(F.lit(target * bounds.volume) / box).cast("bigint")
+
+
 def sigma_covariance(widths: list[float], scale: float) -> Column:
     """A row-major 6 x 6 covariance with sigmas of the half widths over ``scale``."""
     return F.array(*[F.lit((widths[i] / scale) ** 2 if i == j else 0.0) for i in range(6) for j in range(6)])
@@ -208,21 +222,3 @@ def perihelion(x: tuple[Column, Column, Column], v: tuple[Column, Column, Column
     a = 1 / (2 / r - v2 / mu)
     e = F.sqrt(F.pow(1 - r / a, 2) + rv * rv / (mu * a))
     return a * (1 - e)
-
-
-def split_along(mean: np.ndarray, covariance: np.ndarray, k: float = 1.0, beta: float = 0.67, gamma: float = 1.0, num: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Children along the covariance's leading axis: centres over +-k (1 - beta) sigmas, the leading variance times beta^2, others gamma^2."""
-    values, vectors = np.linalg.eigh(covariance)
-    lead = int(np.argmax(values))
-    scaled = values * np.where(np.arange(len(values)) == lead, beta**2, gamma**2)
-    child = vectors @ np.diag(scaled) @ vectors.T
-    steps = np.linspace(-k * (1 - beta), k * (1 - beta), num) * math.sqrt(max(values[lead], 0.0))
-    return [(mean + s * vectors[:, lead], child) for s in steps]
-
-
-def split_recursively(mean: np.ndarray, covariance: np.ndarray, depth: int = 1, **how) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(suffix, centre, covariance) of the children after ``depth`` + 1 splits, named by their place."""
-    level = [("", mean, covariance)]
-    for _ in range(depth + 1):
-        level = [(f"{name}_{i:03d}", m, c) for name, mean_, cov_ in level for i, (m, c) in enumerate(split_along(mean_, cov_, **how))]
-    return level

@@ -77,3 +77,19 @@ def range_lattices(span: DataFrame, keys: list[str], vx: tuple[float, float, int
     for name, (low, high, bins) in (("x", vx), ("y", vy)):
         values |= {f"{name}_low": F.lit(float(low)), f"{name}_high": F.lit(float(high)), f"{name}_bins": F.lit(int(bins))}
     return span.select(*keys, *[values[x.split()[0]].alias(x.split()[0]) for x in LATTICE.split(", ")])
+
+
+def velocities(lattices: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, vx, vy): the velocities of every lattice, inside its ellipse where it has one, as a table to join with."""
+
+    def axis(name: str) -> Column:
+        low, high, bins = F.col(f"{name}_low"), F.col(f"{name}_high"), F.col(f"{name}_bins")
+        step = (high - low) / F.greatest(bins - 1, F.lit(1))
+        grid = F.transform(F.sequence(F.lit(0), bins - 1), lambda i: F.when((i == bins - 1) & (bins > 1), high).otherwise(low + i * step))
+        zero = F.col("zero") & ~F.exists(grid, lambda v: F.abs(v) < 1e-6)
+        return F.when(zero, F.concat(grid, F.array(F.lit(0.0)))).otherwise(grid)
+
+    pairs = lattices.withColumn("vx", F.explode(axis("x"))).withColumn("vy", F.explode(axis("y")))
+    vx, vy = F.col("vx"), F.col("vy")
+    inside = F.col("ixx") * vx * vx + 2 * F.col("ixy") * vx * vy + F.col("iyy") * vy * vy <= F.pow("reach", 2)
+    return pairs.where(F.coalesce(inside, F.lit(True))).select(*keys, "vx", "vy")

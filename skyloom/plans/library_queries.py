@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import healpix, sphere
-from skyloom.operators import analysis, clustering, filters, orbit_grids, orbits, phase_space, relational
+from skyloom.operators import analysis, clustering, filters, orbit_grids, orbits, phase_space, relational, velocity_grids
 from skyloom.sources import observations
 from skyloom.sources.observations import SKY_SQL, sky
 from skyloom.sources.staging import shared_folder
@@ -28,8 +30,8 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The detections as a written and re-read table of nested observations."""
-    path = f"{shared_folder(spark)}/skyloom/observations-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    """The detections as a written and re-read table of nested observations; every call has a table of its own, so none that is still read is overwritten."""
+    path = f"{shared_folder(spark)}/skyloom/observations-{uuid.uuid4().hex}"
     observations.write_observations(observations.from_input(raw_rows(spark, sf_dir)), path)
     return observations.read_observations(spark, path)
 
@@ -193,19 +195,42 @@ def ephemeris_clip(spark, sf_dir):
     return filters.clip_ephemeris(points.select("state_id", "days").distinct(), points.where("code = 'X1' AND user_id % 3 = 0"), "days")
 
 
-_GRID_SQL = """d AS (SELECT 1e-6 AS det, 4e-6 AS vxx, 1e-6 AS vyy, 5e-7 AS vxy, count(*) AS n FROM supplier),
-  r AS (SELECT *, 1 / sqrt(n / (pi() * 9 * sqrt(det))) AS apart, greatest(sqrt(1 / (pi() * (n / (pi() * 9 * sqrt(det))))), 1.0 / 3600) AS cand FROM d),
-  s AS (SELECT *, least(2.5 * apart, greatest(2 * cand, cand, 1.0 / 3600)) AS radius FROM r),
-  b AS (SELECT *, least(greatest(ceil(6 * sqrt(vxx) * 10 / (2 * radius)), 10), 1000) AS bx, least(greatest(ceil(6 * sqrt(vyy) * 10 / (2 * radius)), 10), 1000) AS by_ FROM s),
-  gx AS (SELECT radius, -3 * sqrt(vxx) + 6 * sqrt(vxx) * i / (bx - 1) AS x FROM b, range(1000) t(i) WHERE i < bx UNION ALL SELECT radius, 0 FROM b WHERE bx % 2 = 0),
-  gy AS (SELECT -3 * sqrt(vyy) + 6 * sqrt(vyy) * i / (by_ - 1) AS y FROM b, range(1000) t(i) WHERE i < by_ UNION ALL SELECT 0 FROM b WHERE by_ % 2 = 0)"""
+#: Predicted covariances of four test orbits, one a code: sums of them are exact, so that means are the same in any order.
+_LATTICE_SQL = """span AS (SELECT code, min(mjd) AS first, max(mjd) AS last, count(*) AS n_obs FROM sky GROUP BY 1),
+  pred AS (SELECT DISTINCT code, mjd, CAST(right(code, 1) AS INTEGER) AS k FROM sky),
+  cov AS (SELECT code, k, max(mjd) - min(mjd) AS arc, 0.25 * (k + 1) * 0.125 * (k + 2) - 0.0625 * 0.0625 AS det, 0.25 * (k + 1) AS gxx, 0.125 * (k + 2) AS gyy, (k + 1) / 65536.0 AS hxx, 1 / 131072.0 AS hxy, (k + 2) / 65536.0 AS hyy
+    FROM pred JOIN span USING (code) WHERE mjd BETWEEN first AND last GROUP BY ALL),
+  l0 AS (SELECT *, sqrt((gxx + gyy) / 2) AS scatter, n_obs / (pi() * 9 * sqrt(det)) AS density FROM cov JOIN span USING (code)),
+  l1 AS (SELECT *, 1 / sqrt(density) AS apart, greatest(sqrt(1 / (pi() * density)), 1.0 / 3600) AS candidate FROM l0),
+  l2 AS (SELECT *, least(2.5 * apart, greatest(sqrt(pow(1.2 * scatter, 2) + pow(2 * candidate, 2)), candidate, 1.0 / 3600)) AS radius, 3 * sqrt(hxx) AS rx, 3 * sqrt(hyy) AS ry, hxx * hyy - hxy * hxy AS whole FROM l1),
+  lat AS (SELECT *, CAST(least(greatest(ceil(2 * rx * arc / (2 * radius)), 10), 1000) AS INTEGER) AS bx, CAST(least(greatest(ceil(2 * ry * arc / (2 * radius)), 10), 1000) AS INTEGER) AS by_ FROM l2)"""
+#: The axes of those lattices, zero among them, and the velocities inside the ellipse.
+_VELOCITIES_SQL = """ax AS (SELECT code, -rx + i * (2 * rx / (bx - 1)) AS vx FROM lat, range(1000) t(i) WHERE i < bx),
+  ay AS (SELECT code, -ry + i * (2 * ry / (by_ - 1)) AS vy FROM lat, range(1000) t(i) WHERE i < by_),
+  axz AS (SELECT * FROM ax UNION ALL SELECT code, 0.0 FROM ax GROUP BY 1 HAVING min(abs(vx)) >= 1e-6), ayz AS (SELECT * FROM ay UNION ALL SELECT code, 0.0 FROM ay GROUP BY 1 HAVING min(abs(vy)) >= 1e-6),
+  vel AS (SELECT code, first, radius, vx, vy FROM axz JOIN ayz USING (code) JOIN lat USING (code) WHERE (hyy * vx * vx - 2 * hxy * vx * vy + hxx * vy * vy) / whole <= 9)"""
+
+
+def lattices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(detections by test orbit, lattices from their predicted covariances): the test orbits are the observing codes."""
+    points = sky(spark, sf_dir)
+    k = F.substring("code", -1, 1).cast("int")
+    cells = {"gxx": 0.25 * (k + 1), "gxy": F.lit(0.0625), "gyy": 0.125 * (k + 2), "hxx": (k + 1) / 65536.0, "hxy": F.lit(1 / 131072.0), "hyy": (k + 2) / 65536.0}
+    predicted = points.select("code", "mjd").distinct().withColumns(cells)
+    return points, velocity_grids.covariance_lattices(predicted, velocity_grids.spans(points, ["code"]), ["code"])
+
 
+@query(f"{SKY}, {_LATTICE_SQL} SELECT code, round(radius, 9) AS radius, bx AS x_bins, by_ AS y_bins, round(rx, 9) AS x_high, round(ry, 9) AS y_high, round(arc, 6) AS arc FROM lat")
+def covariance_lattices(spark, sf_dir):
+    found = lattices(spark, sf_dir)[1]
+    return found.select("code", F.round("radius", 9).alias("radius"), "x_bins", "y_bins", F.round("x_high", 9).alias("x_high"), F.round("y_high", 9).alias("y_high"), F.round("span", 6).alias("arc"))
 
-@query(f"WITH {_GRID_SQL} SELECT round(any_value(radius), 9) AS radius, count(*) AS n FROM gx, gy WHERE (1e-6 * x * x - 2 * 5e-7 * x * y + 4e-6 * y * y) / (4e-6 * 1e-6 - 25e-14) <= 9")
+
+@query(f"{SKY}, {_LATTICE_SQL}, {_VELOCITIES_SQL} SELECT code, count(*) AS n, round(sum(vx * vx + vy * vy), 6) + 0.0 AS spread FROM vel GROUP BY 1")
 def covariance_velocity_grid(spark, sf_dir):
-    n = read(spark, sf_dir, "supplier").count()
-    grid = clustering.covariance_grid(np.array([1e-6, 5e-7, np.nan]), np.array([[4e-6, 5e-7], [5e-7, 1e-6]]), n, 10.0)
-    return spark.range(1).select(F.lit(round(grid.radius, 9)).alias("radius"), F.lit(len(grid.vx)).cast("bigint").alias("n"))
+    """The velocities inside each test orbit's ellipse, as a table."""
+    found = velocity_grids.velocities(lattices(spark, sf_dir)[1], ["code"])
+    return found.groupBy("code").agg(F.count("*").alias("n"), r6(F.sum(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))).alias("spread"))
 
 
 # Orbits
@@ -278,7 +303,16 @@ ORACLES["range_transform"] = f"""WITH {_kepler_sql()},
   k AS (SELECT *, -along + sqrt(along * along + r * r - big) AS rho FROM j WHERE along * along + r * r - big >= 0),
   t AS (SELECT *, ox + rho * d1 AS t1, oy + rho * d2 AS t2, oz + rho * d3 AS t3 FROM k WHERE rho > 0)
 SELECT obs_id, round(rho, 6) + 0.0 AS rho, round(degrees((y1 * t1 + y2 * t2 + y3 * t3) / (x1 * t1 + x2 * t2 + x3 * t3)), 6) + 0.0 AS theta_x, round(degrees((z1 * t1 + z2 * t2 + z3 * t3) / (x1 * t1 + x2 * t2 + x3 * t3)), 6) + 0.0 AS theta_y FROM t"""
-ORACLES["test_orbit_grid"] = f"""WITH px AS (SELECT p, CASE WHEN p // 4 = 1 THEN 90.0 * (p % 4) ELSE 45.0 + 90.0 * (p % 4) END AS lon, degrees(asin((1 - p // 4) * 2.0 / 3)) AS lat FROM range(12) t(p)),
+ORACLES["projection_covariance"] = (
+    ORACLES["range_transform"].rsplit("\nSELECT obs_id", 1)[0].replace("o AS (SELECT orbit_id || '_' || state_id AS obs_id,", "o AS (SELECT orbit_id || '_' || state_id AS obs_id, radians(lon) AS ln, radians(lat) AS lt,")
+    + """,
+  w AS (SELECT obs_id, x1 * t1 + x2 * t2 + x3 * t3 AS x, y1 * t1 + y2 * t2 + y3 * t3 AS y, z1 * t1 + z2 * t2 + z3 * t3 AS z, rho * (-x1 * sin(ln) + x2 * cos(ln)) AS sx, rho * (-y1 * sin(ln) + y2 * cos(ln)) AS sy, rho * (-z1 * sin(ln) + z2 * cos(ln)) AS sz,
+    rho * (-x1 * sin(lt) * cos(ln) - x2 * sin(lt) * sin(ln) + x3 * cos(lt)) AS tx, rho * (-y1 * sin(lt) * cos(ln) - y2 * sin(lt) * sin(ln) + y3 * cos(lt)) AS ty, rho * (-z1 * sin(lt) * cos(ln) - z2 * sin(lt) * sin(ln) + z3 * cos(lt)) AS tz FROM t),
+  jac AS (SELECT obs_id, (sy * x - y * sx) / (x * x) AS a, (ty * x - y * tx) / (x * x) AS b, (sz * x - z * sx) / (x * x) AS c, (tz * x - z * tx) / (x * x) AS d FROM w)
+SELECT obs_id, round(a * a * 4 + 2 * a * b * 0.5 + b * b, 3) + 0.0 AS theta_xx, round(a * c * 4 + (a * d + b * c) * 0.5 + b * d, 3) + 0.0 AS theta_xy, round(c * c * 4 + 2 * c * d * 0.5 + d * d, 3) + 0.0 AS theta_yy FROM jac"""
+)
+ORACLES["test_orbit_grid"] = f"""WITH {_pixel_sql(1, _ALL_SKY_SQL, 'seen')},
+  px AS (SELECT DISTINCT pixel AS p, CASE WHEN pixel // 4 = 1 THEN 90.0 * (pixel % 4) ELSE 45.0 + 90.0 * (pixel % 4) END AS lon, degrees(asin((1 - pixel // 4) * 2.0 / 3)) AS lat FROM seen),
   g AS (SELECT p, radians(lon) AS lo, radians(lat) AS la, rho, e, nu, psi FROM px, (VALUES (2.0), (3.0)) a(rho), (VALUES (0.1), (0.3)) b(e), (VALUES (-90.0), (90.0)) c(nu), (VALUES (-30.0), (30.0)) d(psi)),
   s AS (SELECT *, rho * (1 + e * cos(radians(nu))) AS sl FROM g),
   v AS (SELECT *, sqrt({orbits.MU!r} / sl) * e * sin(radians(nu)) AS vr, sqrt({orbits.MU!r} * sl) / rho * cos(radians(psi)) AS ve, sqrt({orbits.MU!r} * sl) / rho * sin(radians(psi)) AS vn FROM s)
@@ -299,12 +333,13 @@ def propagated_energy(spark, sf_dir):
 # Coverage
 
 
-@query("SELECT n, round(pow(0.5 / n, 1.0 / 6) * (3.3 - 2.1) / 2, 9) AS h_a, round(pow(0.5 / n, 1.0 / 6) * 30 / 2, 9) AS h_i, CAST(ceil(0.25 * (1.2 * 0.4 * 30 * 360 * 360 * 360) / (0.2 * 0.1 * 5 * 60 * 60 * 60)) AS BIGINT) AS needed FROM (SELECT count(*) AS n FROM supplier)")
+@query("SELECT n_nationkey, round(pow(0.5 / (10 + n_nationkey), 1.0 / 6) * (3.3 - 2.1) / 2, 9) AS h_a, round(pow(0.5 / (10 + n_nationkey), 1.0 / 6) * 30 / 2, 9) AS h_i, CAST(ceil(0.25 * (1.2 * 0.4 * 30 * 360 * 360 * 360) / (pow(1.0 + n_nationkey % 3, 6) * 0.2 * 0.1 * 5 * 60 * 60 * 60)) AS BIGINT) AS needed FROM nation")
 def half_widths_for_coverage(spark, sf_dir):
-    bounds, n = phase_space.Bounds.preset("main_belt"), read(spark, sf_dir, "supplier").count()
-    h = phase_space.half_widths(bounds, 0.5, n)
-    needed = phase_space.orbits_needed(bounds, 0.25, np.array([0.1, 0.05, 2.5, 30, 30, 30]))
-    return spark.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(round(float(h[0]), 9)).alias("h_a"), F.lit(round(float(h[2]), 9)).alias("h_i"), F.lit(needed).cast("bigint").alias("needed"))
+    """Half widths of the boxes of each nation's orbits, and how many orbits of given widths cover a quarter."""
+    bounds, k = phase_space.Bounds.preset("main_belt"), F.col("n_nationkey")
+    h = phase_space.half_width_columns(bounds, 0.5, 10 + k)
+    widths = [w * (1.0 + k % 3) for w in (0.1, 0.05, 2.5, 30.0, 30.0, 30.0)]
+    return read(spark, sf_dir, "nation").select(k, F.round(h[0], 9).alias("h_a"), F.round(h[2], 9).alias("h_i"), phase_space.orbits_needed_column(bounds, 0.25, widths).alias("needed"))
 
 
 _BOXES_SQL = """b AS (SELECT s_suppkey AS id, 2.1 + (s_suppkey * 7) % 120 / 100.0 AS a, (s_suppkey * 11) % 40 / 100.0 AS e, 0.05 AS h_a, 0.02 AS h_e FROM supplier),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import sphere, timecols
 from skyloom.operators import analysis, clustering, filters, relational
 from skyloom.sources.observations import SKY_SQL, sky
+from skyloom.sources.staging import stage
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -241,12 +242,18 @@ def cluster_set_dedupe(spark, sf_dir):
     return kept.groupBy("cluster_id").agg(relational.set_hash(F.col("obs_id")).alias("set_id"), F.count("*").alias("n"))
 
 
-@query(f"""{SKY} SELECT CAST(user_id AS BIGINT) AS orbit_id, id AS obs_id FROM sky""")
+@query(f"""{SKY} SELECT CAST(user_id AS BIGINT) AS orbit_id, id AS obs_id, row_number() OVER (ORDER BY user_id, "days", nanos_state, id) - 1 AS place FROM sky""")
 def linkage_sort(spark, sf_dir):
+    """Every row's place in the sorted output: its number in its partition, after the sizes of those before."""
     points = sky(spark, sf_dir)
     members = points.select(F.col("user_id").alias("orbit_id"), F.col("id").alias("obs_id"))
     times = points.select(F.col("id").alias("obs_id"), "days", F.col("nanos_state").alias("nanos"))
-    return relational.sort_linkages(members.select("orbit_id").distinct(), members, times, "orbit_id")[1]
+    ordered = relational.sort_linkages(members.select("orbit_id").distinct(), members, times, "orbit_id")[1]
+    part = F.spark_partition_id()
+    numbered = stage(ordered.withColumns({"part": part, "n": F.monotonically_increasing_id() - F.shiftleft(part.cast("bigint"), 33)}), "sorted")
+    sizes = numbered.groupBy("part").agg(F.count("*").alias("rows"))
+    before = sizes.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return numbered.join(F.broadcast(before), "part").select("orbit_id", "obs_id", (F.col("before") + F.col("n")).alias("place"))
 
 
 @query(f"""{SKY} SELECT user_id, count(*) AS n, round(max(mjd) - min(mjd), 6) + 0.0 AS arc_length, count(DISTINCT "days") AS nights, count(DISTINCT code) AS codes, round(sum(value), 4) + 0.0 AS total FROM sky GROUP BY 1""")

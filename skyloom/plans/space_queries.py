@@ -73,15 +73,27 @@ def covariance_sigmas(spark, sf_dir):
 # Grids and boxes
 
 
-@query("SELECT i AS id, 'custom_grid_' || lpad(CAST(i AS VARCHAR), 4, '0') AS orbit_id, round(CAST(1 + i % 4 AS DOUBLE), 6) AS a, round(CAST((i // 4) % 3 AS DOUBLE) * 0.1::DOUBLE, 6) AS e, round(CAST((i // 12) % 5 AS DOUBLE) * 5.0::DOUBLE, 6) AS i_deg FROM range(240) t(i)")
+@query(
+    """WITH n AS (SELECT count(*) AS na, max(r_regionkey) AS top FROM region)
+SELECT i AS id, 'custom_grid_' || lpad(CAST(i AS VARCHAR), 4, '0') AS orbit_id, round(CAST(1 + i % na * top / (na - 1.0) AS DOUBLE), 6) AS a, round(CAST((i // na) % 3 AS DOUBLE) * 0.1::DOUBLE, 6) AS e, round(CAST((i // (3 * na)) % 5 AS DOUBLE) * 5.0::DOUBLE, 6) AS i_deg
+FROM n, range(0, (SELECT count(*) * 60 FROM region)) t(i)"""
+)
 def grid_custom(spark, sf_dir):
-    bounds = phase_space.Bounds.of("keplerian", a=(1.0, 4.0), e=(0.0, 0.2), i=(0.0, 20.0), raan=(0.0, 360.0), ap=(0.0, 360.0), M=(0.0, 360.0))
-    return phase_space.grid(spark, bounds, [4, 3, 5, 4, 1, 1]).select("id", "orbit_id", r6("a").alias("a"), r6("e").alias("e"), r6("i").alias("i_deg"))
+    """As many distances as there are regions, up to the largest region's number."""
+    n, top = read(spark, sf_dir, "region").agg(F.count("*"), F.max("r_regionkey")).first()
+    bounds = phase_space.Bounds.of("keplerian", a=(1.0, 1.0 + top), e=(0.0, 0.2), i=(0.0, 20.0), raan=(0.0, 360.0), ap=(0.0, 360.0), M=(0.0, 360.0))
+    return phase_space.grid(spark, bounds, [n, 3, 5, 4, 1, 1]).select("id", "orbit_id", r6("a").alias("a"), r6("e").alias("e"), r6("i").alias("i_deg"))
 
 
-@query("SELECT i AS id, round(2.112 + (i % 4) * 1.176 / 3, 6) + 0.0 AS a, round(0.004 + ((i // 4) % 4) * 0.392 / 3, 6) + 0.0 AS e FROM range(4096) t(i) ORDER BY md5(CAST(i AS VARCHAR)) LIMIT 1000")
+@query(
+    """WITH n AS (SELECT 10 * count(*) AS n, CAST(ceil(round(pow(10 * count(*), 1.0 / 6), 9)) AS BIGINT) AS size FROM supplier)
+SELECT i AS id, round(2.112 + (i % size) * 1.176 / (size - 1), 6) + 0.0 AS a, round(0.004 + ((i // size) % size) * 0.392 / (size - 1), 6) + 0.0 AS e FROM n, range(0, (SELECT CAST(pow(size, 6) AS BIGINT) FROM n)) t(i)
+QUALIFY row_number() OVER (ORDER BY md5(CAST(i AS VARCHAR))) <= n"""
+)
 def grid_even(spark, sf_dir):
-    return phase_space.even_grid(spark, phase_space.Bounds.preset("main_belt"), 1000).select("id", r6("a").alias("a"), r6("e").alias("e"))
+    """Ten points a supplier."""
+    n = 10 * read(spark, sf_dir, "supplier").count()
+    return phase_space.even_grid(spark, phase_space.Bounds.preset("main_belt"), n).select("id", r6("a").alias("a"), r6("e").alias("e"))
 
 
 _BOXES_SQL = """boxes AS (SELECT s_suppkey AS id, (s_suppkey * 7919) % 1000 / 10.0 AS x, (s_suppkey * 104729) % 1000 / 10.0 AS y, (s_suppkey * 31) % 1000 / 10.0 AS z,

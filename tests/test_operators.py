@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import healpix
-from skyloom.operators import analysis, clustering, filters, phase_space, relational
+from skyloom.operators import analysis, clustering, filters, phase_space, relational, splits
 from skyloom.sources import observations
 
 
@@ -105,14 +105,6 @@ def test_quadratic_fit_is_exact(spark):
     assert (r["theta_x0"], r["vtheta_x"], r["atheta_x"], r["vtheta_y"]) == pytest.approx((0.1, 0.02, 0.006, 0.01), abs=1e-9)
 
 
-def test_covariance_grid():
-    g = clustering.covariance_grid(np.full(5, 1e-6), np.diag([1e-4, 4e-4]), 200, 10.0)
-    assert g.radius > 0 and np.any((np.abs(g.vx) < 1e-6) & (np.abs(g.vy) < 1e-6))
-    assert np.all(g.vx**2 / 1e-4 + g.vy**2 / 4e-4 <= 9 + 1e-9)
-    with pytest.raises(ValueError):
-        clustering.covariance_grid(np.array([np.nan]), np.eye(2), 10, 1.0)
-
-
 def test_overlapping_pairs_match_brute_force(spark):
     rng = np.random.default_rng(2)
     b = [(i, *map(float, rng.uniform(0, 10, 2)), *map(float, rng.uniform(0.2, 1.5, 2))) for i in range(40)]
@@ -139,9 +131,35 @@ def test_region_pick(spark):
 
 def test_split_children():
     mean, cov = np.zeros(6), np.diag([4.0, 1, 1, 1, 1, 1])
-    children = phase_space.split_along(mean, cov)
+    children = splits.along_axis(mean, cov, 1.0, levels=1)
     assert len(children) == 3 and [round(float(abs(m[0])), 6) for m, _ in children] == [0.66, 0.0, 0.66]
-    assert len(phase_space.split_recursively(mean, cov, 1)) == 9
+    assert all(np.isclose(c[0, 0], 4 * 0.67**2) and np.allclose(np.diag(c)[1:], 1) for _, c in children)
+    assert len(splits.along_axis(mean, cov, 1.0)) == 9
+    # Rates count by what they move over the time: here the largest axis is a rate's.
+    fast = splits.along_axis(mean, np.diag([4.0, 1, 1, 1, 1, 1]), 3.0, levels=1)
+    assert sorted(round(float(abs(m[0])), 6) for m, _ in fast) == [0.0, 0.0, 0.0] and max(float(np.abs(m[3:]).max()) for m, _ in fast) > 0.3
+    # A covariance that is not quite positive is mended.
+    assert all(np.linalg.eigvalsh(c).min() >= -1e-12 for _, c in splits.along_axis(mean, np.diag([1.0, 1, 1, 1, 1, -1e-9]), 1.0))
+
+
+def test_split_by_pixels():
+    from skyloom.functions import healpix
+    from skyloom.operators import orbits
+
+    state = orbits.from_elements(2.5, 0.1, 8, 40, 70, 100)[0]
+    assert np.allclose(splits.cartesian(splits.spherical(state[None])), state)
+    lon, lat = splits.spherical(state[None])[0][1:3]
+    covariance = np.diag([1e-3, 1e-3, 1e-3, 1e-8, 1e-8, 1e-8])
+    children = splits.by_pixel(state, covariance, 4)
+    assert [p for p, _, _ in children] == list(range(4 * healpix.pixel_of(4, lon, lat), 4 * healpix.pixel_of(4, lon, lat) + 4))
+    for pixel, s, c in children:
+        here = splits.spherical(s[None])[0]
+        assert healpix.pixel_of(8, here[1], here[2]) == pixel and np.allclose(here[[0, 3, 4, 5]], splits.spherical(state[None])[0][[0, 3, 4, 5]])
+        assert np.allclose(c, c.T) and np.linalg.eigvalsh(c).min() > -1e-12
+    rng = np.random.default_rng(3)
+    lons, lats = rng.uniform(0, 360, 300), np.degrees(np.arcsin(rng.uniform(-1, 1, 300)))
+    back = [healpix.pix2ang_nest(16, np.array([healpix.pixel_of(16, a, b)])) for a, b in zip(lons, lats)]
+    assert max(min(abs(a - x[0]), 360 - abs(a - x[0])) * math.cos(math.radians(b)) + abs(b - y[0]) for a, b, (x, y) in zip(lons, lats, back)) < 6
 
 
 def test_bounds_validation():
