@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, slices, staged
+from .common import BROADCAST_BYTES, Scratch, slices, staged
 
 
 @dataclass(frozen=True)
@@ -60,11 +60,11 @@ NOISE_TAGS = frozenset("nav aside footer form menu dialog head button fieldset s
 #: Words of classes, ids and roles that name page furniture.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments commentlist consent contentinfo cookie cookies copyright disqus footer "
-    "gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended related "
+    "advertorial feedback gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended related "
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 #: Words that may stand beside those in a compound: "ad-box" names furniture, "social-science" does not.
-PLACE_WORDS = frozenset("area bar block bottom box button buttons column container content form global group header holder icons inner item items left link links list main message outer page panel policy post posts primary right row secondary section site slot text title top unit wrap wrapper".split())
+PLACE_WORDS = frozenset("area bar block bottom box button buttons column container content form global group header holder icons inner item items left link links list main message outer page panel policy post posts primary reader readers right row secondary section site slot text title top unit wrap wrapper".split())
 NOISE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 #: An open paragraph is looked for up to one of these; an open item, row or cell up to one of those.
@@ -144,29 +144,54 @@ def blocks(html: str | None) -> list[Block]:
     at, end = 0, len(html)
 
     def close() -> None:
+        nonlocal inline, other
         if said:
             text = " ".join("".join(said).split())
             said.clear()
             if text:
                 f = stack[-1]
-                found.append(Block(f.node, text, f.landmark, f.plain, f.noise))
+                if inline and not other:
+                    # The block is an inline element's: a node of its own below the block's.
+                    found.append(Block(inline, text, f.landmark, False, True))
+                else:
+                    found.append(Block(f.node, text, f.landmark, f.plain, f.noise))
+        inline, other = (inline if at < inside else 0), False
 
     def leave(place: int) -> None:
         """Closes the elements from that place of the stack on."""
         while len(stack) > place:
             opened[stack.pop().tag] -= 1
 
+    # Furniture in inline elements: up to where the open one reaches, its node, and whether the block has other text.
+    inside, inline, other = 0, 0, False
+    ends: dict[str, dict[int, int]] = {}
+
+    def inline_end(tag: str, start: int) -> int:
+        """Where the inline element that starts there ends, or its start if it is never closed."""
+        if tag not in ends:
+            own: dict[int, int] = {}
+            waiting: list[int] = []
+            for m in re.finditer(rf"<(/?){tag}(?![^\s/>])", html, re.IGNORECASE):
+                if not m[1]:
+                    waiting.append(m.start())
+                elif waiting:
+                    own[waiting.pop()] = m.start()
+            ends[tag] = own
+        return ends[tag].get(start, start)
+
     while at < end:
         lt = html.find("<", at)
         if lt < 0:
             lt = end
         if lt > at:
             said.append(entities.unescape(html[at:lt]))
+            other |= at >= inside and not said[-1].isspace()
         if lt == end:
             break
         token = _TOKEN.match(html, lt)
         if token is None:
             said.append("<")
+            other |= at >= inside
             at = lt + 1
             continue
         at = token.end()
@@ -191,12 +216,10 @@ def blocks(html: str | None) -> list[Block]:
             at = stop.end() if stop else end
             continue
         if tag in INLINE:
-            if attributes.strip() and not any(x.strip() for x in said) and _style(tag, attributes)[1]:
-                # Furniture in an inline element: cut where it is a block of its own.
-                stop = re.compile(rf"</{tag}\s*>\s*(?=</?([a-zA-Z][^\s/>]*)|\Z)", re.IGNORECASE).search(html, at, at + 10_000)
-                if stop and (stop[1] or "").lower() not in INLINE and f"<{tag}" not in html[at : stop.start()].lower():
-                    close()
-                    at = stop.end()
+            if lt >= inside and not other and attributes.strip():
+                style, noise = _style(tag, attributes)
+                if noise and (stop := inline_end(tag, lt)) > lt:
+                    inside, inline = stop, inline or _hash(str(stack[-1].node), style)
             continue
         close()
         if tag in VOID or attributes.endswith("/") and tag not in CLOSES_P:
@@ -212,6 +235,7 @@ def blocks(html: str | None) -> list[Block]:
             continue
         up = stack[-1]
         style, noise = _style(tag, attributes)
+        noise |= lt < inside
         if tag == "header":
             noise |= not up.landmark
         opens = tag in LANDMARKS or _MAIN_ROLE.search(attributes) is not None
@@ -307,6 +331,11 @@ def _cut_of_pages(pages: DataFrame, low: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, rules: TreeRules = TreeRules()) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_cut of every page."""
+    with Scratch(pages.sparkSession) as scratch:
+        return scratch.kept(_main_text(pages, rules), "site-text")
+
+
+def _main_text(pages: DataFrame, rules: TreeRules) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
     tree = staged(site_tree(pages), "site-tree")
     low = staged(low_nodes(tree, rules), "site-low")

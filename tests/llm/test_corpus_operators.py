@@ -339,6 +339,24 @@ def test_pages_are_parsed_in_linear_time(html):
     assert time.process_time() - start < 60
 
 
+@pytest.mark.parametrize("size", [5, 12_000, 1_000_000])
+def test_inline_furniture_of_any_length(spark, size):
+    ad = "x" * size
+    pages = [
+        f'<article><p>One</p><span class="ad">{ad}</span><p>Two</p></article>',
+        f'<article><p>One</p><span class="ad"><span>{ad}</span> more</span><p>Two</p></article>',
+        f'<article><p>One</p><span class="ad"><div>{ad}</div></span><p>Two</p></article>',
+        f'<article><p>One</p><a class="share">{ad}</a> <a class="social">b</a><p>Two</p></article>',
+        f'<article><p>One</p><div class="reader-feedback">{ad}</div><div class="advertorial">{ad}</div><p>Two</p></article>',
+        '<article><p>One</p><p>Two</p><span class="ad">never closed</article>',
+        '<article><p>One</p><p>Two <span class="ad">kept</span></p></article>',
+    ]
+    docs = spark.createDataFrame([(i, f"http://h{i}/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_tree.main_text(docs).collect()}
+    assert [got[i] for i in range(5)] == ["One Two"] * 5
+    assert got[5] == "One Two never closed" and got[6] == "One Two kept"
+
+
 def test_site_tree_on_odd_pages(spark):
     rows = [(1, None, None), (2, "nonsense", ""), (3, "http://x/", "<p>a < b <"), (3, "http://x/", "<p>a < b <"), (4, "http://x/", "<div>" * 3000 + "deep"), (None, "http://x/", "plain &unknown; &amp")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("h"))
