@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ball_kmeans, bpe, chat, heap_lloyd, line_dedup, media, near_dedup, packing, phrase_index, quality_crf, quality_rules, site_tree, warc
-from .common import table
+from .common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,8 +48,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundles = warc.write_bundles(table(spark, sf_dir, "pages"))
-    return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # The bundles are written, read back and, as the query returns their figures alone, deleted.
+    with Scratch(spark) as scratch:
+        bundles = warc.write_bundles(table(spark, sf_dir, "pages"))
+        return scratch.kept(warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-report")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
