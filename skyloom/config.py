@@ -42,6 +42,7 @@ class Config:
     iod_contamination_percentage: float = 20.0
     iod_rchi2_threshold: float = 1e3
     iod_observation_selection_method: str = "combinations"
+    iod_iterate: bool = False
     od_min_obs: int = 6
     od_min_arc_length: float = 1.0
     od_contamination_percentage: float = 20.0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library_queries, orbit_queries, sky_queries, space_queries  # noqa: F401  (registering)
+from . import library_queries, orbit_queries, run_queries, sky_queries, space_queries  # noqa: F401  (registering)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

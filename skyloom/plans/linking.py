@@ -199,7 +199,7 @@ def link_test_orbits(
         return _bare(found).join(owners, "orbit_id")
 
     def preliminary() -> DataFrame:
-        rules = orbits.FitRules(config.iod_min_obs, config.iod_min_arc_length, config.iod_contamination_percentage, config.iod_rchi2_threshold, selection=config.iod_observation_selection_method)
+        rules = orbits.FitRules(config.iod_min_obs, config.iod_min_arc_length, config.iod_contamination_percentage, config.iod_rchi2_threshold, selection=config.iod_observation_selection_method, iterate=config.iod_iterate)
         linked = _own(done["cluster_and_link"], "obs_id")
         owners = linked.select(F.col("linkage_id").alias("orbit_id"), OWNER).distinct()
         return fitted(orbits.initial_orbits(linked.drop(OWNER).join(observed(), "obs_id"), rules), owners)
