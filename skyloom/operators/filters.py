@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import sphere
 
+from . import sky_index
+
 Filter = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -38,7 +40,9 @@ def near_predictions(observations: DataFrame, predicted: DataFrame, keys: list[s
     Without a radius or a distance, all that share a state are near.
     """
     wanted = ["plon", "plat"] + (["sx", "sxy", "sy"] if distance is not None else [])
-    near = observations.join(predicted.select("test_orbit_id", *keys, "state_id", *wanted), [*keys, "state_id"])
+    places, on = predicted.select("test_orbit_id", *keys, "state_id", *wanted), [*keys, "state_id"]
+    # A small radius is looked up in an index of the sky; a large one compares all that share a state.
+    near = sky_index.near(observations, places, on, radius) if radius is not None and radius <= 30.0 else observations.join(places, on)
     if radius is not None:
         near = within_radius(near, radius)
     if distance is not None:

@@ -609,9 +609,8 @@ def attribute(orbits: DataFrame, observations: DataFrame, radius: float, k: int
     from .relational import attributed
 
     states = observations.select(*keys, "state_id", "mjd", "ox", "oy", "oz").dropDuplicates(["state_id"])
-    distance = sphere.great_circle(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
     predicted = ephemeris(orbits.drop("covariance"), states, keys).drop("rho", "px", "py", "pz", "pvx", "pvy", "pvz", *keys)
-    found = attributed(observations.withColumnRenamed("mjd", "obs_mjd"), predicted, distance, radius, k)
+    found = attributed(observations.withColumnRenamed("mjd", "obs_mjd"), predicted, radius, k)
     return found.withColumns({"d_lon": sphere.wrapped(F.col("lon") - F.col("plon")) * F.cos(F.radians("lat")), "d_lat": F.col("lat") - F.col("plat")})
 
 

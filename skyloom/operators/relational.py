@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.functions import sphere
+
+from . import sky_index
+
 
 def set_hash(ids: Column, separator: str = "") -> Column:
     """An order-free key of a group's distinct ids, as an aggregate."""
@@ -83,13 +87,14 @@ def sort_linkages(parents: DataFrame, members: DataFrame, observations: DataFram
     return parents.orderBy(key), timed.select(*members.columns)
 
 
-def attributed(observations: DataFrame, predicted: DataFrame, distance: Column, radius: float, k: int = 3) -> DataFrame:
-    """Up to ``k`` nearest predictions within ``radius`` of each observation among those of its state.
+def attributed(observations: DataFrame, predicted: DataFrame, radius: float, k: int = 3, lon: str = "lon", lat: str = "lat", plon: str = "plon", plat: str = "plat") -> DataFrame:
+    """Up to ``k`` nearest predictions within ``radius`` degrees of each observation among those of its state, with their ``distance``.
 
-    Both sides have ``state_id``; the join is on it, with the distance as a residual condition, so the plan
-    is a hash or merge join and never a nested loop. The cap holds per observation, over all orbits.
+    Both sides have ``state_id``; they meet by it and by a cell of the sky, so an observation is compared with
+    the predictions around it, not with all of its state. The cap holds per observation, over all orbits.
     """
-    near = observations.join(predicted, "state_id").withColumn("distance", distance).where(F.col("distance") <= radius)
+    distance = sphere.great_circle(F.col(lon), F.col(lat), F.col(plon), F.col(plat))
+    near = sky_index.near(observations, predicted, ["state_id"], radius, lon, lat, plon, plat).withColumn("distance", distance).where(F.col("distance") <= radius)
     return top_k(near, ["obs_id"], [F.col("distance"), F.col("orbit_id")], k)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import sphere, timecols
 from skyloom.operators import analysis, clustering, filters, relational
 from skyloom.sources.observations import SKY_SQL, sky
-from skyloom.sources.staging import stage
+from skyloom.sources.staging import small_side, stage
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -173,10 +173,9 @@ def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = sky(spark, sf_dir).withColumnRenamed("id", "obs_id")
     states = points.select("state_id", "days").distinct()
     dt = F.col("days") - 60310
-    # Every orbit is predicted at every state: what an ephemeris generator returns.
-    predicted = states.crossJoin(F.broadcast(orbits_of(spark, sf_dir))).select("state_id", "orbit_id", (F.col("ra0") + F.col("vra") * dt).alias("pra"), (F.col("dec0") + F.col("vdec") * dt).alias("pdec"))
-    distance = sphere.great_circle(F.col("ra"), F.col("dec"), F.col("pra"), F.col("pdec"))
-    return relational.attributed(points, predicted, distance, 0.3, 3).select("obs_id", "orbit_id", "days", "nanos_state", "distance")
+    # Every orbit is predicted at every state: what an ephemeris generator returns. The orbits pass by as the states do.
+    predicted = states.crossJoin(small_side(orbits_of(spark, sf_dir), 64)).select("state_id", "orbit_id", (F.col("ra0") + F.col("vra") * dt).alias("pra"), (F.col("dec0") + F.col("vdec") * dt).alias("pdec"))
+    return relational.attributed(points, predicted, 0.3, 3, "ra", "dec", "pra", "pdec").select("obs_id", "orbit_id", "days", "nanos_state", "distance")
 
 
 _ATTRIBUTION_CTES = f"{SKY}, {_ORBITS_SQL}, {_PREDICTED_SQL}, {_ATTRIBUTED_SQL}"
@@ -372,7 +371,7 @@ def evaluate_motion(spark, sf_dir):
     points = sky(spark, sf_dir)
     # The distinct days are few (one a night), and a cluster is evaluated at every one of them.
     times = points.select(F.col("days").cast("double").alias("at_day")).distinct()
-    out = clustering.evaluate(_fits(points).crossJoin(F.broadcast(times)), F.col("at_day"))
+    out = clustering.evaluate(_fits(points).crossJoin(small_side(times, 16)), F.col("at_day"))
     return out.select("user_id", "at_day", (F.round("theta_x_at", 5) + 0.0).alias("theta_x"), (F.round("theta_y_at", 5) + 0.0).alias("theta_y"))
 
 

@@ -209,3 +209,24 @@ def test_no_filter_gives_the_input_and_no_ephemeris(spark):
     assert filters.apply_filters(obs, eph, [filters.radius_filter(0.6), filters.radius_filter(0.4)])[0].count() == 0
     with pytest.raises(ValueError):
         filters.clip_ephemeris(spark.createDataFrame([(9.0,)], "mjd double"), spark.createDataFrame([(1.0,)], "mjd double"))
+
+
+@pytest.mark.parametrize("radius", [0.05, 1.0, 7.0, 40.0])
+def test_sky_index_finds_every_near_pair(spark, radius):
+    """Around the poles, across the meridian and at the ends of the scale."""
+    from skyloom.functions import sphere
+    from skyloom.operators import sky_index
+
+    r = np.random.default_rng(4)
+    lons, lats = r.uniform(0, 360, 250), np.degrees(np.arcsin(r.uniform(-1, 1, 250)))
+    rows = [(i, "s", float(a), float(b)) for i, (a, b) in enumerate(zip(lons, lats))]
+    rows += [(1000 + i, "s", a, b) for i, (a, b) in enumerate([(0.0, 90.0), (123.0, -90.0), (359.99, 0.0), (0.01, 0.0), (0.0, 89.99), (180.0, 89.99), (10.0, -89.999), (360.0, 45.0)])]
+    rows += [(2000 + i, "s", (a + 0.6 * radius * math.cos(i)) % 360, max(-90.0, min(90.0, b + 0.6 * radius * math.sin(i)))) for i, _, a, b in rows]
+    points = spark.createDataFrame(rows, "id long, state_id string, lon double, lat double")
+    places = spark.createDataFrame(rows, "pid long, state_id string, plon double, plat double")
+    distance = sphere.great_circle(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
+    every = points.join(places, "state_id").where(distance <= radius).select("id", "pid").collect()
+    pairs = sky_index.near(points, places, ["state_id"], radius)
+    found = pairs.where(distance <= radius).select("id", "pid").collect()
+    assert len(found) == len(set(found)) and set(found) == set(every)
+    assert radius > 5 or pairs.count() < 0.3 * len(rows) ** 2
