@@ -1,16 +1,21 @@
-"""Queries over whole runs: clusters on grids from covariances, splits of crowded test orbits, linked test orbits."""
+"""Queries over whole runs: clusters on grids from covariances, splits, linked and known test orbits, runs against labels."""
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from skyloom.config import Config
-from skyloom.operators import velocity_tiles
+from skyloom.operators import known, orbits, run_analysis, velocity_tiles
+from skyloom.sources.observations import sky
 
 from . import linking
-from .library_queries import _LATTICE_SQL, _VELOCITIES_SQL, lattices
-from .orbit_queries import synthetic_observations, synthetic_orbits
-from .sky_queries import SKY, query
+from .library_queries import _ALL_SKY_SQL, _LATTICE_SQL, _VELOCITIES_SQL, _pixel_sql, lattices
+from .orbit_queries import EPOCH, synthetic_observations, synthetic_orbits
+from .sky_queries import SKY, query, read
 
 
 @query(
@@ -58,3 +63,119 @@ def linked_test_orbits(spark, sf_dir):
     whole = (F.size("members") == 10) & F.forall("members", lambda m: m.startswith(own))
     found = last.output.groupBy("test_orbit_id").agg(F.max(whole).alias("whole"))
     return orbits.select(F.col("orbit_id").alias("test_orbit_id")).join(found, "test_orbit_id", "left").select("test_orbit_id", F.coalesce("whole", F.lit(False)).alias("recovered"))
+
+
+# Runs against labels
+
+#: Four stages of linkages over the detections of each observing code, as SQL and as conditions on the same columns.
+_LINKAGES = {
+    "cluster_and_link": ('"days" * 10 + user_id % 10', "true"),
+    "initial_orbit_determination": ("user_id", "event_id % 5 > 0"),
+    "differential_correction": ("user_id - user_id % 8", "event_id % 7 > 0 AND user_id % 8 IN (0, 4)"),
+    "recover_orbits": ("user_id", "object_id IS NOT NULL"),
+}
+_LIMITS = {"cluster_and_link": (3, 60.0), "initial_orbit_determination": (4, 20.0), "differential_correction": (3, 45.0), "recover_orbits": (6, 0.0)}
+_PARTS_SQL = f"""seen AS (SELECT code AS test_orbit_id, 'all' AS partition_id, id AS obs_id, event_id, user_id, object_id, "days" AS night, "days", mjd FROM sky),
+  obj AS (SELECT test_orbit_id, partition_id, object_id, min(mjd) AS mjd_min, max(mjd) AS mjd_max, count(*) AS num_obs, count(*) >= 6 AND count(DISTINCT night) >= 3 AS findable FROM seen WHERE object_id IS NOT NULL GROUP BY ALL),
+  mem AS ({" UNION ALL ".join(f"SELECT test_orbit_id, partition_id, '{s}' AS stage, {link} AS linkage_id, coalesce(object_id, 'unknown') AS object_id FROM seen WHERE {cond}" for s, (link, cond) in _LINKAGES.items())}),
+  lim(stage, least, most) AS (VALUES {", ".join(f"('{s}', {least}, {most}::DOUBLE)" for s, (least, most) in _LIMITS.items())}),
+  cnt AS (SELECT test_orbit_id, partition_id, stage, linkage_id, object_id, count(*) AS n FROM mem GROUP BY ALL),
+  tops AS (SELECT test_orbit_id, partition_id, stage, linkage_id, sum(n) AS total, count(*) AS objs, max(n) AS top, arg_min(object_id, (-n, object_id)) AS top_object FROM cnt GROUP BY ALL),
+  prt AS (SELECT cnt.*, cnt.object_id = top_object AS is_top, n >= least AS enough,
+    CASE WHEN objs = 1 AND cnt.object_id = 'unknown' THEN 'pure_unknown' WHEN objs = 1 AND total = num_obs THEN 'pure_complete' WHEN objs = 1 THEN 'pure'
+      WHEN 100.0 * (total - top) / total <= most AND top >= least AND top_object <> 'unknown' THEN 'contaminated' ELSE 'mixed' END AS class
+    FROM cnt JOIN tops USING (test_orbit_id, partition_id, stage, linkage_id) JOIN lim USING (stage) LEFT JOIN obj USING (test_orbit_id, partition_id, object_id))"""
+_ROLES = {"pure": "class IN ('pure', 'pure_complete')", "pure_complete": "class = 'pure_complete'", "contaminated": "class = 'contaminated' AND is_top", "contaminant": "class = 'contaminated' AND NOT is_top", "mixed": "class = 'mixed'"}
+_COUNTED = {f"found_{r}": f"count(*) FILTER ({_ROLES[r]} AND enough)" for r in ("pure", "contaminated")} | {r: f"count(*) FILTER ({c})" for r, c in _ROLES.items()}
+_COUNTED |= {f"obs_{'as' if r == 'contaminant' else 'in'}_{r}": f"coalesce(sum(n) FILTER ({c}), 0)" for r, c in _ROLES.items()}
+_WIDE = ", ".join(f"CAST(coalesce(max({c}) FILTER (stage = '{s}'), 0) AS BIGINT) AS {c}_{ending}" for s, ending in run_analysis.LINKED.items() for c in run_analysis.COUNTERS)
+_COUNTERS_SQL = f"ctr AS (SELECT test_orbit_id, partition_id, stage, object_id, {', '.join(f'{e} AS {n}' for n, e in _COUNTED.items())} FROM prt WHERE object_id <> 'unknown' GROUP BY ALL)"
+
+
+def _labelled(spark, sf_dir):
+    points = sky(spark, sf_dir)
+    seen = points.select(F.col("code").alias("test_orbit_id"), F.col("id").alias("obs_id"), "event_id", "user_id", "object_id", F.col("days").alias("night"), "days", "mjd")
+    members = [seen.where(cond).select("test_orbit_id", F.lit(s).alias("stage"), F.expr(link.replace('"', "`")).cast("string").alias("linkage_id"), "object_id") for s, (link, cond) in _LINKAGES.items()]
+    objects = run_analysis.objects_of(seen, 6, 3)
+    return seen, objects, run_analysis.parts(functools.reduce(lambda a, b: a.unionByName(b), members), objects, _LIMITS)
+
+
+@query(
+    f"""{SKY}, {_PARTS_SQL}, {_COUNTERS_SQL}
+SELECT test_orbit_id, partition_id, object_id, round(any_value(mjd_min), 6) AS mjd_min, round(any_value(mjd_max), 6) AS mjd_max, round(any_value(mjd_max - mjd_min), 6) + 0.0 AS arc_length, any_value(num_obs) AS num_obs, any_value(findable) AS findable, {_WIDE}
+FROM obj LEFT JOIN ctr USING (test_orbit_id, partition_id, object_id) GROUP BY 1, 2, 3"""
+)
+def run_objects(spark, sf_dir):
+    """Twelve counters of four stages for every object of every test orbit."""
+    _, objects, split = _labelled(spark, sf_dir)
+    found = run_analysis.all_objects(objects, run_analysis.object_counters(split))
+    return found.withColumns({c: F.round(c, 6) + (0.0 if c == "arc_length" else 0) for c in ("mjd_min", "mjd_max", "arc_length")})
+
+
+@query(
+    f"""{SKY}, {_PARTS_SQL}, {_COUNTERS_SQL},
+  hits AS (SELECT test_orbit_id, partition_id, stage, count(*) AS found FROM ctr JOIN obj USING (test_orbit_id, partition_id, object_id) WHERE found_pure > 0 AND findable GROUP BY ALL),
+  cls AS (SELECT test_orbit_id, partition_id, stage, count(*) FILTER (class IN ('pure', 'pure_complete')) AS pure_known, count(*) FILTER (class = 'pure_unknown') AS pure_unknown, count(*) FILTER (class = 'contaminated') AS contaminated, count(*) FILTER (class = 'mixed') AS mixed FROM prt WHERE is_top GROUP BY ALL),
+  nts AS (SELECT test_orbit_id, min(night) AS start_night, max(night) AS end_night, count(*) AS observations FROM seen GROUP BY 1), abl AS (SELECT test_orbit_id, count(*) FILTER (findable) AS findable FROM obj GROUP BY 1)
+SELECT test_orbit_id, partition_id, stage, pure_known, pure_unknown, contaminated, mixed, start_night, end_night, observations, coalesce(findable, 0) AS findable, coalesce(found, 0) AS found, round(CASE WHEN findable > 0 THEN 100.0 * coalesce(found, 0) / findable ELSE 0 END, 6) + 0.0 AS completeness
+FROM cls JOIN nts USING (test_orbit_id) LEFT JOIN abl USING (test_orbit_id) LEFT JOIN hits USING (test_orbit_id, partition_id, stage)"""
+)
+def run_stage_summaries(spark, sf_dir):
+    seen, objects, split = _labelled(spark, sf_dir)
+    found = run_analysis.summaries(seen, objects, split, run_analysis.object_counters(split))
+    return found.withColumn("completeness", F.round("completeness", 6) + 0.0)
+
+
+# Known orbits
+
+
+_START = EPOCH + 10.0
+
+
+def _catalogue_sql() -> str:
+    """CTEs that end with ``cat``: every customer's orbit seen from the Earth's centre at the start, light-time corrected, with its direction."""
+    x, y, z = (repr(float(v)) for v in orbits.earth(np.array([_START]))[0, :3])
+    mu, out = repr(orbits.MU), [
+        """el AS (SELECT CAST(c_custkey AS VARCHAR) AS orbit_id, 1.7005 + (c_custkey % 397) * 0.01 AS a, 0.0035 + 0.001 * (c_custkey % 489) AS e, 1.0 + c_custkey % 17 AS i_deg, radians((37.0 * c_custkey) % 360) AS om,
+    radians((53.0 * c_custkey) % 360) AS w, radians((71.0 * c_custkey) % 360) AS m0 FROM customer)""",
+        "l0 AS (SELECT *, radians(i_deg) AS inc, 0.0::DOUBLE AS lag FROM el)",
+    ]
+    for k in range(3):
+        out.append(f"m{k} AS (SELECT * EXCLUDE (lag), m0 + sqrt({mu} / (a * a * a)) * ({_START!r} - {EPOCH!r} - lag) AS m FROM l{k})")
+        out.append(f"n{k}_0 AS (SELECT *, m + e * sin(m) AS big FROM m{k})")
+        for i in range(9):
+            out.append(f"n{k}_{i + 1} AS (SELECT * EXCLUDE (big), big - (big - e * sin(big) - m) / (1 - e * cos(big)) AS big FROM n{k}_{i})")
+        out.append(f"""p{k} AS (SELECT * EXCLUDE (big, m), a * (cos(big) - e) AS u, a * sqrt(1 - e * e) * sin(big) AS v FROM n{k}_9),
+  h{k} AS (SELECT * EXCLUDE (u, v), (cos(om) * cos(w) - sin(om) * sin(w) * cos(inc)) * u + (-cos(om) * sin(w) - sin(om) * cos(w) * cos(inc)) * v - {x} AS dx,
+    (sin(om) * cos(w) + cos(om) * sin(w) * cos(inc)) * u + (-sin(om) * sin(w) + cos(om) * cos(w) * cos(inc)) * v - {y} AS dy, sin(w) * sin(inc) * u + cos(w) * sin(inc) * v - {z} AS dz FROM p{k})""")
+        if k < 2:
+            out.append(f"l{k + 1} AS (SELECT * EXCLUDE (dx, dy, dz), sqrt(dx * dx + dy * dy + dz * dz) / {orbits.LIGHT!r} AS lag FROM h{k})")
+    out.append("cat AS (SELECT orbit_id, a, e, i_deg, degrees(atan2(dy, dx)) + CASE WHEN dy < 0 THEN 360 ELSE 0 END AS ra, degrees(asin(dz / sqrt(dx * dx + dy * dy + dz * dz))) AS dec FROM h2)")
+    return ",\n  ".join(out)
+
+
+def _known_sql() -> str:
+    regions = "CASE " + " ".join(f"WHEN a >= {a0} AND a < {a1} AND e >= {e0} AND e < {e1} THEN {i}" for i, (a0, a1, e0, e1) in enumerate(known.REGIONS)) + " END"
+    return f"""WITH {_catalogue_sql()},
+  {_pixel_sql(4, _ALL_SKY_SQL, 'obs')},
+  {_pixel_sql(4, 'cat', 'px')},
+  r AS (SELECT orbit_id, pixel, a, e, i_deg, {regions} AS region FROM px WHERE pixel IN (SELECT pixel FROM obs)),
+  med AS (SELECT pixel, region, quantile_cont(a, 0.5) AS ma, quantile_cont(e, 0.5) AS me, quantile_cont(i_deg, 0.5) AS mi FROM r WHERE region IS NOT NULL GROUP BY ALL)
+SELECT orbit_id, pixel AS bundle_id, region, {_START!r}::DOUBLE AS epoch FROM r JOIN med USING (pixel, region)
+QUALIFY row_number() OVER (PARTITION BY pixel, region ORDER BY round(abs((a - ma) / ma) + abs((e - me) / me) + abs((i_deg - mi) / mi), 9), orbit_id) = 1"""
+
+
+@query(_known_sql())
+def known_test_orbits(spark, sf_dir):
+    """Test orbits of the observed pixels out of a catalogue with an orbit a customer."""
+
+    def run(batches):
+        for pdf in batches:
+            k = pdf["c_custkey"].to_numpy(float)
+            s = orbits.from_elements(1.7005 + (k % 397) * 0.01, 0.0035 + 0.001 * (k % 489), 1.0 + k % 17, 37.0 * k % 360, 53.0 * k % 360, 71.0 * k % 360)
+            yield pd.DataFrame({"orbit_id": pdf["c_custkey"].astype("int64").astype(str), "epoch": EPOCH, **{n: s[:, i] for i, n in enumerate(orbits.STATE)}})
+
+    catalogue = read(spark, sf_dir, "customer").select("c_custkey").mapInPandas(run, "orbit_id string, epoch double, " + ", ".join(f"{c} double" for c in orbits.STATE))
+    k = F.col("event_id")
+    seen = read(spark, sf_dir, "events").select((F.lit(_START) + 0.25 + (k % 100) / 100.0).alias("mjd"), ((k * 7919) % 36000 / 100.0).alias("lon"), ((k * 104729) % 18000 / 100.0 - 90 + 0.003).alias("lat"))
+    return known.known_test_orbits(catalogue, seen, 4).select("orbit_id", "bundle_id", "region", "epoch")

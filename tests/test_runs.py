@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyloom.config import Config, guard
-from skyloom.operators import orbits
+from skyloom.operators import orbits, run_analysis
 from skyloom.plans import catalog, linking, orbit_queries
 from skyloom.sources import reports
 from skyloom.streaming import nights
@@ -115,10 +115,38 @@ def test_linking_run_resumes(spark, sf, tmp_path):
     assert sorted(stages[-1].output.first()["members"]) == sorted(r["obs_id"] for r in obs.where("obs_id LIKE '7\\\\_%'").collect())
     index = reports.run_index(spark, f"file://{tmp_path}/run")
     assert index.count() == 7 and reports.load_orbit(spark, f"file://{tmp_path}/run", "7")["recover_orbits"].count() == 1
+    labels = obs.select("obs_id", F.split("obs_id", "_")[0].alias("object_id"))
+    objects, summary = run_analysis.analyze_run(spark, folder, labels, config)
+    own = objects.where("object_id = '7'").first()
+    assert own["findable"] and own["num_obs"] == 10 and all(own[f"pure_complete_{e}"] == 1 and own[f"obs_in_pure_{e}"] == 10 for e in ("iod", "od", "recovered"))
+    rows = {r["stage"]: r for r in summary.collect()}
+    assert set(rows) == set(run_analysis.LINKED) and rows["recover_orbits"]["completeness"] == 100.0 * rows["recover_orbits"]["found"] / rows["recover_orbits"]["findable"] > 0
+    with pytest.raises(ValueError):
+        run_analysis.analyze_run(spark, f"file://{tmp_path}/nothing", labels, config)
     with pytest.raises(ValueError):
         guard(spark, Config(cluster_min_obs=9), folder)
 
 
+def test_children_read_their_parents_detections(spark, sf):
+    """One orbit of two splits; its children's detections are among its own, and both depths end in one set of stages."""
+    obs = orbit_queries.synthetic_observations(spark, sf).drop("linkage_id").withColumn("night", F.floor("mjd").cast("bigint"))
+    cells = F.array(*[F.lit((1e-6 if i < 3 else 1e-12) if i == j else 0.0) for i in range(6) for j in range(6)])
+    two = orbit_queries.synthetic_orbits(spark, sf).where("orbit_id IN ('7', '9')").withColumn("covariance", cells)
+    config = Config(filter_cell_radius=2.0, filter_mahalanobis_distance=None, split_threshold=9, split_max_depth=1)
+    found = linking.neighbourhoods(two, obs, config)
+    work = {r["test_orbit_id"]: r for r in found.work.collect()}
+    assert work["7"]["split"] and work["9"]["split"] and len(work) == 20 and work["7_004"]["owner"] == "7" and work["7_004"]["depth"] == 1
+    seen = {}
+    for r in found.observations.select("test_orbit_id", "obs_id").collect():
+        seen.setdefault(r["test_orbit_id"], set()).add(r["obs_id"])
+    whole = {r["test_orbit_id"]: r["n"] for r in linking.neighbourhoods(two, obs, Config(filter_cell_radius=2.0, filter_mahalanobis_distance=None)).observations.groupBy("test_orbit_id").agg(F.count("*").alias("n")).collect()}
+    assert not {"7", "9"} & set(seen) and all(len(v) <= whole[k.split("_")[0]] for k, v in seen.items())
+    # The middle child is its parent, so it sees the same.
+    assert len(seen["7_004"]) == whole["7"]
+    with pytest.raises(ValueError):
+        linking.neighbourhoods(two, obs, Config(filter_cell_radius=2.0, filter_mahalanobis_distance=None, split_threshold=9, split_method="healpixel"))
+
+
 def test_linking_run_uses_its_cluster_algorithm(spark, sf):
     obs = orbit_queries.synthetic_observations(spark, sf).where("obs_id LIKE '7\\_%'").drop("linkage_id").withColumn("night", F.floor("mjd").cast("bigint"))
     one = orbit_queries.synthetic_orbits(spark, sf).where("orbit_id = '7'")
