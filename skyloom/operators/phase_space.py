@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from skyloom.sources.staging import small_side
 
+from .coverage import inside_any
+
 SYSTEMS = {
     "keplerian": ("a", "e", "i", "raan", "ap", "M"),
     "cartesian": ("x", "y", "z", "vx", "vy", "vz"),
@@ -149,12 +151,6 @@ def coverage_report(points: DataFrame, boxes: DataFrame, bounds: Bounds, names:
     return joined.withColumn("coverage", F.col("n_inside") / F.col("n_points"))
 
 
-def inside_any(points: DataFrame, boxes: DataFrame, names: list[str]) -> DataFrame:
-    """Points that lie in at least one box: boxes have ``name`` and ``h_name`` for centre and half width. ``boxes`` is small."""
-    b = boxes.select(*[F.col(n).alias(f"__{n}") for n in names], *[F.col(f"h_{n}") for n in names])
-    return points.join(small_side(b, 16 * len(names)), _all([F.abs(F.col(n) - F.col(f"__{n}")) <= F.col(f"h_{n}") for n in names]), "left_semi")
-
-
 def overlapping_pairs(boxes: DataFrame, names: list[str]) -> DataFrame:
     """(a, b, volume) of boxes (id, centres, half widths) that overlap in all dimensions.
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from skyloom.functions import healpix, sphere
-from skyloom.operators import analysis, phase_space, relational
+from skyloom.operators import analysis, coverage, phase_space, relational
 from skyloom.sources import observations, reports
 from skyloom.sources.observations import sky
 
@@ -158,11 +158,62 @@ def coverage_grid(spark, sf_dir):
 
 @query(f"WITH {_BOXES_SQL} SELECT count(*) AS pairs, round(avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))), 6) + 0.0 AS mean_distance FROM boxes a JOIN boxes b ON a.id < b.id")
 def mean_pair_distance(spark, sf_dir):
-    a = boxes(spark, sf_dir)
-    b = a.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "x", "y", "z")])
-    # All pairs of an orbit table is the feature; the table has a row a test orbit.
-    distance = F.sqrt(F.pow(F.col("x") - F.col("b_x"), 2) + F.pow(F.col("y") - F.col("b_y"), 2) + F.pow(F.col("z") - F.col("b_z"), 2))
-    return a.join(b, F.col("id") < F.col("b_id")).agg(F.count("*").alias("pairs"), r6(F.avg(distance)).alias("mean_distance"))
+    return coverage.mean_distance(boxes(spark, sf_dir), ["x", "y", "z"]).select("pairs", r6("mean_distance").alias("mean_distance"))
+
+
+_ORBITS_SQL = """o AS (SELECT c_custkey AS id, (c_custkey * 7919) % 1000 / 10.0 AS x, (c_custkey * 104729) % 997 / 10.0 AS y, 1.0 + c_custkey % 5 AS h_x, 2.0 + c_custkey % 3 AS h_y FROM customer),
+  smp AS (SELECT * FROM o WHERE ('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8))::BIGINT < CASE WHEN (SELECT count(*) FROM o) <= 1000 THEN 4294967296 ELSE CAST(floor(4294967296.0::DOUBLE * 1000 / (SELECT count(*) FROM o)) AS BIGINT) END)"""
+
+
+def many_boxes(spark, sf_dir):
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select(k.alias("id"), ((k * 7919) % 1000 / 10.0).alias("x"), ((k * 104729) % 997 / 10.0).alias("y"), (1.0 + k % 5).alias("h_x"), (2.0 + k % 3).alias("h_y"))
+
+
+@query(
+    f"""WITH {_ORBITS_SQL}, d AS (SELECT a.id, avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS own FROM smp a JOIN smp b ON a.id <> b.id GROUP BY 1)
+SELECT (SELECT count(*) * (count(*) - 1) // 2 FROM o) AS pairs, round(avg(own), 6) + 0.0 AS mean_distance, count(*) AS sampled, true AS within_error FROM d"""
+)
+def sampled_pair_distance(spark, sf_dir):
+    """Above a thousand orbits the mean distance comes from a sample; its error is stated, and is a few parts in a hundred at most."""
+    found = coverage.mean_distance(many_boxes(spark, sf_dir), ["x", "y"])
+    return found.select("pairs", r6("mean_distance").alias("mean_distance"), "sampled", (F.col("error") <= 0.02 * F.col("mean_distance")).alias("within_error"))
+
+
+@query(
+    f"""WITH {_ORBITS_SQL}, s AS (SELECT count(*) AS s, (SELECT count(*) FROM o) AS n FROM smp),
+  p AS (SELECT (least(a.x + a.h_x, b.x + b.h_x) - greatest(a.x - a.h_x, b.x - b.h_x)) * (least(a.y + a.h_y, b.y + b.h_y) - greatest(a.y - a.h_y, b.y - b.h_y)) AS v
+    FROM smp a JOIN smp b ON a.id < b.id AND least(a.x + a.h_x, b.x + b.h_x) > greatest(a.x - a.h_x, b.x - b.h_x) AND least(a.y + a.h_y, b.y + b.h_y) > greatest(a.y - a.h_y, b.y - b.h_y))
+SELECT round(count(*) * any_value(f), 3) + 0.0 AS pairs, round(sum(v) * any_value(f), 3) + 0.0 AS volume, any_value(s) AS sampled FROM p, (SELECT s, CASE WHEN n <= 1000 THEN 1.0 ELSE n * (n - 1) / (s * (s - 1)) END AS f FROM s)"""
+)
+def sampled_overlap(spark, sf_dir):
+    found = coverage.overlap_estimate(many_boxes(spark, sf_dir), ["x", "y"])
+    return found.select((F.round("pairs", 3) + 0.0).alias("pairs"), (F.round("volume", 3) + 0.0).alias("volume"), "sampled")
+
+
+_COVER = {"x": (0.0, 50.0), "y": (900.0, 2100.0)}
+
+
+@query(
+    f"""WITH {_NATION_BOXES_SQL}, c AS (SELECT row_number() OVER () AS id, greatest(x - h_x, 0.0) AS lx, least(x + h_x, 50.0) AS ux, greatest(y - h_y, 900.0) AS ly, least(y + h_y, 2100.0) AS uy FROM nb),
+  k AS (SELECT * FROM c WHERE lx < ux AND ly < uy),
+  ex AS (SELECT e, lead(e) OVER (ORDER BY e) AS f FROM (SELECT lx AS e FROM k UNION SELECT ux FROM k)), ey AS (SELECT e, lead(e) OVER (ORDER BY e) AS f FROM (SELECT ly AS e FROM k UNION SELECT uy FROM k)),
+  exact AS (SELECT sum((ex.f - ex.e) * (ey.f - ey.e)) AS v FROM ex, ey WHERE EXISTS (SELECT 1 FROM k WHERE lx <= ex.e AND ux >= ex.f AND ly <= ey.e AND uy >= ey.f)),
+  g AS (SELECT 0 + (i % 20 + 0.5) * 2.5 AS px, 900 + (i // 20 + 0.5) * 60 AS py FROM range(400) t(i)),
+  grid AS (SELECT count(*) * 2.5 * 60 AS v FROM g WHERE EXISTS (SELECT 1 FROM nb WHERE abs(px - x) <= h_x AND abs(py - y) <= h_y)),
+  pts AS (SELECT 50.0 * (i * {math.sqrt(2)!r} - floor(i * {math.sqrt(2)!r})) AS px, 900.0 + 1200.0 * (i * {math.sqrt(3)!r} - floor(i * {math.sqrt(3)!r})) AS py FROM range(20000) t(i)),
+  mc AS (SELECT 60000.0 * count(*) FILTER (EXISTS (SELECT 1 FROM nb WHERE abs(px - x) <= h_x AND abs(py - y) <= h_y)) / 20000 AS v FROM pts),
+  fast AS (SELECT (SELECT sum((ux - lx) * (uy - ly)) FROM k) - coalesce(sum((least(a.ux, b.ux) - greatest(a.lx, b.lx)) * (least(a.uy, b.uy) - greatest(a.ly, b.ly))), 0) AS v
+    FROM k a JOIN k b ON a.id < b.id AND least(a.ux, b.ux) > greatest(a.lx, b.lx) AND least(a.uy, b.uy) > greatest(a.ly, b.ly))
+SELECT 'exact' AS method, round(v, 4) + 0.0 AS volume FROM exact UNION ALL SELECT 'grid', round(v, 4) + 0.0 FROM grid UNION ALL SELECT 'monte-carlo', round(v, 4) + 0.0 FROM mc UNION ALL SELECT 'fast', round(v, 4) + 0.0 FROM fast"""
+)
+def coverage_methods(spark, sf_dir):
+    """What the nations' boxes cover, by four methods."""
+    made = nation_boxes(spark, sf_dir).withColumn("id", F.monotonically_increasing_id())
+    points = phase_space.sequence_points(spark, 20_000, _COVER)
+    found = {"exact": coverage.exact_volume(made, _COVER), "grid": coverage.grid_volume(made, _COVER), "monte-carlo": coverage.sampled_volume(points, made, _COVER), "fast": coverage.fast_volume(made, _COVER)}
+    rows = [df.select(F.lit(name).alias("method"), (F.round("volume", 4) + 0.0).alias("volume")) for name, df in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 @query(
