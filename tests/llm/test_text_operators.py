@@ -116,6 +116,34 @@ def test_fingerprint_finds_a_tone():
     assert np.bincount(codes >> 16).argmax() == round(1000 * 192 / 8000)
 
 
+def plain_fingerprints(samples, frame=192, hop=96, peaks=3, ahead=4):
+    """Frame by frame: magnitudes, local maxima, the highest of them, pairs with the next frames."""
+    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
+    window = np.hanning(frame).astype(np.float32)
+    tops = []
+    for at in range(0, max(len(x), frame) - frame + 1, hop):
+        cut = np.pad(x[at : at + frame], (0, max(0, frame - len(x))))
+        mag = [int(v) for v in np.rint(np.abs(np.fft.rfft(cut * window)) * 16)]
+        local = [k for k in range(1, len(mag) - 1) if mag[k] > mag[k - 1] and mag[k] >= mag[k + 1]]
+        tops.append(sorted(local, key=lambda k: (-mag[k], k))[:peaks])
+    return sorted((i, (a << 16) | (b << 8) | dt) for i, own in enumerate(tops) for dt in range(1, ahead + 1) if i + dt < len(tops) for a in own for b in tops[i + dt])
+
+
+def test_fingerprints_equal_plain_loops():
+    r = np.random.default_rng(5)
+    samples = [media.payload_of(t)[1] for t in ("", "a", "word " * 500, "é" * 1000, "tick tock\n" * 300)] + [bytes(r.integers(0, 256, 192 * n, dtype=np.uint8)) for n in (1, 2, 3, 17, 60)]
+    for payload in samples:
+        times, codes = media.fingerprints(payload)
+        assert list(zip(times.tolist(), codes.tolist())) == plain_fingerprints(payload)
+        short = media.fingerprints(payload, media.Spectrum(batch=2))
+        assert (short[0] == times).all() and (short[1] == codes).all()
+    # The transform itself, by its sum.
+    x = r.normal(size=192)
+    n = np.arange(192)
+    plain = [abs(sum(x * np.exp(-2j * np.pi * k * n / 192))) for k in range(97)]
+    assert np.allclose(np.abs(np.fft.rfft(x)), plain)
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     same = "<p>same é</p>"
