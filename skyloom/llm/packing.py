@@ -340,25 +340,25 @@ def _pack(docs: DataFrame, path: str, end_id: int, window: int, key: str, text:
     placed = placed.select("doc_id", "source", "queue", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]):
+        kinds = [pa.int64()] * 7 + [pa.string()]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+        span, crc = rounds.span, zlib.crc32
         for batch in batches:
-            rows = ([], [], [], [], [], [], [], [])
+            rows = []
             for doc, name, q, at, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4")
+                raw = memoryview(np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4").tobytes())
                 w, done = rounds.window_of(q, at), 0
                 while done < n:
-                    first, after, place = rounds.span(w, q)
+                    first, after, place = span(w, q)
                     take = min(n - done, after - at - done)
                     if take > 0:
                         # A window holds what its queues send, one after another.
-                        row = (doc, done, take, zlib.crc32(ids[done : done + take].tobytes()), n, w, place + at + done - first, name)
-                        for column, value in zip(rows, row, strict=True):
-                            column.append(value)
+                        rows.append((doc, done, take, crc(raw[4 * done : 4 * (done + take)]), n, w, place + at + done - first, name))
                         done += take
                         w += 1
                     else:
                         w = rounds.window_of(q, at + done)
-            kinds = [pa.int64()] * 7 + [pa.string()]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return placed.mapInArrow(run, PIECE_SCHEMA)
