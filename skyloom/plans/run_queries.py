@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from skyloom.config import Config
-from skyloom.operators import known, orbits, run_analysis, velocity_tiles
+from skyloom.operators import known, observers, orbits, run_analysis, velocity_tiles
 from skyloom.sources.observations import sky
 
 from . import linking
@@ -179,3 +179,42 @@ def known_test_orbits(spark, sf_dir):
     k = F.col("event_id")
     seen = read(spark, sf_dir, "events").select((F.lit(_START) + 0.25 + (k % 100) / 100.0).alias("mjd"), ((k * 7919) % 36000 / 100.0).alias("lon"), ((k * 104729) % 18000 / 100.0 - 90 + 0.003).alias("lat"))
     return known.known_test_orbits(catalogue, seen, 4).select("orbit_id", "bundle_id", "region", "epoch")
+
+
+# Observers
+
+
+def _observers_sql() -> str:
+    mu, a, e, inc, om, w, m0 = repr(orbits.MU), 1.00000011, 0.01671022, 0.00005, -11.26064, 114.20783, 357.51716
+    out = [
+        f"""st AS (SELECT DISTINCT code, "days", "days" + nanos_state / 86400e9 AS mjd FROM sky)""",
+        f"k0 AS (SELECT code, mjd, radians({m0}) + sqrt({mu} / pow({a}::DOUBLE, 3)) * (mjd - 51544.5) AS m, radians({m0}) + sqrt({mu} / pow({a}::DOUBLE, 3)) * (mjd - 51544.5) AS big FROM st)",
+    ]
+    for i in range(8):
+        out.append(f"k{i + 1} AS (SELECT code, mjd, m, big - (big - {e} * sin(big) - m) / (1 - {e} * cos(big)) AS big FROM k{i})")
+    o, p, q = f"radians({om})", f"radians({w})", f"radians({inc})"
+    out.append(f"pl AS (SELECT code, mjd, {a}::DOUBLE * (cos(big) - {e}) AS u, {a}::DOUBLE * sqrt(1 - {e}::DOUBLE * {e}) * sin(big) AS v FROM k8)")
+    out.append(f"""ea AS (SELECT code, mjd, (cos({o}) * cos({p}) - sin({o}) * sin({p}) * cos({q})) * u + (-cos({o}) * sin({p}) - sin({o}) * cos({p}) * cos({q})) * v AS ex,
+    (sin({o}) * cos({p}) + cos({o}) * sin({p}) * cos({q})) * u + (-sin({o}) * sin({p}) + cos({o}) * cos({p}) * cos({q})) * v AS ey, sin({p}) * sin({q}) * u + cos({p}) * sin({q}) * v AS ez FROM pl)""")
+    f = repr(1 - observers.FLATTENING)
+    out.append(f"""ob AS (SELECT concat('X', CAST(n_nationkey AS VARCHAR)) AS code, n_nationkey * 14.0::DOUBLE AS lon, radians(n_nationkey * 30.0::DOUBLE - 40) AS phi, n_nationkey * 700.0::DOUBLE / 6378137.0 AS h FROM nation WHERE n_nationkey < 3),
+  pc AS (SELECT code, lon, cos(atan2({f} * sin(phi), cos(phi))) + h * cos(phi) AS rc, {f} * sin(atan2({f} * sin(phi), cos(phi))) + h * sin(phi) AS rs FROM ob),
+  lt AS (SELECT ea.*, coalesce(rc, 0) * {observers.RADIUS!r} AS rc, coalesce(rs, 0) * {observers.RADIUS!r} AS rs, radians(280.46061837::DOUBLE + 0.98564736629::DOUBLE * (mjd - 51544.5) + 360.0 * (mjd - 51544.5 - floor(mjd - 51544.5)) + 0.000387933::DOUBLE * pow((mjd - 51544.5) / 36525.0, 2) + coalesce(lon, 0)) AS th
+    FROM ea LEFT JOIN pc USING (code))""")
+    return ",\n  ".join(out)
+
+
+_C, _S = repr(float(np.cos(np.radians(observers.OBLIQUITY)))), repr(float(np.sin(np.radians(observers.OBLIQUITY))))
+
+
+@query(
+    f"{SKY}, {_observers_sql()} SELECT code, round(mjd, 6) AS mjd, round(ex + rc * cos(th), 9) + 0.0 AS ox, round(ey + rc * sin(th) * {_C} + rs * {_S}, 9) + 0.0 AS oy, round(ez + rs * {_C} - rc * sin(th) * {_S}, 9) + 0.0 AS oz FROM lt"
+)
+def observer_states(spark, sf_dir):
+    """Heliocentric places of the observers of all states, from their codes: three observatories, and one code that is none and so the Earth's centre."""
+    k = F.col("n_nationkey")
+    rho_cos, rho_sin = observers.parallax_constants(k * 30.0 - 40.0, k * 700.0)
+    places = read(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.concat(F.lit("X"), k.cast("string")).alias("code"), (k * 14.0).alias("lon"), rho_cos.alias("rho_cos"), rho_sin.alias("rho_sin"))
+    states = sky(spark, sf_dir).select("code", (F.col("days") + F.col("nanos_state") / 86400e9).alias("mjd")).distinct()
+    found = observers.observer_states(states, places)
+    return found.select("code", F.round("mjd", 6).alias("mjd"), *[(F.round(c, 9) + 0.0).alias(c) for c in ("ox", "oy", "oz")])

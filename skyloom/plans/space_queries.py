@@ -320,6 +320,23 @@ def ades_lines(spark, sf_dir):
     return reports.ades_body(rows).select("line")
 
 
+@query(
+    f"""{SKY} SELECT concat_ws('|', 'T' || id, CASE WHEN user_id % 3 = 0 THEN 'PHO' ELSE 'CCD' END, code, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST((epoch_us(ts) % 1000000) // 1000 AS VARCHAR), 3, '0') || 'Z',
+  CAST(CAST(round(ra, 6) AS DECIMAL(18, 6)) AS VARCHAR), CAST(CAST(round(dec, 6) AS DECIMAL(18, 6)) AS VARCHAR), CAST(CAST(0.25 * (event_id % 4) AS DECIMAL(18, 6)) AS VARCHAR), CASE WHEN event_id % 5 = 0 THEN '' ELSE '0.125000' END,
+  CAST(CAST(round(value, 2) AS DECIMAL(18, 2)) AS VARCHAR), CASE WHEN event_id % 7 = 0 THEN '' ELSE CAST(CAST(0.25 * (event_id % 4) AS DECIMAL(18, 2)) AS VARCHAR) END, '1.500', substr('ugrizy', 1 + user_id % 6, 1), CASE WHEN user_id % 2 = 0 THEN 'Gaia2' ELSE '' END, 'seen') AS line FROM sky"""
+)
+def ades_full_lines(spark, sf_dir):
+    """Report lines with uncertainties, band, catalogue and remarks; what is missing is blank."""
+    user, event = F.col("user_id"), F.col("event_id")
+    quarter = 0.25 * (event % 4)
+    rows = sky(spark, sf_dir).select(
+        F.concat(F.lit("T"), "id").alias("trkSub"), F.when(user % 3 == 0, "PHO").otherwise("CCD").alias("mode"), F.col("code").alias("stn"), F.col("ts").alias("time"), "ra", "dec", F.col("value").alias("mag"), quarter.alias("rmsRA"),
+        F.when(event % 5 == 0, float("nan")).otherwise(0.125).alias("rmsDec"), F.when(event % 7 != 0, quarter).alias("rmsMag"), F.lit(1.5).alias("rmsTime"),
+        F.substring(F.lit("ugrizy"), (1 + user % 6).cast("int"), F.lit(1)).alias("band"), F.when(user % 2 == 0, "Gaia2").alias("astCat"), F.lit("seen").alias("remarks"),
+    )
+    return reports.ades_body(rows).select("line")
+
+
 @query(
     f"""{SKY} SELECT id, "days" AS night, round(ra, 6) + 0.0 AS lon, round(dec, 6) + 0.0 AS lat, round(pow(0.1::DOUBLE + user_id % 5, 2), 6) + 0.0 AS lon_var, round(0.01::DOUBLE * (0.1::DOUBLE + user_id % 5), 6) + 0.0 AS cross_var, state_id FROM sky"""
 )

@@ -8,9 +8,9 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The columns of a report line and their decimals where they are numbers.
-COLUMNS = ("permID", "provID", "trkSub", "mode", "stn", "obsTime", "ra", "dec", "mag")
-DECIMALS = {"ra": 6, "dec": 6, "mag": 2}
+#: The columns of a report line in order; those after the time stand where the observations have them. Numbers have so many decimals.
+IDS, VALUES = ("permID", "provID", "trkSub"), ("ra", "dec", "rmsRA", "rmsDec", "mag", "rmsMag", "rmsTime", "uncTime", "band", "astCat", "remarks")
+DECIMALS = {"ra": 6, "dec": 6, "rmsRA": 6, "rmsDec": 6, "mag": 2, "rmsMag": 2, "rmsTime": 3, "uncTime": 3}
 
 
 def ades_header(observatory: str, submitter: str, telescope: dict[str, str] | None = None, comments: list[str] | None = None) -> list[str]:
@@ -23,23 +23,26 @@ def ades_header(observatory: str, submitter: str, telescope: dict[str, str] | No
     return out
 
 
-def ades_body(df: DataFrame) -> DataFrame:
-    """(time, line) of each observation: one of permID, provID and trkSub is needed; missing numbers are blank."""
-    names = [n for n in ("permID", "provID", "trkSub") if n in df.columns]
+def ades_columns(df: DataFrame) -> list[str]:
+    """The columns of the observations' report: one of permID, provID and trkSub is needed."""
+    names = [n for n in IDS if n in df.columns]
     if not names:
         raise ValueError("one of permID, provID and trkSub is needed")
-    number = lambda c, d: F.coalesce(F.when(~F.isnan(c), F.round(c, d).cast(f"decimal(12,{d})").cast("string")), F.lit(""))
-    stamp = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    parts = [F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names] + [F.lit("CCD"), F.col("stn"), stamp]
-    parts += [number(n, DECIMALS[n]) for n in ("ra", "dec", "mag") if n in df.columns]
+    return [*names, "mode", "stn", "obsTime", *(n for n in VALUES if n in df.columns)]
+
+
+def ades_body(df: DataFrame, decimals: dict[str, int] = DECIMALS) -> DataFrame:
+    """(time, line) of each observation; missing values are blank, and a mode that is not given is a CCD."""
+    number = lambda c, d: F.coalesce(F.when(~F.isnan(c), F.round(c, d).cast(f"decimal(18,{d})").cast("string")), F.lit(""))
+    known = {"obsTime": F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "mode": F.col("mode") if "mode" in df.columns else F.lit("CCD")}
+    parts = [known[n] if n in known else number(n, decimals[n]) if n in decimals else F.coalesce(F.col(n).cast("string"), F.lit("")) for n in ades_columns(df)]
     return df.select("time", F.concat_ws("|", *parts).alias("line"))
 
 
 def write_ades(df: DataFrame, path: str, header: list[str]) -> None:
     """One text file: header, column names, and body lines in order of time. A report is one file by its format."""
     spark = df.sparkSession
-    names = [n for n in ("permID", "provID", "trkSub") if n in df.columns] + ["mode", "stn", "obsTime"] + [n for n in ("ra", "dec", "mag") if n in df.columns]
-    top = spark.createDataFrame([(i - 1000, x) for i, x in enumerate([*header, "|".join(names)])], "place long, line string")
+    top = spark.createDataFrame([(i - 1000, x) for i, x in enumerate([*header, "|".join(ades_columns(df))])], "place long, line string")
     body = ades_body(df).select(F.unix_micros(F.col("time").cast("timestamp")).alias("place"), "line")
     top.withColumn("part", F.lit(0)).unionByName(body.withColumn("part", F.lit(1))).orderBy("part", "place", "line").coalesce(1).select("line").write.mode("overwrite").text(path)
 
@@ -67,10 +70,26 @@ def run_index(spark: SparkSession, run_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "orbit_id string, child_of string, stage string, path string, rows long")
 
 
-def load_orbit(spark: SparkSession, run_dir: str, orbit_id: str) -> dict[str, DataFrame | None]:
-    """The stage outputs of one orbit; None where a stage has none."""
+def load_orbit(spark: SparkSession, run_dir: str, orbit_id: str) -> dict[str, DataFrame]:
+    """The stage outputs of one orbit; an empty table where a stage has none."""
     index = {r["stage"]: r["path"] for r in run_index(spark, run_dir).where(F.col("orbit_id") == orbit_id).collect()}
-    return {s: spark.read.parquet(index[s]) if s in index else None for s in STAGES}
+    return {s: spark.read.parquet(index[s]) if s in index else spark.createDataFrame([], "test_orbit_id string") for s in STAGES}
+
+
+def load_run(spark: SparkSession, folder: str, test_orbit_id: str | None = None) -> dict[str, DataFrame]:
+    """The stage outputs of a run of many test orbits, of all of them or of one, with members and residuals as tables of their own; empty where a stage has none."""
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = {}
+    for s in STAGES:
+        done = fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{s}/_SUCCESS"))
+        out[s] = spark.read.parquet(f"{folder}/{s}") if done else spark.createDataFrame([], "test_orbit_id string")
+    for s in STAGES[4:]:
+        if "residuals" in out[s].columns:
+            out[f"{s}_members"] = out[s].select("test_orbit_id", "orbit_id", F.explode("residuals").alias("r")).select("test_orbit_id", "orbit_id", "r.*")
+        else:
+            out[f"{s}_members"] = spark.createDataFrame([], "test_orbit_id string, orbit_id string, obs_id string, d_lon double, d_lat double, chi2 double, outlier boolean")
+    return out if test_orbit_id is None else {s: df.where(F.col("test_orbit_id") == test_orbit_id) for s, df in out.items()}
 
 
 def plot_rows(observations: DataFrame, labels: DataFrame, x: str, y: str, unlabelled: bool = True) -> DataFrame:

@@ -230,3 +230,21 @@ def test_sky_index_finds_every_near_pair(spark, radius):
     found = pairs.where(distance <= radius).select("id", "pid").collect()
     assert len(found) == len(set(found)) and set(found) == set(every)
     assert radius > 5 or pairs.count() < 0.3 * len(rows) ** 2
+
+
+def test_observers_on_the_turning_earth(spark):
+    from skyloom.operators import observers
+
+    rows = [("equator", 0.0, 0.0, 0.0), ("pole", 0.0, 90.0, 0.0), ("high", 90.0, 0.0, 6378137.0)]
+    rc, rs = observers.parallax_constants(F.col("lat"), F.col("h"))
+    places = spark.createDataFrame(rows, "code string, lon double, lat double, h double").select("code", "lon", rc.alias("rho_cos"), rs.alias("rho_sin"))
+    got = {r["code"]: r for r in places.collect()}
+    assert np.isclose([got["equator"]["rho_cos"], got["equator"]["rho_sin"], got["high"]["rho_cos"]], [1, 0, 2]).all()
+    assert abs(got["pole"]["rho_cos"]) < 1e-12 and np.isclose(got["pole"]["rho_sin"], 1 - observers.FLATTENING)
+    day = spark.createDataFrame([(51544.5,), (51544.5 + 0.99726956633,), (51545.5,)], "mjd double")
+    turn = [r[0] for r in day.select(observers.sidereal(F.col("mjd"))).collect()]
+    assert np.allclose(turn, [280.46061837, 280.46061837, 281.44626574], atol=1e-5)
+    seen = observers.observer_states(spark.createDataFrame([("equator", 60000.0), ("pole", 60000.0), ("500", 60000.0)], "code string, mjd double"), places).collect()
+    at = {r["code"]: np.array([r["ox"], r["oy"], r["oz"]]) for r in seen}
+    assert np.isclose(np.linalg.norm(at["equator"] - at["500"]), observers.RADIUS) and np.isclose(np.linalg.norm(at["pole"] - at["500"]), observers.RADIUS * (1 - observers.FLATTENING))
+    assert 0.98 < np.linalg.norm(at["500"]) < 1.02
