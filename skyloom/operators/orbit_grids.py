@@ -105,3 +105,12 @@ def healpixel_orbits(
     if min_q is not None:
         made = made.where(q >= min_q)
     return made if max_q is None else made.where(q <= max_q)
+
+
+def write_by_pixel(orbits: DataFrame, path: str) -> None:
+    """Generated orbits as a table with a folder a pixel, so that a run over part of the sky reads its pixels alone.
+
+    Rows are dealt by pixel and a hash of their names, so that a pixel with most of the orbits is several tasks' work and files.
+    """
+    dealt = orbits.repartition("bundle_id", F.pmod(F.xxhash64("orbit_id"), F.lit(8)))
+    dealt.withColumn("pixel", F.col("bundle_id")).write.mode("overwrite").partitionBy("pixel").parquet(path)

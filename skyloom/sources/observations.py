@@ -60,7 +60,7 @@ def from_detections(detections: DataFrame, exposures: DataFrame, longitude: Colu
     return joined.select(
         "id", "exposure_id", night.alias("night"), _spherical(F.col("ra"), F.col("dec"), days, nanos, covariance, F.col("observatory_code")).alias("coordinates"),
         F.struct("mag", "mag_sigma", "filter").alias("photometry"), timecols.state_hash(days, nanos, F.col("observatory_code")).alias("state_id"),
-    ).orderBy("coordinates.time.days", "coordinates.time.nanos", "coordinates.origin.code")
+    )
 
 
 def from_source_catalog(df: DataFrame, longitude: Column | None = None) -> DataFrame:
@@ -71,9 +71,9 @@ def from_source_catalog(df: DataFrame, longitude: Column | None = None) -> DataF
 
 
 def observers(df: DataFrame) -> DataFrame:
-    """Distinct states (state_id, code, days, nanos) in order of state_id; only the time and code leaves are read."""
+    """Distinct states (state_id, code, days, nanos), in no order; only the time and code leaves are read."""
     at = F.col("coordinates")
-    return df.select("state_id", at["origin"]["code"].alias("code"), at["time"]["days"].alias("days"), at["time"]["nanos"].alias("nanos")).distinct().orderBy("state_id")
+    return df.select("state_id", at["origin"]["code"].alias("code"), at["time"]["days"].alias("days"), at["time"]["nanos"].alias("nanos")).distinct()
 
 
 def time_range(df: DataFrame) -> DataFrame:

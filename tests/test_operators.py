@@ -248,3 +248,16 @@ def test_observers_on_the_turning_earth(spark):
     at = {r["code"]: np.array([r["ox"], r["oy"], r["oz"]]) for r in seen}
     assert np.isclose(np.linalg.norm(at["equator"] - at["500"]), observers.RADIUS) and np.isclose(np.linalg.norm(at["pole"] - at["500"]), observers.RADIUS * (1 - observers.FLATTENING))
     assert 0.98 < np.linalg.norm(at["500"]) < 1.02
+
+
+def test_generated_orbits_lie_by_pixel(spark, tmp_path):
+    from skyloom.operators import orbit_grids
+
+    pixels = spark.createDataFrame([(i,) for i in (0, 3, 11)], "pixel long")
+    made = orbit_grids.healpixel_orbits(pixels, 1, [1.5, 2.5, 3.5], [0.0, 0.2, 0.4], [-180.0, 0.0, 180.0], [-60.0, 0.0, 60.0], 60310.0)
+    orbit_grids.write_by_pixel(made, f"file://{tmp_path}/orbits")
+    back = spark.read.parquet(f"file://{tmp_path}/orbits")
+    assert back.count() == made.count() == 3 * 16
+    one = back.where("pixel = 3")
+    assert one.count() == 16 and {r["bundle_id"] for r in one.collect()} == {3}
+    assert "PartitionFilters: [isnotnull(pixel" in one._jdf.queryExecution().toString()
