@@ -63,7 +63,7 @@ class WordIds:
     #: 1 for ASCII letters, 2 for bytes of a tail, else 0.
     _KINDS = np.array([1 if bytes([c]).isalpha() else 2 if c in b"*$%&#!,.;|?:" else 0 for c in range(256)], np.uint8)
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000, most_parts: int = 600_000, most_long: int = 16 << 20):
+    def __init__(self, path: str, end_id: int, most: int = 600_000, most_parts: int = 450_000, most_long: int = 8 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is its share
@@ -73,12 +73,15 @@ class WordIds:
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         self.width = np.dtype(self.kind).itemsize
         self.end, self.most = np.array([end_id], self.kind).tobytes(), most
-        #: Short words are bounded by their number, words of over 64 bytes by their bytes.
+        #: Short words are bounded by their number, words of over 64 bytes by their bytes. What is remembered grows old
+        #: when it reaches the bound, and what is not asked for before the next time is forgotten: twice the bounds at most.
         self.most_parts, self.most_long, self.long = most_parts, most_long, 0
         self.ends_word = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.old_parts: dict[bytes, bytes] = {}
         self.hasher = WordHasher(2, lower=False)
 
     @staticmethod
@@ -119,23 +122,28 @@ class WordIds:
         if not words:
             return
         split = list(self._split(words))
-        names = list(dict.fromkeys(stem for _, stem, _, plain in split if plain and stem not in self.parts))
+        parts, old = self.parts, self.old_parts
+        for _, stem, _, _ in split:
+            if stem not in parts and (found := old.get(stem)) is not None:
+                parts[stem] = found
+        names = list(dict.fromkeys(stem for _, stem, _, plain in split if plain and stem not in parts))
         for i in range(0, len(names), 2000):
             ids = np.array(self.tok.encode_batch_fast([b" ".join(names[i : i + 2000]).decode()], add_special_tokens=False)[0].ids, np.int64)
             ends = (self.width * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
             raw, at = ids.astype(self.kind).tobytes(), 0
             for name, end in zip(names[i : i + 2000], ends, strict=True):
-                self.parts[name] = raw[at:end]
+                parts[name] = raw[at:end]
                 at = end
+        known, part = self.words, parts.get
         for word, stem, tail, _ in split:
-            found = self.parts.get(stem)
+            found = part(stem)
             if found is None:
-                found = self.parts[stem] = self._alone(stem)
+                found = parts[stem] = self._alone(stem)
             if tail:
-                if (more := self.parts.get(tail)) is None:
-                    more = self.parts[tail] = self._alone(tail)
+                if (more := part(tail)) is None:
+                    more = parts[tail] = self._alone(tail)
                 found += more
-            self.words[word] = found
+            known[word] = found
             if len(word) > 64:
                 self.long += len(word) + len(found)
 
@@ -152,12 +160,21 @@ class WordIds:
         some = order[new]
         words = [joined[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
         if len(self.words) > self.most or self.long > self.most_long:
-            self.words.clear()
-        if len(self.parts) > self.most_parts or self.long > self.most_long:
-            self.parts.clear()
-        if not self.words and not self.parts:
-            self.long = 0
-        self.learn([w for w in words if w not in self.words])
+            self.old_words, self.words, self.long = self.words, {}, 0
+            self.old_parts, self.parts = self.parts, {}
+        elif len(self.parts) > self.most_parts:
+            self.old_parts, self.parts = self.parts, {}
+        known, old, new = self.words, self.old_words, []
+        for w in words:
+            if w not in known:
+                found = old.get(w)
+                if found is None:
+                    new.append(w)
+                else:
+                    known[w] = found
+                    if len(w) > 64:
+                        self.long += len(w) + len(found)
+        self.learn(new)
         ids = list(map(self.words.__getitem__, words))
         which, bounds = which.tolist(), first.tolist()
         return [b"".join(map(ids.__getitem__, which[a:b])) + self.end for a, b in zip(bounds, bounds[1:], strict=False)]
