@@ -52,7 +52,8 @@ def covering(lon: Column, lat: Column, radius: float, height: float) -> Column:
 
 def near(points: DataFrame, places: DataFrame, on: list[str], radius: float, lon: str = "lon", lat: str = "lat", plon: str = "plon", plat: str = "plat") -> DataFrame:
     """Pairs of ``points`` and ``places`` that agree in ``on`` and may lie within ``radius`` degrees: all that do, and few others."""
-    height = min(max(radius, 1e-4), 90.0)
+    # Cells of four radii: a disc touches two or three on average, and few pairs in a cell are too far apart.
+    height = min(max(4 * radius, 1e-4), 90.0)
     left = points.withColumn("__cell", cell(F.col(lon), F.col(lat), height))
     right = places.withColumn("__cell", F.explode(covering(F.col(plon), F.col(plat), radius, height)))
     left, right = (df.withColumns({"__zone": F.col("__cell.zone"), "__bin": F.col("__cell.bin")}).drop("__cell") for df in (left, right))
