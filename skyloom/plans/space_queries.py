@@ -158,7 +158,7 @@ def coverage_grid(spark, sf_dir):
 
 @query(f"WITH {_BOXES_SQL} SELECT count(*) AS pairs, round(avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))), 6) + 0.0 AS mean_distance FROM boxes a JOIN boxes b ON a.id < b.id")
 def mean_pair_distance(spark, sf_dir):
-    return coverage.mean_distance(boxes(spark, sf_dir), ["x", "y", "z"]).select("pairs", r6("mean_distance").alias("mean_distance"))
+    return coverage.mean_distance_of_all(boxes(spark, sf_dir), ["x", "y", "z"]).select("pairs", r6("mean_distance").alias("mean_distance"))
 
 
 _ORBITS_SQL = """o AS (SELECT c_custkey AS id, (c_custkey * 7919) % 1000 / 10.0 AS x, (c_custkey * 104729) % 997 / 10.0 AS y, 1.0 + c_custkey % 5 AS h_x, 2.0 + c_custkey % 3 AS h_y FROM customer),
