@@ -242,9 +242,9 @@ def nearest_to_median(spark, sf_dir):
 SELECT orbit_id, CAST(arg_min(s_suppkey, (chi2, s_suppkey)) AS BIGINT) AS reference_id, round(min(chi2), 6) + 0.0 AS chi2 FROM j GROUP BY 1"""
 )
 def nearest_reference(spark, sf_dir):
-    orbits = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("orbit_id"), F.col("c_nationkey").alias("pixel"), "c_acctbal")
-    references = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("reference_id"), F.col("s_nationkey").alias("pixel"), "s_acctbal")
-    near = phase_space.nearest_reference(orbits, references, "pixel", F.pow((F.col("c_acctbal") - F.col("s_acctbal")) / 100, 2))
+    orbits = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("orbit_id"), F.col("c_nationkey").alias("pixel"), F.col("c_acctbal").alias("at"))
+    references = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("reference_id"), F.col("s_nationkey").alias("pixel"), F.col("s_acctbal").alias("at"))
+    near = phase_space.nearest_reference(orbits, references, "pixel", "at", 100.0)
     return near.select("orbit_id", "reference_id", r6(F.round("chi2", 9)).alias("chi2"))
 
 

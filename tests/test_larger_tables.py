@@ -27,3 +27,34 @@ def test_mean_pair_distance_of_over_a_thousand_orbits(spark, tmp_path):
     want = [math.dist(a, b) for i, a in enumerate(at) for b in at[:i]]
     got = mean_pair_distance(spark, str(tmp_path)).first()
     assert tuple(got) == (len(want), round(sum(want) / len(want), 6))
+
+
+@pytest.mark.parametrize("cuts", [1, 7, 4096])
+def test_nearest_reference_compares_an_orbit_with_its_bin_alone(spark, tmp_path, monkeypatch, cuts):
+    import duckdb
+
+    from skyloom.operators import phase_space
+    from skyloom.plans.sky_queries import ORACLES
+    from skyloom.plans.space_queries import nearest_reference
+
+    monkeypatch.setattr(phase_space, "NEAR", 3)
+    monkeypatch.setattr(phase_space, "MOST_CUTS", cuts)
+    r = random.Random(cuts)
+    value = lambda: None if r.random() < 0.02 else r.choice([r.randrange(-40, 90) / 10, r.uniform(-4, 9), 3.0 + r.random() * 1e-4, r.gauss(0, 1000)])
+    customers = [(i, r.choice([None, 0, 1, 2, 3]), value()) for i in range(400)]
+    suppliers = [(i, r.choice([None, 0, 1, 1, 2]), value()) for i in range(300)] + [(900 + i, 4, None) for i in range(2)] + [(i + 910, 1, 2.5) for i in range(80)]
+    customers += [(1000, 4, 1.0), (1001, 1, 1e6), (1002, 1, -1e6)]
+    spark.createDataFrame(customers, "c_custkey bigint, c_nationkey int, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey bigint, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    sql = ORACLES["nearest_reference"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet/*.parquet'").replace("JOIN supplier", f"JOIN '{tmp_path}/supplier.parquet/*.parquet'")
+    found = nearest_reference(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(duckdb.connect().execute(sql).fetchall())
+
+
+def test_nearest_reference_has_no_row_a_pair(spark):
+    from skyloom.operators import phase_space
+
+    rows = spark.range(3000).selectExpr("id AS orbit_id", "id % 2 AS pixel", "cast(id * 7919 % 3001 AS double) AS at")
+    found = phase_space.nearest_reference(rows, rows.withColumnRenamed("orbit_id", "reference_id"), "pixel", "at")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and found.where("orbit_id = reference_id AND chi2 = 0").count() == 3000
