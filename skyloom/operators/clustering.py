@@ -6,8 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import velocity_tiles
-from .components import label_components
+from . import density, velocity_tiles
 from .relational import set_hash
 from .velocity_tiles import Validity
 
@@ -65,22 +64,11 @@ def hotspot_labels(points: DataFrame, eps: float, min_obs: int, keys: list[str]
 def dbscan(points: DataFrame, eps: float, min_samples: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """(id, label, core) of clustered points: density clustering within each group of ``keys``.
 
-    Neighbours within eps come from an equi-join on cells of that size, each point being offered to the nine
-    cells around it. A core has ``min_samples`` neighbours, itself included; cores that are neighbours
-    share a label, the least id; another point takes the least label of its neighbouring cores; noise goes.
+    A core has ``min_samples`` neighbours within eps, itself included; cores that are neighbours share a label, the least
+    id; another point takes the least label of its neighbouring cores; noise goes. Blocks of cells, not pairs of points, are
+    what is shuffled and stored.
     """
-    at = points.select("id", *keys, "xx", "yy", F.floor(F.col("xx") / eps).cast("bigint").alias("cx"), F.floor(F.col("yy") / eps).cast("bigint").alias("cy"))
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    offered = at.withColumn("ox", F.explode(near)).withColumn("oy", F.explode(near))
-    offered = offered.select(*keys, F.col("id").alias("b"), F.col("xx").alias("bx"), F.col("yy").alias("by"), (F.col("cx") + F.col("ox")).alias("cx"), (F.col("cy") + F.col("oy")).alias("cy"))
-    inside = (F.pow(F.col("xx") - F.col("bx"), 2) + F.pow(F.col("yy") - F.col("by"), 2)) <= eps * eps
-    pairs = at.join(offered, [*keys, "cx", "cy"]).where(inside).select(F.col("id").alias("a"), "b")
-    cores = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("v"))
-    core_pairs = pairs.join(cores.withColumnRenamed("v", "a"), "a", "left_semi").join(cores.withColumnRenamed("v", "b"), "b", "left_semi")
-    labels = label_components(cores, core_pairs)
-    core_of = pairs.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("label").alias("label"))
-    own = labels.withColumnRenamed("v", "a").withColumnRenamed("label", "own")
-    return core_of.join(own, "a", "left").select(F.col("a").alias("id"), F.coalesce("own", "label").alias("label"), F.col("own").isNotNull().alias("core"))
+    return density.density_labels(points, eps, min_samples, keys)
 
 
 def find_clusters(points: DataFrame, eps: float, min_samples: int, algorithm: str = "hotspot_2d", keys: list[str] = []) -> DataFrame:  # noqa: B006

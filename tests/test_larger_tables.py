@@ -58,3 +58,43 @@ def test_nearest_reference_has_no_row_a_pair(spark):
     found = phase_space.nearest_reference(rows, rows.withColumnRenamed("orbit_id", "reference_id"), "pixel", "at")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and found.where("orbit_id = reference_id AND chi2 = 0").count() == 3000
+
+
+@pytest.mark.parametrize("side, eps, least", [(2, 0.05, 4), (3, 0.11, 1), (16, 0.02, 9), (1, 0.3, 30)])
+def test_density_clusters_of_crowded_cells(spark, side, eps, least):
+    from skyloom.operators import density
+
+    r = random.Random(side)
+    rows = [(i, r.choice("ab"), r.uniform(-0.5, 0.5), r.uniform(-0.5, 0.5)) for i in range(260)]
+    rows += [(300 + i, "a", 0.2 + r.gauss(0, 0.01), -0.1 + r.gauss(0, 0.04)) for i in range(150)] + [(500 + i, "b", 0.25, 0.25) for i in range(60)]
+    rows += [(600 + i, "c", i * eps, 0.0) for i in range(12)] + [(700, "a", None, 0.0), (701, "a", math.nan, 0.0), (702, None, 0.0, 0.0), (703, "a", math.inf, 0.0)]
+    df = spark.createDataFrame(rows, "id bigint, k string, xx double, yy double")
+    got = {tuple(x) for x in density.density_labels(df, eps, least, ["k"], side).collect()}
+    want = set()
+    for k in "abc":
+        own = [p for p in rows if p[1] == k and p[2] is not None and math.isfinite(p[2])]
+        near = {p[0]: [q[0] for q in own if (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 <= eps * eps] for p in own}
+        label = {i: i for i, n in near.items() if len(n) >= least}
+        changed = True
+        while changed:
+            changed = False
+            for i in label:
+                low = min(label[j] for j in near[i] if j in label)
+                changed |= low < label[i]
+                label[i] = min(label[i], low)
+        for i, n in near.items():
+            own_label = label.get(i, min((label[j] for j in n if j in label), default=None))
+            if own_label is not None:
+                want.add((i, own_label, i in label))
+    assert got == want
+
+
+def test_density_clusters_store_no_pairs(spark, monkeypatch):
+    """A thousand points at one place are neighbours all: a million pairs before, no link now."""
+    from skyloom.operators import clustering, components, density
+
+    seen = []
+    for module in (components, density):
+        monkeypatch.setattr(module, "stage", lambda df, name, kept=module.stage: seen.append(kept(df, name)) or seen[-1])
+    df = spark.range(1000).selectExpr("id", "0.0D AS xx", "0.0D AS yy")
+    assert clustering.dbscan(df, 0.1, 4).where("core AND label = 0").count() == 1000 and max(d.count() for d in seen) <= 1000
