@@ -98,3 +98,33 @@ def test_density_clusters_store_no_pairs(spark, monkeypatch):
         monkeypatch.setattr(module, "stage", lambda df, name, kept=module.stage: seen.append(kept(df, name)) or seen[-1])
     df = spark.range(1000).selectExpr("id", "0.0D AS xx", "0.0D AS yy")
     assert clustering.dbscan(df, 0.1, 4).where("core AND label = 0").count() == 1000 and max(d.count() for d in seen) <= 1000
+
+
+@pytest.mark.parametrize("cells", [4, 16])
+def test_hotspot_sets_are_the_clusters(spark, cells):
+    import numpy as np
+
+    from skyloom.operators import velocity_tiles as vt
+
+    r = random.Random(cells)
+    rows = [(o, f"{o}{i % 290}", r.uniform(-0.1, 0.1), r.uniform(-0.1, 0.1), 60000.0 + r.randrange(5) + r.randrange(400) / 1000) for o in "ab" for i in range(300)]
+    df = spark.createDataFrame([(*x, 60000 + (i * 7) % 5) for i, x in enumerate(rows)], "orbit string, id string, theta_x double, theta_y double, mjd double, days bigint")
+    grid, rules = vt.Velocities(np.linspace(-0.01, 0.01, 5), np.linspace(-0.01, 0.01, 4)), vt.Validity(3, 1.0, 2)
+    whole = vt.hotspot_clusters(df, grid, rules, 4, ["orbit"], 60000.0, 0.008, 64)
+    sets = vt.hotspot_sets(df, grid, rules, 4, ["orbit"], 60000.0, 0.008, cells)
+    counted = lambda f: sorted(map(tuple, f.groupBy("orbit").count().collect()))
+    assert counted(whole) == counted(sets) and counted(sets)[0][1] > 50
+
+
+def test_crowded_sky_is_cut_into_smaller_blocks(spark, monkeypatch):
+    from skyloom.operators import clustering
+    from skyloom.operators import velocity_tiles as vt
+
+    r = random.Random(3)
+    rows = [(str(i), r.uniform(0, 0.6), r.uniform(0, 0.6), 60000.0 + r.uniform(0, 4)) for i in range(3000)]
+    df = spark.createDataFrame([(*x, int(x[3])) for x in rows], "id string, theta_x double, theta_y double, mjd double, days bigint")
+    found = lambda: sorted(map(tuple, clustering.velocity_grid(df, [-0.01, 0.0, 0.01], [0.0, 0.01], 60000.0, 0.005, clustering.Validity()).collect()))
+    assert vt.cells_for(df, 0.005) == vt.BLOCK
+    want = found()
+    monkeypatch.setattr(vt, "GROUP_ROWS", 400)
+    assert vt.cells_for(df, 0.005) == vt.SMALL and found() == want and want
