@@ -35,8 +35,8 @@ from .relational import set_hash
 
 #: Cells (of two radii) along a block's side, and the part of it that a tile's velocities may move a detection by.
 BLOCK, DRIFT = 64, 0.25
-#: The same where a cell has many detections.
-SMALL = 16
+#: The least cells along a side where the sky is crowded, and the detections of a block at one time beyond which it is cut.
+SMALL, GROUP_ROWS = 16, 200_000
 #: Half-cell offsets, in units of the radius, of the four grids of hotspots.
 SHIFTS = ((0, 0), (1, 0), (1, 1), (0, 1))
 #: Columns of a keyed lattice of velocities; without a covariance the three of its inverse and ``reach`` are null.
@@ -110,6 +110,16 @@ def _dealt(points: DataFrame, keys: list[str], carried: list[str], cells: int) -
     return out.select(*keys, *carried, "epoch", "radius", F.col("t.x").alias("tile_x"), F.col("t.y").alias("tile_y"), "bx", "by", "id", "theta_x", "theta_y", "mjd", "days")
 
 
+def cells_for(points: DataFrame, radius: float) -> int:
+    """Cells along a block's side so that the fullest block of the sky, as it lies, has about ``GROUP_ROWS`` detections."""
+    side = BLOCK * 2 * radius
+    most = points.groupBy(F.floor(F.col("theta_x") / side).alias("x"), F.floor(F.col("theta_y") / side).alias("y")).count().agg(F.max("count")).first()[0] or 0
+    cells = BLOCK
+    while cells > SMALL and most * (cells / BLOCK) ** 2 > GROUP_ROWS:
+        cells //= 2
+    return cells
+
+
 def _finite(points: DataFrame, columns: list[str]) -> DataFrame:
     ok = F.lit(True)
     for c in ("theta_x", "theta_y"):
@@ -299,7 +309,8 @@ def _with_tiles(points: DataFrame, grid: DataFrame | Velocities, keys: list[str]
     """Points dealt to tiles and blocks, and what gives a group's velocities."""
     if isinstance(grid, Velocities):
         span = points.agg(F.max(F.abs(F.col("mjd") - F.lit(epoch)))).first()[0] or 0.0
-        bounds, velocities = grid.cut(span, radius, cells)
+        # Smaller blocks get no smaller tiles: that would send every detection to more of them.
+        bounds, velocities = grid.cut(span, radius, max(cells, BLOCK))
         names = ("x", "y", "x_low", "x_high", "y_low", "y_high")
         tiles = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(b, names, strict=True)]) for b in bounds])
         return _dealt(points.withColumns({"epoch": F.lit(epoch), "radius": F.lit(radius), "tiles": tiles}), keys, [], cells), lambda pdf: velocities(int(pdf["tile_x"].iloc[0]), int(pdf["tile_y"].iloc[0]))
