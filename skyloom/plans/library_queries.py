@@ -360,7 +360,7 @@ def coverage_report(spark, sf_dir):
     narrow = boxes.withColumns({"h_a": F.col("h_a") - 5e-10, "h_e": F.col("h_e") - 5e-10})
     bounds = phase_space.Bounds.preset("main_belt")
     inside = phase_space.coverage_report(points, wide, bounds, ["a", "e"]).select("n_boxes", "n_inside", "n_points", F.round("volume_share", 6).alias("volume_share"), F.round("coverage", 6).alias("coverage"))
-    return inside.crossJoin(phase_space.coverage_report(points, narrow, bounds, ["a", "e"]).select("n_overlaps"))
+    return inside.crossJoin(phase_space.overlap_count(narrow, ["a", "e"]))
 
 
 # Runs

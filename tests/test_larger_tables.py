@@ -128,3 +128,16 @@ def test_crowded_sky_is_cut_into_smaller_blocks(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(vt, "GROUP_ROWS", 400)
     assert vt.cells_for(df, 0.005) == vt.SMALL and found() == want and want
+
+
+def test_overlaps_of_equal_boxes_are_counted_by_kind(spark):
+    from skyloom.operators import phase_space
+
+    r = random.Random(9)
+    kinds = [(r.uniform(-5, 5), r.randrange(9) / 2, r.choice([0.5, 1.5]), r.choice([0.25, 0.5])) for _ in range(60)] + [(0.0, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame([(i, *r.choice(kinds)) for i in range(700)] + [(900, None, 0.0, 1.0, 1.0), (901, 0.0, 0.0, 0.0, 1.0), (902, 0.0, 0.0, 0.0, 1.0)], "id bigint, x double, y double, h_x double, h_y double")
+    counted = phase_space.overlap_count(df, ["x", "y"])
+    assert counted.first()[0] == phase_space.overlapping_pairs(df, ["x", "y"]).count() > 1000
+    assert phase_space.overlap_count(df.limit(0), ["x", "y"]).first()[0] == 0
+    # 2,500 equal boxes: a row a pair was three million.
+    assert phase_space.overlap_count(spark.range(2500).selectExpr("id", "0D AS x", "1D AS h_x", "0D AS y", "1D AS h_y"), ["x", "y"]).first()[0] == 2500 * 2499 // 2
