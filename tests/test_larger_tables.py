@@ -116,6 +116,46 @@ def test_hotspot_sets_are_the_clusters(spark, cells):
     assert counted(whole) == counted(sets) and counted(sets)[0][1] > 50
 
 
+@pytest.mark.parametrize("cells, nights, repeated, low", [(4, 5, False, -0.01), (2, 150, False, 0.02), (4, 5, True, -0.03), (16, 9, True, 0.0)])
+def test_hotspot_counts_are_those_of_the_sets(spark, cells, nights, repeated, low):
+    """Shared times, ids of several detections, over 64 nights, velocities off zero, blocks with few cells."""
+    import numpy as np
+
+    from skyloom.operators import velocity_tiles as vt
+
+    r = random.Random(cells * nights)
+    at = [60000.0 + r.randrange(nights) + r.randrange(400) / 1000 for _ in range(90)]
+    rows = []
+    for o in "ab":
+        for i in range(400):
+            t = r.choice(at) if i % 2 else 60000.0 + r.uniform(0, nights)
+            x, y = r.uniform(-0.06, 0.06) + low * (t - 60000), r.uniform(-0.06, 0.06)
+            rows.append((o, f"{o}{i % 380 if repeated else i}", x, y, t, int(t)))
+    df = spark.createDataFrame(rows, "orbit string, id string, theta_x double, theta_y double, mjd double, days bigint")
+    step = 0.04 / nights
+    grid, rules = vt.Velocities(low + step * np.arange(-2, 3), step * np.arange(-2, 2)), vt.Validity(3, 1.0, 3)
+    whole = vt.hotspot_clusters(df, grid, rules, 4, ["orbit"], 60000.0, 0.008, 64).groupBy("orbit").agg({"*": "count", "num_obs": "sum"}).collect()
+    counts = vt.hotspot_counts(df, grid, rules, 4, ["orbit"], 60000.0, 0.008, cells).collect()
+    assert {(x[0], x[1], 0 if repeated else x[2]) for x in map(tuple, counts)} == {(x["orbit"], x["count(1)"], 0 if repeated else x["sum(num_obs)"]) for x in whole}
+    assert min(x["clusters"] for x in counts) > 50
+
+
+def test_hotspot_counts_shuffle_few_sets(spark):
+    """The sets of a block are counted where they are found; a row a set was shuffled before."""
+    import numpy as np
+
+    from skyloom.operators import velocity_tiles as vt
+
+    r = random.Random(8)
+    rows = [(str(i), r.uniform(-0.2, 0.2), r.uniform(-0.2, 0.2), 60000.0 + r.uniform(0, 30)) for i in range(12000)]
+    df = spark.createDataFrame([(*x, int(x[3])) for x in rows], "id string, theta_x double, theta_y double, mjd double, days bigint")
+    grid = vt.Velocities(np.linspace(-0.002, 0.002, 9), np.linspace(-0.002, 0.002, 9))
+    sent = vt._sets(df, grid, vt.Validity(), 4, [], 60000.0, 0.005, 16, listed=False).cache()
+    clusters = vt.hotspot_counts(df, grid, vt.Validity(), 4, [], 60000.0, 0.005, 16).first()["clusters"]
+    assert clusters > 100_000 and sent.count() < clusters / 100
+    sent.unpersist()
+
+
 def test_crowded_sky_is_cut_into_smaller_blocks(spark, monkeypatch):
     from skyloom.operators import clustering
     from skyloom.operators import velocity_tiles as vt
