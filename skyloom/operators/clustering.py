@@ -84,7 +84,7 @@ def velocity_grid(points: DataFrame, vxs: list[float], vys: list[float], epoch:
     """Valid hotspot cells over all pairs of velocities, each member set once, with the least velocity that finds it. With ``shifts`` of 4 a spot on a cell's edge is found too."""
     grid = velocity_tiles.Velocities(np.sort(vxs), np.sort(vys))
     cells = velocity_tiles.cells_for(points, eps)
-    return velocity_tiles.hotspot_clusters(points, grid, validity, shifts, epoch=epoch, radius=eps, cells=cells).drop("members")
+    return velocity_tiles.hotspot_clusters(points, grid, validity, shifts, epoch=epoch, radius=eps, cells=cells, listed=False)
 
 
 def density_clusters(points: DataFrame, vxs: list[float], vys: list[float], epoch: float, eps: float, validity: Validity) -> DataFrame:

@@ -18,6 +18,7 @@ not the size of the survey. Keys (the test orbit) are part of every group, so al
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -147,7 +149,7 @@ def _valid(at: np.ndarray, mjd: np.ndarray, days: np.ndarray, v: Validity) -> bo
 
 @dataclass(frozen=True)
 class Points:
-    """A group's detections by time. ``codes`` number the ids, ``unique`` tells whether none repeats."""
+    """A group's detections by time. ``codes`` number the ids in their order, ``by_id`` lists detections in it, ``unique`` tells whether no id repeats."""
 
     theta: np.ndarray
     dt: np.ndarray
@@ -155,6 +157,7 @@ class Points:
     days: np.ndarray
     ids: pa.Array
     codes: np.ndarray
+    by_id: np.ndarray
     unique: bool
 
     @classmethod
@@ -163,7 +166,27 @@ class Points:
         theta_x, theta_y, mjd, days = (table.column(c).to_numpy()[order] for c in ("theta_x", "theta_y", "mjd", "days"))
         ids = table.column("id").combine_chunks().take(pa.array(order))
         names = ids.dictionary_encode()
-        return cls(np.stack([theta_x, theta_y]), mjd - epoch, mjd, days, ids, names.indices.to_numpy(), len(names.dictionary) == len(order))
+        rank = np.empty(len(names.dictionary), np.int64)
+        rank[pc.sort_indices(names.dictionary).to_numpy()] = np.arange(len(rank))
+        codes = rank[names.indices.to_numpy()]
+        return cls(np.stack([theta_x, theta_y]), mjd - epoch, mjd, days, ids, codes, np.argsort(codes, kind="stable"), len(rank) == len(order))
+
+    def part(self, at: np.ndarray) -> Points:
+        place = np.full(len(self.codes), -1, np.int64)
+        place[at] = np.arange(len(at))
+        by_id = place[self.by_id]
+        return Points(self.theta[:, at], self.dt[at], self.mjd[at], self.days[at], self.ids.take(pa.array(at)), self.codes[at], by_id[by_id >= 0], self.unique)
+
+    def sets(self, at: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The ids of runs of detections, each once a run and in order, and where the runs begin and the last ends."""
+        n = len(starts)
+        run = np.full(len(self.codes), n, np.uint16 if n < 1 << 16 else np.int64)
+        run[at] = np.repeat(np.arange(n), np.diff(np.append(starts, len(at))))
+        by = self.by_id[run[self.by_id] < n]
+        by = by[np.argsort(run[by], kind="stable")]
+        if not self.unique:
+            by = by[np.concatenate([[True], (run[by][1:] != run[by][:-1]) | (self.codes[by][1:] != self.codes[by][:-1])])]
+        return self.ids.take(pa.array(by)), np.searchsorted(run[by], np.arange(n + 1))
 
 
 def _valid_runs(at: np.ndarray, starts: np.ndarray, p: Points, v: Validity) -> np.ndarray:
@@ -181,14 +204,14 @@ def _valid_runs(at: np.ndarray, starts: np.ndarray, p: Points, v: Validity) -> n
     return (n >= v.min_obs) & (again == 0) & (t[ends] - t[starts] >= v.min_arc_length) & (nights >= v.min_nights)
 
 
-def spots_of(p: Points, vx: float, vy: float, radius: float, block: tuple[int, int], validity: Validity, shifts: int, cells: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(grid, cells' qx, qy, members, starts of their runs) of a block's cells that hold valid clusters at one velocity."""
+def spots_of(p: Points, vx: float, vy: float, radius: float, origin: tuple[int, int], validity: Validity, shifts: int, cells: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(grid, cells' qx, qy, members, starts of their runs) of the cells from ``origin`` on that hold valid clusters at one velocity."""
     x, y = p.theta[0] - vx * p.dt, p.theta[1] - vy * p.dt
     for shift, (dx, dy) in enumerate(SHIFTS[:shifts]):
-        qx = np.floor((x + dx * radius) / (2 * radius)).astype(np.int64) - block[0] * cells
-        qy = np.floor((y + dy * radius) / (2 * radius)).astype(np.int64) - block[1] * cells
+        qx = np.floor((x + dx * radius) / (2 * radius)).astype(np.int64) - origin[0]
+        qy = np.floor((y + dy * radius) / (2 * radius)).astype(np.int64) - origin[1]
         at = np.flatnonzero((qx >= 0) & (qx < cells) & (qy >= 0) & (qy < cells))
-        key = (qx[at] * cells + qy[at]).astype(np.int32)
+        key = (qx[at] * cells + qy[at]).astype(np.uint16 if cells * cells <= 1 << 16 else np.int64)
         count = np.bincount(key, minlength=cells * cells)
         dense = count[key] >= validity.min_obs
         if not dense.any():
@@ -202,7 +225,7 @@ def spots_of(p: Points, vx: float, vy: float, radius: float, block: tuple[int, i
             continue
         n = np.diff(np.append(starts, len(at)))
         at, n, key = at[np.repeat(good, n)], n[good], key[starts[good]]
-        yield shift, key // cells + block[0] * cells, key % cells + block[1] * cells, at, np.cumsum(n) - n
+        yield shift, key.astype(np.int64) // cells + origin[0], key.astype(np.int64) % cells + origin[1], at, np.cumsum(n) - n
 
 
 @dataclass(frozen=True)
@@ -404,37 +427,48 @@ def _framed(points: DataFrame, grid: DataFrame | Velocities, keys: list[str], ep
 
 
 def hotspot_clusters(
-    points: DataFrame, grid: DataFrame | Velocities, validity: Validity = Validity(), shifts: int = 4, keys: list[str] = [], epoch: float | None = None, radius: float | None = None, cells: int = BLOCK  # noqa: B006
+    points: DataFrame, grid: DataFrame | Velocities, validity: Validity = Validity(), shifts: int = 4, keys: list[str] = [], epoch: float | None = None, radius: float | None = None, cells: int = BLOCK, listed: bool = True  # noqa: B006
 ) -> DataFrame:
     """Valid hotspots over the velocities, each member set once with the least velocity that finds it.
 
     (keys, cluster_id, vx, vy, shift, qx, qy, num_obs, arc_length, members). ``points`` is (keys, id, theta_x, theta_y, mjd,
-    days). ``grid`` is a lattice a key (LATTICE), or velocities with an ``epoch`` and a ``radius`` for all.
+    days). ``grid`` is a lattice a key (LATTICE), or velocities with an ``epoch`` and a ``radius`` for all. Members are left
+    out unless they are ``listed``.
     """
     kinds = [f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys]
-    dealt, velocities = _with_tiles(_finite(points, keys), grid, keys, epoch, radius, cells)
-    schema = ", ".join([*kinds, "vx double, vy double, shift int, qx bigint, qy bigint, num_obs bigint, arc_length double, members array<string>"])
+    # A moved grid is half a cell off, and blocks follow a velocity in whole cells.
+    margin = 1.5
+    dealt, frame = _framed(_finite(points, keys), grid, keys, epoch, radius, cells, margin)
+    schema = ", ".join([*kinds, "cluster_id string, vx double, vy double, shift int, qx bigint, qy bigint, num_obs bigint, arc_length double", *(["members array<string>"] if listed else [])])
     columns = _arrow_schema(points, schema)
 
     def run(table: pa.Table) -> pa.Table:
-        p, one, eps, block = _group(table)
-        best: dict[bytes, tuple] = {}
-        for vx, vy in zip(*velocities(one), strict=True):
-            for shift, qx, qy, at, starts in spots_of(p, vx, vy, eps, block, validity, shifts, cells):
-                for i, members in enumerate(np.split(at, starts[1:])):
-                    name, found = members.tobytes(), (float(vx), float(vy), shift, int(qx[i]), int(qy[i]))
-                    if name not in best or found < best[name][0]:
-                        best[name] = (found, members)
-        own = [one[k].iloc[0] for k in keys]
-        rows = [(*own, *found, len(at), float(p.mjd[at[-1]] - p.mjd[at[0]]), sorted(set(p.ids.take(pa.array(at)).to_pylist()))) for found, at in best.values()]
-        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(columns)], schema=columns)
-
-    found = dealt.groupBy(*keys, "tile_x", "tile_y", "bx", "by").applyInArrow(run, schema)
-    named = found.withColumn("cluster_id", F.md5(F.array_join("members", "")))
-    best = named.groupBy(*keys, "cluster_id").agg(
-        F.min(F.struct("vx", "vy", "shift", "qx", "qy")).alias("best"), F.first("num_obs").alias("num_obs"), F.first("arc_length").alias("arc_length"), F.first("members").alias("members")
-    )
-    return best.select(*keys, "cluster_id", "best.*", "num_obs", "arc_length", "members")
+        one = table.slice(0, 1).to_pandas().iloc[0]
+        f, block = frame(one), (int(one["bx"]), int(one["by"]))
+        whole = Points.of(table, f.epoch)
+        out = [columns.empty_table()]
+        for some, near in f.parts(whole.theta, whole.mjd, block, cells, margin):
+            # Sets of other parts are met again below, so that only a part's are Python objects at a time.
+            p, best = whole.part(near), {}
+            for vx, vy in zip(f.vx[some].tolist(), f.vy[some].tolist(), strict=True):
+                for shift, qx, qy, at, starts in spots_of(p, vx, vy, f.radius, f.origin(block, vx, vy, cells), validity, shifts, cells):
+                    ids, begins = p.sets(at, starts)
+                    text = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy())])[begins].tolist()
+                    letters = memoryview(ids.buffers()[2] or b"")
+                    ends = np.append(starts[1:], len(at))
+                    rows = zip(qx.tolist(), qy.tolist(), (ends - starts).tolist(), (p.mjd[at[ends - 1]] - p.mjd[at[starts]]).tolist(), strict=True)
+                    for i, (cx, cy, n, arc) in enumerate(rows):
+                        name, found = hashlib.md5(letters[text[i] : text[i + 1]]).digest(), (vx, vy, shift, cx, cy)
+                        if name not in best or found < best[name][:5]:
+                            best[name] = (*found, n, arc, *([ids[begins[i] : begins[i + 1]].to_pylist()] if listed else []))
+            rows = [(*(one[k] for k in keys), name.hex(), *row) for name, row in best.items()]
+            out.append(pa.table([pa.array([r[i] for r in rows], c.type) for i, c in enumerate(columns)], schema=columns))
+        return pa.concat_tables(out)
+
+    found = dealt.groupBy(*keys, "bx", "by").applyInArrow(run, schema)
+    more = ["num_obs", "arc_length", *(["members"] if listed else [])]
+    best = found.groupBy(*keys, "cluster_id").agg(F.min(F.struct("vx", "vy", "shift", "qx", "qy")).alias("best"), *[F.first(c).alias(c) for c in more])
+    return best.select(*keys, "cluster_id", "best.*", *more)
 
 
 def hotspot_sets(points: DataFrame, grid: DataFrame | Velocities, validity: Validity = Validity(), shifts: int = 4, keys: list[str] = [], epoch: float | None = None, radius: float | None = None, cells: int = SMALL) -> DataFrame:  # noqa: B006
@@ -634,12 +668,6 @@ def _arrow_schema(points: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(points.sparkSession.createDataFrame([], schema).schema)
 
 
-def _group(table: pa.Table) -> tuple[Points, pd.DataFrame, float, tuple[int, int]]:
-    """A group's detections, its first row, radius and block."""
-    one = table.slice(0, 1).to_pandas()
-    return Points.of(table, one["epoch"].iloc[0]), one, float(one["radius"].iloc[0]), (int(one["bx"].iloc[0]), int(one["by"].iloc[0]))
-
-
 def density_clusters(
     points: DataFrame, grid: DataFrame | Velocities, validity: Validity = Validity(), keys: list[str] = [], epoch: float | None = None, radius: float | None = None, cells: int = BLOCK  # noqa: B006
 ) -> DataFrame:

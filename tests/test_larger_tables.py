@@ -170,6 +170,25 @@ def test_crowded_sky_is_cut_into_smaller_blocks(spark, monkeypatch):
     assert vt.cells_for(df, 0.005) == vt.SMALL and found() == want and want
 
 
+def test_hotspots_deal_a_detection_to_few_blocks(spark):
+    """A detection goes to the blocks that it meets at any velocity, once each: to 36 tiles and their blocks before."""
+    import numpy as np
+
+    from skyloom.operators import velocity_tiles as vt
+
+    r = random.Random(4)
+    rows = [(f"{i % 1950}", r.uniform(-1, 1), r.uniform(-1, 1), 60310.0 + r.uniform(0, 30)) for i in range(2000)]
+    df = spark.createDataFrame([(*x, int(x[3])) for x in rows], "id string, theta_x double, theta_y double, mjd double, days bigint")
+    axis = np.arange(-5, 6) * 0.002
+    dealt, frame = vt._framed(vt._finite(df, []), vt.Velocities(axis, axis), [], 60310.0, 0.005, vt.BLOCK, 1.5)
+    assert dealt.count() < 3 * len(rows) and len(frame(None).vx) == 121
+    # With and without members, ids of several detections among them.
+    grid = vt.Velocities(axis, axis)
+    found = [vt.hotspot_clusters(df, grid, vt.Validity(3, 1.0, 2), 4, epoch=60310.0, radius=0.05, cells=c, listed=m).drop("members") for c, m in ((64, True), (16, False), (4, False))]
+    want, *others = (sorted(map(tuple, f.drop("num_obs", "arc_length").collect())) for f in found)
+    assert len(want) > 1000 and others == [want, want]
+
+
 def test_overlaps_of_equal_boxes_are_counted_by_kind(spark):
     from skyloom.operators import phase_space
 
